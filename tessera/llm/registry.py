@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, sharding, simhash
+from . import bpe, lines, quality, secrets, sharding, simhash, tokenfile
 
 SHARDS = 16
 QUALITY_AT = 0.3
@@ -43,6 +43,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    return out.select("doc_id", "n_lines_removed", "n_chunks_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.tokenize_to_files(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -53,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op5_simhash": op5_simhash,
         "op7_bpe": op7_bpe,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_token_files": op9_token_files,
         "op10_secret_scan": op10_secret_scan,
     }
 
