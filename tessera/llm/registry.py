@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, quality, secrets, sharding, simhash, suffixes, tokenfile
+from . import ann, bpe, decontaminate, lines, quality, secrets, sharding, simhash, suffixes, tokenfile
 
 SHARDS = 16
 QUALITY_AT = 0.3
@@ -47,6 +47,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_nearest": op4_nearest,
         "op5_simhash": op5_simhash,
+        "op6_decontamination": op6_decontamination,
         "op7_bpe": op7_bpe,
         "op8_line_dedup": op8_line_dedup,
         "op9_token_files": op9_token_files,
