@@ -1 +1,121 @@
-"""To come."""
+"""Bitemporal and journal queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import temporal as T
+from tessera.plans.registry import query
+
+V = 1_704_067_200_000 + 10 * 86_400_000
+K = V + 12 * 86_400_000
+HOLDS = f"valid_from <= {V} AND (valid_to IS NULL OR valid_to > {V}) AND recorded_from <= {K} AND (recorded_to IS NULL OR recorded_to > {K})"
+
+
+@query("asof_read", f"SELECT source, entity_id, content FROM assertion WHERE {HOLDS}")
+def asof_read(t):
+    return T.as_of(t.assertion, V, K).select("source", "entity_id", "content")
+
+
+@query("asof_read_source", f"SELECT entity_id, content, valid_from FROM assertion WHERE {HOLDS} AND source = 'src1'")
+def asof_read_source(t):
+    return T.as_of(t.assertion, V, K, "src1").select("entity_id", "content", "valid_from")
+
+
+@query("asof_join", "SELECT o.id, o.user_id, a.content FROM (SELECT id, run AS user_id, at AS moment FROM log WHERE at IS NOT NULL AND id % 3 = 0) o JOIN assertion a ON a.entity_id = o.user_id AND a.valid_from <= o.moment AND (a.valid_to IS NULL OR a.valid_to > o.moment)".replace("at AS moment", "tick AS moment").replace("at IS NOT", "tick IS NOT"))
+def asof_join(t):
+    probes = t.log.where("tick IS NOT NULL AND id % 3 = 0").select("id", F.col("run").alias("user_id"), F.col("tick").alias("moment"))
+    return T.as_of_join(probes, t.assertion, "user_id", "moment").select("id", "user_id", "content")
+
+
+@query("state_at_commit", f"SELECT entity_id, content FROM assertion WHERE (valid_from < {V} OR (valid_from = {V} AND opened_by <= 'c5')) AND NOT (valid_to IS NOT NULL AND (valid_to < {V} OR (valid_to = {V} AND closed_by <= 'c5')))")
+def state_at_commit(t):
+    return T.state_at(t.assertion, V, "c5").select("entity_id", "content")
+
+
+@query("commit_order", "SELECT source, commit_id, CAST(row_number() OVER w AS INTEGER) AS position, lead(commit_id) OVER w AS successor FROM (SELECT source, opened_by AS commit_id, valid_from AS committed_at FROM assertion) c WINDOW w AS (PARTITION BY source ORDER BY committed_at, commit_id)")
+def commit_order(t):
+    commits = t.assertion.select("source", F.col("opened_by").alias("commit_id"), F.col("valid_from").alias("committed_at"))
+    return T.commit_order(commits).drop("committed_at")
+
+
+@query("overlap_clash", "WITH s AS (SELECT source, entity_id, opened_by AS id, valid_from, valid_to + 7200000 AS valid_to FROM assertion) SELECT a.entity_id, a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.entity_id = b.entity_id AND a.source = 'src1' AND b.source = 'src2' AND (b.valid_to IS NULL OR a.valid_from < b.valid_to) AND (a.valid_to IS NULL OR a.valid_to > b.valid_from)")
+def overlap_clash(t):
+    s = t.assertion.select("source", "entity_id", F.col("opened_by").alias("id"), "valid_from", (F.col("valid_to") + 7_200_000).alias("valid_to"))
+    return T.overlaps(s.where("source = 'src1'"), s.where("source = 'src2'"), "entity_id")
+
+
+@query("discrepancies", """WITH l AS (SELECT entity_id, source, content FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source ORDER BY valid_from DESC, opened_by DESC) AS rn FROM assertion) x WHERE rn = 1)
+    SELECT entity_id, first(content ORDER BY source) AS "primary", string_agg(source || '=' || content, ',' ORDER BY source || '=' || content) AS stated FROM l GROUP BY entity_id HAVING count(DISTINCT content) > 1""")
+def discrepancies(t):
+    return T.discrepancies(t.assertion)
+
+
+def _store(name, successor):
+    late = "CAST(NULL AS BIGINT)" if successor is None else f"CAST({successor} AS BIGINT)"
+    sql = f"""WITH o AS (SELECT kind, entity_id, content AS old, valid_from AS vf, valid_to AS vt FROM assertion WHERE source = 'src1' AND recorded_to IS NULL AND valid_from <= {V} AND (valid_to IS NULL OR valid_to > {V})),
+      n AS (SELECT DISTINCT 'user' AS kind, user_id AS entity_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS new FROM event WHERE user_id % 4 <> 0),
+      c AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.entity_id, n.entity_id) AS entity_id, old, new, vf, vt FROM o FULL JOIN n ON o.kind = n.kind AND o.entity_id = n.entity_id WHERE old IS DISTINCT FROM new)
+      SELECT kind, entity_id, 'closed' AS action, old AS content, vf AS valid_from, vt AS valid_to, CAST(NULL AS BIGINT) AS recorded_from, CAST({K} AS BIGINT) AS recorded_to FROM c WHERE old IS NOT NULL
+      UNION ALL SELECT kind, entity_id, 'truncated', old, vf, {V}, {K}, NULL FROM c WHERE old IS NOT NULL AND vf < {V}
+      UNION ALL SELECT kind, entity_id, 'restored', old, {late}, vt, {K}, NULL FROM c WHERE old IS NOT NULL AND {late} IS NOT NULL AND (vt IS NULL OR vt > {late})
+      UNION ALL SELECT kind, entity_id, 'opened', new, {V}, {late}, {K}, NULL FROM c WHERE new IS NOT NULL AND ({late} IS NULL OR {late} > {V})"""
+
+    @query(name, sql)
+    def run(t):
+        version = t.event.where("user_id % 4 <> 0").select("user_id").distinct().select(F.lit("user").alias("kind"), F.col("user_id").alias("entity_id"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("view").alias("content"))
+        return T.store_version(t.assertion, version, "src1", V, K, successor)
+
+    return run
+
+
+_store("store_version", None)
+_store("store_version_late", V + 3_600_000)
+
+
+@query("path_periods", """WITH c AS (SELECT DISTINCT file, tick, commit_id, flag FROM change WHERE flag IN ('A', 'R')), b AS (SELECT *, lag(flag) OVER (PARTITION BY file ORDER BY tick, commit_id, flag) AS before FROM c),
+    u AS (SELECT * FROM b WHERE (flag = 'A' AND (before IS NULL OR before = 'R')) OR (flag = 'R' AND before = 'A')), l AS (SELECT *, lead(tick) OVER (PARTITION BY file ORDER BY tick, commit_id, flag) AS closed FROM u) SELECT file, tick AS opened, closed FROM l WHERE flag = 'A'""")
+def path_periods(t):
+    changes = t.change.select("file", "tick", "commit_id", "flag").distinct()
+    return T.periods(changes, "file", ["tick", "commit_id", "flag"], "flag", "A", "R")
+
+
+@query("journal_replay", """WITH j AS (SELECT user_id * 10 + k % 10 AS id, event_id AS seq, event_type FROM event), l AS (SELECT id, count(*) AS events, max(CASE WHEN event_type <> 'click' THEN seq END) AS since, max(CASE WHEN event_type = 'click' THEN seq END) AS evidence FROM j GROUP BY id)
+    SELECT l.id, l.since, l.evidence, l.events FROM l JOIN j ON j.seq = l.since WHERE j.event_type IN ('signup', 'view')""")
+def journal_replay(t):
+    j = t.event.select((F.col("user_id") * 10 + F.col("k") % 10).alias("id"), F.col("event_id").alias("seq"), "event_type")
+    return T.replay(j, "id", "seq", ("signup", "view"), ("purchase", "error"), ("click",))
+
+
+@query("revision_conflicts", "SELECT b.id, b.holder, count(*) AS later FROM opinion b JOIN opinion l ON l.holder = b.holder AND l.producer = b.producer AND l.id > b.id AND l.grade IS DISTINCT FROM b.grade WHERE b.state = 'confirmed' GROUP BY 1, 2")
+def revision_conflicts(t):
+    base = t.opinion.where("state = 'confirmed'").select("id", "holder", "producer", F.col("grade").alias("base_grade"))
+    later = t.opinion.select(F.col("id").alias("later_id"), "holder", "producer", "grade")
+    moved = base.join(later, ["holder", "producer"]).where((F.col("later_id") > F.col("id")) & ~F.col("grade").eqNullSafe(F.col("base_grade")))
+    return moved.groupBy("id", "holder").agg(F.count(F.lit(1)).alias("later"))
+
+
+@query("shortest_prefix", "WITH u AS (SELECT id, sha256(kind || ':' || nkey) AS uid FROM node), p AS (SELECT i.i, substr(uid, 1, i.i) AS prefix, min(id) AS id FROM u, (SELECT unnest(range(1, 20)) AS i) i GROUP BY 1, 2 HAVING count(*) = 1) SELECT u.id, substr(u.uid, 1, m.i) AS prefix FROM u JOIN (SELECT id, CAST(min(i) AS INTEGER) AS i FROM p GROUP BY id) m ON m.id = u.id")
+def shortest_prefix(t):
+    uids = t.node.select("id", F.sha2(F.concat_ws(":", "kind", "nkey"), 256).alias("uid"))
+    return T.shortest_prefixes(uids, "uid").select("id", "prefix")
+
+
+@query("state_chain", "SELECT user_id, count(*) FILTER (WHERE prev IS NULL) AS roots, max(followers) AS followers, count(*) AS states FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, CASE WHEN lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL THEN 0 ELSE 1 END AS followers FROM event) x GROUP BY user_id")
+def state_chain(t):
+    from pyspark.sql import Window as W
+
+    by = W.partitionBy("user_id").orderBy("event_id")
+    rows = t.event.select("user_id", F.lag("event_id").over(by).alias("prev"), F.when(F.lead("event_id").over(by).isNull(), 0).otherwise(1).alias("f"))
+    return rows.groupBy("user_id").agg(F.count(F.when(F.col("prev").isNull(), 1)).alias("roots"), F.max("f").alias("followers"), F.count(F.lit(1)).alias("states"))
+
+
+@query("binding_discrepancies", "SELECT user_id, k % 5 AS variable, count(DISTINCT event_type) AS contents, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stated FROM event GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1")
+def binding_discrepancies(t):
+    rows = t.event.groupBy("user_id", (F.col("k") % 5).alias("variable")).agg(F.count_distinct("event_type").alias("contents"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stated"))
+    return rows.where("contents > 1")
+
+
+@query("children_asof", f"SELECT content AS parent, entity_id AS child FROM assertion WHERE {HOLDS} AND content <> 'error'")
+def children_asof(t):
+    return T.as_of(t.assertion, V, K).where("content <> 'error'").select(F.col("content").alias("parent"), F.col("entity_id").alias("child"))

@@ -42,8 +42,8 @@ RELATIONS = {
         SELECT CASE WHEN event_id % 5 = 0 THEN 'src2' ELSE 'src1' END AS source, 'user' AS kind, user_id AS entity_id, event_type AS content, tick AS valid_from,
             lead(tick) OVER (PARTITION BY user_id ORDER BY event_id) AS valid_to,
             tick + (event_id % 7) * 3600000 AS recorded_from,
-            CASE WHEN event_id % 9 = 0 THEN tick + 30 * 86400000 + (event_id % 7) * 3600000 END AS recorded_to,
-            'c' || CAST(event_id AS STRING) AS opened_by
+            CASE WHEN event_id % 9 = 0 THEN tick + CAST(2592000000 AS BIGINT) + (event_id % 7) * 3600000 END AS recorded_to,
+            'c' || CAST(event_id AS STRING) AS opened_by, lead('c' || CAST(event_id AS STRING)) OVER (PARTITION BY user_id ORDER BY event_id) AS closed_by
         FROM event""",
     "span": """
         SELECT event_id AS span, CASE WHEN event_id % 10 <> 0 THEN event_id - event_id % 10 + CAST(FLOOR((event_id % 10) / 3) AS BIGINT) END AS parent,
@@ -74,7 +74,7 @@ def spark_text(text: str) -> str:
 
 
 def oracle_text(text: str) -> str:
-    return re.sub(r"\bMS\((\w+)\)", r"epoch_ms(\1)", text)
+    return re.sub(r"\bMS\((\w+)\)", r"(epoch_us(\1) // 1000)", text)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
