@@ -1 +1,186 @@
-"""To come."""
+"""Writer, consistency and queue queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tessera.operators import writer as R
+from tessera.plans.registry import query
+
+
+@query("declare_vertices", "SELECT b.id, CASE WHEN n.id IS NULL THEN 'inserted' ELSE 'revived' END AS action FROM (SELECT DISTINCT 3000000000000 + user_id * 7 AS id FROM event) b LEFT JOIN node n ON n.id = b.id WHERE n.id IS NULL OR n.removed")
+def declare_vertices(t):
+    return R.declare(t.node, t.event.select((F.col("user_id") * 7 + 3_000_000_000_000).alias("id")))
+
+
+BATCH = "SELECT event_id + 1000000 AS id, user_id * 20 + k % 20 AS holder, event_type AS producer, 'en' AS lang, 'g' || CAST(event_id % 3 AS VARCHAR) AS grade, 'file' || CAST(event_id % 50 AS VARCHAR) || ':' || CAST(k + 1 AS VARCHAR) AS evidence FROM event WHERE event_id % 5 = 0"
+
+
+def _batch(t):
+    return t.event.where("event_id % 5 = 0").selectExpr(
+        "event_id + 1000000 AS id", "user_id * 20 + k % 20 AS holder", "event_type AS producer", "'en' AS lang", "'g' || CAST(event_id % 3 AS STRING) AS grade",
+        "'file' || CAST(event_id % 50 AS STRING) || ':' || CAST(k + 1 AS STRING) AS evidence",
+    )
+
+
+@query("state_opinion", f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY holder, producer, lang ORDER BY id DESC) AS n FROM ({BATCH}) x) y WHERE n = 1), o AS (SELECT * FROM opinion WHERE state = 'open'),
+    j AS (SELECT b.holder, b.producer, b.lang, b.id AS new_id, o.id AS old_id, CASE WHEN o.id IS NULL THEN 'opened' WHEN b.grade IS DISTINCT FROM o.grade THEN 'replaced' WHEN b.evidence IS DISTINCT FROM o.evidence THEN 're-evidenced' ELSE 'unchanged' END AS action
+      FROM b LEFT JOIN o ON o.holder = b.holder AND o.producer = b.producer AND o.lang IS NOT DISTINCT FROM b.lang)
+    SELECT holder, producer, lang, new_id, CASE WHEN action = 'replaced' THEN old_id END AS closes, action FROM j""")
+def state_opinion(t):
+    return R.state_opinions(t.opinion, _batch(t), ["holder", "producer", "lang"], ["grade"], "id")
+
+
+@query("partial_opinion", f"""WITH b AS (SELECT holder, max(grade) AS grade, CAST(NULL AS VARCHAR) AS title, max(evidence) AS evidence FROM ({BATCH}) x GROUP BY holder), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY holder ORDER BY id DESC) AS n FROM opinion WHERE state = 'open') y WHERE n = 1)
+    SELECT b.holder, coalesce(b.grade, o.grade) AS grade, o.title, CASE WHEN o.evidence IS NULL OR o.evidence = b.evidence THEN b.evidence ELSE least(o.evidence, b.evidence) || ',' || greatest(o.evidence, b.evidence) END AS evidence FROM b LEFT JOIN o ON o.holder = b.holder""")
+def partial_opinion(t):
+    stored = t.opinion.where("state = 'open'").groupBy("holder").agg(F.max(F.struct("id", "grade", "title", "evidence")).alias("m")).select("holder", "m.grade", "m.title", "m.evidence")
+    batch = _batch(t).groupBy("holder").agg(F.max("grade").alias("grade"), F.max("evidence").alias("evidence")).withColumn("title", F.lit(None).cast("string"))
+    return R.merge_partial(stored, batch, "holder", ["grade", "title"])
+
+
+@query("retraction", """WITH h AS (SELECT holder, count(*) FILTER (WHERE producer = 'view' AND state = 'open') AS closed, count(*) FILTER (WHERE state IN ('open', 'confirmed') AND NOT (producer = 'view' AND state = 'open')) AS rest FROM opinion GROUP BY holder)
+    SELECT holder, closed, rest = 0 AND holder NOT IN (SELECT o_custkey FROM orders) AS removed FROM h WHERE closed > 0""")
+def retraction(t):
+    return R.retract(t.opinion, t.orders.select(F.col("o_custkey").alias("holder")), "view")
+
+
+@query("edge_withdrawal", "SELECT holder, producer FROM opinion GROUP BY holder, producer HAVING count(*) FILTER (WHERE state = 'open' AND event_id_mod <> 0) = 0".replace("event_id_mod", "id % 2") + " AND count(*) > 0")
+def edge_withdrawal(t):
+    left = F.count(F.when((F.col("state") == "open") & (F.col("id") % 2 != 0), 1))
+    return t.opinion.groupBy("holder", "producer").agg(left.alias("n")).where("n = 0").drop("n")
+
+
+@query("publish_edges", "SELECT e.rel, e.src, e.dst, CASE WHEN a.id IS NULL AND b.id IS NULL THEN 'from+to' WHEN a.id IS NULL THEN 'from' WHEN b.id IS NULL THEN 'to' ELSE 'published' END AS outcome FROM edge e LEFT JOIN node a ON a.id = e.src AND NOT a.removed LEFT JOIN node b ON b.id = e.dst AND NOT b.removed")
+def publish_edges(t):
+    return R.publish_edges(t.edge.select("rel", "src", "dst"), t.node)
+
+
+@query("unresolved_references", "SELECT o.id, o.holder FROM opinion o WHERE o.state = 'open' AND o.holder NOT IN (SELECT c_custkey FROM customer) AND EXISTS (SELECT 1 FROM opinion p WHERE p.producer = o.producer AND p.holder = o.holder AND p.state = 'open' AND p.evidence IS NOT NULL)")
+def unresolved_references(t):
+    o = t.opinion.where("state = 'open'")
+    rows = o.select("id", "holder", "producer").join(t.customer.select(F.col("c_custkey").alias("holder")), "holder", "left_anti")
+    return rows.join(o.where("evidence IS NOT NULL").select("holder", "producer"), ["holder", "producer"], "left_semi").select("id", "holder")
+
+
+@query("removed_edge_ends", "SELECT e.rel, e.src, e.dst, concat_ws(',', CASE WHEN a.removed THEN 'from' END, CASE WHEN b.removed THEN 'to' END) AS ends FROM edge e JOIN node a ON a.id = e.src JOIN node b ON b.id = e.dst WHERE a.removed OR b.removed")
+def removed_edge_ends(t):
+    gone = t.node.where("removed").select("id")
+    a, b = gone.select(F.col("id").alias("src"), F.lit("from").alias("a")), gone.select(F.col("id").alias("dst"), F.lit("to").alias("b"))
+    rows = t.edge.join(a, "src", "left").join(b, "dst", "left").where("a IS NOT NULL OR b IS NOT NULL")
+    return rows.select("rel", "src", "dst", F.concat_ws(",", "a", "b").alias("ends"))
+
+
+@query("unevidenced", "SELECT id, 'grade' AS field FROM opinion WHERE state = 'open' AND evidence IS NULL AND grade IS NOT NULL UNION ALL SELECT id, 'title' FROM opinion WHERE state = 'open' AND evidence IS NULL AND title IS NOT NULL UNION ALL SELECT id, 'amount' FROM opinion WHERE state = 'open' AND evidence IS NULL AND amount IS NOT NULL")
+def unevidenced(t):
+    rows = t.opinion.where("state = 'open' AND evidence IS NULL")
+    return rows.select("id", F.expr("stack(3, 'grade', grade, 'title', title, 'amount', CAST(amount AS STRING)) AS (field, v)")).where("v IS NOT NULL").select("id", "field")
+
+
+@query("journal_entries", "SELECT user_id AS author, CAST(floor(tick / 3600000) AS BIGINT) AS hour, count(*) AS changes, min(event_id) AS first_seq, max(event_id) AS last_seq FROM event WHERE event_type <> 'view' GROUP BY 1, 2")
+def journal_entries(t):
+    rows = t.event.where("event_type <> 'view'").groupBy(F.col("user_id").alias("author"), F.floor(F.col("tick") / 3_600_000).alias("hour"))
+    return rows.agg(F.count(F.lit(1)).alias("changes"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
+
+
+@query("declaration_diff", """WITH c AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0)
+    SELECT coalesce(c.id, w.id) AS id, CASE WHEN c.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'removed' ELSE 'changed' END AS action FROM c FULL JOIN w ON c.id = w.id WHERE c.v IS DISTINCT FROM w.v""")
+def declaration_diff(t):
+    o = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
+    return R.diff(o.where("id % 5 <> 0"), o.where("id % 4 <> 0").withColumn("v", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("v"))), "id", ["v"])
+
+
+@query("membership_digest", "SELECT kind, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(id AS VARCHAR), label)), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest FROM node GROUP BY kind")
+def membership_digest(t):
+    return R.membership_digest(t.node, "kind", ["id", "label"])
+
+
+@query("staleness", """WITH d AS (SELECT repository, sum(lines) AS digest, count(*) AS n FROM file GROUP BY repository), r AS (SELECT repository, sum(CASE WHEN file % 50 = 0 THEN lines + 1 ELSE lines END) AS digest, count(*) AS n FROM file WHERE file % 331 <> 0 GROUP BY repository)
+    SELECT coalesce(d.repository, r.repository) AS repository, CASE WHEN r.n IS DISTINCT FROM d.n THEN 'membership' ELSE 'content' END AS reason FROM d FULL JOIN r ON d.repository = r.repository WHERE d.digest IS DISTINCT FROM r.digest OR d.n IS DISTINCT FROM r.n""")
+def staleness(t):
+    d = t.file.groupBy("repository").agg(F.sum("lines").alias("d"), F.count(F.lit(1)).alias("n"))
+    moved = t.file.where("file % 331 <> 0").withColumn("lines", F.when(F.col("file") % 50 == 0, F.col("lines") + 1).otherwise(F.col("lines")))
+    r = moved.groupBy("repository").agg(F.sum("lines").alias("rd"), F.count(F.lit(1)).alias("rn"))
+    rows = d.join(r, "repository", "full").where(~F.col("d").eqNullSafe(F.col("rd")) | ~F.col("n").eqNullSafe(F.col("rn")))
+    return rows.select("repository", F.when(~F.col("n").eqNullSafe(F.col("rn")), "membership").otherwise("content").alias("reason"))
+
+
+@query("refresh_decision", """WITH r AS (SELECT file, 'changed' AS reason FROM change WHERE flag = 'R' UNION SELECT file, 'large' FROM file WHERE lines > 1800 UNION SELECT file, 'language' FROM file WHERE path LIKE '%.md')
+    SELECT file, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY file""")
+def refresh_decision(t):
+    r = t.change.where("flag = 'R'").select("file", F.lit("changed").alias("reason"))
+    r = r.unionByName(t.file.where("lines > 1800").select("file", F.lit("large").alias("reason"))).unionByName(t.file.where("path LIKE '%.md'").select("file", F.lit("language").alias("reason")))
+    return r.groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+JOB = "SELECT event_id AS id, user_id % 5 AS queue, k % 4 AS priority, tick AS due, k % 6 AS attempt, event_type FROM event"
+
+
+def _jobs(t):
+    return t.event.selectExpr("event_id AS id", "user_id % 5 AS queue", "k % 4 AS priority", "tick AS due", "k % 6 AS attempt", "event_type")
+
+
+@query("queue_order", f"WITH j AS ({JOB}) SELECT queue, id, CAST(row_number() OVER (PARTITION BY queue ORDER BY priority DESC, due, id) AS INTEGER) AS position FROM j WHERE event_type <> 'purchase'")
+def queue_order(t):
+    by = W.partitionBy("queue").orderBy(F.desc("priority"), "due", "id")
+    return _jobs(t).where("event_type <> 'purchase'").select("queue", "id", F.row_number().over(by).alias("position"))
+
+
+@query("queue_retry", f"WITH j AS ({JOB}) SELECT id, queue, attempt, CASE WHEN attempt >= 4 THEN 'dead' ELSE 'retry' END AS outcome, CASE WHEN attempt < 4 THEN due + CAST(1000 * power(2, attempt) AS BIGINT) END AS next FROM j WHERE event_type = 'error'")
+def queue_retry(t):
+    rows = _jobs(t).where("event_type = 'error'")
+    again = F.when(F.col("attempt") < 4, F.col("due") + (F.pow(F.lit(2.0), F.col("attempt")) * 1000).cast("long"))
+    return rows.select("id", "queue", "attempt", F.when(F.col("attempt") >= 4, "dead").otherwise("retry").alias("outcome"), again.alias("next"))
+
+
+@query("queue_singletons", f"WITH j AS ({JOB}) SELECT queue, attempt AS key, min(id) AS id, count(*) - 1 AS dropped FROM j WHERE event_type = 'view' GROUP BY 1, 2")
+def queue_singletons(t):
+    return _jobs(t).where("event_type = 'view'").groupBy("queue", F.col("attempt").alias("key")).agg(F.min("id").alias("id"), (F.count(F.lit(1)) - 1).alias("dropped"))
+
+
+@query("enqueue_stamp", "SELECT event_id, m + rn AS stamp FROM (SELECT event_id, rn, max(tick - rn) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM event) x) y")
+def enqueue_stamp(t):
+    """A stamp at least 1 ms past the queue's previous one: a running maximum of (time - position), plus the position."""
+    by = W.partitionBy("user_id").orderBy("event_id")
+    rows = t.event.withColumn("rn", F.row_number().over(by).cast("long"))
+    return rows.select("event_id", (F.max(F.col("tick") - F.col("rn")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("rn")).alias("stamp"))
+
+
+@query("progress_sequence", "SELECT event_id, user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY tick, event_id) AS INTEGER) AS seq FROM event")
+def progress_sequence(t):
+    return t.event.select("event_id", F.col("user_id").alias("run"), F.row_number().over(W.partitionBy("user_id").orderBy("tick", "event_id")).alias("seq"))
+
+
+@query("state_transitions", """WITH s AS (SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was, event_type AS now FROM event), a(was, now) AS (VALUES ('signup', 'view'), ('view', 'click'), ('view', 'view'), ('click', 'purchase'), ('click', 'view'), ('error', 'view'), ('purchase', 'view'))
+    SELECT s.event_id, s.was, s.now, a.was IS NOT NULL OR s.was IS NULL AS allowed FROM s LEFT JOIN a ON a.was = s.was AND a.now = s.now""")
+def state_transitions(t):
+    table = [("signup", "view"), ("view", "click"), ("view", "view"), ("click", "purchase"), ("click", "view"), ("error", "view"), ("purchase", "view")]
+    was = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = t.event.select("event_id", was.alias("was"), F.col("event_type").alias("now"))
+    legal = F.concat_ws(">", "was", "now").isin(*[f"{a}>{b}" for a, b in table])
+    return rows.withColumn("allowed", F.col("was").isNull() | legal)
+
+
+@query("latest_run", "SELECT session, seq, run FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tick DESC, seq DESC) AS rn FROM usage) x WHERE rn = 1")
+def latest_run(t):
+    return t.usage.groupBy("session").agg(F.max(F.struct("tick", "seq", "run")).alias("m")).select("session", "m.seq", "m.run")
+
+
+@query("admission_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY k % 3, event_id - CAST(floor(value / 10) AS BIGINT), event_id) AS INTEGER) AS position FROM event")
+def admission_order(t):
+    by = W.partitionBy(F.col("user_id") % 3).orderBy(F.col("k") % 3, F.col("event_id") - F.floor(F.col("value") / 10), "event_id")
+    return t.event.select("event_id", F.row_number().over(by).alias("position"))
+
+
+@query("publications_per_stage", "SELECT event_type AS stage, count(*) AS publications, CAST(coalesce(sum(CASE WHEN k > 95 THEN k END), 0) AS BIGINT) AS facts, count(DISTINCT user_id) AS units FROM event GROUP BY event_type")
+def publications_per_stage(t):
+    return t.event.groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("publications"), F.coalesce(F.sum(F.when(F.col("k") > 95, F.col("k"))), F.lit(0)).alias("facts"), F.count_distinct("user_id").alias("units"))
+
+
+@query("fill_progress", "SELECT user_id % 10 AS stage, count(*) FILTER (WHERE event_type = 'signup') AS planned, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS published, count(*) FILTER (WHERE event_type = 'error') AS failed, max(event_id) AS last_pass FROM event GROUP BY 1")
+def fill_progress(t):
+    kind = F.col("event_type")
+    return t.event.groupBy((F.col("user_id") % 10).alias("stage")).agg(
+        F.count(F.when(kind == "signup", 1)).alias("planned"), F.count(F.when(kind.isin("view", "click"), 1)).alias("published"), F.count(F.when(kind == "error", 1)).alias("failed"), F.max("event_id").alias("last_pass")
+    )
