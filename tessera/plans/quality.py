@@ -1 +1,160 @@
-"""To come."""
+"""Rules, checks and problem reports."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tessera.operators import quality as Q
+from tessera.plans.registry import query
+
+
+@query("condition_property", "SELECT id FROM node WHERE kind = 'supplier' AND label LIKE '%7'")
+def condition_property(t):
+    return Q.matching(t.node, t.edge, {"all": [{"property": ("kind", "_eq", "supplier")}, {"property": ("label", "_like", "%7")}]})
+
+
+@query("condition_algebra", """WITH big AS (SELECT e.src AS id FROM edge e WHERE e.rel = 'placed' AND e.dst IN (SELECT id FROM node WHERE label = '1-URGENT') GROUP BY e.src HAVING count(*) >= 2)
+    SELECT id FROM node WHERE kind = 'customer' AND id IN (SELECT id FROM big) AND NOT removed UNION SELECT id FROM node WHERE kind = 'supplier' AND id NOT IN (SELECT dst FROM edge WHERE rel = 'supplied_by' GROUP BY dst HAVING count(*) >= 150)""")
+def condition_algebra(t):
+    urgent = {"neighbours": {"rel": "placed", "side": "out", "atLeast": 2, "where": {"property": ("label", "_eq", "1-URGENT")}}}
+    busy = {"neighbours": {"rel": "supplied_by", "side": "in", "atLeast": 150}}
+    c = {"any": [
+        {"all": [{"property": ("kind", "_eq", "customer")}, urgent, {"not": {"property": ("removed", "_eq", True)}}]},
+        {"all": [{"property": ("kind", "_eq", "supplier")}, {"not": busy}]},
+    ]}
+    return Q.matching(t.node, t.edge, c)
+
+
+@query("node_check", "SELECT p_partkey AS id, CASE WHEN p_name = '' THEN 'required' WHEN p_retailprice <> floor(p_retailprice) THEN 'whole-number' WHEN p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO') THEN 'one-of' WHEN NOT starts_with(p_brand, 'Brand#') THEN 'record-key' WHEN p_size > 40 THEN 'span' END AS failure FROM part")
+def node_check(t):
+    checks = [
+        ("required", F.col("p_name") == ""), ("whole-number", F.col("p_retailprice") != F.floor("p_retailprice")), ("one-of", ~F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO")),
+        ("record-key", ~F.startswith("p_brand", F.lit("Brand#"))), ("span", F.col("p_size") > 40),
+    ]
+    return t.part.select(F.col("p_partkey").alias("id"), Q.first_failure(checks).alias("failure"))
+
+
+@query("edge_check", "SELECT e.rel, e.src, e.dst, CASE WHEN a.id IS NULL THEN 'from-missing' WHEN b.id IS NULL THEN 'to-missing' WHEN e.rel = 'touched' AND b.kind <> 'part' THEN 'to-kind' WHEN e.weight < 2 AND e.rel = 'touched' THEN 'weight' END AS failure FROM edge e LEFT JOIN node a ON a.id = e.src LEFT JOIN node b ON b.id = e.dst WHERE e.rel IN ('touched', 'in_nation')")
+def edge_check(t):
+    a = t.node.select(F.col("id").alias("src"), F.col("kind").alias("a"))
+    b = t.node.select(F.col("id").alias("dst"), F.col("kind").alias("b"))
+    rows = t.edge.where("rel IN ('touched', 'in_nation')").join(a, "src", "left").join(b, "dst", "left")
+    touched = F.col("rel") == "touched"
+    checks = [("from-missing", F.col("a").isNull()), ("to-missing", F.col("b").isNull()), ("to-kind", touched & (F.col("b") != "part")), ("weight", touched & (F.col("weight") < 2))]
+    return rows.select("rel", "src", "dst", Q.first_failure(checks).alias("failure"))
+
+
+@query("rule_large_file", "SELECT file, lines FROM file WHERE lines >= 1900")
+def rule_large_file(t):
+    return t.file.where("lines >= 1900").select("file", "lines")
+
+
+@query("rule_change_hotspot", "SELECT f.file, f.lines * c.n AS heat FROM file f JOIN (SELECT file, count(DISTINCT commit_id) AS n FROM change GROUP BY file) c ON c.file = f.file WHERE f.lines * c.n >= 60000")
+def rule_change_hotspot(t):
+    n = t.change.groupBy("file").agg(F.count_distinct("commit_id").alias("n"))
+    return t.file.join(n, "file").select("file", (F.col("lines") * F.col("n")).alias("heat")).where("heat >= 60000")
+
+
+@query("rule_dead_export", "SELECT file FROM file WHERE file NOT IN (SELECT file FROM change WHERE flag = 'A')")
+def rule_dead_export(t):
+    return Q.not_in(t.file.select("file"), t.change.where("flag = 'A'"), "file")
+
+
+@query("rule_debt_marker", "SELECT doc_id, len(regexp_extract_all(text, '[%$&*#]{3}')) AS markers FROM documents WHERE regexp_matches(text, '[%$&*#]{3}')")
+def rule_debt_marker(t):
+    mark = "[%$&*#]{3}"
+    return t.documents.where(F.col("text").rlike(mark)).select("doc_id", F.regexp_count("text", F.lit(mark)).cast("long").alias("markers"))
+
+
+@query("rule_development_value", "SELECT doc_id, regexp_extract(text, '(password|token)[=:] *([A-Za-z0-9]+)', 2) AS value FROM documents WHERE regexp_matches(text, '(password|token)[=:] *([A-Za-z0-9]+)')")
+def rule_development_value(t):
+    p = "(password|token)[=:] *([A-Za-z0-9]+)"
+    return t.documents.where(F.col("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 2).alias("value"))
+
+
+@query("rule_declared_unused", "SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R')")
+def rule_declared_unused(t):
+    used = t.lineitem.where("l_quantity >= 50 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("id"))
+    return Q.not_in(t.supplier.select(F.col("s_suppkey").alias("id")), used, "id")
+
+
+@query("rule_used_undeclared", "SELECT DISTINCT holder AS id FROM opinion WHERE state = 'open' AND holder NOT IN (SELECT c_custkey FROM customer)")
+def rule_used_undeclared(t):
+    return Q.not_in(t.opinion.where("state = 'open'").select(F.col("holder").alias("id")).distinct(), t.customer.select(F.col("c_custkey").alias("id")), "id")
+
+
+@query("rule_operation_without_route", "SELECT DISTINCT user_id, event_type FROM event WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM event WHERE event_type = 'signup' AND k > 70)")
+def rule_operation_without_route(t):
+    return Q.not_in(t.event.where("event_type = 'purchase'").select("user_id", "event_type").distinct(), t.event.where("event_type = 'signup' AND k > 70"), "user_id")
+
+
+@query("rule_route_without_operation", "SELECT DISTINCT user_id FROM event WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM event WHERE event_type = 'purchase' AND k < 10)")
+def rule_route_without_operation(t):
+    return Q.not_in(t.event.where("event_type = 'signup'").select("user_id").distinct(), t.event.where("event_type = 'purchase' AND k < 10"), "user_id")
+
+
+@query("rule_route_outside_group", "SELECT nkey FROM node WHERE kind = 'part' AND regexp_extract(label, '^([a-z]+)', 1) NOT IN ('red', 'blue') AND id IN (SELECT dst FROM edge WHERE rel = 'touched' AND weight >= 50)")
+def rule_route_outside_group(t):
+    heavy = t.edge.where("rel = 'touched' AND weight >= 50").select(F.col("dst").alias("id"))
+    return t.node.where((F.col("kind") == "part") & ~F.regexp_extract("label", "^([a-z]+)", 1).isin("red", "blue")).join(heavy, "id", "left_semi").select("nkey")
+
+
+@query("rule_taint_path", "SELECT DISTINCT a.src AS input, b.dst AS sink FROM edge a JOIN edge b ON b.src = a.dst WHERE a.rel = 'placed' AND b.rel = 'supplied_by' AND a.src % 5 = 0 AND b.dst % 10 = 3")
+def rule_taint_path(t):
+    a = t.edge.where("rel = 'placed' AND src % 5 = 0").select(F.col("src").alias("input"), F.col("dst").alias("mid"))
+    b = t.edge.where("rel = 'supplied_by' AND dst % 10 = 3").select(F.col("src").alias("mid"), F.col("dst").alias("sink"))
+    return a.join(b, "mid").select("input", "sink").distinct()
+
+
+FOUND = """f AS (SELECT DISTINCT * FROM (SELECT 'large-file' AS rule, CAST(file AS VARCHAR) AS target, '' AS detail FROM file WHERE lines >= 1800 UNION ALL SELECT 'dead-export', CAST(file AS VARCHAR), '' FROM file WHERE file NOT IN (SELECT file FROM change WHERE flag = 'A')
+    UNION ALL SELECT 'removed-line', CAST(file AS VARCHAR), flag FROM change WHERE removed >= 7) x WHERE (rule, target) NOT IN (SELECT 'large-file', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 0))"""
+
+
+def _found(t):
+    parts = [
+        Q.findings("large-file", t.file.where("lines >= 1800"), "file"), Q.findings("dead-export", Q.not_in(t.file, t.change.where("flag = 'A'"), "file"), "file"),
+        Q.findings("removed-line", t.change.where("removed >= 7"), "file", F.col("flag")),
+    ]
+    dismissed = t.part.where("p_partkey % 3 = 0").select(F.lit("large-file").alias("rule"), F.col("p_partkey").cast("string").alias("target"))
+    return Q.without_dismissed(reduce(lambda a, b: a.unionByName(b), parts), dismissed)
+
+
+@query("findings", f"WITH {FOUND} SELECT rule, target, detail FROM f")
+def findings(t):
+    return _found(t)
+
+
+@query("problem_categories", f"WITH {FOUND} SELECT rule, count(*) AS n, count(*) FILTER (WHERE CAST(target AS BIGINT) % 2 = 0) AS closed, count(*) FILTER (WHERE CAST(target AS BIGINT) % 2 <> 0) AS open FROM f GROUP BY rule")
+def problem_categories(t):
+    even = F.col("target").cast("long") % 2 == 0
+    return _found(t).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(even, 1)).alias("closed"), F.count(F.when(~even, 1)).alias("open"))
+
+
+@query("problem_order", f"WITH {FOUND} SELECT rule, target, detail FROM f ORDER BY CAST(target AS BIGINT) % 2, CASE rule WHEN 'dead-export' THEN 0 WHEN 'large-file' THEN 1 ELSE 2 END, target, detail LIMIT 100")
+def problem_order(t):
+    rank = F.when(F.col("rule") == "dead-export", 0).when(F.col("rule") == "large-file", 1).otherwise(2)
+    return _found(t).orderBy(F.col("target").cast("long") % 2, rank, "target", "detail").limit(100)
+
+
+@query("verdict_report", "SELECT role, kind, count(*) AS total, count(*) FILTER (WHERE k < 60) AS valid, count(*) FILTER (WHERE k >= 60 AND k < 80) AS invalid, count(*) FILTER (WHERE k >= 80) AS unreviewed FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'node' ELSE 'edge' END AS role, event_type AS kind, k FROM event) x GROUP BY GROUPING SETS ((role, kind), (role), ())")
+def verdict_report(t):
+    k = F.col("k")
+    rows = t.event.select(F.when(F.col("user_id") % 2 == 0, "node").otherwise("edge").alias("role"), F.col("event_type").alias("kind"), "k")
+    return rows.groupingSets([["role", "kind"], ["role"], []], "role", "kind").agg(
+        F.count(F.lit(1)).alias("total"), F.count(F.when(k < 60, 1)).alias("valid"), F.count(F.when((k >= 60) & (k < 80), 1)).alias("invalid"), F.count(F.when(k >= 80, 1)).alias("unreviewed")
+    )
+
+
+@query("verdict_reasons", "SELECT event_type AS reason, count(*) AS n FROM event WHERE k >= 60 GROUP BY 1 ORDER BY n DESC, reason LIMIT 10")
+def verdict_reasons(t):
+    return t.event.where("k >= 60").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(10)
+
+
+@query("unit_validation", "SELECT o_orderkey AS id, concat_ws(',', CASE WHEN c.c_custkey IS NULL THEN 'reference' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'kind' END) AS refused FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 11 <> 0 WHERE c.c_custkey IS NULL OR o_orderstatus NOT IN ('O', 'F')")
+def unit_validation(t):
+    known = t.customer.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known"))
+    rows = t.orders.join(known, "o_custkey", "left")
+    refused = F.concat_ws(",", F.when(F.col("known").isNull(), "reference"), F.when(~F.col("o_orderstatus").isin("O", "F"), "kind"))
+    return rows.select(F.col("o_orderkey").alias("id"), refused.alias("refused")).where("refused <> ''")

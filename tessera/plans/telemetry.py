@@ -1 +1,128 @@
-"""To come."""
+"""Trace, usage and log queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import telemetry as T
+from tessera.plans.registry import query
+
+ISLANDS = """m AS (SELECT trace, started, ended, CASE WHEN started > max(ended) OVER (PARTITION BY trace ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM span WHERE started < ended AND parent IS NOT NULL),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY trace ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m), u AS (SELECT trace, min(started) AS s, max(ended) AS e FROM i GROUP BY trace, island)"""
+
+
+@query("interval_union", f"WITH {ISLANDS} SELECT trace, s AS start, e AS \"end\" FROM u")
+def interval_union(t):
+    return T.islands(t.span.where("parent IS NOT NULL"), "trace", "started", "ended")
+
+
+@query("coverage", f"WITH {ISLANDS} SELECT trace, CAST(sum(e - s) AS BIGINT) AS covered FROM u GROUP BY trace")
+def coverage(t):
+    return T.covered(t.span.where("parent IS NOT NULL"), "trace", "started", "ended")
+
+
+@query("uncovered_gaps", f"WITH {ISLANDS}, g AS (SELECT trace, e AS gap_start, lead(s) OVER (PARTITION BY trace ORDER BY s) AS gap_end FROM u) SELECT * FROM g WHERE gap_end IS NOT NULL ORDER BY gap_end - gap_start DESC, trace, gap_start LIMIT 10")
+def uncovered_gaps(t):
+    rows = T.gaps(t.span.where("parent IS NOT NULL"), "trace", "started", "ended")
+    return rows.orderBy(F.desc(F.col("gap_end") - F.col("gap_start")), "trace", "gap_start").limit(10)
+
+
+SELF = """m AS (SELECT parent, started, ended, CASE WHEN started > max(ended) OVER (PARTITION BY parent ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM span WHERE started < ended AND parent IS NOT NULL),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY parent ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m),
+    c AS (SELECT parent, sum(e - s) AS covered FROM (SELECT parent, min(started) AS s, max(ended) AS e FROM i GROUP BY parent, island) x GROUP BY parent),
+    f AS (SELECT s.span, s.name, CAST(greatest(0, s.ended - s.started - coalesce(c.covered, 0)) AS BIGINT) AS self FROM span s LEFT JOIN c ON c.parent = s.span)"""
+
+
+@query("self_time", f"WITH {SELF} SELECT * FROM f")
+def self_time(t):
+    return T.self_times(t.span)
+
+
+@query("self_time_by_name", f"WITH {SELF} SELECT name, CAST(sum(self) AS BIGINT) AS self, count(*) AS spans, round(sum(self) * 100.0 / (SELECT max(ended) - min(started) FROM span), 4) AS share FROM f GROUP BY name ORDER BY self DESC, name LIMIT 20")
+def self_time_by_name(t):
+    wall = t.span.agg((F.max("ended") - F.min("started")).alias("wall"))  # one row
+    rows = T.self_times(t.span).groupBy("name").agg(F.sum("self").alias("self"), F.count(F.lit(1)).alias("spans")).crossJoin(wall)
+    return rows.select("name", "self", "spans", F.round(F.col("self") * 100.0 / F.col("wall"), 4).alias("share")).orderBy(F.desc("self"), "name").limit(20)
+
+
+@query("slowest_spans", "SELECT span, name, ended - started AS ms FROM span ORDER BY ms DESC, span LIMIT 10")
+def slowest_spans(t):
+    return t.span.select("span", "name", (F.col("ended") - F.col("started")).alias("ms")).orderBy(F.desc("ms"), "span").limit(10)
+
+
+@query("memory_growth", "SELECT span, memory - prev AS growth FROM (SELECT span, memory, lag(memory) OVER (PARTITION BY trace ORDER BY started, span) AS prev FROM span) x WHERE prev IS NOT NULL ORDER BY growth DESC, span LIMIT 10")
+def memory_growth(t):
+    from pyspark.sql import Window as W
+
+    rows = t.span.select("span", (F.col("memory") - F.lag("memory").over(W.partitionBy("trace").orderBy("started", "span"))).alias("growth"))
+    return rows.where("growth IS NOT NULL").orderBy(F.desc("growth"), "span").limit(10)
+
+
+@query("step_attribution", """WITH n AS (SELECT span, 'step ' || name AS step FROM span WHERE name IN ('signup', 'purchase')), p AS (SELECT s.span, s.parent AS p1, a.parent AS p2, b.parent AS p3 FROM span s LEFT JOIN span a ON a.span = s.parent LEFT JOIN span b ON b.span = a.parent)
+    SELECT p.span, coalesce(n0.step, n1.step, n2.step, n3.step) AS step FROM p LEFT JOIN n n0 ON n0.span = p.span LEFT JOIN n n1 ON n1.span = p.p1 LEFT JOIN n n2 ON n2.span = p.p2 LEFT JOIN n n3 ON n3.span = p.p3""")
+def step_attribution(t):
+    naming = t.span.where("name IN ('signup', 'purchase')").select("span", F.concat(F.lit("step "), "name").alias("step"))
+    return T.attribute(t.span, naming, 3)
+
+
+@query("slow_requests", "SELECT s.span, s.ended - s.started AS ms, count(c.span) AS stages, CAST(coalesce(sum(c.ended - c.started), 0) AS BIGINT) AS stage_ms FROM span s LEFT JOIN span c ON c.parent = s.span AND c.span <> s.span WHERE s.ended - s.started >= 110 GROUP BY 1, 2")
+def slow_requests(t):
+    slow = t.span.select("span", (F.col("ended") - F.col("started")).alias("ms")).where("ms >= 110")
+    kids = t.span.where("parent IS NOT NULL").groupBy(F.col("parent").alias("span")).agg(F.count(F.lit(1)).alias("stages"), F.sum(F.col("ended") - F.col("started")).alias("stage_ms"))
+    zero = F.lit(0).cast("long")
+    return slow.join(kids, "span", "left").select("span", "ms", F.coalesce("stages", zero).alias("stages"), F.coalesce("stage_ms", zero).alias("stage_ms"))
+
+
+METER = "i AS (SELECT *, CASE WHEN prev IS NULL OR reading < prev THEN reading ELSE reading - prev END AS increment FROM (SELECT *, lag(reading) OVER (PARTITION BY session ORDER BY seq) AS prev FROM usage) x)"
+
+
+@query("usage_meter", f"WITH {METER} SELECT seq, session, CAST(increment AS BIGINT) AS increment FROM i")
+def usage_meter(t):
+    return T.increments(t.usage, "session", "seq", "reading").select("seq", "session", "increment")
+
+
+@query("usage_bound_stop", f"WITH {METER}, r AS (SELECT session, seq, CAST(sum(increment) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM i) SELECT session, min(seq) AS seq, min(total) AS total FROM r WHERE total >= 500 GROUP BY session")
+def usage_bound_stop(t):
+    return T.first_crossing(T.increments(t.usage, "session", "seq", "reading"), "session", "seq", "increment", 500)
+
+
+@query("usage_by_kind", f"WITH {METER} SELECT kind, model, CAST(sum(increment) AS BIGINT) AS tokens, count(DISTINCT run) AS runs, CAST(coalesce(sum(cost) FILTER (WHERE currency = 'EUR'), 0) AS BIGINT) AS eur, CAST(coalesce(sum(cost) FILTER (WHERE currency = 'USD'), 0) AS BIGINT) AS usd FROM i GROUP BY kind, model")
+def usage_by_kind(t):
+    cost = lambda c: F.coalesce(F.sum(F.when(F.col("currency") == c, F.col("cost"))), F.lit(0).cast("long"))
+    return T.increments(t.usage, "session", "seq", "reading").groupBy("kind", "model").agg(F.sum("increment").alias("tokens"), F.count_distinct("run").alias("runs"), cost("EUR").alias("eur"), cost("USD").alias("usd"))
+
+
+@query("newest_runs", "WITH r AS (SELECT kind, run, max(seq) AS last FROM usage GROUP BY kind, run) SELECT kind, run, last, CAST(rn AS INTEGER) AS rn, total > 10 AS more FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY last DESC) AS rn, count(*) OVER (PARTITION BY kind) AS total FROM r) x WHERE rn <= 10")
+def newest_runs(t):
+    from tessera.operators.connections import grouped_top
+
+    r = t.usage.groupBy("kind", "run").agg(F.max("seq").alias("last"))
+    return grouped_top(r, ["kind"], [F.desc("last")], 10).select("kind", "run", "last", "rn", (F.col("total") > 10).alias("more"))
+
+
+@query("log_page", "SELECT id, tick, level, message FROM log WHERE level IN ('warn', 'error') AND source IN ('view', 'error', 'click') AND position('s' IN lower(message)) > 0 ORDER BY tick DESC NULLS LAST, id DESC LIMIT 201")
+def log_page(t):
+    return T.log_page(t.log, 200, "warn", ("view", "error", "click"), "S").select("id", "tick", "level", "message")
+
+
+@query("log_error_place", "SELECT id, regexp_extract(message, '^([^ :]+):([0-9]+):', 1) AS file, CAST(regexp_extract(message, '^([^ :]+):([0-9]+):', 2) AS BIGINT) AS line FROM log WHERE regexp_matches(message, '^([^ :]+):([0-9]+):')")
+def log_error_place(t):
+    place = r"^([^ :]+):([0-9]+):"
+    return t.log.where(F.col("message").rlike(place)).select("id", F.regexp_extract("message", place, 1).alias("file"), F.regexp_extract("message", place, 2).cast("long").alias("line"))
+
+
+@query("log_families", "SELECT CASE WHEN message = 'step done' THEN 'step.done' WHEN starts_with(message, 'unit ') THEN 'unit.started' ELSE 'other' END AS family, regexp_extract(message, '^unit ([0-9]+) started$', 1) AS argument, count(*) AS n FROM log GROUP BY 1, 2")
+def log_families(t):
+    family = F.when(F.col("message") == "step done", "step.done").when(F.startswith("message", F.lit("unit ")), "unit.started").otherwise("other")
+    return t.log.groupBy(family.alias("family"), F.regexp_extract("message", "^unit ([0-9]+) started$", 1).alias("argument")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("retention_sweep", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER w AS rn, sum(k + 1) OVER (PARTITION BY user_id ORDER BY tick DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM event WHERE tick >= 1704067200000 + 3 * 86400000 WINDOW w AS (PARTITION BY user_id ORDER BY tick DESC, event_id DESC)) x WHERE rn <= 20 AND used <= 600")
+def retention_sweep(t):
+    files = t.event.withColumn("size", F.col("k") + 1)
+    return T.retained(files, "user_id", "tick", "size", "event_id", 1_704_067_200_000 + 30 * 86_400_000, 27 * 86_400_000, 20, 600).select("event_id", "user_id")
+
+
+@query("usage_totals_grouping", "SELECT kind, model, count(*) AS n, CAST(sum(cost) AS BIGINT) AS cost FROM usage GROUP BY GROUPING SETS ((kind, model), (kind), ())")
+def usage_totals_grouping(t):
+    return t.usage.groupingSets([["kind", "model"], ["kind"], []], "kind", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
