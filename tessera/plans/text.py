@@ -1 +1,113 @@
-"""To come."""
+"""Search, mention, vector and scalar-function queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import identity as I
+from tessera.operators import search as S
+from tessera.plans.registry import query
+
+ENTRIES = "SELECT 'part' AS kind, p_partkey AS id, p_name AS label, p_name AS value, true AS is_title FROM part UNION ALL SELECT 'part', p_partkey, p_name, p_type || ' ' || p_brand, false FROM part UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), n_name, n_name, true FROM nation UNION ALL SELECT 'customer', c_custkey, c_name, c_name, true FROM customer UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment, false FROM customer"
+
+
+def _entries(t):
+    row = lambda df, kind, id_, label, value, title: df.select(F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("id"), F.col(label).alias("label"), value.alias("value"), F.lit(title).alias("is_title"))
+    parts = [
+        row(t.part, "part", "p_partkey", "p_name", F.col("p_name"), True), row(t.part, "part", "p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_brand"), False),
+        row(t.nation, "nation", "n_nationkey", "n_name", F.col("n_name"), True), row(t.customer, "customer", "c_custkey", "c_name", F.col("c_name"), True),
+        row(t.customer, "customer", "c_custkey", "c_name", F.col("c_mktsegment"), False),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+RANKED = f"""h AS (SELECT *, CASE WHEN is_title AND starts_with(lower(value), 'ma') THEN 0 WHEN is_title THEN 1 ELSE 3 END AS rank FROM ({ENTRIES}) e WHERE position('ma' IN lower(value)) > 0),
+    r AS (SELECT kind, id, label, rank, value FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY rank, length(value), value) AS n FROM h) x WHERE n = 1)"""
+
+
+@query("search_flat", f"WITH {RANKED} SELECT * FROM r ORDER BY rank, length(label), label, id LIMIT 50")
+def search_flat(t):
+    return S.flat(_entries(t), "ma", 50)
+
+
+@query("search_groups", f"WITH {RANKED} SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS total, min(rank) OVER (PARTITION BY kind) AS best, CAST(row_number() OVER (PARTITION BY kind ORDER BY rank, length(label), label, id) AS INTEGER) AS rn FROM r) x WHERE rn <= 5")
+def search_groups(t):
+    return S.grouped(_entries(t), "ma", 5)
+
+
+@query("term_mentions", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), m AS (SELECT doc_id, line, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: w IN ('the', 'that', 'des', 'und'))) AS term FROM l)
+    SELECT doc_id, CAST(line AS INTEGER) AS line, term, count(*) AS n FROM m GROUP BY 1, 2, 3""")
+def term_mentions(t):
+    return S.mentions(t.documents, ["the", "that", "des", "und"])
+
+
+@query("line_range", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, CAST(line AS BIGINT) AS line, text FROM l WHERE line BETWEEN 2 AND 3")
+def line_range(t):
+    return S.line_range(t.documents, 2, 3)
+
+
+@query("glossary_definitions", "SELECT page_id, unnest(regexp_extract_all(html, '<title>([^<]+)</title>', 1)) AS term FROM pages")
+def glossary_definitions(t):
+    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<title>([^<]+)</title>"), F.lit(1))).alias("term"))
+
+
+def _vector(metric, expr):
+    sql = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id, round({expr}, 6) AS distance FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+      SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) x WHERE rank <= 10"""
+
+    @query(f"vector_{metric}", sql)
+    def run(t):
+        return S.exact_neighbours(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), metric, 10)
+
+    return run
+
+
+_vector("l2", "list_distance(q.v, e.v)")
+_vector("cosine", "1 - list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v)))")
+_vector("inner_product", "-list_inner_product(q.v, e.v)")
+
+
+@query("canonical_key", "SELECT id, '{\"kind\":\"' || kind || '\",\"key\":' || CASE WHEN removed THEN 'null' ELSE '\"' || nkey || '\"' END || '}' AS key, sha256('{\"kind\":\"' || kind || '\",\"key\":' || CASE WHEN removed THEN 'null' ELSE '\"' || nkey || '\"' END || '}') AS digest FROM node")
+def canonical_key(t):
+    key = I.canonical_key([("kind", F.col("kind")), ("key", F.when(~F.col("removed"), F.col("nkey")))])
+    return t.node.select("id", key.alias("key")).withColumn("digest", F.sha2("key", 256))
+
+
+@query("node_uid", "WITH h AS (SELECT id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(kind) || unhex('00') || encode('[\"' || nkey || '\"]')) AS h FROM node) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uid FROM node JOIN h USING (id)")
+def node_uid(t):
+    return t.node.select("id", I.name_uid(F.col("kind"), F.concat(F.lit('["'), "nkey", F.lit('"]'))).alias("uid"))
+
+
+@query("search_line", "SELECT doc_id, CASE WHEN length(text) > 90 THEN regexp_replace(substr(text, 1, 90), '\\s+\\S*$', '') || '…' ELSE text END AS line FROM documents")
+def search_line(t):
+    return t.documents.select("doc_id", I.shortened(F.col("text")).alias("line"))
+
+
+@query("redaction", "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 3 END AS INTEGER) AS kept, CASE WHEN event_id % 3 <> 0 THEN event_type END AS value FROM event")
+def redaction(t):
+    name = F.when(F.col("event_id") % 3 == 0, "API-Key").otherwise("colour")
+    context = F.create_map(F.lit("unit"), F.col("event_type"), F.lit("auth_Token"), F.col("event_type"), name, F.col("event_type"), F.lit("run"), F.col("event_type"))
+    safe = I.redacted(context, ["token", "secret", "password", "apikey"])
+    return t.event.select("event_id", F.size(safe).alias("kept"), F.try_element_at(safe, F.lit("colour")).alias("value"))
+
+
+@query("clock_parts", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M') AS local, CAST(floor((1735689600000 - epoch_us(ts) // 1000) / 86400000.0) AS BIGINT) AS age_days FROM events")
+def clock_parts(t):
+    ts = F.col("ts")
+    return t.events.select(
+        "event_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format(ts + F.expr("INTERVAL 90 MINUTE"), "yyyy-MM-dd HH:mm").alias("local"),
+        F.floor((F.lit(1_735_689_600_000) - F.unix_millis(ts.cast("timestamp"))) / F.lit(86_400_000.0)).alias("age_days"),
+    )
+
+
+@query("json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def json_fields(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
+
+
+@query("type_names", "SELECT DISTINCT o_orderpriority AS name, array_to_string(list_transform(list_filter(regexp_split_to_array(o_orderpriority, '[^A-Za-z0-9]+'), lambda p: p <> ''), lambda p: upper(substr(p, 1, 1)) || lower(substr(p, 2))), '') AS pascal FROM orders")
+def type_names(t):
+    return t.orders.select(F.col("o_orderpriority").alias("name")).distinct().withColumn("pascal", I.pascal(F.col("name")))
