@@ -463,7 +463,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, texts: bool =
     """
     if not 1 <= k <= length or length - k + 1 > 64:
         raise ValueError("1 <= k <= length, and length - k < 64")
-    parts = 2 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     grouped = slim.withColumn("part", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(parts)).cast("int"))
 
