@@ -8,8 +8,8 @@ suffix of a corpus would shuffle a multiple of it, so suffixes meet in two round
    hash, packed; the answer names the repeated ones.
 2. Around repeated anchors, the bytes of the windows they stand for (a context of at most 2 * length - k bytes) are dealt
    by anchor. Equal contexts are merged after comparing their bytes. Where an anchor has several different contexts, their
-   suffixes are merge-sorted; two suffixes are compared by binary search for their common extension over prefix
-   polynomial hashes, and neighbours that agree in ``length`` bytes by hash are verified byte by byte.
+   suffixes from the anchor on, and backwards from it, are merge-sorted; two suffixes are compared by binary search for
+   their common extension over prefix polynomial hashes, and neighbours' extensions are verified byte by byte.
 
 What a batch holds more than once is resolved within the batch and sent once, so a string in a third of all documents
 reaches a task once per batch.
@@ -73,10 +73,11 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return out
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blockwise: anchor positions, key hashes, the first window that each stands for, and how many.
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, k: int, wanted=None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blockwise: anchor positions and key hashes; with ``wanted`` (positions -> booleans), of the wanted ones only, with
+    the first window that each stands for and how many.
 
-    The smallest k-mers of each window of ``length`` bytes within a document; ties are anchors too.
+    Anchors are the smallest k-mers of each window of ``length`` bytes within a document; ties are anchors too.
     """
     n, w = len(buf), length - k + 1
     for s in range(0, n, BLOCK):
@@ -97,6 +98,12 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterat
         back[: len(least)] = least
         top = _slide(back[::-1], w, np.maximum)[::-1]
         at = np.flatnonzero(top[s - lo: e - lo] == h[s - lo: e - lo]) + (s - lo)
+        if not len(at):
+            continue
+        if wanted is None:
+            yield at + lo, h[at]
+            continue
+        at = at[wanted(at + lo)]
         if not len(at):
             continue
         padded = np.r_[np.zeros(w - 1, U), back]
@@ -165,7 +172,7 @@ def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _send_anchors(ids: np.ndarray, column: pa.Array, length: int, k: int, parts: int) -> list[tuple[int, int, bytes]]:
     buf, offsets = utf8(column)
-    found = [(p, h) for p, h, _, _ in anchors(buf, offsets, length, k)]
+    found = list(anchors(buf, offsets, length, k))
     if not found:
         return []
     pos, key = (np.concatenate(x) for x in zip(*found))
@@ -244,26 +251,28 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts
     doc, at = _gather(answers["blob"].to_pylist(), ("i8", "u4"))
     if not len(doc) or not docs.num_rows:
         return []
-    wanted = np.unique(np.rec.fromarrays([doc, at], names="doc,at"))
-    some = np.isin(docs["doc_id"].to_numpy(), wanted["doc"])
+    many, n = np.unique(doc, return_inverse=True)
+    asked = np.unique(n.astype(np.int64) << 32 | at)
+    some = np.isin(docs["doc_id"].to_numpy(), many)
     docs = docs.filter(pa.array(some))
     ids = docs["doc_id"].to_numpy()
     buf, offsets = utf8(docs["text"])
     tags = _tags(buf, offsets)
     width = 2 * length - k
     width += -width % 8
-    many = np.unique(wanted["doc"])
-    asked = np.searchsorted(many, wanted["doc"]).astype(np.int64) << 32 | wanted["at"]  # sorted, as wanted is
-    got = []
-    for pos, key, first, count in anchors(buf, offsets, length, k):
+    rank = np.searchsorted(many, ids).astype(np.int64) << 32
+
+    def hit(pos: np.ndarray) -> np.ndarray:
         row = np.searchsorted(offsets, pos, side="right") - 1
-        code = np.searchsorted(many, ids[row]).astype(np.int64) << 32 | (pos - offsets[row])
-        i = np.minimum(np.searchsorted(asked, code), len(asked) - 1)
-        hit = asked[i] == code
-        got.append((row[hit], key[hit] >> U(16), pos[hit], first[hit], count[hit]))
+        code = rank[row] | (pos - offsets[row])
+        return asked[np.minimum(np.searchsorted(asked, code), len(asked) - 1)] == code
+
+    got = list(anchors(buf, offsets, length, k, hit))
     if not got:
         return []
-    row, key, pos, first, count = (np.concatenate(x) for x in zip(*got))
+    pos, key, first, count = (np.concatenate(x) for x in zip(*got))
+    row = np.searchsorted(offsets, pos, side="right") - 1
+    key >>= U(16)
     size, off = (count + length - 1).astype(np.uint8), (pos - first).astype(np.uint8)
     x = _padded(buf, first, size, width)
     doc, tag, begin = ids[row], tags[row], (first - offsets[row]).astype(np.uint32)
@@ -292,91 +301,116 @@ def _masks(doc, tag, begin, mask) -> bytes:
     return _pack(doc=doc, tag=tag.astype(np.uint16), begin=begin.astype(np.uint32), mask=mask.astype(np.uint64))
 
 
-class Suffixes:
-    """Suffixes (row, place) of byte rows, compared through prefix polynomial hashes up to ``length`` bytes."""
-
-    def __init__(self, x: np.ndarray, length: int):
-        self.x, self.length = x, length
-        n, w = x.shape
-        self.q = np.zeros((n, w + 1), U)
-        np.cumsum((x.astype(U) + U(1)) * _UP[:w], axis=1, out=self.q[:, 1:])
-
-    def _hash(self, row, at, size):
-        return (self.q[row, at + size] - self.q[row, at]) * _DOWN[at]
+def merge_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts byte strings (rows of ``x``, ``size`` bytes each) within sorted groups: the order, and each one's common
+    extension with the one before it (0 at a group's start).
 
-    def common(self, r1, a1, r2, a2) -> np.ndarray:
-        """Length of the common extension, at most ``length``: binary search, a logarithmic number of comparisons."""
-        low, high = np.zeros(len(r1), np.int64), np.full(len(r1), self.length)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = self._hash(r1, a1, mid) == self._hash(r2, a2, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    Strings are compared by binary search for their common extension over prefix polynomial hashes, a logarithmic number
+    of comparisons; all groups' runs are merged bottom-up at once. The extensions are then verified byte by byte; should a
+    hash have collided, the strings are sorted by their bytes instead.
+    """
+    n, width = x.shape
+    q = np.zeros((n, width + 1), U)
+    np.cumsum((x.astype(U) + U(1)) * _UP[:width], axis=1, out=q[:, 1:])
+    q = q.ravel()
+    size = size.astype(np.int64)
+
+    def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        top = np.minimum(size[i], size[j])
+        a, b = i * (width + 1), j * (width + 1)
+        low, high = np.zeros(len(i), np.int64), top.copy()
+        for _ in range(int(width).bit_length()):
+            mid = (low + high + 1) >> 1
+            same = q[a + mid] == q[b + mid]
+            low = np.where(same, mid, low)
+            high = np.where(same, high, mid - 1)
         return low
 
-    def less(self, r1, a1, r2, a2, or_equal) -> np.ndarray:
-        c = self.common(r1, a1, r2, a2)
-        end = c == self.length
-        d = np.minimum(c, self.length - 1)
-        return np.where(end, or_equal, self.x[r1, a1 + d] < self.x[r2, a2 + d])
-
-    def sort(self, group: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Order by (group, suffix); ``group`` must be sorted. Bottom-up merges of all groups' runs at once."""
-        n = len(group)
-        order = np.arange(n)
-        start = np.flatnonzero(np.r_[True, np.diff(group) != 0])
-        size = np.diff(np.r_[start, n])
-        base, many = np.repeat(start, size), np.repeat(size, size)
-        place = np.arange(n) - base
-        width = 1
-        while width < (size.max() if n else 0):
-            todo = np.flatnonzero(many > width)  # places of the current order
-            p, b, s = place[todo], base[todo], many[todo]
-            run = p // width
-            left = run % 2 == 0
-            other = np.where(left, (run + 1) * width, (run - 1) * width)
-            low, high = np.zeros(len(todo), np.int64), np.clip(s - other, 0, width)
-            mine = order[todo]
-            while (low < high).any():
-                mid = (low + high) // 2
-                open_ = low < high
-                theirs = order[np.minimum(b + other + mid, n - 1)]
-                # a left element comes before its equals of the right run
-                before = self.less(row[theirs], at[theirs], row[mine], at[mine], ~left)
-                low, high = np.where(open_ & before, mid + 1, low), np.where(open_ & ~before, mid, high)
-            moved = b + np.where(left, p, p - width) + low
-            order[moved] = mine
-            width *= 2
-        return order
+    flat = x.ravel()
+
+    def less(i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        c = common(i, j)
+        done_i, done_j = c == size[i], c == size[j]
+        d = np.minimum(c, width - 1)
+        by_byte = flat[i * width + d] < flat[j * width + d]
+        return np.where(done_i & done_j, or_equal, np.where(done_i, True, np.where(done_j, False, by_byte)))
+
+    order = np.arange(n)
+    start = np.flatnonzero(np.r_[True, np.diff(group) != 0]) if n else order
+    many_ = np.diff(np.r_[start, n])
+    base, many = np.repeat(start, many_), np.repeat(many_, many_)
+    place = np.arange(n) - base
+    run = 1
+    while n and run < many_.max():
+        todo = np.flatnonzero(many > run)
+        p, b, s = place[todo], base[todo], many[todo]
+        left = p // run % 2 == 0
+        other = np.where(left, (p // run + 1) * run, (p // run - 1) * run)
+        low, high = np.zeros(len(todo), np.int64), np.clip(s - other, 0, run)
+        mine = order[todo]
+        for _ in range(run.bit_length()):
+            open_ = low < high
+            mid = (low + high) >> 1
+            theirs = order[np.minimum(b + other + mid, n - 1)]
+            # a left element comes before its equals of the right run
+            before = less(theirs, mine, ~left) & open_
+            low = np.where(before, mid + 1, low)
+            high = np.where(open_ & ~before, mid, high)
+        order[b + np.where(left, p, p - run) + low] = mine
+        run *= 2
+    hashed = np.zeros(n, np.int64)
+    hashed[1:] = np.where(group[1:] == group[:-1], common(order[:-1], order[1:]), 0)
+    exact = _extension(x, size, group, order)
+    if (hashed != exact).any():
+        order = np.lexsort((size, *x.T[::-1], group))
+        exact = _extension(x, size, group, order)
+    return order, exact
+
+
+def _extension(x: np.ndarray, size: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        i, j = order[:-1], order[1:]
+        top = np.minimum(size[i], size[j])
+        differ = (x[i] != x[j]) | (np.arange(x.shape[1]) >= top[:, None])
+        found = np.where(differ.any(1), differ.argmax(1), x.shape[1])
+        out[1:] = np.where(group[i] == group[j], found, 0)
+    return out
 
 
 def repeated_windows(x: np.ndarray, off: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
     """Bit masks of the rows' windows (bit t: the window at place t) that also occur in a row of a smaller ``doc``.
 
-    Rows are distinct contexts. Windows can be equal only if key and place relative to the anchor are.
+    Rows are distinct contexts, in the order of their keys. A window is its bytes from the anchor on and those before it.
+    Both parts are suffix-sorted, the latter backwards; at each distance of the anchor from a window's start, windows are
+    equal if no common extension between them falls short on either side.
     """
-    row = np.repeat(np.arange(len(x)), count)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    rel = at - off[row].astype(np.int64)
-    kid = np.unique(key, return_inverse=True)[1]
-    group = kid[row] * 1024 + (rel + 512)
-    o = np.argsort(group, kind="stable")
-    row, at, group = row[o], at[o], group[o]
-    s = Suffixes(x, length)
-    o = s.sort(group, row, at)
-    row, at = row[o], at[o]
-    same = np.zeros(len(row), bool)
-    if len(row) > 1:
-        same[1:] = (group[1:] == group[:-1]) & (s.common(row[:-1], at[:-1], row[1:], at[1:]) == length)
-        hit = np.flatnonzero(same)
-        # collision check: the bytes themselves
-        span = np.arange(length)
-        equal = (x[row[hit - 1][:, None], at[hit - 1][:, None] + span] == x[row[hit][:, None], at[hit][:, None] + span]).all(1)
-        same[hit[~equal]] = False
-    cls = np.cumsum(~same) - 1
-    least = _least(doc[row], cls)
-    gone = doc[row] > least[cls]
-    mask = np.zeros(len(x), np.uint64)
-    np.bitwise_or.at(mask, row[gone], U(1) << at[gone].astype(U))
+    n = len(x)
+    off, size = off.astype(np.int64), (count + length - 1).astype(np.int64)
+    kid = np.r_[0, np.cumsum(key[1:] != key[:-1])]
+    width = int((size - off).max())
+    span = np.arange(width)
+    right = np.where(span < (size - off)[:, None], x[np.arange(n)[:, None], np.minimum(off[:, None] + span, x.shape[1] - 1)], 0).astype(np.uint8)
+    deep = max(int(off.max()), 1)
+    span = np.arange(deep)
+    left = np.where(span < off[:, None], x[np.arange(n)[:, None], np.maximum(off[:, None] - 1 - span, 0)], 0).astype(np.uint8)
+    ro, rx = merge_sort(right, size - off, kid)
+    lo, lx = merge_sort(left, off, kid)
+    rnew, lnew = (np.r_[True, kid[o][1:] != kid[o][:-1]] for o in (ro, lo))
+    mask = np.zeros(n, np.uint64)
+    rid, lid = np.empty(n, np.int64), np.empty(n, np.int64)
+    for rel in range(int(off.max()) + 1):
+        has = np.flatnonzero((off >= rel) & (off - rel < count))
+        if not len(has):
+            continue
+        rid[ro] = np.cumsum(rnew | (rx < length - rel))
+        lid[lo] = np.cumsum(lnew | (lx < rel))
+        both = rid[has] * (n + 1) + lid[has]
+        o = np.argsort(both, kind="stable")
+        cls = np.cumsum(np.r_[True, np.diff(both[o]) != 0]) - 1
+        d = doc[has[o]]
+        gone = has[o[d > _least(d, cls)[cls]]]
+        mask[gone] |= U(1) << (off[gone] - rel).astype(U)
     return mask
 
 
