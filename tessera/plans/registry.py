@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import connections, graph, opinions, quality, telemetry, temporal, text, writer  # noqa: F401
+    from tessera.plans import connections, graph, opinions, quality, streams, telemetry, temporal, text, writer  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
