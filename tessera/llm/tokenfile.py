@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -122,6 +123,9 @@ class Shard:
 
 # -- encoding with the tokenizers library
 
+#: Latin letters, then perhaps sentence marks: one word, or two. (The dotted capital I isn't one letter in lower case.)
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?]*)").fullmatch
+
 
 class Encoder:
     """The library's encoding, piece by piece: white space ends every token of this vocabulary, so the pieces between
@@ -137,6 +141,9 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.keep, self.young, self.old = keep, {}, {}
+        # every word's last token, and no other, bears the word end's mark
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _learn(self, texts: list[list[bytes]]) -> None:
         missing = list(set().union(*texts) - self.young.keys())
@@ -150,7 +157,28 @@ class Encoder:
                 new.append(p)
             else:
                 self.young[p] = ids
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+        plain, words, alone = [], [], []
+        for p in new:
+            m = PLAIN(t := p.decode())
+            if m:
+                plain.append((p, t))
+                words.append(2 if m[1] else 1)
+            else:
+                alone.append((p, t))
+        step, w = 512, self.width
+        groups = [plain[i: i + step] for i in range(0, len(plain), step)]
+        together = self.tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in groups], add_special_tokens=False)
+        for k, (g, e) in enumerate(zip(groups, together)):
+            ids = np.array(e.ids, self.kind)
+            last = np.flatnonzero(self.ends[ids])
+            count = np.cumsum(words[k * step: k * step + len(g)])
+            if len(last) != count[-1]:
+                alone += g
+                continue
+            raw, stop = ids.tobytes(), ((last[count - 1] + 1) * w).tolist()
+            for (p, _), i, j in zip(g, [0, *stop], stop):
+                self.young[p] = raw[i:j]
+        for (p, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)):
             self.young[p] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes], step: int = 4 << 20) -> Iterator[bytes]:
