@@ -123,15 +123,16 @@ class Shard:
 
 # -- encoding with the tokenizers library
 
-#: Latin letters, then perhaps sentence marks: one word, or two. (The dotted capital I isn't one letter in lower case.)
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?]*)").fullmatch
+#: Latin letters, then perhaps a run of marks: one word, or two. (The dotted capital I isn't one letter in lower case.)
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([-.,;:!?$%&*#@+=/()]{0,4})").fullmatch
 
 
 class Encoder:
     """The library's encoding, piece by piece: white space ends every token of this vocabulary, so the pieces between
-    ASCII white space are encoded once each and remembered (a bounded number of them)."""
+    ASCII white space are encoded once each and remembered (a bounded number of them). Letters and the marks after them
+    are words of their own and letter case doesn't count, so the library sees each word only once."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -140,46 +141,63 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.keep, self.young, self.old = keep, {}, {}
+        self.keep, self.young, self.old, self.marks = keep, {}, {}, {"": b""}
         # every word's last token, and no other, bears the word end's mark
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], step: int = 512) -> list[bytes]:
+        """The ids of single words: many are encoded as one text, whose tokens the word ends part again."""
+        out, w = [], self.width
+        groups = [words[i: i + step] for i in range(0, len(words), step)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(g):
+                out += self._alone(g)
+                continue
+            raw, stop = ids.tobytes(), ((last + 1) * w).tolist()
+            out += [raw[i:j] for i, j in zip([0, *stop], stop)]
+        return out
+
     def _learn(self, texts: list[list[bytes]]) -> None:
-        missing = list(set().union(*texts) - self.young.keys())
+        missing = set().union(*texts) - self.young.keys()
         if len(self.young) + len(missing) > self.keep:
             self.old, self.young = self.young, {}
-            missing = list(set().union(*texts))
-        new = []
+            missing = set().union(*texts)
+        if len(self.marks) > 20_000:
+            self.marks = {"": b""}
+        young, old = self.young, self.old
+        parted, alone, words, marks = [], [], {}, set()
         for p in missing:
-            ids = self.old.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                self.young[p] = ids
-        plain, words, alone = [], [], []
-        for p in new:
+            ids = old.get(p)
+            if ids is not None:
+                young[p] = ids
+                continue
             m = PLAIN(t := p.decode())
-            if m:
-                plain.append((p, t))
-                words.append(2 if m[1] else 1)
-            else:
+            if not m:
                 alone.append((p, t))
-        step, w = 512, self.width
-        groups = [plain[i: i + step] for i in range(0, len(plain), step)]
-        together = self.tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in groups], add_special_tokens=False)
-        for k, (g, e) in enumerate(zip(groups, together)):
-            ids = np.array(e.ids, self.kind)
-            last = np.flatnonzero(self.ends[ids])
-            count = np.cumsum(words[k * step: k * step + len(g)])
-            if len(last) != count[-1]:
-                alone += g
                 continue
-            raw, stop = ids.tobytes(), ((last[count - 1] + 1) * w).tolist()
-            for (p, _), i, j in zip(g, [0, *stop], stop):
-                self.young[p] = raw[i:j]
-        for (p, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False)):
-            self.young[p] = np.array(e.ids, self.kind).tobytes()
+            word, mark = m.groups()
+            key = word.lower().encode()
+            if key not in young:
+                ids = old.get(key)
+                if ids is None:
+                    words[key] = word
+                else:
+                    young[key] = ids
+            if mark not in self.marks:
+                marks.add(mark)
+            parted.append((p, key, mark))
+        young.update(zip(words, self._words(list(words.values()))))
+        self.marks.update(zip(marks, self._alone(list(marks))))
+        known = self.marks
+        for p, key, mark in parted:
+            young[p] = young[key] + known[mark]
+        young.update(zip((p for p, _ in alone), self._alone([t for _, t in alone])))
 
     def encode(self, texts: list[bytes], step: int = 4 << 20) -> Iterator[bytes]:
         i = 0
