@@ -28,12 +28,10 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 # -- fingerprints
 
 
-def shingle_hashes(text: bytes, k: int, distinct: bool = False) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
     """XXH64 of the k-word shingles of a text, in chunks; a text of fewer words is one shingle, an empty one none."""
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white spaces
     h = xxhash.xxh64_intdigest
-    if distinct and k == 1:
-        words = sorted(set(words))
     if 0 < len(words) < k:
         words, k = [b" ".join(words)], 1
     for i in range(0, len(words) - k + 1, CHUNK):
@@ -61,21 +59,65 @@ def majority(chunks: Iterator[np.ndarray], words: int = 1) -> np.ndarray:
     return np.packbits(total * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+class Minima:
+    """Smallest values of ``BANDS * ROWS`` and ``FINER * FINER_ROWS`` mixes of a text's shingle hashes, as keys.
+
+    Two texts share a mix's minimum with the probability of their shingle sets' similarity.
+    """
+
+    BANDS, ROWS, FINER, FINER_ROWS = 8, 3, 8, 2
+
+    def __init__(self, seed: int = 7):
+        many = self.BANDS * self.ROWS + self.FINER * self.FINER_ROWS
+        self.odd = np.random.default_rng(seed).integers(0, 2**63, (many, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.least = np.full(many, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def watch(self, chunks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        self.least[:] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        for h in chunks:
+            x = h ^ (h >> np.uint64(32))
+            for i in range(0, len(x), 4096):
+                y = x[i: i + 4096] * self.odd
+                np.minimum(self.least, (y ^ (y >> np.uint64(29))).min(axis=1), out=self.least)
+            yield h
+
+    def keys(self) -> np.ndarray:
+        cut = self.BANDS * self.ROWS
+        out = []
+        for part, rows in ((self.least[:cut], self.ROWS), (self.least[cut:], self.FINER_ROWS)):
+            part, key = part.reshape(-1, rows), np.arange(1, len(part) // rows + 1, dtype=np.uint64)
+            for j in range(rows):
+                key = (key ^ part[:, j]) * _ODD[j]
+                key ^= key >> np.uint64(32)
+            out.append(key)
+        return np.concatenate(out)
+
+
 def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, keys: bool = False) -> DataFrame:
-    """id, f0.. (longs) and, with ``keys``, g: a 64-bit fingerprint of the set of distinct words. Map-only."""
-    names = [f"f{i}" for i in range(words)] + (["g"] if keys else [])
+    """id, f0.. (longs) and, with ``keys``, arrays ``band`` and ``finer`` of keys that similar texts share. Map-only."""
+    names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, bands = Minima(), Minima.BANDS
         for b in batches:
-            rows = []
+            prints, minima = [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
-                f = majority(shingle_hashes(text or b"", k), words)
-                rows.append(np.append(f, majority(shingle_hashes(text or b"", 1, distinct=True))) if keys else f)
-            x = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(names)))], ["id", *names])
+                hashes = shingle_hashes(text or b"", k)
+                prints.append(majority(least.watch(hashes) if keys else hashes, words))
+                if keys:
+                    minima.append(least.keys())
+            x = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
+            cols = [pa.array(np.ascontiguousarray(x[:, i])) for i in range(words)]
+            if keys:
+                y = np.array(minima, np.uint64).reshape(-1, bands + Minima.FINER).view(np.int64)
+                for part in (y[:, :bands], y[:, bands:]):
+                    at = pa.array(np.arange(len(y) + 1, dtype=np.int32) * part.shape[1])
+                    cols.append(pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(part).ravel())))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *names, *(["band", "finer"] if keys else [])])
 
     slim = docs.select(F.col("doc_id").alias("id"), "text")
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    more = ", band array<long>, finer array<long>" if keys else ""
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + more)
 
 
 # -- comparison
@@ -227,40 +269,30 @@ def _masked(column: str, masks: list[int], seed: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(seed), F.lit(t), F.col(column).bitwiseAND(F.lit(signed(m)).cast("long"))) for t, m in enumerate(masks)])
 
 
-def _keyed(prints: DataFrame, column: str, first: list[int], second: dict[int, list[int]], hot: int) -> DataFrame:
-    """Rows (key, id, f..), one per mask. Keys of more than ``hot`` rows are refined by each of their second masks."""
-    cols = [c for c in prints.columns if c != column or c.startswith("f")]
-    rows = prints.select(*cols, *([] if column in cols else [column]), F.posexplode(_masked(column, first, 1)).alias("t", "key"))
+def _keyed(prints: DataFrame, words: int, keys: Column, finer: Column, hot: int) -> DataFrame:
+    """Rows (key, id, f..), one for each of ``keys``. A key of more than ``hot`` rows is replaced by the ``finer`` ones,
+    which may depend on the key and its number ``t``."""
+    cols = ["id", *(f"f{i}" for i in range(words))]
+    rows = prints.select("*", F.posexplode(keys).alias("t", "key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
-    fine = F.element_at(F.create_map(*[y for t, masks in second.items() for y in (F.lit(t), _masked(column, masks, 2 + t))]), F.col("t"))
-    refined = rows.join(large, "key", "left_semi").select(*cols, F.explode(fine).alias("key"))
+    refined = rows.join(large, "key", "left_semi").select(*cols, F.explode(finer).alias("key"))
     return rows.join(large, "key", "left_anti").select(*cols, "key").unionByName(refined.select(*cols, "key"))
 
 
-def block_masks() -> tuple[list[int], dict[int, list[int]]]:
+def block_keys(column: str) -> tuple[Column, Column]:
     """Exact keys for up to two differing bits.
 
     Of four 16-bit blocks at least two agree: six keys of 32 bits. A key with very many fingerprints is refined: of
     the other 32 bits' four 8-bit blocks again at least two agree, and a refined key, of 48 bits, holds at most 2^16.
     """
-    first, second = [], {}
+    first, second = [], []
     for t, pair in enumerate(combinations(range(4), 2)):
         mask = sum(0xFFFF << 16 * i for i in pair)
         first.append(mask)
         rest = [8 * i for i in range(8) if i // 2 not in pair]
-        second[t] = [mask | sum(0xFF << s for s in two) for two in combinations(rest, 2)]
-    return first, second
-
-
-def sampled_masks(tables: int, bits: int, more: int, seed: int = 7) -> tuple[list[int], dict[int, list[int]]]:
-    """Keys of ``bits`` random bit positions, for radii beyond what blocks can cover; refined by ``more`` bits."""
-    rng = np.random.default_rng(seed)
-    first, second = [], {}
-    for t in range(tables):
-        chosen = rng.permutation(64)
-        first.append(sum(1 << int(i) for i in chosen[:bits]))
-        second[t] = [first[t] | sum(1 << int(i) for i in rng.permutation(chosen[bits:])[:more]) for _ in range(8)]
-    return first, second
+        finer = [mask | sum(0xFF << s for s in two) for two in combinations(rest, 2)]
+        second += [F.lit(t), _masked(column, finer, 2 + t)]
+    return _masked(column, first, 1), F.element_at(F.create_map(*second), F.col("t"))
 
 
 def simhash_classes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
@@ -271,30 +303,30 @@ def simhash_classes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     but names none (its class is null if it holds only null ids). Repeated ids keep one row each.
     """
     rows = materialize(fingerprints(docs))
-    found = rows.groupBy("f0").agg(F.min("id").alias("id"))
-    found = materialize(found.withColumn("g", F.col("f0")))
-    edges = _links(_keyed(found.where("id is not null"), "g", *block_masks(), hot), 1, 2)
+    found = materialize(rows.groupBy("f0").agg(F.min("id").alias("id")))
+    edges = _links(_keyed(found.where("id is not null"), 1, *block_keys("f0"), hot), 1, 2)
     classes = components(edges)
     named = found.join(classes, F.col("id") == F.col("node"), "left").select("f0", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(named, "f0")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 48, tables: int = 24, bits: int = 24, hot: int = 20_000) -> DataFrame:
-    """(doc_id, component_id) of the documents that have near copies of about 0.8 shingle similarity or more.
+def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 48, hot: int = 20_000) -> DataFrame:
+    """(doc_id, component_id) of all documents; near copies of about 0.8 shingle similarity or more share a component.
 
     Documents are compared by 256-bit fingerprints of their k-word shingles: a similarity of 0.8 means 39 differing bits
-    on average (deviation 6), unrelated texts 128 (deviation 8). Candidates share ``bits`` sampled bits of a second
-    fingerprint, of the set of words, in which near copies differ in few bits; with 24 tables a pair that differs in 4
-    bits is missed once in 190, one in 6 bits once in 11. Equal fingerprints are compared once.
+    on average (deviation 6), unrelated texts 128 (deviation 8). Sampled bits would be poor candidate keys at this radius
+    (24 tables of 24 bits missed a fifth of the pairs of similarity 0.8 to 0.85), so candidates share one of eight keys of
+    three shingle minima: a pair of similarity 0.8 is missed once in 300, one of 0.9 once in 30,000. A key of more than
+    ``hot`` different fingerprints is refined by eight keys of two more minima. Equal fingerprints are compared once.
     """
     rows = materialize(fingerprints(docs, k, 4, keys=True).where("id is not null"))
     whole = ["f0", "f1", "f2", "f3"]
-    found = materialize(rows.groupBy(*whole).agg(F.min("id").alias("id"), F.min("g").alias("g")))
-    edges = _links(_keyed(found, "g", *sampled_masks(tables, bits, 16), hot), 4, radius)
+    found = materialize(rows.groupBy(*whole).agg(F.min(F.struct("id", "band", "finer")).alias("m")).select(*whole, "m.*"))
+    edges = _links(_keyed(found, 4, F.col("band"), F.transform("finer", lambda x: F.xxhash64("key", x)), hot), 4, radius)
     classes = components(edges)
-    named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, "id", F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("id", *whole).join(named.withColumnRenamed("id", "first"), whole)
+    named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"))
+    out = rows.select("id", *whole).join(named, whole)
     return out.select(F.col("id").alias("doc_id"), "component_id")
 
 
