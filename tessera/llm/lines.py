@@ -1,13 +1,19 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by runs of lines and sentences, or by content-defined chunks of lines.
 
-A chunk ends after a line when the rolling hash over the last few line hashes meets a fixed condition, so inserted or
-removed lines move only the boundaries near them. Chunks of at least two lines that occur more than once in the corpus
-are removed everywhere but at their first occurrence, after their bytes were compared with that occurrence's.
+The queries remove runs (``dedup_runs``): whatever two texts have in common over two lines with content, or over more
+than 50 words, is found whole, wherever it lies. A line of more than 50 words counts by its sentences.
+
+Chunks (``dedup_lines``) are sparser: one ends after a line when the rolling hash over the last few line hashes meets a
+fixed condition, so inserted or removed lines move only the boundaries near them. Chunks of at least two lines that
+occur more than once in the corpus are removed everywhere but at their first occurrence.
+
+Both compare bytes with the first occurrence's before anything is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,3 +136,209 @@ def dedup_lines(docs: DataFrame, average: int = 4, window: int = 2, longest: int
         n = F.coalesce(F.size(F.col(spans)), F.lit(0))
         return joined.select("doc_id", total.alias("n_lines_removed"), F.when(n > 0, n).otherwise(0).cast("long").alias("n_chunks_removed"), cut.alias("kept_text"))
     return joined.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+# -- runs
+
+#: After a sentence: white space, or nothing after a full-width mark.
+_STOP = re.compile(rb"(?<=[.!?])[ \t]+|(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)")
+_SPACE = b" \t\r"
+
+
+def units(text: bytes, long: int = 50) -> list[tuple[int, int, int, int]]:
+    """(at, to, words, lines) of the lines of a text, or of the sentences of those of more than ``long`` words.
+
+    ``lines`` is 1 for a whole line with content, else 0.
+    """
+    out, at = [], 0
+    for line in text.split(b"\n"):
+        to, words = at + len(line), len(line.split())
+        if words <= long:
+            out.append((at, to, words, 1 if words else 0))
+        else:
+            a = 0
+            for m in _STOP.finditer(line):
+                if m.start() > a:
+                    out.append((at + a, at + m.start(), len(line[a: m.start()].split()), 0))
+                a = m.end()
+            if a < len(line):
+                whole = 1 if a == 0 else 0
+                out.append((at + a, to, len(line[a:].split()), whole))
+        at = to + 1
+    return out
+
+
+def run_windows(text: bytes, long: int = 50) -> list[tuple[int, int]]:
+    """Byte spans of the shortest windows of units, from each start on and up to each end, that count as a run: two
+    lines with content or more than ``long`` words.
+
+    Every run of units that counts is a union of such windows: the shortest from its start, the shortest to its end,
+    and what lies between them is in one from an inner start or to an inner end.
+    """
+    u = units(text, long)
+    out, j, words, lines = set(), 0, 0, 0
+    for i in range(len(u)):
+        while j < len(u) and words <= long and lines < 2:
+            words += u[j][2]
+            lines += u[j][3]
+            j += 1
+        if words <= long and lines < 2:
+            break
+        out.add((u[i][0], u[j - 1][1]))
+        words -= u[i][2]
+        lines -= u[i][3]
+    i, words, lines = 0, 0, 0
+    for j in range(len(u)):
+        words += u[j][2]
+        lines += u[j][3]
+        while words - u[i][2] > long or lines - u[i][3] >= 2:
+            words -= u[i][2]
+            lines -= u[i][3]
+            i += 1
+        if words > long or lines >= 2:
+            out.add((u[i][0], u[j][1]))
+    return sorted(out)
+
+
+def _hashed_windows(docs: DataFrame, long: int) -> DataFrame:
+    """(h, id, at, to) of the run windows of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                row, h, at, to = [], [], [], []
+                for r, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                    if not text:
+                        continue
+                    whole = memoryview(text)
+                    found = run_windows(text, long)
+                    row += [r] * len(found)
+                    h += [xxhash.xxh3_64_intdigest(whole[a:z]) for a, z in found]
+                    at += [a for a, _ in found]
+                    to += [z for _, z in found]
+                ids = part.column(0).take(pa.array(row, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), ids, pa.array(at, pa.int32()), pa.array(to, pa.int32())], ["h", "id", "at", "to"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"h long, id {kind}, at int, to int")
+
+
+def _joined_windows(hits: DataFrame) -> DataFrame:
+    """(id, at, to, first_id, first_at): windows of a text that overlap and have the same first text, at the same
+    distance, as one span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, source, at, to, back = [], [], [], [], []
+            lists = b.column(1)
+            flat, off = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            a_, z_, f_ = (flat.field(k).to_pylist() for k in range(3))
+            names = flat.field(3).to_pylist()
+            for r in range(b.num_rows):
+                last = {}
+                for k in sorted(range(off[r], off[r + 1]), key=a_.__getitem__):
+                    key = names[k], a_[k] - f_[k]
+                    i = last.get(key)
+                    if i is not None and a_[k] <= to[i]:
+                        to[i] = max(to[i], z_[k])
+                        continue
+                    last[key] = len(row)
+                    row.append(r)
+                    source.append(k)
+                    at.append(a_[k])
+                    to.append(z_[k])
+                    back.append(f_[k])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(to, pa.int32()), flat.field(3).take(pa.array(source, pa.int64())), pa.array(back, pa.int32())],
+                ["id", "at", "to", "first_id", "first_at"],
+            )
+
+    kind = hits.schema["id"].dataType.simpleString()
+    per = hits.groupBy("id").agg(F.collect_list(F.struct("at", "to", F.col("first.at").alias("first_at"), F.col("first.id").alias("first_id"))).alias("all"))
+    return per.mapInArrow(run, f"id {kind}, at int, to int, first_id {kind}, first_at int")
+
+
+def repeated_runs(docs: DataFrame, long: int = 50) -> DataFrame:
+    """(doc_id, at, to, first_id, first_at) of what occurred before, by (doc_id, position): byte spans, which may overlap.
+
+    Spans stay where their bytes differ from the first ones (a hash collision). A line or sentence is never removed at its
+    first occurrence in the corpus. Rows of a null doc_id take no part; doc ids are taken to be unique.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    found = materialize(_hashed_windows(texts, long))
+    # partial counts and minima first: a window in a third of all documents becomes one row per task; what is counted is
+    # the hash alone, as few windows occur twice
+    hits = materialize(found.join(found.groupBy("h").count().where("count > 1").select("h"), "h"))
+    first = hits.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"))
+    spans = materialize(_joined_windows(hits.join(first, "h").where(~F.struct("id", "at").eqNullSafe(F.col("first")))))
+    size = (F.col("to") - F.col("at")).alias("size")
+    keepers = spans.select(F.col("first_id").alias("id"), F.col("first_at").alias("at"), (F.col("first_at") + size).cast("int").alias("to")).distinct()
+    none = F.lit(None)
+    kind = spans.schema["id"].dataType
+    wanted = spans.unionByName(keepers.select("*", none.cast(kind).alias("first_id"), none.cast("int").alias("first_at")))
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "to", "first_id", "first_at")).alias("wanted"))
+    sliced = texts.join(wanted, texts["doc_id"] == wanted["id"]).select(
+        "id", F.explode(F.expr("transform(wanted, x -> named_struct('x', x, 'bytes', substring(cast(text as binary), x.at + 1, x.to - x.at)))")).alias("s")
+    )
+    sliced = sliced.select("id", "s.x.*", F.col("s.bytes").alias("bytes"))
+    keeper = sliced.where("first_id is null").select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), size, F.col("bytes").alias("kept"))
+    others = sliced.where("first_id is not null").select("*", size)
+    same = others.join(keeper.dropDuplicates(["first_id", "first_at", "size"]), ["first_id", "first_at", "size"]).where("bytes = kept")
+    return same.select(F.col("id").alias("doc_id"), "at", "to", "first_id", "first_at")
+
+
+def cut_runs(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """The text without the spans, the number of lines cut whole or in part, and that of separate spans.
+
+    Whole lines take the line break after them along, or else the one before; sentences the white space beside them.
+    """
+    runs: list[list[int]] = []
+    for a, z in sorted(gone):
+        if runs and (a <= runs[-1][1] or not text[runs[-1][1]: a].strip()):
+            runs[-1][1] = max(runs[-1][1], z)
+        else:
+            runs.append([a, z])
+    out, at, lines, line = bytearray(), 0, 0, -1
+    for a, z in runs:
+        # the number of the line in which the span starts, counted on from the last one
+        top, bottom = text.count(b"\n", 0, a), text.count(b"\n", 0, z)
+        lines += bottom - top + (top != line)
+        line = bottom
+        out += text[at:a]
+        at = z
+        ends = z == len(text) or text[z: z + 1] == b"\n"
+        if a == 0 or text[a - 1: a] == b"\n":
+            if ends and z < len(text):
+                at = z + 1
+            elif ends and out.endswith(b"\n"):
+                del out[-1:]
+        elif ends:
+            out = bytearray(out.rstrip(_SPACE))
+        while not ends and text[at: at + 1] in (b" ", b"\t"):
+            at += 1
+    out += text[at:]
+    return bytes(out), lines, len(runs)
+
+
+def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False) -> DataFrame:
+    """``docs`` with repeated runs cut out of ``text``; with ``report``, doc_id, n_lines_removed (whole or in part),
+    n_chunks_removed (separate spans), kept_text.
+
+    Rows without repeated runs, with null or empty text or a null doc_id come out unchanged; a text may become empty.
+    """
+
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist()):
+            kept, lines, n = cut_runs(t, [(x["at"], x["to"]) for x in s]) if s else (t, 0, 0)
+            out.append({"text": kept.decode("utf-8", "replace") if s else kept, "lines": lines, "n": n})
+        return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("n", pa.int64())]))
+
+    key, spans, done = fresh(docs, "__id"), fresh(docs, "__gone"), fresh(docs, "__cut")
+    per = repeated_runs(docs, long).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("at", "to")).alias(spans))
+    joined = docs.join(per, docs["doc_id"] == per[key], "left").drop(key)
+    joined = joined.withColumn(done, F.arrow_udf(cut, "text string, lines long, n long")("text", spans))
+    if report:
+        return joined.select("doc_id", F.col(f"{done}.lines").alias("n_lines_removed"), F.col(f"{done}.n").alias("n_chunks_removed"), F.col(f"{done}.text").alias("kept_text"))
+    return joined.select(*[F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -56,7 +56,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    out = lines.dedup_runs(table(spark, sf_dir, "documents"), report=True)
     return out.select("doc_id", "n_lines_removed", "n_chunks_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

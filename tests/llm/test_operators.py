@@ -384,6 +384,47 @@ def test_line_dedup(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_line_runs(spark, none):
+    """Planted passages of 2 to 8 lines, one-line paragraphs and parts of paragraphs, against all windows of lines or sentences."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    passages = ["\n".join(say(rng.randrange(8, 30)) for _ in range(n)) for n in range(2, 9)]
+    sentences = [". ".join(say(9) for _ in range(7)) + "." for _ in range(4)]  # 63 words
+    rows = []
+    for i in range(60):
+        parts = [say(rng.randrange(3, 20)) for _ in range(rng.randrange(1, 5))] + rng.sample(passages, 1 + i % 2)
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(parts), None))
+    for i in range(60, 90):  # no line break: a paragraph with a passage in its middle, or a passage alone
+        rows.append((i, f"{say(12)}. {rng.choice(sentences)} {say(12)}." if i % 3 else rng.choice(sentences), None))
+    rows += [(100, None, None), (101, "", None), (102, passages[0], None), (103, "one line", None), (104, "one line", None), (105, "\n\n\n\n", None), (106, "one line\n", None), (None, passages[1], None)]
+    seen, want = set(), {}
+    for i, t, _ in [r for r in rows if r[0] is not None]:
+        flat = []  # (text, whole line, number of its line)
+        for k, x in enumerate((t or "").split("\n")):
+            flat += [(y, False, k) for y in re.split(r"(?<=\.) ", x)] if len(x.split()) > 50 else [(x, True, k)]
+        gone = set()
+        for a in range(len(flat)):
+            for z in range(a + 1, len(flat) + 1):
+                w = flat[a:z]
+                if sum(len(x.split()) for x, _, _ in w) > 50 or sum(whole and bool(x.split()) for x, whole, _ in w) > 1:
+                    part = tuple((x, k - w[0][2]) for x, _, k in w)
+                    gone |= set(range(a, z)) if part in seen else set()
+                    seen.add(part)
+        left: dict[int, list[str]] = {}
+        for k, (x, _, n) in enumerate(flat):
+            if k not in gone:
+                left.setdefault(n, []).append(x)
+        want[i] = t and "\n".join(" ".join(x) for x in left.values()), len({flat[k][2] for k in gone})
+    assert all(any(want[i][1] == n for i in range(60)) for n in range(2, 9)) and sum(n for _, n in want.values()) > 300
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("at", F.lit(1)).withColumn("__id", F.lit(2))
+    out = lines.dedup_runs(df)
+    assert out.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t for i, (t, _) in want.items()} | {None: passages[1]}
+    assert {r["doc_id"]: r["n_lines_removed"] for r in lines.dedup_runs(df.where("doc_id is not null"), report=True).collect()} == {i: n for i, (_, n) in want.items()}
+    assert lines.dedup_runs(none).count() == 0
+
+
 # -- 9
 
 
