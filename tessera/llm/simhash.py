@@ -170,12 +170,14 @@ def close(planes: np.ndarray, lag: int, valid: np.ndarray, radius: int, block: i
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def link(key: np.ndarray, f: np.ndarray, radius: int) -> np.ndarray:
+def link(key: np.ndarray, f: np.ndarray, radius: int, compared: bool = False) -> np.ndarray:
     """Edges (i, j), at most n - 1 per group of equal keys, that connect what is linked within the group.
 
-    Every pair within a group is compared, except in groups that are already one class.
+    Every pair within a group is compared, except in groups that are already one class. With ``compared``, each edge is
+    a pair that is itself within the radius.
     """
     n = len(key)
+    pairs = []
     root = np.arange(n)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, n])
@@ -217,19 +219,42 @@ def link(key: np.ndarray, f: np.ndarray, radius: int) -> np.ndarray:
             a, b = rows[hit], rows[hit + lag]
             flat()
             apart = root[a] != root[b]
-            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
-                i, j = top(i), top(j)
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                i, j = top(x), top(y)
                 if i != j:
                     root[max(i, j)] = min(i, j)
+                    pairs.append((x, y))
         rebuild = lag & (lag - 1) == 0
+    if compared:
+        return np.array(pairs, np.int64).reshape(-1, 2)
     flat()
     moved = np.flatnonzero(root != np.arange(n))
     return np.column_stack([moved, root[moved]])
 
 
-def _links(keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """Edges (a, b) between ids of rows with equal keys and close fingerprints."""
-    cols = [f"f{i}" for i in range(words)]
+def across(key: np.ndarray, f: np.ndarray, kind: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """All pairs (i, j) of rows of equal, sorted keys and different kinds within the radius, one lag after the other."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(key)])
+    # groups of one kind have no such pair
+    mixed = np.flatnonzero([len(np.unique(kind[a: a + n])) > 1 for a, n in zip(start, size)])
+    mixed = mixed[np.argsort(-size[mixed], kind="stable")]
+    if not len(mixed):
+        return
+    rows = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in mixed])
+    sizes, planes = size[mixed], _planes(np.ascontiguousarray(f[rows]))
+    ends, mine, sort = np.cumsum(sizes), key[rows], kind[rows]
+    for lag in range(1, int(sizes[0])):
+        m = int(ends[int(np.searchsorted(-sizes, -lag, side="left")) - 1]) - lag
+        hit = close(planes, lag, (mine[:m] == mine[lag: m + lag]) & (sort[:m] != sort[lag: m + lag]), radius)
+        if len(hit):
+            yield np.column_stack([rows[hit], rows[hit + lag]])
+
+
+def _links(keyed: DataFrame, words: int, radius: int, compared: bool = False, kind: str | None = None) -> DataFrame:
+    """Edges (a, b) between ids of rows with equal keys and close fingerprints: those of ``link``, or, with the name of a
+    column of longs, those of ``across``."""
+    cols = [f"f{i}" for i in range(words)] + ([kind] if kind else [])
 
     def edges(key, ids, f):
         order = np.lexsort((f[:, 0], key))
@@ -238,8 +263,8 @@ def _links(keyed: DataFrame, words: int, radius: int) -> DataFrame:
         same = np.r_[False, key[1:] == key[:-1]]
         some = same | np.r_[same[1:], False]
         key, ids, f = key[some], ids[some], f[some]
-        e = link(key, f, radius)
-        return pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], ["a", "b"])
+        for e in across(key, f[:, :words], f[:, words], radius) if kind else [link(key, f, radius, compared)]:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -247,17 +272,17 @@ def _links(keyed: DataFrame, words: int, radius: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            f = np.column_stack([b.column(2 + i).to_numpy() for i in range(words)]).view(np.uint64)
+            f = np.column_stack([b.column(2 + i).to_numpy() for i in range(len(cols))]).view(np.uint64)
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), f))
             many += b.num_rows
             if many >= 100_000:
                 key, ids, f = (np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(key, key[-1], side="left"))  # the last key may go on
                 if cut:
-                    yield edges(key[:cut], ids[:cut], f[:cut])
+                    yield from edges(key[:cut], ids[:cut], f[:cut])
                 held, many = [(key[cut:], ids[cut:], f[cut:])], len(key) - cut
         if held:
-            yield edges(*(np.concatenate(x) for x in zip(*held)))
+            yield from edges(*(np.concatenate(x) for x in zip(*held)))
 
     n = 2 * partitions(keyed.sparkSession)
     dealt = keyed.select("key", "id", *cols).repartition(n, "key").sortWithinPartitions("key")
@@ -269,10 +294,10 @@ def _masked(column: str, masks: list[int], seed: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(seed), F.lit(t), F.col(column).bitwiseAND(F.lit(signed(m)).cast("long"))) for t, m in enumerate(masks)])
 
 
-def _keyed(prints: DataFrame, words: int, keys: Column, finer: Column, hot: int) -> DataFrame:
-    """Rows (key, id, f..), one for each of ``keys``. A key of more than ``hot`` rows is replaced by the ``finer`` ones,
-    which may depend on the key and its number ``t``."""
-    cols = ["id", *(f"f{i}" for i in range(words))]
+def _keyed(prints: DataFrame, words: int, keys: Column, finer: Column, hot: int, *more: str) -> DataFrame:
+    """Rows (key, id, f.., ``more``), one for each of ``keys``. A key of more than ``hot`` rows is replaced by the
+    ``finer`` ones, which may depend on the key and its number ``t``."""
+    cols = ["id", *(f"f{i}" for i in range(words)), *more]
     rows = prints.select("*", F.posexplode(keys).alias("t", "key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
     refined = rows.join(large, "key", "left_semi").select(*cols, F.explode(finer).alias("key"))
@@ -311,20 +336,61 @@ def simhash_classes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 48, hot: int = 20_000) -> DataFrame:
-    """(doc_id, component_id) of all documents; near copies of about 0.8 shingle similarity or more share a component.
+def _similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of doc ids whose sets of shingle hashes have a Jaccard similarity of ``least`` or more."""
 
-    Documents are compared by 256-bit fingerprints of their k-word shingles: a similarity of 0.8 means 39 differing bits
-    on average (deviation 6), unrelated texts 128 (deviation 8). Sampled bits would be poor candidate keys at this radius
-    (24 tables of 24 bits missed a fifth of the pairs of similarity 0.8 to 0.85), so candidates share one of eight keys of
-    three shingle minima: a pair of similarity 0.8 is missed once in 300, one of 0.9 once in 30,000. A key of more than
-    ``hot`` different fingerprints is refined by eight keys of two more minima. Equal fingerprints are compared once.
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(0, b.num_rows, 500):
+                part = b.slice(n, 500)
+                found = [np.unique(np.concatenate([*shingle_hashes(t or b"", k), np.zeros(0, np.uint64)])) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).view(np.int64)))], ["id", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                whole = len(x) + len(y) - both
+                same.append(both >= least * whole)
+            yield b.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    # an id is one document; of rows that repeat it, any stands for it
+    hashes = texts.mapInArrow(sets, "id long, hashes array<long>").dropDuplicates(["id"])
+    hashes = materialize(hashes)
+    one = pairs.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+    two = one.join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20_000, least: float = 0.8, sure: int = 32) -> DataFrame:
+    """(doc_id, component_id) of all documents; those linked by shingle similarities of ``least`` or more share a component.
+
+    Candidates share one of eight keys of three shingle minima and differ in at most ``radius`` of the 256 bits of their
+    fingerprints; a link is kept only where the k-word shingle sets themselves are similar enough. At a similarity of 0.8
+    fingerprints differ in 39 bits (deviation 6), in 48 where the sets have four and five shingles, and a pair has no
+    common key once in 300 times (0.9: once in 30,000), which is what is missed. A key of more than ``hot`` different
+    fingerprints is refined by eight keys of two more minima. Equal fingerprints are compared once.
+
+    Pairs of ``sure`` bits or less are tried first, as many as it takes to connect them, and those that hold make classes.
+    Then all pairs of candidates of different classes are tried. Their number has no bound but the groups' sizes squared,
+    if very many documents are a little less similar than ``least``.
     """
     rows = materialize(fingerprints(docs, k, 4, keys=True).where("id is not null"))
     whole = ["f0", "f1", "f2", "f3"]
     found = materialize(rows.groupBy(*whole).agg(F.min(F.struct("id", "band", "finer")).alias("m")).select(*whole, "m.*"))
-    edges = _links(_keyed(found, 4, F.col("band"), F.transform("finer", lambda x: F.xxhash64("key", x)), hot), 4, radius)
-    classes = components(edges)
+    finer = F.transform("finer", lambda x: F.xxhash64("key", x))
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    tried = materialize(_links(_keyed(found, 4, F.col("band"), finer, hot), 4, sure, compared=True).select(*pair).distinct())
+    held = materialize(_similar(tried, docs, k, least))
+    classed = found.join(components(held), F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
+    others = _links(_keyed(classed, 4, F.col("band"), finer, hot, "kind"), 4, radius, kind="kind").select(*pair).distinct()
+    others = materialize(others.join(tried, ["a", "b"], "left_anti"))
+    classes = components(held.unionByName(_similar(others, docs, k, least)))
     named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", *whole).join(named, whole)
     return out.select(F.col("id").alias("doc_id"), "component_id")

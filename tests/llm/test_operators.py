@@ -273,6 +273,27 @@ def test_near_duplicates(spark, hot):
     assert {r["doc_id"] for r in kept.collect()} == {*origin.values(), 90_000, None}
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_near_duplicates_by_similarity(spark, hot):
+    """Pairs of 0.6 to 1.0, against all pairs' exact similarity: none below 0.8 is linked, none above is lost."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for g in range(120):
+        base = [word() for _ in range(rng.choice([9, 60, 120, 300]))]
+        mine, at = base[:], rng.randrange(len(base))
+        for p in range(at, min(len(base), at + g % 20 * len(base) // 100)):  # one passage anew
+            mine[p] = word()
+        rows += [(2 * g, " ".join(base), None), (2 * g + 1, " ".join(mine), None)]
+    rows += [(1000, rows[4][1], None)]
+    sets = {i: {tuple(w[j: j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t, _ in rows}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    assert sum(0.6 < x < 0.8 for x in like.values()) > 15 and sum(0.8 <= x < 0.9 for x in like.values()) > 15
+    want = groups(sets, [p for p, x in like.items() if x >= 0.8])
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, hot=hot).collect()} == want
+
+
 # -- 6
 
 
