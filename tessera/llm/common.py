@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UTC = "UTC"
 
@@ -46,6 +47,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """UTF-8 bytes of all texts; one pass, one number to the driver."""
+    return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """Joins ``left`` with ``right``, which has one row a key and in ``many`` the number of left rows with that key.
+
+    Keys with over 1/``share`` of all left rows, of which there are fewer than ``share`` whatever the input, are joined by
+    broadcast, so that no task gets all rows of a hot key; the rest is an ordinary join. Both sides should be tables that
+    are cheap to read twice. Left rows of a null key are joined with nothing. ``how`` is inner or left.
+    """
+    on = [on] if isinstance(on, str) else on
+    total, most = right.agg(F.sum("many"), F.max("many")).first()
+    if not total or most * share <= total:
+        return left.join(right.drop("many"), on, how)
+    hot = F.col("many") * share > total
+    few = right.where(hot).drop("many")  # fewer than ``share`` rows
+    rest = left.join(F.broadcast(few.select(on)), on, "left_anti").join(right.where(~hot).drop("many"), on, how)
+    return left.join(F.broadcast(few), on).unionByName(rest)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have yet (names compare case-insensitively)."""
     taken, name = {c.lower() for c in df.columns}, base

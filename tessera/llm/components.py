@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
     """One star step over edges (u, v) with v < u.
 
     Large: every larger neighbour of a node is hung on the node's smallest neighbour. Small: every smaller one, and
-    the node itself. The minimum per node is an aggregate joined back, so that a hub is never gathered in a task.
+    the node itself. The minimum per node is an aggregate joined back, with hubs apart, so that no task gathers a hub.
     """
     if small:
         near = edges
     else:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = near.join(least, "u")
+    least = materialize(near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")).withColumn("m", F.least("m", "u")))
+    joined = join_counted(near, least, "u")
     if small:
         hung = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
@@ -43,7 +43,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(check) == seen:
             break
         seen = tuple(check)
-        now = materialize(_stars(_stars(now, small=False), small=True))
+        now = materialize(_stars(materialize(_stars(now, small=False)), small=True))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, held_out_f
 
     Rows whose crc32(doc_id as text) mod 5 is ``held_out_fifth`` are never learnt from (None: all are used). Null ids
     or labels and labels without a document take no part; of several labels of one id the smallest counts, of several
-    documents of one id each counts. The sample, and only it, reaches the driver: max_rows x len(FEATURES) numbers.
+    documents of one id the one with the smallest statistics. The sample, and only it, reaches the driver: at most
+    max_rows x len(FEATURES) numbers, however often ids repeat.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if held_out_fifth is not None:
@@ -173,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, held_out_f
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(x[:, j]) for j in range(len(FEATURES)))], ["doc_id", "y", *FEATURES])
 
     schema = f"{rows.select('doc_id').schema.simpleString()[7:-1]}, y int, " + ", ".join(f"{f} double" for f in FEATURES)
-    sample = rows.mapInArrow(measure, schema).toPandas().sort_values(["doc_id", *FEATURES])
+    one = rows.mapInArrow(measure, schema).groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("m"))
+    sample = one.select("doc_id", "m.*").toPandas().sort_values("doc_id")
     return fit(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float))
 
 

@@ -44,11 +44,11 @@ def assign_shards(
 ) -> DataFrame:
     """Adds the shard, a gapless slot number within the shard and, if asked, the shard after one more is added.
 
-    Slots are numbered in two levels: a row's rank inside (shard, key block) plus the rows of the shard's earlier
-    blocks. The offsets table has at most ``len(weights) * blocks`` rows whatever the input, so it is broadcast;
-    no task holds a whole shard. Repeated keys share shard and block and get different slots (ordered by key, then
-    ``order``). Nulls: a null key is one key. Empty input gives empty output. Existing columns named like the new
-    ones are replaced.
+    Slots are numbered in two levels: a row's rank inside (shard, block) plus the rows of the shard's earlier blocks.
+    A row's block follows from its key and the columns of ``order``. The offsets table has at most
+    ``len(weights) * blocks`` rows whatever the input, so it is broadcast; no task holds a whole shard. Repeated keys
+    share the shard and get different slots. Nulls: a null key is one key. Empty input gives empty output. Existing
+    columns named like the new ones are replaced.
     """
     new = [c for c in (shard_col, slot_col, grown_col) if c]
     base = df.drop(*new)
@@ -56,8 +56,9 @@ def assign_shards(
     while block in base.columns:
         block += "_"
     shard = rendezvous(F.col(key), weights)
-    # xxhash64 with another seed than the placement, else blocks and shards correlate
-    where = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(blocks)).cast("int")
+    # xxhash64 with another seed than the placement, else blocks and shards correlate; with the order's columns, so that
+    # the rows of one frequent key are spread over the blocks
+    where = F.pmod(F.xxhash64(F.lit("block"), F.col(key), *order), F.lit(blocks)).cast("int")
     placed = base.withColumns({shard_col: shard, block: where})
     if grown_col:
         placed = placed.withColumn(grown_col, rendezvous(F.col(key), [*weights, grown_weight]))

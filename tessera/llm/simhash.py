@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import join_counted, materialize, partitions
 from .components import components
 
 SEED = 42
@@ -60,15 +60,15 @@ def majority(chunks: Iterator[np.ndarray], words: int = 1) -> np.ndarray:
 
 
 class Minima:
-    """Smallest values of ``BANDS * ROWS`` and ``FINER * FINER_ROWS`` mixes of a text's shingle hashes, as keys.
+    """Smallest values of ``BANDS * ROWS`` mixes of a text's shingle hashes, as keys of ``ROWS`` of them.
 
     Two texts share a mix's minimum with the probability of their shingle sets' similarity.
     """
 
-    BANDS, ROWS, FINER, FINER_ROWS = 8, 3, 8, 2
+    BANDS, ROWS = 8, 3
 
     def __init__(self, seed: int = 7):
-        many = self.BANDS * self.ROWS + self.FINER * self.FINER_ROWS
+        many = self.BANDS * self.ROWS
         self.odd = np.random.default_rng(seed).integers(0, 2**63, (many, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.least = np.full(many, np.uint64(0xFFFFFFFFFFFFFFFF))
 
@@ -82,23 +82,19 @@ class Minima:
             yield h
 
     def keys(self) -> np.ndarray:
-        cut = self.BANDS * self.ROWS
-        out = []
-        for part, rows in ((self.least[:cut], self.ROWS), (self.least[cut:], self.FINER_ROWS)):
-            part, key = part.reshape(-1, rows), np.arange(1, len(part) // rows + 1, dtype=np.uint64)
-            for j in range(rows):
-                key = (key ^ part[:, j]) * _ODD[j]
-                key ^= key >> np.uint64(32)
-            out.append(key)
-        return np.concatenate(out)
+        least, key = self.least.reshape(-1, self.ROWS), np.arange(1, self.BANDS + 1, dtype=np.uint64)
+        for j in range(self.ROWS):
+            key = (key ^ least[:, j]) * _ODD[j]
+            key ^= key >> np.uint64(32)
+        return key
 
 
 def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, keys: bool = False) -> DataFrame:
-    """id, f0.. (longs) and, with ``keys``, arrays ``band`` and ``finer`` of keys that similar texts share. Map-only."""
+    """id, f0.. (longs) and, with ``keys``, the array ``band`` of keys that similar texts share. Map-only."""
     names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, bands = Minima(), Minima.BANDS
+        least = Minima()
         for b in batches:
             prints, minima = [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
@@ -109,14 +105,12 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, keys: bool = False
             x = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
             cols = [pa.array(np.ascontiguousarray(x[:, i])) for i in range(words)]
             if keys:
-                y = np.array(minima, np.uint64).reshape(-1, bands + Minima.FINER).view(np.int64)
-                for part in (y[:, :bands], y[:, bands:]):
-                    at = pa.array(np.arange(len(y) + 1, dtype=np.int32) * part.shape[1])
-                    cols.append(pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(part).ravel())))
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *names, *(["band", "finer"] if keys else [])])
+                y = np.array(minima, np.uint64).reshape(-1, Minima.BANDS).view(np.int64)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * Minima.BANDS), pa.array(y.ravel())))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *names, *(["band"] if keys else [])])
 
     slim = docs.select(F.col("doc_id").alias("id"), "text")
-    more = ", band array<long>, finer array<long>" if keys else ""
+    more = ", band array<long>" if keys else ""
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + more)
 
 
@@ -294,16 +288,39 @@ def _masked(column: str, masks: list[int], seed: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(seed), F.lit(t), F.col(column).bitwiseAND(F.lit(signed(m)).cast("long"))) for t, m in enumerate(masks)])
 
 
-def _keyed(prints: DataFrame, words: int, keys: Column, finer: Column, hot: int, *more: str) -> DataFrame:
-    """Rows (key, id, f.., ``more``), one for each of ``keys``. A key of more than ``hot`` rows is replaced by the
-    ``finer`` ones, which may depend on the key and its number ``t``."""
+def _rows_by_key(prints: DataFrame, words: int, keys: Column, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (t, key, id, f.., ``more``), one for each of ``keys``, and (key, many) of all keys of more than one row."""
     cols = ["id", *(f"f{i}" for i in range(words)), *more]
-    rows = prints.select("*", F.posexplode(keys).alias("t", "key"))
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
+    rows = prints.select(*prints.columns, F.posexplode(keys).alias("t", "key")).select("t", "key", *cols)
+    return rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+
+
+def _refined(prints: DataFrame, words: int, keys: Column, finer: Column, hot: int) -> DataFrame:
+    """Rows (key, id, f..), one for each of ``keys``. A key of more than ``hot`` rows is replaced by the ``finer`` ones,
+    which depend on the key and its number ``t`` and lose no pair within the radius."""
+    rows, counts = _rows_by_key(prints, words, keys)
+    large = counts.where(F.col("many") > hot).select("key")
+    cols = [c for c in rows.columns if c not in ("t", "key")]
     refined = rows.join(large, "key", "left_semi").select(*cols, F.explode(finer).alias("key"))
     return rows.join(large, "key", "left_anti").select(*cols, "key").unionByName(refined.select(*cols, "key"))
 
 
+def _in_blocks(prints: DataFrame, words: int, keys: Column, hot: int, *more: str) -> DataFrame:
+    """Rows (key, id, f.., ``more``), one for each of ``keys``. The rows of a key of more than ``hot`` are dealt over blocks
+    of about ``hot`` rows, and each pair of blocks gets a key of its own: every pair of rows still meets, and no key has
+    many more than 2 * ``hot`` rows."""
+    rows, counts = _rows_by_key(prints, words, keys, *more)
+    rows, counts = materialize(rows), materialize(counts)
+    large = counts.where(F.col("many") > hot)
+    cols = [c for c in rows.columns if c not in ("t", "key")]
+    few = rows.join(large.select("key"), "key", "left_anti").select("key", *cols)
+    n = F.ceil(F.col("many") / hot).cast("int")
+    split = join_counted(rows, large.withColumn("n", n), "key").withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("n")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return few.unionByName(split.select(pair.alias("key"), *cols))
+
+
 def block_keys(column: str) -> tuple[Column, Column]:
     """Exact keys for up to two differing bits.
 
@@ -328,11 +345,11 @@ def simhash_classes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     but names none (its class is null if it holds only null ids). Repeated ids keep one row each.
     """
     rows = materialize(fingerprints(docs))
-    found = materialize(rows.groupBy("f0").agg(F.min("id").alias("id")))
-    edges = _links(_keyed(found.where("id is not null"), 1, *block_keys("f0"), hot), 1, 2)
+    found = materialize(rows.groupBy("f0").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many")))
+    edges = _links(_refined(found.where("id is not null"), 1, *block_keys("f0"), hot), 1, 2)
     classes = components(edges)
-    named = found.join(classes, F.col("id") == F.col("node"), "left").select("f0", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(named, "f0")
+    named = found.join(classes, F.col("id") == F.col("node"), "left").select("f0", F.coalesce("component", "id").alias("component_id"), "many")
+    out = join_counted(rows, materialize(named), "f0")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -373,26 +390,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20
     Candidates share one of eight keys of three shingle minima and differ in at most ``radius`` of the 256 bits of their
     fingerprints; a link is kept only where the k-word shingle sets themselves are similar enough. At a similarity of 0.8
     fingerprints differ in 39 bits (deviation 6), in 48 where the sets have four and five shingles, and a pair has no
-    common key once in 300 times (0.9: once in 30,000), which is what is missed. A key of more than ``hot`` different
-    fingerprints is refined by eight keys of two more minima. Equal fingerprints are compared once.
+    common key once in 300 times (0.9: once in 30,000), which is what is missed. Equal fingerprints are compared once.
+    ``hot`` only bounds tasks: the rows of a key of more different fingerprints meet in pairs of blocks (all pairs still do).
 
     Pairs of ``sure`` bits or less are tried first, as many as it takes to connect them, and those that hold make classes.
     Then all pairs of candidates of different classes are tried. Their number has no bound but the groups' sizes squared,
     if very many documents are a little less similar than ``least``.
+
+    Null and empty texts are copies of each other. Rows of a null doc_id take no part. Rows that repeat an id are one
+    document, one of whose texts is compared; extra columns play no part; an empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, k, 4, keys=True).where("id is not null"))
     whole = ["f0", "f1", "f2", "f3"]
-    found = materialize(rows.groupBy(*whole).agg(F.min(F.struct("id", "band", "finer")).alias("m")).select(*whole, "m.*"))
-    finer = F.transform("finer", lambda x: F.xxhash64("key", x))
+    first = F.min(F.struct("id", "band")).alias("m"), F.count(F.lit(1)).alias("many")
+    found = materialize(rows.groupBy(*whole).agg(*first).select(*whole, "m.*", "many"))
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    tried = materialize(_links(_keyed(found, 4, F.col("band"), finer, hot), 4, sure, compared=True).select(*pair).distinct())
+    tried = materialize(_links(_in_blocks(found, 4, F.col("band"), hot), 4, sure, compared=True).select(*pair).distinct())
     held = materialize(_similar(tried, docs, k, least))
     classed = found.join(components(held), F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
-    others = _links(_keyed(classed, 4, F.col("band"), finer, hot, "kind"), 4, radius, kind="kind").select(*pair).distinct()
+    others = _links(_in_blocks(classed, 4, F.col("band"), hot, "kind"), 4, radius, kind="kind").select(*pair).distinct()
     others = materialize(others.join(tried, ["a", "b"], "left_anti"))
     classes = components(held.unionByName(_similar(others, docs, k, least)))
-    named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("id", *whole).join(named, whole)
+    named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"), "many")
+    out = join_counted(rows.select("id", *whole), materialize(named), whole)
     return out.select(F.col("id").alias("doc_id"), "component_id")
 
 
