@@ -69,6 +69,17 @@ def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(few), on).unionByName(rest)
 
 
+def among(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (one column, distinct; ``how`` left_anti: whose key isn't).
+
+    Up to ``most`` ids are broadcast, so that only the rows they name are shuffled later; of more, both sides are shuffled.
+    """
+    named = ids.toDF("__among")
+    if named.limit(most + 1).count() <= most:
+        named = F.broadcast(named)
+    return df.join(named, df[key] == named["__among"], how)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have yet (names compare case-insensitively)."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import among, fresh, join_counted, materialize
 
 M64 = (1 << 64) - 1
 
@@ -81,24 +81,53 @@ def repeated_chunks(docs: DataFrame, average: int = 4, window: int = 2, longest:
     """(doc_id, no, at, to, lines, first_id, first_no) of every chunk occurrence to remove.
 
     An occurrence is kept where it comes first by (doc_id, chunk number). Others are removed if their bytes equal the
-    first one's; on a hash collision they stay. Rows of a null doc_id take no part. Doc ids are taken to be unique;
-    rows that repeat an id have each other's spans removed only where their bytes agree.
+    first one's; on a hash collision they stay. Rows of a null doc_id take no part. Rows that repeat an id lose a chunk
+    only where all of them hold its bytes.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     found = materialize(chunks(texts, average, window, longest))
     # partial sums first: a chunk in a third of all documents becomes one row per task
-    first = found.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "no", "at", "to")).alias("first")).where("n > 1")
-    hits = materialize(found.join(first.select("h0", "h1", "first"), ["h0", "h1"]))
-    wanted = hits.groupBy("id").agg(F.collect_list(F.struct("no", "at", "to", "lines", "h0", "h1", "first")).alias("wanted"))
-    sliced = texts.join(wanted, texts["doc_id"] == wanted["id"]).select(
-        "id", F.explode(F.expr("transform(wanted, x -> named_struct('x', x, 'bytes', substring(cast(text as binary), x.at + 1, x.to - x.at)))")).alias("s")
-    )
-    sliced = sliced.select("id", "s.x.*", F.col("s.bytes").alias("bytes"))
+    first = found.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("id", "no", "at", "to")).alias("first")).where("many > 1")
+    hits = materialize(join_counted(found, materialize(first), ["h0", "h1"]))
     mine = F.struct("id", "no", "at", "to")
-    keeper = sliced.where(mine.eqNullSafe(F.col("first"))).select("h0", "h1", F.col("bytes").alias("kept")).dropDuplicates(["h0", "h1"])
-    others = sliced.where(~mine.eqNullSafe(F.col("first")))
-    same = others.join(keeper, ["h0", "h1"]).where(F.col("bytes") == F.col("kept"))
-    return same.select(F.col("id").alias("doc_id"), "no", "at", "to", "lines", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
+    others = hits.where(~mine.eqNullSafe(F.col("first"))).select("id", "at", "to", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), "no", "lines", F.col("first.no").alias("first_no"))
+    return _verified(texts, others).select(F.col("id").alias("doc_id"), "no", "at", "to", "lines", "first_id", "first_no")
+
+
+def _verified(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Those of ``spans`` (id, at, to, first_id, first_at, ..; a written table) whose bytes are those at the first place.
+
+    Only texts with spans or first places are shuffled. What is compared is each different string once: a span in a third
+    of all documents becomes one row a task before it meets its first place. Strings that differ after all (their hashes
+    collided) are then taken out.
+    """
+    size = (F.col("to") - F.col("at")).alias("size")
+    key = ["first_id", "first_at", "size"]
+    none = F.lit(None)
+    keepers = spans.select(F.col("first_id").alias("id"), F.col("first_at").alias("at"), (F.col("first_at") + size).cast("int").alias("to")).distinct()
+    keepers = keepers.select("*", none.cast(spans.schema["id"].dataType).alias("first_id"), none.cast("int").alias("first_at"))
+    wanted = spans.select("id", "at", "to", "first_id", "first_at").distinct().unionByName(keepers)
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "to", "first_id", "first_at")).alias("wanted"))
+    ids = materialize(spans.select("id").unionByName(spans.select(F.col("first_id").alias("id"))).distinct())
+    cut = F.expr("transform(wanted, x -> named_struct('x', x, 'bytes', substring(cast(text as binary), x.at + 1, x.to - x.at)))")
+    some = among(texts, "doc_id", ids)
+    sliced = some.join(wanted, some["doc_id"] == wanted["id"]).select("id", F.explode(cut).alias("s")).select("id", "s.x.*", F.col("s.bytes").alias("bytes"))
+    strings = sliced.where("first_id IS NOT NULL").select("id", "at", *key[:2], size, "bytes")
+    kinds = strings.groupBy(*key, "bytes").agg(F.count(F.lit(1)).alias("n"))
+    kept = sliced.where("first_id IS NULL").select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), size, F.col("bytes").alias("kept")).dropDuplicates(key)
+    unlike = materialize(kinds.join(kept, key, "left").where("kept IS NULL OR bytes <> kept").select(*key, "bytes"))
+    if unlike.isEmpty():
+        return spans
+    wrong = strings.join(unlike, [*key, "bytes"], "left_semi").select("id", "at", *key)
+    return spans.withColumn("size", F.col("to") - F.col("at")).join(wrong, ["id", "at", *key], "left_anti").drop("size")
+
+
+def _touched(docs: DataFrame, per: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the columns of ``per`` (one row an id, in column ``key``) where it has one, and the other rows."""
+    per = materialize(per)
+    ids = per.select(key)
+    some = among(docs, "doc_id", ids)
+    return some.join(per, some["doc_id"] == per[key]).drop(key), among(docs, "doc_id", ids, "left_anti")
 
 
 def _cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -120,17 +149,19 @@ def dedup_lines(docs: DataFrame, average: int = 4, window: int = 2, longest: int
     gone = repeated_chunks(docs, average, window, longest)
     key, spans = fresh(docs, "__id"), fresh(docs, "__gone")
     per = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("at", "to", "lines"))).alias(spans))
-    joined = docs.join(per, docs["doc_id"] == per[key], "left").drop(key)
-    # span by span: what lies between the removed ones, in bytes
+    joined, rest = _touched(docs, per, key)
+    joined = joined.unionByName(rest.withColumn(spans, F.lit(None).cast(joined.schema[spans].dataType)))
+    # what lies between the removed spans, in bytes: from each one's end to the next one's start
+    starts = f"transform({spans}, x -> x.at)"
     cut = F.expr(
         f"""case when {spans} is null then text else
-        cast(aggregate({spans}, named_struct('at', 0, 'out', cast('' as binary)),
-          (acc, x) -> named_struct('at', x.to + 1, 'out', concat(acc.out, substring(cast(text as binary), acc.at + 1, greatest(x.at - acc.at, 0)))),
-          acc -> case when acc.at >= octet_length(text)
-                      then case when octet_length(acc.out) > 0 and element_at({spans}, -1).to >= octet_length(text)
-                                then substring(acc.out, 1, octet_length(acc.out) - 1) else acc.out end
-                      else concat(acc.out, substring(cast(text as binary), acc.at + 1, octet_length(text) - acc.at)) end) as string) end"""
+        cast(array_join(transform(zip_with(concat(array(0), transform({spans}, x -> x.to + 1)), concat({starts}, array(octet_length(text))),
+          (a, z) -> hex(substring(cast(text as binary), a + 1, greatest(z - a, 0)))), x -> x), '') as string) end"""
     )
+    last = F.element_at(F.col(spans), -1)["to"] >= F.octet_length("text")
+    whole = F.decode(F.unhex(cut), "UTF-8")
+    # without a last line, the break before it goes too
+    cut = F.when(F.col(spans).isNull(), F.col("text")).when(last & F.endswith(whole, F.lit("\n")), F.substring(whole, 1, F.length(whole) - 1)).otherwise(whole)
     if report:
         total = F.coalesce(F.aggregate(spans, F.lit(0), lambda a, x: a + x["lines"]), F.lit(0)).cast("long")
         n = F.coalesce(F.size(F.col(spans)), F.lit(0))
@@ -263,29 +294,18 @@ def repeated_runs(docs: DataFrame, long: int = 50) -> DataFrame:
     """(doc_id, at, to, first_id, first_at) of what occurred before, by (doc_id, position): byte spans, which may overlap.
 
     Spans stay where their bytes differ from the first ones (a hash collision). A line or sentence is never removed at its
-    first occurrence in the corpus. Rows of a null doc_id take no part; doc ids are taken to be unique.
+    first occurrence in the corpus. Rows of a null doc_id take no part; rows that repeat an id lose a span only where all of
+    them hold its bytes. Null and empty texts and empty tables have no spans.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     found = materialize(_hashed_windows(texts, long))
     # partial counts and minima first: a window in a third of all documents becomes one row per task; what is counted is
     # the hash alone, as few windows occur twice
-    hits = materialize(found.join(found.groupBy("h").count().where("count > 1").select("h"), "h"))
-    first = hits.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"))
-    spans = materialize(_joined_windows(hits.join(first, "h").where(~F.struct("id", "at").eqNullSafe(F.col("first")))))
-    size = (F.col("to") - F.col("at")).alias("size")
-    keepers = spans.select(F.col("first_id").alias("id"), F.col("first_at").alias("at"), (F.col("first_at") + size).cast("int").alias("to")).distinct()
-    none = F.lit(None)
-    kind = spans.schema["id"].dataType
-    wanted = spans.unionByName(keepers.select("*", none.cast(kind).alias("first_id"), none.cast("int").alias("first_at")))
-    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "to", "first_id", "first_at")).alias("wanted"))
-    sliced = texts.join(wanted, texts["doc_id"] == wanted["id"]).select(
-        "id", F.explode(F.expr("transform(wanted, x -> named_struct('x', x, 'bytes', substring(cast(text as binary), x.at + 1, x.to - x.at)))")).alias("s")
-    )
-    sliced = sliced.select("id", "s.x.*", F.col("s.bytes").alias("bytes"))
-    keeper = sliced.where("first_id is null").select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), size, F.col("bytes").alias("kept"))
-    others = sliced.where("first_id is not null").select("*", size)
-    same = others.join(keeper.dropDuplicates(["first_id", "first_at", "size"]), ["first_id", "first_at", "size"]).where("bytes = kept")
-    return same.select(F.col("id").alias("doc_id"), "at", "to", "first_id", "first_at")
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    hits = materialize(join_counted(found, materialize(counts), "h"))
+    first = hits.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("many"))
+    spans = materialize(_joined_windows(join_counted(hits, materialize(first), "h").where(~F.struct("id", "at").eqNullSafe(F.col("first")))))
+    return _verified(texts, spans).select(F.col("id").alias("doc_id"), "at", "to", "first_id", "first_at")
 
 
 def cut_runs(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -337,8 +357,10 @@ def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False) -> DataFra
 
     key, spans, done = fresh(docs, "__id"), fresh(docs, "__gone"), fresh(docs, "__cut")
     per = repeated_runs(docs, long).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("at", "to")).alias(spans))
-    joined = docs.join(per, docs["doc_id"] == per[key], "left").drop(key)
+    joined, rest = _touched(docs, per, key)
     joined = joined.withColumn(done, F.arrow_udf(cut, "text string, lines long, n long")("text", spans))
     if report:
-        return joined.select("doc_id", F.col(f"{done}.lines").alias("n_lines_removed"), F.col(f"{done}.n").alias("n_chunks_removed"), F.col(f"{done}.text").alias("kept_text"))
-    return joined.select(*[F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        zero = F.lit(0).cast("long")
+        joined = joined.select("doc_id", F.col(f"{done}.lines").alias("n_lines_removed"), F.col(f"{done}.n").alias("n_chunks_removed"), F.col(f"{done}.text").alias("kept_text"))
+        return joined.unionByName(rest.select("doc_id", zero.alias("n_lines_removed"), zero.alias("n_chunks_removed"), F.col("text").alias("kept_text")))
+    return joined.select(*[F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).unionByName(rest)
