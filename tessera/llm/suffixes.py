@@ -1,25 +1,26 @@
 """Removal of byte strings repeated from earlier documents, by hash-compared suffix sorting.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. Sorting every
-suffix of a corpus would shuffle a multiple of it, so suffixes meet in two rounds:
+suffix of a corpus would shuffle a multiple of it, so documents are dealt over parts of bounded size, and suffixes meet in
+two rounds of messages between parts:
 
 1. Every window of ``length`` bytes contains an *anchor*, its smallest hashed k-mer. Equal windows have equal anchors, so
-   only anchors that occur in several documents matter. Their hashes (a few bytes for every 16 of text) are dealt by
-   hash, packed; the answer names the repeated ones.
+   only anchors that occur in several documents matter. Each part sends the hashes of its anchors (a few bytes for every
+   16 of text) to the parts that count them, and is answered which of them are repeated, and which very often.
 2. Around repeated anchors, the bytes of the windows they stand for (a context of at most 2 * length - k bytes) are dealt
-   by anchor. Equal contexts are merged after comparing their bytes. Where an anchor has several different contexts, their
-   suffixes from the anchor on, and backwards from it, are merge-sorted; two suffixes are compared by binary search for
-   their common extension over prefix polynomial hashes, and neighbours' extensions are verified byte by byte.
+   by anchor. Their suffixes from the anchor on, and backwards from it, are merge-sorted; two suffixes are compared by
+   binary search for their common extension over prefix polynomial hashes. The order and the extensions of neighbours are
+   verified byte by byte. Runs of neighbours whose extensions cover a window are its occurrences.
 
-What a batch holds more than once is resolved within the batch and sent once, so a string in a third of all documents
-reaches a task once per batch.
+Contexts of an anchor that occurs more than ``hot`` times are dealt window by window, by anchor and bytes: equal windows
+still meet, while unlike ones spread. What a part holds more than once is resolved within it and sent once, so a string in
+a third of all documents reaches a task once per part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, utf8
+from .common import partitions, text_bytes, utf8
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -51,17 +52,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def spark_hash(ids: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of longs (XXH64 of 8 bytes, seed 42), for numpy."""
-    p1, p2, p3, p4, p5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << U(r)) | (x >> U(64 - r))
-    h = (U(42) + p5 + U(8)) ^ (turn(ids.astype(np.int64).view(U) * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> U(33))) * p2
-    h = (h ^ (h >> U(29))) * p3
-    return (h ^ (h >> U(32))).view(np.int64)
-
-
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     """f over x[i : i + width]; the last width - 1 places hold f over what is there."""
     out, step = x.copy(), 1
@@ -74,8 +64,8 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, k: int, wanted=None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blockwise: anchor positions and key hashes; with ``wanted`` (positions -> booleans), of the wanted ones only, with
-    the first window that each stands for and how many.
+    """Blockwise: anchor positions and key hashes; with ``wanted`` (hashes -> booleans), of the wanted ones only, with the
+    first window that each stands for and how many.
 
     Anchors are the smallest k-mers of each window of ``length`` bytes within a document; ties are anchors too.
     """
@@ -103,7 +93,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, k: int, wanted=No
         if wanted is None:
             yield at + lo, h[at]
             continue
-        at = at[wanted(at + lo)]
+        at = at[wanted(h[at])]
         if not len(at):
             continue
         padded = np.r_[np.zeros(w - 1, U), back]
@@ -150,71 +140,79 @@ def _by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[rows[0]]), rows
 
 
-ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-SCHEMA = "part int, kind int, blob binary"
+ROWS = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+SCHEMA = "part int, src int, kind int, blob binary"
 
 
-def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    """Messages: to which part, from which, of which kind."""
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ROWS)], schema=ROWS)
 
 
-def _groups(ids: np.ndarray, parts: int) -> np.ndarray:
-    return spark_hash(ids) % parts
-
-
 def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """48 bits of a key, in two columns."""
     return (key >> U(16)).astype(np.uint32), (key & U(0xFFFF)).astype(np.uint16)
 
 
+def _load(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's documents in an order that doesn't depend on how they arrived (id, then text), with ids, bytes, offsets.
+
+    Rows are named by their places in it.
+    """
+    ids = table["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    again = np.flatnonzero(np.diff(ids[order]) == 0)
+    if len(again):
+        some = np.unique(np.r_[again, again + 1])
+        texts = dict(zip(order[some].tolist(), (t or b"" for t in table["text"].take(pa.array(order[some])).cast(pa.binary()).to_pylist())))
+        order = np.array(sorted(order.tolist(), key=lambda r: (ids[r], texts.get(r, b""))), np.int64)
+    table = table.take(pa.array(order))
+    return table, ids[order], *utf8(table["text"])
+
+
 # -- round 1: which anchors are repeated
 
 
-def _send_anchors(ids: np.ndarray, column: pa.Array, length: int, k: int, parts: int) -> list[tuple[int, int, bytes]]:
-    buf, offsets = utf8(column)
+def _send_anchors(table: pa.Table, length: int, k: int, parts: int) -> list[tuple[int, int, int, bytes]]:
+    """To each part that counts them: the part's distinct anchors, how often they occur and whether in several documents."""
+    me = table["part"][0].as_py()
+    _, ids, buf, offsets = _load(table)
     found = list(anchors(buf, offsets, length, k))
     if not found:
         return []
     pos, key = (np.concatenate(x) for x in zip(*found))
     key >>= U(16)
-    row = np.searchsorted(offsets, pos, side="right") - 1
-    doc, at = ids[row], (pos - offsets[row]).astype(np.uint32)
+    doc = ids[np.searchsorted(offsets, pos, side="right") - 1]
     order = np.argsort(key, kind="stable")
-    new = np.r_[True, np.diff(key[order]) != 0]
-    start = np.flatnonzero(new)
+    start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
     several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
-    multi = np.empty(len(key), bool)
-    multi[order] = np.repeat(several, np.diff(np.r_[start, len(key)]))
+    times = np.minimum(np.diff(np.r_[start, len(key)]), 0x7FFF)
+    note = (times << 1 | several).astype(np.uint16)
+    key = key[order][start]
     out = []
-    here = np.flatnonzero(multi)  # known to be repeated: the answers go straight on, each key once to the others
-    for g, rows in _by(_groups(doc[here], parts)):
-        out.append((g, RELAY, _pack(doc=doc[here[rows]], at=at[here[rows]])))
-    once = key[order][start[several]]
-    alone = np.flatnonzero(~multi)
-    theirs = dict(_by((once % U(parts)).astype(np.int64)))
-    none = np.zeros(0, np.int64)
-    mine = dict(_by((key[alone] % U(parts)).astype(np.int64)))
-    for p in mine.keys() | theirs.keys():
-        rows, others = alone[mine.get(p, none)], once[theirs.get(p, none)]
-        out.append((p, 0, _pack(**dict(zip("ab", _split(key[rows]))), doc=doc[rows], at=at[rows], **dict(zip("cd", _split(others))))))
+    for p, rows in _by((key % U(parts)).astype(np.int64)):
+        a, b = _split(key[rows])
+        out.append((p, me, 0, _pack(a=a, b=b, note=note[rows])))
     return out
 
 
-def _answer_anchors(table: pa.Table, parts: int) -> list[tuple[int, int, bytes]]:
-    kinds, blobs, part = table["kind"].to_pylist(), table["blob"].to_pylist(), table["part"].to_pylist()
-    out = [(p, 0, b) for p, kind, b in zip(part, kinds, blobs) if kind == RELAY]
-    a, b, doc, at, c, d = _gather([x for x, kind in zip(blobs, kinds) if kind != RELAY], ("u4", "u2", "i8", "u4", "u4", "u2"))
+def _answer_anchors(table: pa.Table, hot: int) -> list[tuple[int, int, int, bytes]]:
+    """To each part: those of its anchors that several documents hold, and whether they occur ``hot`` times or more."""
+    me, blobs = table["part"][0].as_py(), table["blob"].to_pylist()
+    a, b, note = _gather(blobs, ("u4", "u2", "u2"))
+    src = np.repeat(table["src"].to_numpy(), [struct.unpack_from("<Q", x)[0] for x in blobs])
     key = a.astype(U) << U(16) | b
-    often = np.unique(c.astype(U) << U(16) | d)
-    if not len(key):
-        return out
     order = np.argsort(key, kind="stable")
     start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-    several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
-    several |= np.isin(key[order][start], often)
-    hit = order[np.repeat(several, np.diff(np.r_[start, len(key)]))]
-    for g, rows in _by(_groups(doc[hit], parts)):
-        out.append((g, 0, _pack(doc=doc[hit[rows]], at=at[hit[rows]])))
+    many = np.diff(np.r_[start, len(key)])
+    several = (many > 1) | (np.maximum.reduceat(note[order] & 1, start) == 1)
+    often = np.add.reduceat((note[order] >> 1).astype(np.int64), start) >= hot
+    hit = order[np.repeat(several, many)]
+    hit_often = np.repeat(often, many)[np.repeat(several, many)]
+    out = []
+    for p, rows in _by(src[hit]):
+        a, b = _split(key[hit[rows]])
+        out.append((p, me, 0, _pack(a=a, b=b, hot=hit_often[rows].astype(np.uint8))))
     return out
 
 
@@ -243,29 +241,32 @@ def _padded(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) ->
     return np.where(inside, buf[at], 0).astype(np.uint8)
 
 
-def _tags(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.array([zlib.crc32(buf[a:z]) & 0xFFFF for a, z in zip(offsets[:-1], offsets[1:])], np.uint16)
+def _width(length: int, k: int) -> int:
+    width = 2 * length - k
+    return width + -width % 8
+
+
+def _merged(x: np.ndarray, size: np.ndarray, off: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose equal lies in an earlier document of the part, and the others, which stand for them elsewhere."""
+    order, cls = _classes(x, size, off, key)
+    least = _least(doc[order], cls)
+    later = doc[order] > least[cls]
+    return order[later], order[~later]
 
 
-def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts: int) -> list[tuple[int, int, bytes]]:
-    doc, at = _gather(answers["blob"].to_pylist(), ("i8", "u4"))
-    if not len(doc) or not docs.num_rows:
+def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts: int) -> list[tuple[int, int, int, bytes]]:
+    if not docs.num_rows or not answers.num_rows:
         return []
-    many, n = np.unique(doc, return_inverse=True)
-    asked = np.unique(n.astype(np.int64) << 32 | at)
-    some = np.isin(docs["doc_id"].to_numpy(), many)
-    docs = docs.filter(pa.array(some))
-    ids = docs["doc_id"].to_numpy()
-    buf, offsets = utf8(docs["text"])
-    tags = _tags(buf, offsets)
-    width = 2 * length - k
-    width += -width % 8
-    rank = np.searchsorted(many, ids).astype(np.int64) << 32
+    me = docs["part"][0].as_py()
+    a, b, hot = _gather(answers["blob"].to_pylist(), ("u4", "u2", "u1"))
+    asked = a.astype(U) << U(16) | b
+    order = np.argsort(asked)
+    asked, hot = asked[order], hot[order].astype(bool)
+    _, ids, buf, offsets = _load(docs)
 
-    def hit(pos: np.ndarray) -> np.ndarray:
-        row = np.searchsorted(offsets, pos, side="right") - 1
-        code = rank[row] | (pos - offsets[row])
-        return asked[np.minimum(np.searchsorted(asked, code), len(asked) - 1)] == code
+    def hit(h: np.ndarray) -> np.ndarray:
+        h = h >> U(16)
+        return asked[np.minimum(np.searchsorted(asked, h), len(asked) - 1)] == h
 
     got = list(anchors(buf, offsets, length, k, hit))
     if not got:
@@ -273,19 +274,36 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts
     pos, key, first, count = (np.concatenate(x) for x in zip(*got))
     row = np.searchsorted(offsets, pos, side="right") - 1
     key >>= U(16)
-    size, off = (count + length - 1).astype(np.uint8), (pos - first).astype(np.uint8)
-    x = _padded(buf, first, size, width)
-    doc, tag, begin = ids[row], tags[row], (first - offsets[row]).astype(np.uint32)
-    order, cls = _classes(x, size, off, key)
-    least = _least(doc[order], cls)
-    later = order[doc[order] > least[cls]]  # an equal context lies in an earlier document of this batch
-    out = [(g, RELAY, _masks(doc[later[r]], tag[later[r]], begin[later[r]], _full(count[later[r]]))) for g, r in _by(_groups(doc[later], parts))]
-    lead = order[doc[order] == least[cls]]
-    for p, r in _by((key[lead] % U(parts)).astype(np.int64)):
-        r = lead[r]
+    often = hot[np.searchsorted(asked, key)]
+    off, width, out = pos - first, _width(length, k), []
+    dealt = []
+
+    def relay(r: np.ndarray) -> None:
+        if len(r):
+            out.append((me, me, RELAY, _masks(row[r], first[r] - offsets[row[r]], _full(count[r]))))
+
+    x = _padded(buf, first, count + length - 1, width)
+    later, lead = _merged(x, count + length - 1, off, key, ids[row])
+    relay(later)
+    cold = lead[~often[lead]]
+    dealt.append((key[cold], row[cold], first[cold], count[cold], off[cold], x[cold]))
+    r = lead[often[lead]]
+    if len(r):  # window by window, each with a key of its anchor and bytes
+        t = np.arange(count[r].sum()) - np.repeat(np.cumsum(count[r]) - count[r], count[r])
+        r = np.repeat(r, count[r])
+        key, row, first, off, count = key[r], row[r], first[r] + t, off[r] - t, np.ones(len(r), np.int64)
+        x = _padded(buf, first, np.full(len(r), length), width)
+        key = _identity(x, key) >> U(16)
+        later, lead = _merged(x, np.full(len(r), length), off, key, ids[row])
+        relay(later)
+        dealt.append((key[lead], row[lead], first[lead], count[lead], off[lead], x[lead]))
+    key, row, first, count, off, x = (np.concatenate(y) for y in zip(*dealt))
+    size = count + length - 1
+    for p, r in _by((key % U(parts)).astype(np.int64)):
         a, b = _split(key[r])
         body = x[r][np.arange(width) < size[r][:, None]]
-        out.append((p, 0, _pack(a=a, b=b, doc=doc[r], tag=tag[r], begin=begin[r], size=size[r], off=off[r], body=body)))
+        begin = (first[r] - offsets[row[r]]).astype(np.uint32)
+        out.append((p, me, 0, _pack(a=a, b=b, doc=ids[row[r]], row=row[r].astype(np.uint32), begin=begin, size=size[r].astype(np.uint16), off=off[r].astype(np.uint8), body=body)))
     return out
 
 
@@ -297,8 +315,8 @@ def _full(count: np.ndarray) -> np.ndarray:
     return ((np.int64(1) << count.astype(np.int64)) - 1).astype(np.uint64)
 
 
-def _masks(doc, tag, begin, mask) -> bytes:
-    return _pack(doc=doc, tag=tag.astype(np.uint16), begin=begin.astype(np.uint32), mask=mask.astype(np.uint64))
+def _masks(row: np.ndarray, begin: np.ndarray, mask: np.ndarray) -> bytes:
+    return _pack(row=row.astype(np.uint32), begin=begin.astype(np.uint32), mask=mask.astype(np.uint64))
 
 
 def merge_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,8 +324,8 @@ def merge_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.n
     extension with the one before it (0 at a group's start).
 
     Strings are compared by binary search for their common extension over prefix polynomial hashes, a logarithmic number
-    of comparisons; all groups' runs are merged bottom-up at once. The extensions are then verified byte by byte; should a
-    hash have collided, the strings are sorted by their bytes instead.
+    of comparisons; all groups' runs are merged bottom-up at once. The extensions and the order of neighbours are then
+    verified byte by byte; should a hash have collided, the strings are sorted by their bytes instead.
     """
     n, width = x.shape
     q = np.zeros((n, width + 1), U)
@@ -361,12 +379,20 @@ def merge_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.n
     hashed = np.zeros(n, np.int64)
     hashed[1:] = np.where(group[1:] == group[:-1], common(order[:-1], order[1:]), 0)
     exact = _extension(x, size, group, order)
-    if (hashed != exact).any():
+    if (hashed != exact).any() or not _in_order(x, size, group, order, exact):
         order = np.lexsort((size, *x.T[::-1], group))
         exact = _extension(x, size, group, order)
     return order, exact
 
 
+def _in_order(x: np.ndarray, size: np.ndarray, group: np.ndarray, order: np.ndarray, common: np.ndarray) -> bool:
+    """Whether neighbours of a group, ``common`` bytes of which are equal, stand in ascending order."""
+    i, j, c = order[:-1], order[1:], common[1:]
+    at = np.minimum(c, x.shape[1] - 1)
+    less = np.where(c == size[i], True, np.where(c == size[j], False, x[i, at] < x[j, at]))
+    return bool((less | (group[i] != group[j])).all())
+
+
 def _extension(x: np.ndarray, size: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
     out = np.zeros(len(order), np.int64)
     if len(order) > 1:
@@ -381,7 +407,7 @@ def _extension(x: np.ndarray, size: np.ndarray, group: np.ndarray, order: np.nda
 def repeated_windows(x: np.ndarray, off: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
     """Bit masks of the rows' windows (bit t: the window at place t) that also occur in a row of a smaller ``doc``.
 
-    Rows are distinct contexts, in the order of their keys. A window is its bytes from the anchor on and those before it.
+    Rows are contexts, in the order of their keys. A window is its bytes from the anchor on and those before it.
     Both parts are suffix-sorted, the latter backwards; at each distance of the anchor from a window's start, windows are
     equal if no common extension between them falls short on either side.
     """
@@ -414,63 +440,55 @@ def repeated_windows(x: np.ndarray, off: np.ndarray, count: np.ndarray, doc: np.
     return mask
 
 
-def _answer_contexts(table: pa.Table, length: int, k: int, parts: int) -> list[tuple[int, int, bytes]]:
-    kinds, blobs, part = table["kind"].to_pylist(), table["blob"].to_pylist(), table["part"].to_pylist()
-    out = [(p, 0, b) for p, kind, b in zip(part, kinds, blobs) if kind == RELAY]
-    a, b, doc, tag, begin, size, off, body = _gather([x for x, kind in zip(blobs, kinds) if kind != RELAY], ("u4", "u2", "i8", "u2", "u4", "u1", "u1", "u1"))
-    if not len(doc):
+def _answer_contexts(table: pa.Table, length: int, k: int, block: int = 1 << 15) -> list[tuple[int, int, int, bytes]]:
+    """To each part: its rows' windows that also occur in an earlier document. Keys are sorted in blocks of whole keys."""
+    me, kinds = table["part"][0].as_py(), table["kind"].to_numpy()
+    blobs, src = table["blob"].to_pylist(), table["src"].to_numpy()
+    out = [(me, me, 0, b) for b, kind in zip(blobs, kinds) if kind == RELAY]
+    mine = np.flatnonzero(kinds != RELAY)
+    if not len(mine):
         return out
+    blobs = [blobs[i] for i in mine]
+    a, b, doc, row, begin, size, off, body = _gather(blobs, ("u4", "u2", "i8", "u4", "u4", "u2", "u1", "u1"))
+    src = np.repeat(src[mine], [struct.unpack_from("<Q", x)[0] for x in blobs])
     key = a.astype(U) << U(16) | b
-    width = 2 * length - k
-    width += -width % 8
-    size64 = size.astype(np.int64)
-    x = _padded(body, np.cumsum(size64) - size64, size64, width)
-    order, cls = _classes(x, size, off, key)
-    docs = doc[order]
-    least = _least(docs, cls)
-    count = size64 - length + 1
-    mask = np.where(docs > least[cls], _full(count[order]), U(0))
-    first = np.flatnonzero(np.r_[True, np.diff(cls) != 0])
-    ckey = key[order[first]]
-    unlike = np.zeros(len(first), bool)  # classes that share their key with another
-    unlike[1:] |= ckey[1:] == ckey[:-1]
-    unlike[:-1] |= ckey[:-1] == ckey[1:]
-    u = np.flatnonzero(unlike)
-    if len(u):
-        r = order[first[u]]
-        found = np.zeros(len(first), np.uint64)
-        found[u] = repeated_windows(x[r], off[r], count[r], least[u], key[r], length)
-        mask |= found[cls]
-    hit = np.flatnonzero(mask)
-    rows = order[hit]
-    for g, r in _by(_groups(doc[rows], parts)):
-        out.append((g, 0, _masks(doc[rows[r]], tag[rows[r]], begin[rows[r]], mask[hit[r]])))
+    size = size.astype(np.int64)
+    at = np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    many = np.diff(np.r_[start, len(key)])
+    several = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
+    order = order[np.repeat(several, many)]
+    ends = np.cumsum(many[several])
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, side="right")))
+        r = order[ends[i - 1] if i else 0: ends[j - 1]]
+        x = _padded(body, at[r], size[r], _width(length, k))
+        mask = repeated_windows(x, off[r], size[r] - length + 1, doc[r], key[r], length)
+        r, mask = r[mask != 0], mask[mask != 0]
+        for p, n in _by(src[r]):
+            out.append((p, me, 0, _masks(row[r[n]], begin[r[n]], mask[n])))
+        i = j
     return out
 
 
 # -- what is left of the documents
 
 
-def _finish(docs: pa.Table, answers: pa.Table, length: int, texts: bool) -> list[pa.Array]:
-    ids = docs["doc_id"].to_numpy(zero_copy_only=False)
-    buf, offsets = utf8(docs["text"])
-    doc, tag, begin, mask = _gather(answers["blob"].to_pylist(), ("i8", "u2", "u4", "u8"))
+def _finish(docs: pa.Table, answers: pa.Table | None, length: int, texts: bool) -> list[pa.Array]:
+    if answers is None:
+        buf, offsets = utf8(docs["text"])
+    else:
+        docs, _, buf, offsets = _load(docs)
     depth = np.zeros(len(buf) + 1, np.int32)
-    if len(doc):
-        tags = _tags(buf, offsets)
-        known = np.where(docs["doc_id"].is_valid().to_numpy(), ids, np.nan if ids.dtype.kind == "f" else ids)
-        order = np.argsort(known, kind="stable")
-        low, high = np.searchsorted(known[order], doc, "left"), np.searchsorted(known[order], doc, "right")
-        many = high - low  # rows that repeat an id are told apart by their tags
-        i = np.repeat(np.arange(len(doc)), many)
-        row = order[np.repeat(low, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)]
-        mine = tags[row] == tag[i]
-        i, row = i[mine], row[mine]
+    if answers is not None and answers.num_rows:
+        row, begin, mask = _gather(answers["blob"].to_pylist(), ("u4", "u4", "u8"))
         for t in range(64):
-            on = (mask[i] >> U(t) & U(1)).astype(bool)
+            on = (mask >> U(t) & U(1)).astype(bool)
             if not on.any():
                 continue
-            at = offsets[row[on]] + begin[i[on]] + t
+            at = offsets[row[on]] + begin[on] + t
             np.add.at(depth, at, 1)
             np.add.at(depth, at + length, -1)
     gone = np.cumsum(depth[:-1]) > 0
@@ -488,28 +506,36 @@ def _finish(docs: pa.Table, answers: pa.Table, length: int, texts: bool) -> list
     return cols + ([pa.array([p.decode("utf-8", "replace") for p in parts])] if texts else [])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, texts: bool = False, part_bytes: int = 24 << 20, hot: int = 1 << 14) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept_text.
 
-    Null texts are empty. Rows of a null doc_id have no earlier document: they lose nothing and cause no removal. Rows that
-    repeat an id are one document's for the comparison (neither removes the other's bytes). ``kept_text`` shows characters
-    cut in two as replacement characters. Every string is judged on the input.
+    Null and empty texts have no bytes. Rows of a null doc_id have no earlier document: they lose nothing and cause no
+    removal. Rows that repeat an id are one document's for the comparison (neither removes the other's bytes), and each
+    gets its result. ``kept_text`` shows characters cut in two as replacement characters. Every string is judged on the
+    input. Extra columns play no part; an empty table gives no rows.
+
+    There are as many parts as shuffle partitions, or more, so that one holds about ``part_bytes`` of text; a task holds
+    one part at a time. ``hot`` only bounds what one anchor brings into a task; results don't depend on either.
     """
     if not 1 <= k <= length or length - k + 1 > 64:
         raise ValueError("1 <= k <= length, and length - k < 64")
-    parts = partitions(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grouped = slim.withColumn("part", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(parts)).cast("int"))
+    known = slim.where("doc_id IS NOT NULL")
+    parts = max(partitions(docs.sparkSession), -(-text_bytes(known) // part_bytes))
+    dealt = lambda df: df.repartition(parts, "part").groupBy("part")
+    # with the text, so that rows of one frequent id spread as well
+    placed = known.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept_text"] if texts else [])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
+
+    first = dealt(placed).applyInArrow(lambda d: _table(_send_anchors(d, length, k, parts)), SCHEMA)
+    repeated = dealt(first).applyInArrow(lambda t: _table(_answer_anchors(t, hot)), SCHEMA)
+    second = dealt(placed).cogroup(dealt(repeated)).applyInArrow(lambda d, a: _table(_send_contexts(d, a, length, k, parts)), SCHEMA)
+    masks = dealt(second).applyInArrow(lambda t: _table(_answer_contexts(t, length, k)), SCHEMA)
+    out = dealt(placed).cogroup(dealt(masks)).applyInArrow(lambda d, a: pa.Table.from_arrays(_finish(d, a, length, texts), names), schema)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if rows := _send_anchors(b.column(0).to_numpy(), b.column(1), length, k, parts):
-                yield from _table(rows).to_batches()
+            yield from pa.Table.from_arrays(_finish(pa.table(b), None, length, texts), names).to_batches()
 
-    first = slim.where("doc_id is not null").mapInArrow(send, SCHEMA)
-    repeated = first.groupBy("part").applyInArrow(lambda t: _table(_answer_anchors(t, parts)), SCHEMA)
-    second = grouped.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(lambda d, a: _table(_send_contexts(d.filter(d["doc_id"].is_valid()), a, length, k, parts)), SCHEMA)
-    masks = second.groupBy("part").applyInArrow(lambda t: _table(_answer_contexts(t, length, k, parts)), SCHEMA)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept_text"] if texts else [])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return grouped.groupBy("part").cogroup(masks.groupBy("part")).applyInArrow(lambda d, a: pa.Table.from_arrays(_finish(d, a, length, texts), names), schema)
+    return out.unionByName(slim.where("doc_id IS NULL").mapInArrow(whole, schema))

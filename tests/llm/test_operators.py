@@ -75,17 +75,32 @@ def test_suffix_dedup(spark, docs):
     assert {i: tuple(r)[1:5] for i, r in got.items()} == want
 
 
-def test_suffix_dedup_overlaps_and_copies(spark):
+@pytest.mark.parametrize("hot", [1 << 14, 2])
+def test_suffix_dedup_overlaps_and_copies(spark, hot):
     rng = random.Random(3)
     whole = "".join(rng.choice("abé") for _ in range(900))
     rows = []
     for i in range(60):
         a, b = sorted(rng.sample(range(900), 2))
         rows.append((i, whole[a:b] + rng.choice(["", "zz", "é"]) + whole[b // 2: b // 2 + rng.randrange(120)], None))
-    got = by_id(suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), 50))
+    got = by_id(suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), 50, part_bytes=4_000, hot=hot))
     assert {i: tuple(r)[1:5] for i, r in got.items()} == repeats([(i, t.encode()) for i, t, _ in rows], 50)
 
 
+def test_suffix_dedup_ids(spark, none):
+    """Null ids, ids above 2^53 and repeated ids: the first copy always stays."""
+    text, other = "the quick brown fox " * 6, "jumps over the lazy dog and on " * 4
+    rows = [(2**60 + i, text, None) for i in range(1, 9)] + [(None, text, None), (5, other, None), (5, other, None), (5, other + text, None), (6, other, None), (7, None, None), (7, "", None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"part": F.lit("clash"), "src": F.lit(1), "blob": F.lit(2)})
+    got = sorted(suffixes.remove_repeats(df, 50).collect(), key=lambda r: (r["doc_id"] or -1, r["n_bytes"]))
+    gone = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in got}
+    assert len(got) == len(rows)
+    assert gone == {(2**60 + i, len(text)): len(text) for i in range(1, 9)} | {(None, len(text)): 0, (5, len(other)): 0, (5, len(other + text)): 0, (6, len(other)): len(other), (7, 0): 0}
+    alone = suffixes.remove_repeats(df.where("doc_id > 100 OR doc_id IS NULL"), 50).collect()
+    assert {(r["doc_id"], r["n_removed"]) for r in alone} == {(2**60 + i, len(text) if i > 1 else 0) for i in range(1, 9)} | {(None, 0)}
+    assert suffixes.remove_repeats(none, 50).count() == 0
+
+
 def test_merge_sort_is_a_sort():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (300, 24)).astype(np.uint8)
