@@ -255,9 +255,27 @@ def _hashed_windows(docs: DataFrame, long: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"h long, id {kind}, at int, to int")
 
 
+def fewest(spans: list[tuple[int, int]]) -> list[int]:
+    """Places of the fewest of the spans, sorted by start, that cover all that they cover together."""
+    out, end, i = [], -1, 0
+    while i < len(spans):
+        if spans[i][1] <= end:
+            i += 1
+            continue
+        # of those that start no later than what is covered so far ends (or, after a gap, than this one), the longest
+        start, best = max(end, spans[i][0]), i
+        while i < len(spans) and spans[i][0] <= start:
+            if spans[i][1] > spans[best][1]:
+                best = i
+            i += 1
+        out.append(best)
+        end = spans[best][1]
+    return out
+
+
 def _joined_windows(hits: DataFrame) -> DataFrame:
     """(id, at, to, first_id, first_at): windows of a text that overlap and have the same first text, at the same
-    distance, as one span."""
+    distance, as one span; of these, the fewest that cover the same bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,18 +285,22 @@ def _joined_windows(hits: DataFrame) -> DataFrame:
             a_, z_, f_ = (flat.field(k).to_pylist() for k in range(3))
             names = flat.field(3).to_pylist()
             for r in range(b.num_rows):
-                last = {}
-                for k in sorted(range(off[r], off[r + 1]), key=a_.__getitem__):
+                last: dict = {}
+                spans: list[list[int]] = []
+                for k in sorted(range(off[r], off[r + 1]), key=lambda k: (a_[k], -z_[k])):
                     key = names[k], a_[k] - f_[k]
                     i = last.get(key)
-                    if i is not None and a_[k] <= to[i]:
-                        to[i] = max(to[i], z_[k])
+                    if i is not None and a_[k] <= spans[i][1]:
+                        spans[i][1] = max(spans[i][1], z_[k])
                         continue
-                    last[key] = len(row)
+                    last[key] = len(spans)
+                    spans.append([a_[k], z_[k], k])
+                for i in fewest([(a, z) for a, z, _ in spans]):
+                    a, z, k = spans[i]
                     row.append(r)
                     source.append(k)
-                    at.append(a_[k])
-                    to.append(z_[k])
+                    at.append(a)
+                    to.append(z)
                     back.append(f_[k])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(to, pa.int32()), flat.field(3).take(pa.array(source, pa.int64())), pa.array(back, pa.int32())],
