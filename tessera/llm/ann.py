@@ -2,8 +2,9 @@
 
 Vectors are centred, normalised and rotated; the code keeps the signs. With o the rotated unit vector and c = sign(o) /
 sqrt(d), <o, q> is estimated by <c, q> / <o, c>, and lies within eps * sqrt((1 - <o,c>^2) / <o,c>^2 / (d - 1)) of it with
-high probability. Distances get lower and upper bounds this way; only vectors whose lower bound does not exceed the k-th
-smallest upper bound are compared exactly.
+high probability (with eps = sqrt(d - 1) always). <c, q> is counted on packed bits: the rotated query is rounded to 8 bits a
+component, and each of its 8 bit planes is met with the code by AND and population count; what rounding can change is added
+to the bounds. Only vectors whose lower bound doesn't exceed the k-th smallest distance known so far are compared exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
+PLANES = 8
+
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     """A fixed random orthogonal matrix."""
@@ -26,59 +28,84 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def pack_bits(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    out = np.zeros((len(bits), -(-packed.shape[1] // 8) * 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, norm of the centred vector, and <o, c>."""
     y = x - centre
     norm = np.sqrt((y * y).sum(1))
     o = (y @ turn.T) / np.maximum(norm, 1e-300)[:, None]
-    return np.packbits(o > 0, axis=1), norm, np.abs(o).sum(1) / np.sqrt(x.shape[1])
-
-
-def _search(query_ids, queries, ids, vectors, codes, norms, cors, centre, turn, k: int, eps: float, skip_self: bool = True):
-    """The k nearest of the given rows for each query, exact distances among those that the bounds leave."""
-    d = vectors.shape[1]
-    out = []
-    safe = np.maximum(cors, 1e-9)
-    spread = eps * np.sqrt(np.maximum(1 - safe**2, 0) / safe**2 / max(d - 1, 1))
-    signs = (np.unpackbits(codes, axis=1)[:, :d].astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
-    turned = (queries - centre) @ turn.T
-    for a in range(0, len(queries), 64):
-        q = turned[a: a + 64]
-        qn = np.sqrt((q * q).sum(1))
-        inner = (signs @ q.T.astype(np.float32)).T / safe  # <c, q> from the code bits, over <o, c>
-        middle = norms**2 + (qn**2)[:, None] - 2 * norms * inner
-        width = 2 * norms * spread * qn[:, None] + 1e-6 * (norms**2 + (qn**2)[:, None])
-        low, high = middle - width, middle + width
-        for i in range(len(q)):
-            mine = query_ids[a + i]
-            others = ids != mine if skip_self else np.ones(len(ids), bool)
-            if not others.any():
-                continue
-            up = high[i][others]
-            cut = np.partition(up, k - 1)[k - 1] if len(up) > k else np.inf
-            left = np.flatnonzero(others & (low[i] <= cut))
-            dist = np.sqrt(((vectors[left] - queries[a + i]) ** 2).sum(1))
-            best = np.lexsort((ids[left], dist))[:k]
-            out.append((np.full(len(best), mine), ids[left][best], dist[best]))
-    return out
-
-
-def nearest(
-    embeddings: DataFrame,
-    every: int = 100,
-    k: int = 10,
-    eps: float = 2.5,
-    row_block: int = 16_384,
-    query_block: int = 2_048,
-    sample: int = 10_000,
-) -> DataFrame:
+    return pack_bits(o > 0), norm, np.abs(o).sum(1) / np.sqrt(x.shape[1])
+
+
+class Queries:
+    """A bounded batch of queries, rotated and rounded to bit planes, with upper bounds of their k-th distances."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, eps: float, bound: np.ndarray):
+        self.ids, self.vectors, self.k, self.eps, self.bound = ids, vectors, k, eps, bound
+        turned = (vectors - centre) @ turn.T
+        self.norm = np.sqrt((turned * turned).sum(1))
+        self.low = turned.min(1)
+        self.step = np.maximum(turned.max(1) - self.low, 1e-300) / (2**PLANES - 1)
+        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = np.stack([pack_bits(level >> j & 1) for j in range(PLANES)], axis=1)
+        self.total = self.low * vectors.shape[1] + self.step * level.sum(1, dtype=np.float64)
+
+    def search(self, blocks: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, vec_id, distance) of the k nearest of all blocks' rows for each query, within its bound."""
+        n, k = len(self.ids), self.k
+        best, names, many = np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros(n, np.int64)
+        cut = self.bound.copy()
+        for ids, vectors, codes, norms, cors in blocks:
+            d = vectors.shape[1]
+            safe = np.maximum(cors, 1e-9)
+            spread = self.eps * np.sqrt(np.maximum(1 - safe**2, 0) / safe**2 / max(d - 1, 1))
+            ones = np.bitwise_count(codes).sum(1, dtype=np.float64)
+            scale = 2 * norms / (safe * np.sqrt(d))
+            square = norms**2
+            for i in range(n):
+                count = np.zeros(len(ids), np.int64)
+                for j in range(PLANES):
+                    count += np.bitwise_count(codes & self.planes[i, j]).sum(1, dtype=np.int64) << j
+                # <s, q> for the signs s = 2 * bits - 1
+                signed = 2 * (self.low[i] * ones + self.step[i] * count) - self.total[i]
+                low = square + self.norm[i] ** 2 - scale * (signed + d * self.step[i] / 2) - 2 * norms * spread * self.norm[i]
+                low -= 1e-6 * (square + self.norm[i] ** 2)
+                left = np.flatnonzero((low <= cut[i] ** 2) & (ids != self.ids[i]))
+                if not len(left):
+                    continue
+                dist = np.sqrt(((vectors[left] - self.vectors[i]) ** 2).sum(1))
+                near = dist <= cut[i]
+                left, dist = left[near], dist[near]
+                m = many[i]
+                all_d, all_i = np.r_[best[i, :m], dist], np.r_[names[i, :m], ids[left]]
+                first = np.lexsort((all_i, all_d))[:k]
+                many[i] = len(first)
+                best[i, : len(first)], names[i, : len(first)] = all_d[first], all_i[first]
+                if len(first) == k:
+                    cut[i] = min(cut[i], best[i, k - 1])
+        some = np.arange(k) < many[:, None]
+        return np.nonzero(some)[0], names[some], best[some]
+
+
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, eps: float | None = 2.5, sample: int = 10_000, batch_bytes: int = 16 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of every row whose vec_id is divisible by ``every``.
 
-    All rows are coded; the centre is the mean of at most ``sample`` rows (those of the smallest id hashes), which
-    affects only the codes' precision. Query blocks meet row blocks, so no task holds more than one of each; within a
-    block bounds choose what is compared exactly, and the blocks' k best meet per query. Ties go to the smaller vec_id.
+    All rows are coded and stay where they are; queries go to them in broadcast batches of ``batch_bytes`` of vectors, one
+    pass over the codes each, so that no vector is ever shuffled and no task holds more than a batch and a block of rows.
+    The centre is the mean of at most ``sample`` rows (those of the smallest id hashes), among which each query also gets
+    an upper bound of its k-th distance; both affect only how much is compared. ``eps`` None makes the bounds certain and
+    the result exact. Ties go to the smaller vec_id.
+
     Vectors that are null, empty, all zero, of another length than most, or hold null or non-finite numbers take no
-    part, nor do rows of a null vec_id. Rows that repeat an id are compared each; a query never finds its own id.
+    part, nor do rows of a null vec_id. Rows that repeat an id are compared each; as queries they are one, with the k best
+    rows of any of its vectors; a query never finds its own id. Extra columns play no part; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
     ok = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -87,40 +114,59 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:
         return spark.createDataFrame([], schema)
-    dim, total = dims["d"], dims["count"]
+    dim = dims["d"]
     rows = rows.where(F.size("embedding") == dim)
     # ``sample`` vectors at most
-    centre = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()], np.float64).mean(0)
-    turn = rotation(dim)
-    queries = rows.where(F.col("id") % every == 0)
-    rb = max(1, -(-total // row_block))
-    qb = max(1, -(-(total // every + 1) // query_block))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    known, around = some["id"].to_numpy(), some["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+    centre, turn = around.mean(0), rotation(dim)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-                code, norm, cor = encode(x, centre, turn)
+                code, norm, cor = encode(vectors(b.column(1)), centre, turn)
                 packed = pa.array([c.tobytes() for c in code], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, pa.array(norm), pa.array(cor)], ["id", "embedding", "code", "norm", "cor"])
 
+    def vectors(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+
     kind = embeddings.schema["embedding"].dataType.simpleString()
     index = materialize(rows.mapInArrow(coded, f"id long, embedding {kind}, code binary, norm double, cor double"))
-    spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    right = index.withColumn("rb", spread("id", rb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    left = queries.withColumn("qb", spread("id", qb)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
-
-    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(q) or not len(r):
-            return none
-        vectors = np.stack(r["embedding"].to_numpy()).astype(np.float64)
-        codes = np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1)
-        found = _search(
-            q["id"].to_numpy(), np.stack(q["embedding"].to_numpy()).astype(np.float64), r["id"].to_numpy(), vectors, codes, r["norm"].to_numpy(), r["cor"].to_numpy(), centre, turn, k, eps
-        )
-        return pd.DataFrame(dict(zip(none, map(np.concatenate, zip(*found))))) if found else none
-
-    best = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    asked = materialize(index.where(F.col("id") % every == 0).select("id", "embedding").distinct())
+    batches = -(-asked.count() * dim * 8 // batch_bytes)
+    best = None
+    for n in range(batches):
+        mine = asked.where(F.pmod(F.xxhash64("id", "embedding"), F.lit(batches)) == n).toArrow()  # about ``batch_bytes``
+        if not mine.num_rows:
+            continue
+        ids, q = mine["id"].to_numpy(), vectors(mine["embedding"].combine_chunks())
+        shared = spark.sparkContext.broadcast(Queries(ids, q, centre, turn, k, np.sqrt(dim - 1) if eps is None else eps, _bounds(ids, q, known, around, k)))
+
+        def search(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks = (
+                (b.column(0).to_numpy(), vectors(b.column(1)), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1), b.column(3).to_numpy(), b.column(4).to_numpy())
+                for b in parts if b.num_rows
+            )
+            which, found, dist = shared.value.search(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.ids[which]), pa.array(found), pa.array(dist)], ["query_id", "vec_id", "score"])
+
+        part = index.mapInArrow(search, "query_id long, vec_id long, score double")
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return spark.createDataFrame([], schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _bounds(ids: np.ndarray, q: np.ndarray, known: np.ndarray, around: np.ndarray, k: int, step: int = 1024) -> np.ndarray:
+    """For each query, the k-th smallest distance among the sample, a little enlarged for rounding; infinite if it has fewer rows."""
+    out = np.full(len(ids), np.inf)
+    square = (around**2).sum(1)
+    for a in range(0, len(ids), step):
+        far = square + (q[a: a + step] ** 2).sum(1)[:, None] - 2 * (q[a: a + step] @ around.T)
+        far[known == ids[a: a + step, None]] = np.inf
+        if far.shape[1] >= k:
+            slack = 1e-9 * (square.max() + (q[a: a + step] ** 2).sum(1))
+            out[a: a + step] = np.sqrt(np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1], 0) + slack)
+    return out

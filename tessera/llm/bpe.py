@@ -12,9 +12,11 @@ boundary of the final tokens splits the text into two parts that are tokenised i
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 END = "</w>"
+_BREAK = re.compile(rb"[\t-\r ]")
 SPACES = r"\t-\r\x85\p{Z}"
 
 
@@ -181,34 +184,63 @@ class Vocabulary:
         return b"".join([*out, self._plain(text[at:])])
 
     def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text as little-endian uint32. White space always ends a word, so pieces between it stand alone."""
-        return b"".join(map(self.known.__getitem__, text.split()))
+        """Ids of a whole text as little-endian uint32."""
+        return b"".join(self.stream(text))
+
+    def stream(self, text: bytes, block: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of a text, block by block. White space always ends a word, so pieces between it stand alone, and blocks are
+        cut there; a longer piece is a block of its own."""
+        at = 0
+        while at < len(text):
+            cut = _BREAK.search(text, min(at + block, len(text)))
+            end = cut.start() if cut else len(text)
+            yield b"".join(map(self.known.__getitem__, text[at:end].split()))
+            at = end
 
 
 class Decoder:
-    """Ids to text, a piece at a time: the vocabulary has no decoder, so tokens are joined by spaces as they are."""
+    """Ids to text, a piece at a time, as an incremental byte-to-text state machine.
+
+    A token stands for bytes; what it leaves unfinished of a character is the state, beside whether anything came before.
+    A file without a decoder joins its tokens by spaces as they are written (``raw`` False); with ``raw`` the letters are
+    turned back into the text's own bytes and word ends into spaces.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, raw: bool = False):
+        byte = {letter: bytes([b]) for b, letter in enumerate(vocabulary.letters)}
+
+        def own(token: str) -> bytes:
+            word = token.endswith(END) and len(token) > len(END)
+            return b"".join(byte.get(c, c.encode()) for c in (token[: -len(END)] if word else token)) + (b" " if word else b"")
 
-    def __init__(self, vocabulary: Vocabulary):
         tokens = vocabulary.tokens
-        # token bytes by id; the text between ids is produced by the state "something was emitted"
-        self.table = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
+        write = own if raw else str.encode
+        self.table = [write(tokens.get(i, "")) for i in range(max(tokens) + 1)]
         self.known = np.zeros(len(self.table), bool)
         self.known[list(tokens)] = True
-        self.started = False
+        self.between = b"" if raw else b" "
+        self.reset()
 
-    def feed(self, ids: np.ndarray) -> bytes:
+    def feed(self, ids: np.ndarray) -> str:
+        """The text that these ids complete."""
         ids = ids[(ids < len(self.table))]
         ids = ids[self.known[ids]]
         if not len(ids):
-            return b""
-        text = b" ".join(map(self.table.__getitem__, ids.tolist()))
+            return ""
+        text = self.between.join(map(self.table.__getitem__, ids.tolist()))
         if self.started:
-            text = b" " + text
+            text = self.between + text
         self.started = True
-        return text
+        return self.characters.decode(text)
+
+    def finish(self) -> str:
+        """What is left of a character that never ended, as replacement characters; then the state is fresh."""
+        left = self.characters.decode(b"", final=True)
+        self.reset()
+        return left
 
     def reset(self) -> None:
-        self.started = False
+        self.started, self.characters = False, codecs.getincrementaldecoder("utf-8")("replace")
 
 
 @lru_cache(2)
@@ -226,8 +258,9 @@ def _ship(docs: DataFrame, vocabulary: str) -> str:
 def encode_documents(docs: DataFrame, vocabulary: str, decode: bool = True, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256 and (``decode``) decoded_sha256 of every row; ``with_ids`` adds the ids.
 
-    Map-only; memory is bounded by one Arrow batch, one word's lookahead buffer and a bounded word cache. Null and
-    empty texts have no tokens. Rows, repeated or not, each get their result.
+    Map-only; texts go through in blocks, so that beside one Arrow batch memory is bounded by a block (or a longer word),
+    one word's lookahead buffer and a bounded word cache; only ``with_ids`` holds a text's ids. Null and empty texts have no
+    tokens. Rows, repeated or not, of whatever id, each get their result; columns not in ``keep`` play no part.
     """
     name = _ship(docs, vocabulary)
     slim = docs.select(*keep, "text")
@@ -239,17 +272,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, decode: bool = True, keep
         for b in batches:
             n, shas, decoded, every = [], [], [], []
             for text in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist():
-                ids = v.encode(text or b"")
-                n.append(len(ids) // 4)
-                shas.append(hashlib.sha256(ids).hexdigest())
+                many, sha, back, parts = 0, hashlib.sha256(), hashlib.sha256(), []
+                for ids in v.stream(text or b""):
+                    sha.update(ids)
+                    many += len(ids) // 4
+                    if with_ids:
+                        parts.append(ids)
+                    if decode:
+                        a = np.frombuffer(ids, "<u4")
+                        for i in range(0, len(a), 65_536):
+                            back.update(d.feed(a[i: i + 65_536]).encode())
+                n.append(many)
+                shas.append(sha.hexdigest())
                 if with_ids:
-                    every.append(np.frombuffer(ids, "<u4").astype(np.int32))
+                    every.append(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))
                 if decode:
-                    d.reset()
-                    h, a = hashlib.sha256(), np.frombuffer(ids, "<u4")
-                    for i in range(0, len(a), 65_536):
-                        h.update(d.feed(a[i: i + 65_536]))
-                    decoded.append(h.hexdigest())
+                    back.update(d.finish().encode())
+                    decoded.append(back.hexdigest())
             cols = [pa.array(n, pa.int64()), pa.array(shas, pa.string())]
             cols += [pa.array(decoded, pa.string())] if decode else []
             cols += [pa.array(every, pa.list_(pa.int32()))] if with_ids else []

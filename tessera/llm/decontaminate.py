@@ -2,13 +2,14 @@
 
 A seed is the hash of the tokens at a mask's positions; the positions between are ignored, so a seed still hits where
 they were substituted. Test and training seeds are joined by hash; around every hit the two token sequences are aligned
-without gaps and compared token by token.
+without gaps, and the tokens themselves are compared one by one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import spans, utf8
+from .common import among, fresh, join_counted, materialize, spans, utf8
 from .suffixes import _DOWN, _UP, _mix
 
 U = np.uint64
@@ -27,6 +27,7 @@ LONG = 4000
 WINDOW, LEAST = 13, 11
 #: Token positions; together they hit every alignment of 13 tokens with up to two substitutions.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
+_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+").findall
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -71,166 +72,198 @@ def seeds(tok: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return _mix(h)
 
 
-@dataclass
-class Bench:
-    """A block of test items: their tokens one after the other, and their seeds sorted by hash."""
-
-    ids: list
-    tok: np.ndarray
-    at: np.ndarray  # where each item's tokens start; one more
-    seed: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    masks: list[tuple[int, ...]]
-    near: np.ndarray
-
-    @classmethod
-    def of(cls, ids: list, texts: list[str]) -> Bench:
-        buf, offsets = utf8(_lower(pa.array(texts, pa.string())))
-        tok, doc, _, _ = tokens(buf, offsets)
-        at = np.searchsorted(doc, np.arange(len(ids) + 1))
-        size = np.diff(at)
-        short = sorted({int(s) for s in size if 0 < s < WINDOW})
-        # items shorter than a window must occur whole; the seed is their first tokens
-        masks = [*MASKS, *(tuple(range(min(4, s))) for s in short)]
-        parts = []
-        for n, m in enumerate(masks):
-            h = seeds(tok, m, n)
-            i = np.arange(len(h))
-            ok = doc[i] == doc[i + m[-1]]
-            mine = size[doc[i]]
-            ok &= (mine >= WINDOW) if n < len(MASKS) else (mine == short[n - len(MASKS)]) & (i == at[doc[i]])
-            parts.append((h[ok], doc[i[ok]], i[ok] - at[doc[i[ok]]]))
-        seed, item, place = (np.concatenate(x) for x in zip(*parts))
-        o = np.argsort(seed, kind="stable")
-        near = np.zeros(1 << 22, bool)
-        near[(seed & U(len(near) - 1)).astype(np.int64)] = True
-        return cls(ids, tok, at, seed[o], item[o], place[o], masks, near)
-
-    def hits(self, tok: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (document, item, token position where the item would start), from all seed hits."""
-        found = []
-        for n, m in enumerate(self.masks):
-            h = seeds(tok, m, n)
-            p = np.flatnonzero(self.near[(h & U(len(self.near) - 1)).astype(np.int64)])
-            a, z = np.searchsorted(self.seed, h[p], "left"), np.searchsorted(self.seed, h[p], "right")
-            many = z - a
-            p = np.repeat(p, many)
-            k = np.repeat(a, many) + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.column_stack([self.item[k], p - self.place[k], p]))
-        all_ = np.concatenate(found)
-        if not len(all_):
-            return (np.zeros(0, np.int64),) * 3
-        d = doc[all_[:, 2]]
-        rows = np.unique(np.column_stack([d, all_[:, 0], all_[:, 1]]), axis=0)
-        return rows[:, 0], rows[:, 1], rows[:, 2]
-
-    def overlaps(self, tok: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """(document, item, first token, last token, equal tokens) of the verified alignments.
-
-        Some ``WINDOW`` aligned tokens have at least ``LEAST`` equal ones (shorter items: all their tokens are equal);
-        first and last are the outermost tokens of such windows.
-        """
-        d, item, start = self.hits(tok, doc)
-        out = []
-        step = 4096
-        for i in range(0, len(d), step):
-            dd, it, st = d[i: i + step], item[i: i + step], start[i: i + step]
-            size = self.at[it + 1] - self.at[it]
-            row = np.repeat(np.arange(len(dd)), size)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            p = st[row] + j
-            inside = (p >= 0) & (p < len(tok))
-            p = np.where(inside, p, 0)
-            same = inside & (doc[p] == dd[row]) & (tok[p] == self.tok[self.at[it[row]] + j])
-            total = np.r_[0, np.cumsum(same)]
-            w = np.minimum(size, WINDOW)[row]
-            begins = j + w <= size[row]
-            at = np.flatnonzero(begins)
-            need = np.where(size[row[at]] < WINDOW, size[row[at]], LEAST)
-            good = at[total[at + w[at]] - total[at] >= need]
-            if not len(good):
-                continue
-            r = row[good]
-            new = np.flatnonzero(np.r_[True, np.diff(r) != 0])
-            lo, hi = good[new], good[np.r_[new[1:], len(good)] - 1]
-            hi = hi + w[hi] - 1
-            k = r[new]
-            out.append(np.column_stack([dd[k], it[k], p[lo], p[hi], total[hi + 1] - total[lo]]))
-        return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-
-
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[Bench]:
-    """The test items in blocks of about ``most`` bytes of text: what is sent to the executors is bounded by it."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // most))
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
-        yield Bench.of([r[0] for r in rows], [r[1] for r in rows])
-
-
-def _found(bench: Bench, column: pa.Array) -> Iterator[np.ndarray]:
-    """Overlaps of a column of texts, by row number."""
-    buf, offsets = utf8(_lower(column))
-    for i, j in spans(offsets, 4 << 20):
-        tok, doc, _, _ = tokens(buf[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-        rows = bench.overlaps(tok, doc)
-        rows[:, 0] += i
-        yield rows
-
-
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, item_id, first_token, n_tokens, n_equal, similarity: the best alignment of each row and item that overlap.
+def _mask(number: int) -> tuple[int, ...]:
+    """The spaced seeds first, then those of items shorter than a window: their first one to four tokens."""
+    return MASKS[number] if number < len(MASKS) else tuple(range(number - len(MASKS) + 1))
+
+
+def _bench_seeds(items: DataFrame) -> DataFrame:
+    """(seed, number, item, place, size) of all items: at every place of those of ``WINDOW`` tokens or more, else the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tok, doc, _, _ = tokens(*utf8(_lower(b.column(1))))
+            at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            size = np.diff(at)
+            for n in range(len(MASKS) + 4):
+                m = _mask(n)
+                h = seeds(tok, m, n)
+                i = np.arange(len(h))
+                mine = size[doc[i]]
+                fits = mine >= WINDOW if n < len(MASKS) else (mine < WINDOW) & (np.minimum(mine, 4) == len(m)) & (i == at[doc[i]])
+                i = i[fits & (doc[i] == doc[i + m[-1]])]
+                d = doc[i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[i].view(np.int64)), pa.array(np.full(len(i), n, np.int32)), b.column(0).take(pa.array(d)), pa.array((i - at[d]).astype(np.int32)), pa.array(size[d].astype(np.int32))],
+                    ["seed", "number", "item", "place", "size"],
+                )
+
+    return items.select("item", "text").mapInArrow(run, "seed long, number int, item long, place int, size int")
+
+
+def _filter_bits(known: DataFrame, many: int, most: int) -> np.ndarray:
+    """A bit for each seed's low bits: 16 bits a seed, ``most`` at most. Where it is too small, more seeds pass for the join."""
+    bits = 1 << max(12, min(most, 16 * max(many, 1)).bit_length() - 1)
+    low = known.select(F.col("seed").bitwiseAND(F.lit(bits - 1)).alias("low"))
+    words = low.groupBy(F.shiftrightunsigned("low", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(low & 63 AS INT)))").alias("on")).toArrow()
+    out = np.zeros(bits // 64, np.int64)  # at most ``most`` / 64 numbers reach the driver
+    out[words["word"].to_numpy()] = words["on"].to_numpy()
+    return out.view(U)
+
+
+def _candidates(docs: DataFrame, known: DataFrame, many: int, most: int) -> DataFrame:
+    """(row, doc_id, text, hits): the rows of ``docs`` with seeds that pass the filter, and those seeds with their places."""
+    numbers = sorted(r[0] for r in known.select("number").distinct().collect())  # at most six
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(known, many, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = shared.value
+        least = U(64 * len(on) - 1)
+        for b in batches:
+            buf, offsets = utf8(_lower(b.column(1)))
+            for i, j in spans(offsets, 4 << 20):
+                tok, doc, _, _ = tokens(buf[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+                first = np.searchsorted(doc, np.arange(j - i))
+                found = []
+                for n in numbers:
+                    m = _mask(n)
+                    h = seeds(tok, m, n)
+                    low = h & least
+                    p = np.flatnonzero((on[(low >> U(6)).astype(np.int64)] >> (low & U(63)) & U(1)).astype(bool))
+                    p = p[doc[p] == doc[p + m[-1]]]
+                    found.append((doc[p], h[p], p - first[doc[p]]))
+                d, h, p = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+                if not len(d):
+                    continue
+                order = np.argsort(d, kind="stable")
+                rows, start = np.unique(d[order], return_index=True)
+                at = pa.array(np.r_[start, len(d)].astype(np.int32))
+                hits = pa.StructArray.from_arrays([pa.array(h[order].view(np.int64)), pa.array(p[order].astype(np.int32))], ["seed", "pos"])
+                some = b.take(pa.array(rows + i))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(at, hits)], ["doc_id", "text", "hits"])
 
-    Texts are lower-cased; tokens are runs of letters and digits. Rows without overlap give no rows; neither do null and
-    empty texts or items. Best: most equal tokens, then the first place. The test items go to the executors in blocks of
-    ``block_bytes``, one map-only pass over the documents each, so no size of the benchmark overfills a task.
-    """
     slim = docs.select("doc_id", "text")
-    kind, item_kind = slim.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
-    item_type = to_arrow_type(item_kind)
-    out = None
-    for bench in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(bench)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b_ = shared.value
-            for b in batches:
-                buf, offsets = utf8(_lower(b.column(1)))
-                for i, j in spans(offsets, 4 << 20):
-                    tok, doc, _, _ = tokens(buf[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                    rows = b_.overlaps(tok, doc)
-                    if not len(rows):
-                        continue
-                    rows = rows[np.lexsort((rows[:, 2], -rows[:, 4], rows[:, 1], rows[:, 0]))]
-                    begin = np.searchsorted(doc, rows[:, 0])
-                    best = np.r_[True, (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)]
-                    rows, begin = rows[best], begin[best]
-                    n = rows[:, 3] - rows[:, 2] + 1
-                    items = pa.array([b_.ids[k] for k in rows[:, 1]], item_type)
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    rows = slim.mapInArrow(run, f"doc_id {kind}, text string, hits array<struct<seed:long,pos:int>>")
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _alignments(rows: DataFrame, known: DataFrame, many: int, small: int) -> DataFrame:
+    """Distinct (row, item, shift, size): where items would start in the rows' tokens, by the seeds that both have."""
+    hits = rows.select("row", F.inline("hits"))
+    slim = known.select("seed", "item", "place", "size")
+    if many <= small:
+        joined = hits.join(F.broadcast(slim), "seed")
+    else:  # a frequent seed's rows are dealt over 16 keys
+        salt = F.explode(F.sequence(F.lit(0), F.lit(15)))
+        joined = hits.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(16)).cast("int")).join(slim.withColumn("salt", salt), ["seed", "salt"])
+    return joined.select("row", "item", (F.col("pos") - F.col("place")).alias("shift"), "size").distinct()
+
+
+def _words(text: str) -> list[bytes]:
+    return _TOKEN(_lower(pa.array([text], pa.string()))[0].as_py().encode())
+
+
+def overlap(mine: list[bytes], item: list[bytes], lead: int) -> tuple[int, int, int] | None:
+    """Of an item and the tokens it is laid over, from its place ``lead`` on: first and last equal token of the windows of
+    ``WINDOW`` places with ``LEAST`` equal tokens, and the equal tokens between. Shorter items must be equal as a whole."""
+    n = len(item)
+    same = [False] * n
+    same[lead: lead + len(mine)] = [a == b for a, b in zip(mine, item[lead:])]
+    w, need = (WINDOW, LEAST) if n >= WINDOW else (n, n)
+    total = [0, *accumulate(same)]
+    good = [j for j in range(n - w + 1) if total[j + w] - total[j] >= need]
+    if not good:
+        return None
+    first, last = good[0] + same[good[0]:].index(True), good[-1] + w - 1
+    while not same[last]:
+        last -= 1
+    return first, last, total[last + 1] - total[first]
+
+
+def _verified(rows: DataFrame, at: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, item, item_id, size, first_token, n_tokens, n_equal) of the alignments that hold, tokens compared."""
+    kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    lists = at.groupBy("row").agg(F.collect_list(F.struct("item", "shift", "size")).alias("wanted"))
+    texts = rows.select("row", "doc_id", "text").join(lists, "row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, wanted = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)
+            for i, text in enumerate(texts):
+                words, want = _words(text), wanted[i].values
+                shift, size = want.field(1).to_pylist(), want.field(2).to_pylist()
+                for a in range(0, len(want), 4096):
+                    z = min(len(want), a + 4096)
+                    pieces = [b" ".join(words[max(s, 0): max(s + n, 0)]).decode() for s, n in zip(shift[a:z], size[a:z])]
+                    names = b.column(1).slice(i, 1).take(pa.array([0] * (z - a)))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(rows[:, 0] + i)), items, pa.array(rows[:, 2] - begin), pa.array(n), pa.array(rows[:, 4]), pa.array(rows[:, 4] / n)],
-                        ["doc_id", "item_id", "first_token", "n_tokens", "n_equal", "similarity"],
+                        [pa.array([ids[i]] * (z - a), pa.int64()), names, want.field(0).slice(a, z - a), want.field(1).slice(a, z - a), pa.array(pieces, pa.string())], ["row", "doc_id", "item", "shift", "piece"]
                     )
 
-        part = slim.mapInArrow(run, f"doc_id {kind}, item_id {item_kind.simpleString()}, first_token long, n_tokens long, n_equal long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    pieces = materialize(texts.mapInArrow(cut, f"row long, doc_id {kind}, item long, shift int, piece string"))
+    counts = pieces.groupBy("item").agg(F.count(F.lit(1)).alias("many"))
+    laid = join_counted(pieces, materialize(items.join(counts, "item").select("item", "item_id", F.col("text").alias("whole"), "many")), "item")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[bytes]] = {}
+        for b in batches:
+            keep, first, n, equal, sizes = [], [], [], [], []
+            item, shift, piece, whole = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("item", "shift", "piece", "whole"))
+            for i in range(b.num_rows):
+                if item[i] not in known:
+                    if len(known) >= 1_000:
+                        known.clear()
+                    known[item[i]] = _words(whole[i])
+                words = known[item[i]]
+                got = overlap(piece[i].encode().split(b" ") if piece[i] else [], words, max(-shift[i], 0))
+                if got:
+                    keep.append(i)
+                    first.append(shift[i] + got[0])
+                    n.append(got[1] - got[0] + 1)
+                    equal.append(got[2])
+                    sizes.append(len(words))
+            some = b.select(["row", "doc_id", "item", "item_id"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(x, pa.int64()) for x in (sizes, first, n, equal))], ["row", "doc_id", "item", "item_id", "size", "first_token", "n_tokens", "n_equal"])
+
+    return laid.mapInArrow(compare, f"row long, doc_id {kind}, item long, item_id {item_kind}, size long, first_token long, n_tokens long, n_equal long")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that may overlap with an item, and the alignments that do."""
+    some = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+    items = materialize(some.withColumn("item", F.monotonically_increasing_id()))
+    known = materialize(_bench_seeds(items))
+    many = known.count()
+    rows = _candidates(docs, known, many, filter_bits)
+    return rows, _verified(rows, _alignments(rows, known, many, small), items)
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, filter_bits: int = 1 << 28, small: int = 2_000_000) -> DataFrame:
+    """doc_id, item_id, first_token, n_tokens, n_equal, similarity: the best alignment of each row and item that overlap.
+
+    Texts are lower-cased; tokens are runs of letters and digits. Some 13 aligned tokens must have 11 equal ones; of items
+    of fewer tokens all must be equal, in order. Rows without overlap give no rows; neither do null and empty texts or
+    items, nor empty tables. Rows that repeat an id give their own results, a null doc_id keeps its row; repeated items of
+    one id and text are one. Best: most equal tokens, then the first place.
 
+    Test and training seeds are joined by hash. Before, a filter of at most ``filter_bits`` bits thins the training seeds
+    where the texts lie; up to ``small`` test seeds (32 bytes each) are broadcast to the join, of more both sides are shuffled.
+    """
+    _, found = _overlaps(docs, benchmark, filter_bits, small)
+    best = F.min(F.struct((-F.col("n_equal")).alias("less"), "first_token", "n_tokens", "n_equal")).alias("b")
+    each = found.groupBy("row", "doc_id", "item", "item_id").agg(best)
+    return each.select("doc_id", "item_id", "b.first_token", "b.n_tokens", "b.n_equal", (F.col("b.n_equal") / F.col("b.n_tokens")).alias("similarity"))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` that overlap with no test item, all columns as they were; map-only."""
-    at = docs.columns.index("text")
-    for bench in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(bench)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for rows in _found(shared.value, b.column(at)):
-                    keep[rows[:, 0]] = False
-                yield b.filter(pa.array(keep))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 8, filter_bits: int = 1 << 28, small: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that overlap with no test item of ``least_tokens`` tokens or more, all columns as they were.
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Shorter items are only reported by ``find_overlaps``: whole documents don't go for a few common words. Overlap is a
+    matter of the text alone, so rows go by their texts' MD5; null and empty texts stay, as do rows whose item is null.
+    """
+    rows, found = _overlaps(docs, benchmark, filter_bits, small)
+    gone = found.where(F.col("size") >= least_tokens).select("row").distinct()
+    sums = materialize(rows.join(gone, "row").select(F.md5(F.col("text").cast("binary"))).distinct())
+    key = fresh(docs, "__sum")
+    return among(docs.withColumn(key, F.md5(F.col("text").cast("binary"))), key, sums, "left_anti").drop(key)

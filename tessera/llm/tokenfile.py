@@ -3,12 +3,13 @@
 A shard file holds, little-endian:
 
     magic | id width (2 or 4), documents n, distinct keys k, ids m, index levels l (u64 each) | words per level (u64 x l)
-    levels' bits (u64) | by slot: fingerprint (u32 x k), first document (u32 x k)
+    levels' bits (u64) | set bits before every 8 words (u64) | by slot: fingerprint (u32 x k), first document (u32 x k)
     by document: key (i64 x n), start (u64 x n+1) | ids
 
 The index is a cascade of bit arrays: a key is placed at the first level where its hash bit is its alone; its slot is the
 number of set bits before it, so n keys get the slots 0..n-1. The fingerprint at the slot tells keys that were never
-stored. A lookup costs a few hash evaluations whatever the size; the payload is read at a known offset.
+stored. A lookup reads the header, 64 bytes a level, one count, fingerprint, key and two offsets, and then the document's
+own ids, whatever the file's size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,7 @@ from .common import materialize, partitions, shared_dir
 
 MAGIC = b"TIDX0001"
 ABSENT = -1
+WORDS = 8
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -95,6 +98,7 @@ class Shard:
         self.width, n, k, m, levels = read("<u8", 5).tolist()
         sizes = read("<u8", levels).tolist()
         self.index = PerfectHash([read("<u8", s) for s in sizes])
+        read("<u8", -(-len(self.index.words) // WORDS))
         self.prints, self.first = read("<u4", k), read("<u4", k)
         self.keys, self.start = read("<i8", n), read("<u8", n + 1).astype(np.int64)
         self.ids = read("<u2" if self.width == 2 else "<u4", m)
@@ -109,7 +113,8 @@ class Shard:
         by_slot[:, slot] = fingerprint(distinct), first
         start = np.r_[0, np.cumsum(lengths)]
         head = np.array([width, len(keys), len(distinct), start[-1], len(index.levels), *map(len, index.levels)], "<u8")
-        return [MAGIC, head.tobytes(), *(x.astype("<u8").tobytes() for x in index.levels), by_slot.tobytes(), keys.astype("<i8").tobytes(), start.astype("<u8").tobytes(), *payload]
+        before = index.before[::WORDS].astype("<u8")
+        return [MAGIC, head.tobytes(), *(x.astype("<u8").tobytes() for x in index.levels), before.tobytes(), by_slot.tobytes(), keys.astype("<i8").tobytes(), start.astype("<u8").tobytes(), *payload]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first document of each key; ABSENT for keys that aren't stored (but for one in 2^32)."""
@@ -294,14 +299,67 @@ def load(folder: str, file: str) -> Shard:
         return Shard(f.read())
 
 
+class TokenStore:
+    """Keyed access to the shards of a manifest: a key's document is read by its place, never a whole file."""
+
+    HEAD = 48 + 8 * 200  # the fixed numbers and the sizes of the most levels that a shard may have
+
+    def __init__(self, folder: str, manifest: list):
+        self.store, self.root = _open(folder)
+        self.rows = sorted(manifest, key=lambda r: r["least"])
+        self.least = [r["least"] for r in self.rows]
+        self.bytes_read = 0
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the document with this key (of several, the first); None for a key that isn't stored."""
+        i = bisect_right(self.least, key) - 1
+        if i < 0 or key > self.rows[i]["most"]:
+            return None
+        with self.store.open_input_file(f"{self.root}/{self.rows[i]['file']}") as f:
+            return self._find(f, key)
+
+    def _read(self, f: pa.NativeFile, kind: str, at: int, n: int) -> np.ndarray:
+        data = f.read_at(n * np.dtype(kind).itemsize, at)
+        self.bytes_read += len(data)
+        return np.frombuffer(data, kind)
+
+    def _find(self, f: pa.NativeFile, key: int) -> np.ndarray | None:
+        head = self._read(f, "u1", 0, self.HEAD).tobytes()
+        if not head.startswith(MAGIC):
+            raise ValueError("not a token shard")
+        width, n, k, _, levels = np.frombuffer(head, "<u8", 5, 8).tolist()
+        sizes = np.frombuffer(head, "<u8", levels, 48).tolist()
+        words, bits = sum(sizes), 48 + 8 * levels
+        counts = bits + 8 * words
+        prints = counts + 8 * -(-words // WORDS)
+        one, base = np.array([key], np.int64), 0
+        for level, size in enumerate(sizes):
+            place = int(_mix(one.view(np.uint64), level)[0] % np.uint64(64 * size))
+            word, bit = base + place // 64, place % 64
+            start = word // WORDS * WORDS
+            block = self._read(f, "<u8", bits + 8 * start, min(WORDS, words - start))
+            mine = int(block[word - start])
+            if mine >> bit & 1:
+                below = int(np.bitwise_count(block[: word - start]).sum()) + (mine & (1 << bit) - 1).bit_count()
+                slot = int(self._read(f, "<u8", counts + 8 * (start // WORDS), 1)[0]) + below
+                return self._payload(f, one, slot, prints, width, n, k)
+            base += size
+        return None
+
+    def _payload(self, f: pa.NativeFile, one: np.ndarray, slot: int, prints: int, width: int, n: int, k: int) -> np.ndarray | None:
+        if self._read(f, "<u4", prints + 4 * slot, 1)[0] != fingerprint(one)[0]:
+            return None
+        doc = int(self._read(f, "<u4", prints + 4 * (k + slot), 1)[0])
+        keys = prints + 8 * k
+        if self._read(f, "<i8", keys + 8 * doc, 1)[0] != one[0]:
+            return None
+        start, end = self._read(f, "<u8", keys + 8 * n + 8 * doc, 2).tolist()
+        return self._read(f, "<u2" if width == 2 else "<u4", keys + 8 * n + 8 * (n + 1) + width * start, end - start)
+
+
 def lookup(folder: str, manifest: list, key: int) -> np.ndarray | None:
     """One document's ids by its key: the shard by its range, the slot by the index. None for an unknown key."""
-    for row in manifest:
-        if row["least"] <= key <= row["most"]:
-            shard = load(folder, row["file"])
-            at = int(shard.find(np.array([key]))[0])
-            return None if at == ABSENT else shard.ids[shard.start[at]: shard.start[at + 1]]
-    return None
+    return TokenStore(folder, manifest).get(key)
 
 
 def tokenize_to_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

@@ -188,15 +188,16 @@ def test_trees_and_statistics(spark, docs, none):
 # -- 4
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("eps, batch", [(2.5, 16 << 20), (None, 1_500)])
+def test_nearest(spark, eps, batch):
     path = f"{DATA.replace('0.001', '0.01')}/embeddings.parquet"
     t = pq.read_table(path, columns=["vec_id", "embedding"]).to_pylist()
     extra = [(10**6, None), (10**6 + 100, [0.0] * len(t[0]["embedding"])), (10**6 + 200, [float("nan")] * len(t[0]["embedding"])), (10**6 + 300, t[3]["embedding"]), (10**6 + 301, t[3]["embedding"])]
     rows = [(r["vec_id"], r["embedding"]) for r in t] + extra
     kind = spark.read.parquet(path).schema["embedding"].dataType.simpleString()
-    df = spark.createDataFrame(rows, f"vec_id long, embedding {kind}")
+    df = spark.createDataFrame(rows, f"vec_id long, embedding {kind}").withColumns({"code": F.lit("clash"), "id": F.lit(1)})
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, row_block=300).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, eps=eps, batch_bytes=batch).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     ok = [(i, np.array(v, float)) for i, v in rows if v and np.isfinite(v).all() and np.any(v)]
     ids, x = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
@@ -209,7 +210,7 @@ def test_nearest(spark):
             assert abs(s - d[ids == v][0]) < 1e-12
         hits += len({v for _, v, _ in got[q]} & set(ids[best].tolist()))
         total += len(best)
-    assert set(got) == set(ids[ids % 100 == 0].tolist()) and hits >= 0.98 * total
+    assert set(got) == set(ids[ids % 100 == 0].tolist()) and hits >= (0.98 if eps else 1) * total
     assert ann.nearest(df.where("vec_id = 1000000")).count() == 0
 
 
@@ -348,17 +349,33 @@ def test_decontamination(spark, none):
     bench = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(items)] + [(50, None), (51, ""), (None, "ax ay az")], "item_id long, text string")
     want = {(i, k) for i, d in rows for k, b in enumerate(items) if overlaps(d, b)}
     assert 10 < len(want)
-    for block in (16 << 20, 150):
-        found = decontaminate.find_overlaps(df, bench, block).collect()
+    for how in ({}, {"filter_bits": 1 << 12, "small": 0}):
+        found = decontaminate.find_overlaps(df, bench, **how).collect()
         assert len(found) == len({(r["doc_id"], r["item_id"]) for r in found})
         assert {(r["doc_id"], r["item_id"]) for r in found} == want
-        kept = decontaminate.drop_contaminated(df, bench, block)
+        kept = decontaminate.drop_contaminated(df, bench, **how)
         assert kept.columns == df.columns
-        assert {r["doc_id"] for r in kept.collect()} == {*range(80), 900, 901} - {i for i, _ in want}
+        # items of fewer than 8 tokens are reported, but no document goes for them
+        assert {r["doc_id"] for r in kept.collect()} == {*range(80), 900, 901} - {i for i, k in want if len(items[k]) >= 8}
     assert decontaminate.find_overlaps(none, bench).count() == 0
     assert decontaminate.find_overlaps(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_rows(spark, docs):
+    """Repeated ids, null ids, a very long text and short items; the best alignment against all alignments."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    item = [word() for _ in range(20)]
+    long = [word() for _ in range(60_000)]
+    rows = [(1, " ".join(item), None), (1, "nothing of it", None), (1, " ".join(item), None), (None, "x " + " ".join(item[3:17]), None), (2, " ".join([*long, *item, *long[:9]]), None), (3, "the the", None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit(1), "seed": F.lit("clash")})
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, "the")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.find_overlaps(df, bench).collect() if r["doc_id"])
+    assert got == [(1, 7, 0, 20, 20, 1.0)] * 2 + [(2, 7, 60_000, 20, 20, 1.0), (3, 8, 0, 1, 1, 1.0)]
+    assert [tuple(r) for r in decontaminate.find_overlaps(df, bench).where("doc_id IS NULL").collect()] == [(None, 7, 1, 14, 14, 1.0)]
+    assert sorted(r["text"] for r in decontaminate.drop_contaminated(df, bench).collect()) == ["nothing of it", "the the"]
+
+
 # -- 7
 
 
@@ -389,7 +406,22 @@ def test_transducer_and_decoder(library):
         ids = np.frombuffer(v.encode(t.encode()), "<u4").tolist()
         assert ids == library.encode(t, add_special_tokens=False).ids
         d = bpe.Decoder(v)
-        assert b"".join(d.feed(np.array([i])) for i in ids).decode() == library.decode(ids, skip_special_tokens=False)
+        assert "".join(d.feed(np.array([i])) for i in ids) + d.finish() == library.decode(ids, skip_special_tokens=False)
+    # byte to text: characters that tokens cut in two are completed by later ids
+    d, text = bpe.Decoder(v, raw=True), "ünïcode ß 東京 🙂 नमस्ते xyz"
+    ids = np.frombuffer(v.encode(text.encode()), "<u4")
+    pieces = [d.feed(ids[i: i + 1]) for i in range(len(ids))]
+    assert "".join(pieces).split() == [w.strip() for w in v.words.findall(text)] and "" in pieces and d.finish() == ""
+    assert d.feed(ids[:1]) and bpe.Decoder(v, raw=True).feed(np.zeros(0, np.int64)) == ""
+
+
+def test_stream_in_blocks(library):
+    with open(registry.vocabulary(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    text = "it's a tést of blocks, 12ab " * 40 + "q" * 500
+    want = library.encode(text, add_special_tokens=False).ids
+    parts = list(v.stream(text.encode(), block=50))
+    assert len(parts) > 10 and np.frombuffer(b"".join(parts), "<u4").tolist() == want
 
 
 # -- 8
@@ -481,10 +513,30 @@ def test_token_file_lookup(spark, docs, none, tmp_path, library):
     assert len(manifest) > 4 and sum(r["docs"] for r in manifest) == len(texts()) + 1
     for i, t, _ in texts()[::9]:
         assert tokenfile.lookup(folder, manifest, i).tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2]
-    assert tokenfile.lookup(folder, manifest, 777_777) is None
+    assert tokenfile.lookup(folder, manifest, 777_777) is None and tokenfile.lookup(folder, [], 1) is None
+    store = tokenfile.TokenStore(folder, manifest)
+    before = store.bytes_read
+    n = store.get(900_004).nbytes
+    assert store.bytes_read - before < 3_000 + n  # the header and some words, whatever the shard's size
     assert tokenfile.tokenize_to_files(none, registry.vocabulary()).count() == 0
 
 
+def test_perfect_hash_is_read_in_place(tmp_path):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(-(2**62), 2**62, 20_000))
+    lengths = rng.integers(1, 9, len(keys))
+    ids = np.arange(lengths.sum()).astype("<u4")
+    data = b"".join(tokenfile.Shard.pack(keys, lengths, [ids.tobytes()], 4))
+    (tmp_path / "a.tid").write_bytes(data)
+    store = tokenfile.TokenStore(str(tmp_path), [{"file": "a.tid", "least": int(keys[0]), "most": int(keys[-1])}])
+    ends = np.cumsum(lengths)
+    for i in rng.integers(0, len(keys), 200):
+        store.bytes_read = 0
+        assert store.get(int(keys[i])).tolist() == ids[ends[i] - lengths[i]: ends[i]].tolist()
+        assert store.bytes_read < 6_000 < len(data) / 50
+    assert all(store.get(int(k) + 1) is None for k in keys[:200] if k + 1 not in keys)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5_000))
     assert sorted(tokenfile.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
