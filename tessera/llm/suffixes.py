@@ -33,7 +33,8 @@ from .common import partitions, text_bytes, utf8
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BLOCK = 1 << 20
-RELAY = 1
+#: Kinds of messages: contexts to compare; windows that go; windows and contexts that fare as an equal one of their document.
+ASK, GONE, LIKE_WINDOW, LIKE_CONTEXT = range(4)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,12 +247,15 @@ def _width(length: int, k: int) -> int:
     return width + -width % 8
 
 
-def _merged(x: np.ndarray, size: np.ndarray, off: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose equal lies in an earlier document of the part, and the others, which stand for them elsewhere."""
+def _merged(x: np.ndarray, size: np.ndarray, off: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows whose equal lies in an earlier document of the part; of the others, one of each class of equals, which stands for
+    them elsewhere; and the rest (of the same document), with the row that stands for each."""
     order, cls = _classes(x, size, off, key)
     least = _least(doc[order], cls)
-    later = doc[order] > least[cls]
-    return order[later], order[~later]
+    mine = np.flatnonzero(doc[order] == least[cls])
+    lead = mine[np.r_[True, np.diff(cls[mine]) != 0]] if len(mine) else mine
+    rest = np.setdiff1d(mine, lead, assume_unique=True)
+    return order[doc[order] > least[cls]], order[lead], order[rest], order[lead][cls[rest]]
 
 
 def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts: int) -> list[tuple[int, int, int, bytes]]:
@@ -278,13 +282,15 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts
     off, width, out = pos - first, _width(length, k), []
     dealt = []
 
-    def relay(r: np.ndarray) -> None:
-        if len(r):
-            out.append((me, me, RELAY, _masks(row[r], first[r] - offsets[row[r]], _full(count[r]))))
+    def settle(kind: int, later: np.ndarray, rest: np.ndarray, like: np.ndarray) -> None:
+        if len(later):
+            out.append((me, me, GONE, _masks(row[later], first[later] - offsets[row[later]], _full(count[later]))))
+        if len(rest):
+            out.append((me, me, kind, _pack(at=first[rest], like=first[like], count=count[rest].astype(np.uint8))))
 
     x = _padded(buf, first, count + length - 1, width)
-    later, lead = _merged(x, count + length - 1, off, key, ids[row])
-    relay(later)
+    later, lead, *rest = _merged(x, count + length - 1, off, key, ids[row])
+    settle(LIKE_CONTEXT, later, *rest)
     cold = lead[~often[lead]]
     dealt.append((key[cold], row[cold], first[cold], count[cold], off[cold], x[cold]))
     r = lead[often[lead]]
@@ -294,8 +300,8 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts
         key, row, first, off, count = key[r], row[r], first[r] + t, off[r] - t, np.ones(len(r), np.int64)
         x = _padded(buf, first, np.full(len(r), length), width)
         key = _identity(x, key) >> U(16)
-        later, lead = _merged(x, np.full(len(r), length), off, key, ids[row])
-        relay(later)
+        later, lead, *rest = _merged(x, np.full(len(r), length), off, key, ids[row])
+        settle(LIKE_WINDOW, later, *rest)
         dealt.append((key[lead], row[lead], first[lead], count[lead], off[lead], x[lead]))
     key, row, first, count, off, x = (np.concatenate(y) for y in zip(*dealt))
     size = count + length - 1
@@ -303,7 +309,7 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts
         a, b = _split(key[r])
         body = x[r][np.arange(width) < size[r][:, None]]
         begin = (first[r] - offsets[row[r]]).astype(np.uint32)
-        out.append((p, me, 0, _pack(a=a, b=b, doc=ids[row[r]], row=row[r].astype(np.uint32), begin=begin, size=size[r].astype(np.uint16), off=off[r].astype(np.uint8), body=body)))
+        out.append((p, me, ASK, _pack(a=a, b=b, doc=ids[row[r]], row=row[r].astype(np.uint32), begin=begin, size=size[r].astype(np.uint16), off=off[r].astype(np.uint8), body=body)))
     return out
 
 
@@ -444,8 +450,8 @@ def _answer_contexts(table: pa.Table, length: int, k: int, block: int = 1 << 15)
     """To each part: its rows' windows that also occur in an earlier document. Keys are sorted in blocks of whole keys."""
     me, kinds = table["part"][0].as_py(), table["kind"].to_numpy()
     blobs, src = table["blob"].to_pylist(), table["src"].to_numpy()
-    out = [(me, me, 0, b) for b, kind in zip(blobs, kinds) if kind == RELAY]
-    mine = np.flatnonzero(kinds != RELAY)
+    out = [(me, me, int(kind), b) for b, kind in zip(blobs, kinds) if kind != ASK]
+    mine = np.flatnonzero(kinds == ASK)
     if not len(mine):
         return out
     blobs = [blobs[i] for i in mine]
@@ -468,7 +474,7 @@ def _answer_contexts(table: pa.Table, length: int, k: int, block: int = 1 << 15)
         mask = repeated_windows(x, off[r], size[r] - length + 1, doc[r], key[r], length)
         r, mask = r[mask != 0], mask[mask != 0]
         for p, n in _by(src[r]):
-            out.append((p, me, 0, _masks(row[r[n]], begin[r[n]], mask[n])))
+            out.append((p, me, GONE, _masks(row[r[n]], begin[r[n]], mask[n])))
         i = j
     return out
 
@@ -483,14 +489,21 @@ def _finish(docs: pa.Table, answers: pa.Table | None, length: int, texts: bool)
         docs, _, buf, offsets = _load(docs)
     depth = np.zeros(len(buf) + 1, np.int32)
     if answers is not None and answers.num_rows:
-        row, begin, mask = _gather(answers["blob"].to_pylist(), ("u4", "u4", "u8"))
+        kinds, blobs = answers["kind"].to_numpy(), answers["blob"].to_pylist()
+        of = lambda kind: [x for x, y in zip(blobs, kinds) if y == kind]
+        hit = np.zeros(len(buf) + 64, bool)  # starts of windows that go
+        row, begin, mask = _gather(of(GONE), ("u4", "u4", "u8"))
+        at = offsets[row] + begin
         for t in range(64):
-            on = (mask >> U(t) & U(1)).astype(bool)
-            if not on.any():
-                continue
-            at = offsets[row[on]] + begin[on] + t
-            np.add.at(depth, at, 1)
-            np.add.at(depth, at + length, -1)
+            hit[at[(mask >> U(t) & U(1)).astype(bool)] + t] = True
+        for kind in (LIKE_WINDOW, LIKE_CONTEXT):  # a context's windows may themselves be like others
+            at, like, count = _gather(of(kind), ("i8", "i8", "u1"))
+            for t in range(int(count.max(initial=0))):
+                on = (count > t) & hit[like + t]
+                hit[at[on] + t] = True
+        at = np.flatnonzero(hit)
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + length, -1)
     gone = np.cumsum(depth[:-1]) > 0
     total = np.r_[0, np.cumsum(gone)]
     rise = gone.copy()
@@ -522,7 +535,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, texts: bool =
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = slim.where("doc_id IS NOT NULL")
     parts = max(partitions(docs.sparkSession), -(-text_bytes(known) // part_bytes))
-    dealt = lambda df: df.repartition(parts, "part").groupBy("part")
+    dealt = lambda df: df.repartitionById(parts, "part").groupBy("part")
     # with the text, so that rows of one frequent id spread as well
     placed = known.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept_text"] if texts else [])
