@@ -25,10 +25,18 @@ def name_uid(kind: Column, key: Column) -> Column:
 
 def shortened(text: Column, most: int = 90) -> Column:
     """Text cut at a word before ``most`` characters, with an ellipsis if cut."""
-    head = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", "")
+    # \\z, not $: the latter also matches before a final line break
+    head = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", "")
     return F.when(F.length(text) > most, F.concat(head, F.lit("…"))).otherwise(text)
 
 
+def search_line(label: Column, value: Column) -> Column:
+    """The line a search row is shown by: the label, a hash cut to 7 digits, and the first line of the matched text."""
+    short = F.when(label.rlike(r"\A[0-9a-f]{7,64}\z"), F.substring(label, 1, 7)).otherwise(label)
+    first = F.regexp_replace(F.substring_index(value, "\n", 1), r"\A\s+|\s+\z", "")
+    return F.when((value == "") | (value == label), short).otherwise(F.concat(short, F.lit(" — "), shortened(first)))
+
+
 def redacted(context: Column, words: Sequence[str]) -> Column:
     """A map without the entries whose folded name contains one of the words."""
     folded = lambda k: F.regexp_replace(F.lower(k), "[^a-z]", "")

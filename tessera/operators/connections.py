@@ -10,16 +10,17 @@ from pyspark.sql import Window as W
 
 
 def connection(rows: DataFrame, parent: str, order: Sequence[Column], first: int, condition: Column | None = None) -> DataFrame:
-    """Each parent's first rows, one more for look-ahead, with the parent's total before paging.
-
-    The total is the true one, also on an empty page; rank and total come from one sort and exchange.
-    """
-    rows = rows.where(condition) if condition is not None else rows
-    by = W.partitionBy(parent)
-    ranked = rows.withColumns({"total": F.count(F.lit(1)).over(by), "rn": F.row_number().over(by.orderBy(*order))})
-    return ranked.where(F.col("rn") <= first + 1)
+    """Each parent's first rows, one more for look-ahead, with the parent's total before paging."""
+    return grouped_top(rows.where(condition) if condition is not None else rows, [parent], order, first + 1)
 
 
 def grouped_top(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
-    by = W.partitionBy(*groups)
-    return rows.withColumns({"total": F.count(F.lit(1)).over(by), "rn": F.row_number().over(by.orderBy(*order))}).where(F.col("rn") <= most)
+    """Each group's first ``most`` rows with its ``total`` and their rank ``rn``.
+
+    The rank stands alone under its filter, so that each task keeps only ``most`` rows a group before the exchange; totals
+    are an aggregate, combined on the map side, and joined to what is left. A hub's rows are never sorted in one task.
+    """
+    top = rows.withColumn("rn", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("rn") <= most)
+    total = rows.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.count(F.lit(1)).alias("total"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    return top.join(total, same).select(*rows.columns, "total", "rn")

@@ -13,33 +13,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.lineage import cut
+from tessera.operators.connections import grouped_top
+from tessera.operators.temporal import holds
 
 
-def related(origins: DataFrame, edges: DataFrame, depth: int, live: DataFrame | None = None) -> DataFrame:
-    """(origin, node, hops): nodes within ``depth`` steps src -> dst of each origin, at their least distance.
+def related(origins: DataFrame, edges: DataFrame, depth: int, live: DataFrame | None = None, inverse: bool = False) -> DataFrame:
+    """(origin, node, hops): nodes within ``depth`` steps src -> dst (``inverse``: dst -> src), at their least distance.
 
-    The origin itself is excluded; nodes that ``live`` (id) doesn't list are neither reached nor passed.
+    The origin itself is excluded; nodes that ``live`` (id) doesn't list are neither reached nor passed. A node found before
+    isn't expanded again.
     """
-    step = edges.select("src", "dst")
+    if not 1 <= depth <= 3:
+        raise ValueError("depth must be between 1 and 3")
+    step = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if inverse else edges.select("src", "dst")
     if live is not None:
         step = step.join(live.select(F.col("id").alias("dst")), "dst", "left_semi")
     front = origins.select(F.col("id").alias("origin"), F.col("id").alias("node"))
     found = None
     for hop in range(1, depth + 1):
         front = front.join(step, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).where("node <> origin").distinct()
+        if found is not None:
+            front = front.join(found.select("origin", "node"), ["origin", "node"], "left_anti")
         level = front.withColumn("hops", F.lit(hop))
         found = level if found is None else found.unionByName(level)
-    return found.groupBy("origin", "node").agg(F.min("hops").alias("hops"))
+    return found
 
 
-def cochange(edges: DataFrame, first: int, least: int = 2) -> DataFrame:
-    """For every dst: the dsts it shares most srcs with. n shared srcs (>= least), share of its own in percent."""
-    pairs = edges.select(F.col("src").alias("near"), F.col("dst").alias("id")).distinct()
+def related_page(
+    origins: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int, order: Sequence[Column], first: int, inverse: bool = False,
+    kinds: Sequence[str] = (), condition: Column | None = None,
+) -> DataFrame:
+    """Each origin's first related nodes of the kinds asked, under a condition on their fields and in their order, with the
+    total before paging. Nodes that the kinds or the condition leave out are still passed on the way."""
+    if condition is not None and len(kinds) != 1:
+        raise ValueError("a condition needs one declared kind")
+    live = nodes.where(~F.col("removed"))
+    wanted = live.where(F.col("kind").isin(*kinds)) if kinds else live
+    wanted = wanted.where(condition) if condition is not None else wanted
+    rows = related(origins, edges, depth, live.select("id"), inverse).join(wanted.withColumnRenamed("id", "node"), "node")
+    return grouped_top(rows, ["origin"], [*order, F.asc("node")], first + 1)
+
+
+def cochange(edges: DataFrame, first: int, least: int = 2, both: bool = False, block: int = 1_000) -> DataFrame:
+    """For every dst: the dsts it shares most srcs with. n shared srcs (>= least), share of its own in percent.
+
+    ``both`` reads the edges in either direction. The neighbours of a hub are dealt over blocks of about ``block``; each pair
+    of blocks is one join key, so no task gets more than two blocks of a hub. A pair is counted once and mirrored after.
+    """
+    pairs = edges.select(F.col("src").alias("near"), F.col("dst").alias("id"))
+    if both:
+        pairs = pairs.unionByName(edges.select(F.col("dst").alias("near"), F.col("src").alias("id")))
+    pairs = pairs.distinct()
     total = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("total"))
-    both = pairs.join(pairs.select("near", F.col("id").alias("other")), "near").where("id <> other")
-    n = both.groupBy("id", "other").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    blocks = pairs.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "near").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select("near", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "id", "mine")
+    right = keyed.select("near", "low", "high", F.col("id").alias("with"), F.col("mine").alias("theirs"))
+    both_ = keyed.join(right, ["near", "low", "high"]).where((F.col("id") < F.col("with")) & (F.least("mine", "theirs") == F.col("low")) & (F.greatest("mine", "theirs") == F.col("high")))
+    n = both_.groupBy("id", "with").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    sides = F.array(F.struct(F.col("id").alias("id"), F.col("with").alias("other")), F.struct(F.col("with").alias("id"), F.col("id").alias("other")))
+    mirrored = n.select("n", F.inline(sides))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "other"))
-    top = n.withColumn("rn", rank).where(F.col("rn") <= first)
+    top = mirrored.withColumn("rn", rank).where(F.col("rn") <= first)
     return top.join(total, "id").select("id", "other", "n", "total", F.round(F.col("n") / F.col("total") * 100, 6).alias("share"), "rn")
 
 
@@ -59,8 +95,8 @@ def both_sides(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def fold(groups: DataFrame, keys: Sequence[str], other: str, bound: int) -> DataFrame:
     """Groups of more than ``bound`` become one row with their count; the others keep their members."""
-    total = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    rows = groups.withColumn("total", total).withColumn("member", F.when(F.col("total") <= bound, F.col(other)))
+    top = grouped_top(groups, keys, [F.asc(other)], bound + 1)  # of a large group, one row more than it may show
+    rows = top.withColumn("member", F.when(F.col("total") <= bound, F.col(other)))
     return rows.groupBy(*keys, "member").agg(F.when(F.first("total") > bound, F.first("total")).alias("folded"))
 
 
@@ -88,6 +124,25 @@ def closure(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """(id, root, steps): where the chain of each node of ``edges`` (src -> its one dst) ends, and how far that is.
+
+    Pointer doubling: one row a node, as many rounds as the longest chain has binary digits. Nodes that lead into a cycle
+    have no root and give no row.
+    """
+    now = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("root"), F.lit(1).cast("long").alias("steps")))
+    open_, most = now.count(), 0
+    while open_ and most < 63:
+        far = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
+        now = cut(now.join(far, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        moved = now.where("moved").count()
+        now, most = now.drop("moved"), most + 1
+        # what still moves after more rounds than there are digits runs in circles
+        if not moved or 2**most > 2 * open_:
+            break
+    return now.join(edges.select(F.col("src").alias("root")), "root", "left_anti").select("id", "root", "steps")
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level): 0 without dependencies (src depends on dst), else one more than the deepest; cycles are left out."""
     left = cut(edges.select("src", "dst").distinct())
@@ -103,8 +158,43 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("id"))
+    """Nodes that reach themselves. Nodes without edges in or out are peeled off first; the closure is that of the rest."""
+    left = cut(edges.select("src", "dst").distinct())
+    n = left.count()
+    while n:
+        heads, tails = left.select(F.col("src").alias("dst")).distinct(), left.select(F.col("dst").alias("src")).distinct()
+        left = cut(left.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"))
+        m = left.count()
+        if m == n:
+            break
+        n = m
+    return closure(left).where("src = dst").select(F.col("src").alias("id"))
+
+
+def first_cycle(edges: DataFrame, longest: int = 1_000) -> DataFrame:
+    """(place, id): the shortest cycle through the smallest node that is on one, as a path from it back to it.
+
+    Of several, the one that takes the smaller node where they part. The search goes along edges between nodes on cycles,
+    one distance at a time, and keeps the smallest path to each node.
+    """
+    nodes = cut(on_cycles(edges))
+    start = nodes.agg(F.min("id")).first()[0]
+    none = nodes.select(F.lit(0).alias("place"), "id").where("false")
+    if start is None:
+        return none
+    inner = cut(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
+    front = inner.where(F.col("src") == start).groupBy("dst").agg(F.min(F.array("src", "dst")).alias("path"))
+    seen = front.select("dst")
+    for _ in range(longest):
+        closed = front.where(F.col("dst") == start).select(F.posexplode("path").alias("place", "id"))
+        if not closed.isEmpty():
+            return closed
+        front = front.select(F.col("dst").alias("src"), "path").join(inner, "src").groupBy("dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        front = cut(front.join(seen, "dst", "left_anti"))
+        if front.isEmpty():
+            return none
+        seen = cut(seen.unionByName(front.select("dst")))
+    raise ValueError(f"no cycle of {longest} nodes or fewer through {start}")
 
 
 def ancestors(parents: DataFrame, shown: DataFrame, depth: int) -> DataFrame:
@@ -126,15 +216,29 @@ def lifted(relations: DataFrame, ancestor: DataFrame, ids: Column) -> DataFrame:
     return pairs.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.min(ids).alias("first_relation"), F.max(ids).alias("last_relation"))
 
 
+def without_refinements(relations: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Relations (id, src, dst, refines) without the refinements of a relation that the view draws (``drawn``: id)."""
+    return relations.join(drawn.select(F.col("id").alias("refines")).distinct(), "refines", "left_anti")
+
+
 def dependents(origins: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(origin, node, hops, chain): nodes that lead to the origin, with the shortest relation chain, ties by code point."""
+    """(origin, node, hops, chain): nodes that lead to the origin, with the shortest relation chain, ties by code point.
+
+    A node found before isn't expanded again: what it leads to has a shorter chain already.
+    """
     rows = origins.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit("").alias("chain"))
     found = None
     for h in range(1, hops + 1):
         nxt = rows.join(edges.select(F.col("dst").alias("node"), "src", "rel"), "node").where("src <> origin")
         chain = F.when(F.col("chain") == "", F.col("rel")).otherwise(F.concat_ws(">", "chain", "rel"))
         rows = nxt.select("origin", F.col("src").alias("node"), chain.alias("chain")).groupBy("origin", "node").agg(F.min("chain").alias("chain"))
+        if found is not None:
+            rows = rows.join(found.select("origin", "node"), ["origin", "node"], "left_anti")
         level = rows.withColumn("hops", F.lit(h))
         found = level if found is None else found.unionByName(level)
-    best = F.min(F.struct("hops", "chain"))
-    return found.groupBy("origin", "node").agg(best.alias("b")).select("origin", "node", "b.hops", "b.chain")
+    return found.select("origin", "node", "hops", "chain")
+
+
+def dependents_as_of(origins: DataFrame, relations: DataFrame, hops: int, at: int) -> DataFrame:
+    """Dependents along the relations (rel, src, dst, valid_from, valid_to) that hold at ``at``, on every hop."""
+    return dependents(origins, relations.where(holds("valid_from", "valid_to", at)).select("rel", "src", "dst"), hops)

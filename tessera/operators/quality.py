@@ -64,3 +64,11 @@ def without_dismissed(found: DataFrame, dismissed: DataFrame, disabled: Sequence
 
 def not_in(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return rows.join(other.select(key).distinct(), key, "left_anti")
+
+
+def paths_between(edges: DataFrame, inputs: DataFrame, sinks: DataFrame, hops: int) -> DataFrame:
+    """(input, sink): sinks that an input reaches along src -> dst in exactly ``hops`` steps."""
+    front = inputs.select("input", F.col("input").alias("at"))
+    for _ in range(hops):
+        front = front.join(edges, F.col("at") == F.col("src")).select("input", F.col("dst").alias("at")).distinct()
+    return front.withColumnRenamed("at", "sink").join(sinks, "sink", "left_semi").select("input", "sink")

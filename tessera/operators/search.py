@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.connections import grouped_top
+
 
 def ranked(entries: DataFrame, text: str) -> DataFrame:
     """One best match per node: title prefix 0, title 1, another field 3; then the shorter value, then the value.
@@ -26,12 +30,24 @@ def flat(entries: DataFrame, text: str, limit: int) -> DataFrame:
 
 
 def grouped(entries: DataFrame, text: str, per_kind: int) -> DataFrame:
-    """Each kind's best rows with its total and best rank, by which groups are ordered."""
-    by = W.partitionBy("kind")
-    rows = ranked(entries, text).withColumns(
-        {"total": F.count(F.lit(1)).over(by), "best": F.min("rank").over(by), "rn": F.row_number().over(by.orderBy("rank", F.length("label"), "label", "id"))}
-    )
-    return rows.where(F.col("rn") <= max(1, min(per_kind, 20)))
+    """Each kind's best rows with its total, best rank and place among the groups.
+
+    The group whose best answer ranks highest leads, then the fuller one, then the kind's name.
+    """
+    found = ranked(entries, text)
+    top = grouped_top(found, ["kind"], [F.asc("rank"), F.length("label"), F.asc("label"), F.asc("id")], max(1, min(per_kind, 20)))
+    # one row a kind: as few as the catalogue has kinds
+    kinds = found.groupBy("kind").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.orderBy("best", F.desc("n"), "kind"))
+    return top.join(kinds.select("kind", "best", place.alias("place")), "kind")
+
+
+def catalogue_ranked(kinds: DataFrame, text: str) -> DataFrame:
+    """(name, word, rank, matched) of catalogue entries: the word itself 0, its start 1, inside it 2, in the definition 3."""
+    needle, word, definition = text.strip().lower(), F.lower("word"), F.lower(F.coalesce("definition", F.lit("")))
+    rank = F.when(word == needle, 0).when(F.startswith(word, F.lit(needle)), 1).when(F.instr(word, needle) > 0, 2).when(F.instr(definition, needle) > 0, 3)
+    hits = kinds.withColumn("rank", rank).where(F.col("rank").isNotNull() & F.lit(needle != ""))
+    return hits.select("name", "word", "rank", F.when(F.col("rank") == 3, F.col("definition")).otherwise(F.col("word")).alias("matched"))
 
 
 def mentions(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -48,28 +64,51 @@ def line_range(docs: DataFrame, first: int, last: int) -> DataFrame:
     return lines.where((F.col("n") >= first - 1) & (F.col("n") < last)).select("doc_id", (F.col("n") + 1).cast("long").alias("line"), "text")
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def distance(metric: str) -> Column:
+def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` from one query."""
     if metric == "l2":
-        return F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        return np.sqrt(((x - q) ** 2).sum(1))
     if metric == "inner_product":
-        return -_dot("q", "v")
+        return -(x @ q)
     if metric == "cosine":
-        return F.lit(1.0) - _dot("q", "v") / (F.sqrt(_dot("q", "q")) * F.sqrt(_dot("v", "v")))
+        return 1 - (x @ q) / (np.sqrt((x * x).sum(1)) * np.sqrt(q @ q))
     raise ValueError(metric)
 
 
-def exact_neighbours(vectors: DataFrame, queries: DataFrame, metric: str, k: int, blocks: int = 8) -> DataFrame:
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, metric: str, k: int, batch: int = 4_096) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest of all vectors, the query itself excluded, ties by id.
 
-    Vectors are dealt over ``blocks``, each query goes to every block; blocks keep their k best, which meet per query.
+    Vectors stay where they are. Queries are broadcast in batches of about ``batch``; each task keeps its k best of a query,
+    and these meet per query. Distances count to 6 places.
     """
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    d = q.join(v, "block").where("query_id <> vec_id").select("block", "query_id", "vec_id", F.round(distance(metric), 6).alias("distance"))
-    local = d.withColumn("r", F.row_number().over(W.partitionBy("block", "query_id").orderBy("distance", "vec_id"))).where(F.col("r") <= k)
+    _distances(metric, np.ones((1, 1)), np.ones(1))  # refuses unknown metrics here
+    spark = vectors.sparkSession
+    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("q"))
+    slim = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    batches, out = max(1, -(-asked.count() // batch)), None
+    for n in range(batches):
+        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == n).collect()  # about ``batch`` rows
+        shared = spark.sparkContext.broadcast(([r[0] for r in mine], [np.array(r[1]) for r in mine]))
+
+        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            for b in parts:
+                if not b.num_rows:
+                    continue
+                names, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                for i, mine in enumerate(ids):
+                    d, other = np.round(_distances(metric, x, q[i]), 6), names != mine
+                    d, at = np.r_[best[i][0], d[other]], np.r_[best[i][1], names[other]]
+                    first = np.lexsort((at, d))[:k]
+                    best[i] = d[first], at[first]
+            sizes = [len(d) for d, _ in best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *(at for _, at in best)])), pa.array(np.concatenate([np.zeros(0), *(d for d, _ in best)]))],
+                ["query_id", "vec_id", "distance"],
+            )
+
+        part = slim.mapInArrow(run, "query_id long, vec_id long, distance double")
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

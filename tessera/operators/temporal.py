@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions.lineage import cut
+
 
 def holds(start: str, end: str, at: int | Column) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
@@ -35,8 +37,9 @@ def state_at(assertions: DataFrame, at: int, commit: str) -> DataFrame:
 
 
 def commit_order(commits: DataFrame) -> DataFrame:
-    by = W.partitionBy("source").orderBy("committed_at", "commit_id")
-    return commits.withColumns({"position": F.row_number().over(by), "successor": F.lead("commit_id").over(by)})
+    """Each commit's position within its source and the one after it; sources are few, so ranges are placed, not sources."""
+    rows = positions(commits, "source", [F.col("committed_at"), F.col("commit_id")], ["commit_id"])
+    return rows.withColumnRenamed("next_commit_id", "successor")
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -85,6 +88,63 @@ def store_version(assertions: DataFrame, version: DataFrame, source: str, at: in
     return changed.select("kind", "entity_id", F.explode(F.array_compact(writes)).alias("w")).select("kind", "entity_id", "w.*")
 
 
+def version_digests(versions: DataFrame) -> DataFrame:
+    """(source, commit_id, committed_at, digest) of model versions given as rows (source, commit_id, committed_at, kind,
+    entity_id, content): the same whatever the order of the rows. Sums combine on the map side."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in ("kind", "entity_id", "content")])
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    rows = versions.groupBy("source", "commit_id", "committed_at").agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("sum"))
+    return rows.select("source", "commit_id", "committed_at", F.concat_ws(":", "n", "sum").alias("digest"))
+
+
+def admit(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(source, commit_id, outcome, reason) of commits to store, beside those stored (source, commit_id, committed_at, digest).
+
+    ``stored`` for a new commit, ``repeated`` for one already stored with the same time and digest (nothing is written),
+    ``refused`` for one stored with another time or digest; both differences are named.
+    """
+    old = stored.select("source", "commit_id", F.col("committed_at").alias("old_at"), F.col("digest").alias("old_digest"))
+    rows = incoming.join(old, ["source", "commit_id"], "left")
+    when = F.when(F.col("old_at") != F.col("committed_at"), "a different commit time")
+    what = F.when(F.col("old_digest") != F.col("digest"), F.concat(F.lit("stored digest "), "old_digest", F.lit(" differs from incoming digest "), "digest"))
+    reason = F.concat_ws("; ", when, what)
+    outcome = F.when(F.col("old_digest").isNull(), "stored").when(reason == "", "repeated").otherwise("refused")
+    return rows.select("source", "commit_id", outcome.alias("outcome"), F.when(outcome == "refused", reason).alias("reason"))
+
+
+def recorded_times(arrivals: DataFrame, source: str, seq: str, clock: str) -> DataFrame:
+    """``arrivals`` with ``recorded``: the clock's time, or 1 ms past the source's previous recorded time where the clock
+    hasn't moved beyond it. Recorded time only ever increases within a source: a running maximum of (time - position)."""
+    by = W.partitionBy(source).orderBy(seq)
+    n = F.row_number().over(by).cast("long")
+    rows = arrivals.withColumn("__n", n)
+    ahead = F.max(F.col(clock) - F.col("__n")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("recorded", ahead + F.col("__n")).drop("__n")
+
+
+def positions(rows: DataFrame, group: str, order: list[Column], names: list[str], name: str = "position") -> DataFrame:
+    """``rows`` with their place (from 1) within ``group`` by ``order``, and of each column in ``names`` the next row's value.
+
+    A few groups of many rows would be sorted in as many tasks. Instead rows are dealt by ranges of (group, order), placed
+    within their range, and moved by the rows of the same group in earlier ranges; those counts, one row a range and group,
+    are as few as there are ranges.
+    """
+    spark = rows.sparkSession
+    dealt = cut(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(group), *order).withColumn("__range", F.spark_partition_id()))
+    inner = W.partitionBy("__range", group).orderBy(*order)
+    placed = dealt.withColumn("__rank", F.row_number().over(inner)).withColumns({f"__next_{c}": F.lead(c).over(inner) for c in names})
+    first = F.min_by(F.struct(*names) if names else F.lit(1), "__rank")
+    ranges = placed.groupBy("__range", group).agg(F.count(F.lit(1)).alias("__many"), first.alias("__first"))
+    outer = W.partitionBy(group).orderBy("__range")
+    before = F.coalesce(F.sum("__many").over(outer.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = ranges.select(F.col("__range").alias("__r"), F.col(group).alias("__g"), before.alias("__before"), F.lead("__first").over(outer).alias("__after"))
+    # one row a range and group
+    joined = placed.join(F.broadcast(moved), (F.col("__range") == F.col("__r")) & F.col(group).eqNullSafe(F.col("__g")))
+    last = {f"next_{c}": F.coalesce(F.col(f"__next_{c}"), F.col("__after")[c]) for c in names}
+    out = joined.withColumns({name: (F.col("__before") + F.col("__rank")).cast("int"), **last})
+    return out.select(*rows.columns, name, *last)
+
+
 def periods(changes: DataFrame, key: str, order: list[str], flag: str, opens: str, closes: str) -> DataFrame:
     """(key, opened, closed): an opening while open and a closing while closed change nothing."""
     by = W.partitionBy(key).orderBy(*order)

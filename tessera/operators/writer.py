@@ -68,6 +68,28 @@ def publish_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("rel", "src", "dst", F.when(missing == "", "published").otherwise(missing).alias("outcome"))
 
 
+def withdraw_edges(edges: DataFrame, stated: DataFrame, producer: str) -> DataFrame:
+    """(rel, src, dst, closed, removed): edges that the producer stated; one goes when no other producer states it.
+
+    ``stated`` has one row for each edge and producer.
+    """
+    key = ["rel", "src", "dst"]
+    mine = F.col("producer") == producer
+    held = stated.groupBy(*key).agg(F.count(F.when(mine, 1)).alias("closed"), F.count(F.when(~mine, 1)).alias("rest")).where("closed > 0")
+    return edges.select(*key).join(held, key).select(*key, "closed", (F.col("rest") == 0).alias("removed"))
+
+
+def stale(now: DataFrame, recorded: DataFrame, consumed: DataFrame) -> DataFrame:
+    """(kind, reason): kinds whose members changed (``membership``) or their contents (``content``), and kinds that consume
+    one of these (``consumed <kind>``, the first by name). ``now`` and ``recorded`` are membership digests."""
+    old = recorded.select("kind", F.col("n").alias("old_n"), F.col("digest").alias("old_digest"))
+    reason = F.when(~F.col("n").eqNullSafe(F.col("old_n")), "membership").when(~F.col("digest").eqNullSafe(F.col("old_digest")), "content")
+    own = now.join(old, "kind", "full").select("kind", reason.alias("reason")).where("reason IS NOT NULL")
+    by = consumed.join(own.select(F.col("kind").alias("of")), "of").groupBy("kind").agg(F.min("of").alias("of"))
+    rows = own.join(by, "kind", "full")
+    return rows.select("kind", F.coalesce("reason", F.concat(F.lit("consumed "), "of")).alias("reason"))
+
+
 def diff(current: DataFrame, wanted: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """(key, action): added, removed or changed; what is equal is left out."""
     c = current.select(key, F.struct(*values).alias("c"))

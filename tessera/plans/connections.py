@@ -67,9 +67,9 @@ def kind_scan(t):
     return t.node.where("kind = 'customer' AND NOT removed").select("id", "label")
 
 
-@query("opinion_scan", "SELECT id, holder, grade FROM opinion WHERE state = 'open' AND holder IN (SELECT user_id * 20 FROM event WHERE user_id % 2 = 0)")
+@query("opinion_scan", "SELECT id, holder, grade FROM opinion WHERE state = 'open' AND holder IN (SELECT user_id * 20 FROM event WHERE event_type = 'signup')")
 def opinion_scan(t):
-    holders = t.event.where("user_id % 2 = 0").select((F.col("user_id") * 20).alias("holder"))
+    holders = t.event.where("event_type = 'signup'").select((F.col("user_id") * 20).alias("holder"))
     return t.opinion.where("state = 'open'").select("id", "holder", "grade").join(holders, "holder", "left_semi")
 
 

@@ -43,6 +43,29 @@ def cochange(t):
     return G.cochange(t.edge.where("rel = 'supplied_by'"), 10)
 
 
+@query(
+    "cochange_both",
+    """WITH p AS (SELECT src AS near, dst AS id FROM edge WHERE rel = 'touched' UNION SELECT dst, src FROM edge WHERE rel = 'touched'), n AS (SELECT a.id, b.id AS other, count(*) AS n FROM p a JOIN p b ON a.near = b.near AND a.id <> b.id GROUP BY 1, 2 HAVING count(*) >= 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS rn FROM n)
+    SELECT r.id, r.other, r.n, t.total, round(r.n / t.total * 100, 6) AS share, CAST(r.rn AS INTEGER) AS rn FROM r JOIN (SELECT id, count(*) AS total FROM p GROUP BY id) t ON t.id = r.id WHERE rn <= 10""",
+)
+def cochange_both(t):
+    return G.cochange(t.edge.where("rel = 'touched'"), 10, both=True)
+
+
+@query(
+    "related_page",
+    """WITH e AS (SELECT dst AS src, src AS dst FROM edge WHERE rel IN ('in_region', 'in_nation')), l AS (SELECT * FROM node WHERE NOT removed),
+    h1 AS (SELECT o.id AS origin, e.dst AS node FROM node o JOIN e ON e.src = o.id JOIN l ON l.id = e.dst WHERE o.kind = 'region'), h2 AS (SELECT DISTINCT h.origin, e.dst AS node FROM h1 h JOIN e ON e.src = h.node JOIN l ON l.id = e.dst),
+    f AS (SELECT h.origin, h.node, h.hops, l.label FROM (SELECT origin, node, 1 AS hops FROM h1 UNION SELECT origin, node, 2 FROM h2) h JOIN l ON l.id = h.node WHERE l.kind = 'customer' AND l.label LIKE '%7')
+    SELECT origin, node, CAST(hops AS INTEGER) AS hops, label, total, CAST(rn AS INTEGER) AS rn FROM (SELECT *, count(*) OVER (PARTITION BY origin) AS total, row_number() OVER (PARTITION BY origin ORDER BY label DESC, node) AS rn FROM f) x WHERE rn <= 6""",
+)
+def related_page(t):
+    e = t.edge.where("rel IN ('in_region', 'in_nation')")
+    rows = G.related_page(t.node.where("kind = 'region'"), e, t.node, 2, [F.desc("label")], 5, inverse=True, kinds=["customer"], condition=F.col("label").like("%7"))
+    return rows.select("origin", "node", "hops", "label", "total", "rn")
+
+
 @query(
     "contributors",
     """SELECT dst, far, n, CAST(rn AS INTEGER) AS rn FROM (SELECT dst, far, n, row_number() OVER (PARTITION BY dst ORDER BY n DESC, far) AS rn FROM
@@ -68,19 +91,19 @@ def outgoing(t):
     return C.grouped_top(t.edge.select(F.col("src").alias("holder"), "rel", F.col("dst").alias("target")), ["holder"], [F.asc("rel"), F.asc("target")], 3)
 
 
-BOTH = """b AS (SELECT e.src AS id, 'out' AS side, e.rel, e.dst AS other, n.kind FROM edge e JOIN node n ON n.id = e.dst WHERE e.rel <> 'touched'
-    UNION ALL SELECT e.dst, 'in', e.rel, e.src, n.kind FROM edge e JOIN node n ON n.id = e.src WHERE e.src <> e.dst AND e.rel <> 'touched')"""
+BOTH = """b AS (SELECT e.src AS id, 'out' AS side, e.rel, e.dst AS other, n.kind FROM edge e JOIN node n ON n.id = e.dst
+    UNION ALL SELECT e.dst, 'in', e.rel, e.src, n.kind FROM edge e JOIN node n ON n.id = e.src WHERE e.src <> e.dst)"""
 
 
 @query("neighbourhood", f"WITH {BOTH} SELECT id, side, rel, kind, other, total, CAST(rn AS INTEGER) AS rn, total > 4 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY id, side, rel, kind) AS total, row_number() OVER (PARTITION BY id, side, rel, kind ORDER BY other) AS rn FROM b) x WHERE rn <= 4")
 def neighbourhood(t):
-    rows = C.grouped_top(G.both_sides(t.edge.where("rel <> 'touched'"), t.node), ["id", "side", "rel", "kind"], [F.asc("other")], 4)
+    rows = C.grouped_top(G.both_sides(t.edge, t.node), ["id", "side", "rel", "kind"], [F.asc("other")], 4)
     return rows.withColumn("truncated", F.col("total") > 4)
 
 
 @query("neighbourhood_fold", f"WITH {BOTH}, c AS (SELECT *, count(*) OVER (PARTITION BY id, side, rel, kind) AS total FROM b) SELECT id, side, rel, kind, CASE WHEN total <= 4 THEN other END AS member, max(CASE WHEN total > 4 THEN total END) AS folded FROM c GROUP BY 1, 2, 3, 4, 5")
 def neighbourhood_fold(t):
-    return G.fold(G.both_sides(t.edge.where("rel <> 'touched'"), t.node), ["id", "side", "rel", "kind"], "other", 4)
+    return G.fold(G.both_sides(t.edge, t.node), ["id", "side", "rel", "kind"], "other", 4)
 
 
 @query("trail", "SELECT c.id, CAST(r.dst AS VARCHAR) || '/' || CAST(c.dst AS VARCHAR) AS trail FROM (SELECT src AS id, dst FROM edge WHERE rel = 'in_nation') c JOIN edge r ON r.rel = 'in_region' AND r.src = c.dst UNION ALL SELECT src, CAST(dst AS VARCHAR) FROM edge WHERE rel = 'in_region'")
@@ -89,24 +112,27 @@ def trail(t):
     return G.trail(parents.select(F.col("src").alias("id")), parents, 4)
 
 
-RENAMED = "SELECT p_partkey AS src, p_partkey - 1 AS dst FROM part WHERE p_partkey % 4 <> 0"
-CHAIN = f"WITH RECURSIVE renamed AS ({RENAMED}), chain AS (SELECT src, dst FROM renamed UNION SELECT c.src, r.dst FROM chain c JOIN renamed r ON r.src = c.dst)"
-
+CHAIN = "WITH RECURSIVE chain AS (SELECT src, dst, 1 AS steps FROM renamed UNION ALL SELECT c.src, r.dst, c.steps + 1 FROM chain c JOIN renamed r ON r.src = c.dst)"
 
-def _chain(t):
-    return G.closure(t.part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 1).alias("dst")))
 
-
-@query("rename_chain", f"{CHAIN} SELECT src, dst FROM chain")
+@query("rename_chain", f"{CHAIN} SELECT src AS id, dst AS root, CAST(steps AS BIGINT) AS steps FROM chain WHERE dst NOT IN (SELECT src FROM renamed)")
 def rename_chain(t):
-    return _chain(t)
+    return G.chains(t.renamed)
 
 
-@query("file_history", f"{CHAIN}, names AS (SELECT src AS file, dst AS name FROM chain UNION ALL SELECT p_partkey, p_partkey FROM part) SELECT n.file, count(DISTINCT c.commit_id) AS commits, count(DISTINCT c.author) AS authors, min(c.tick) AS created, max(c.tick) AS modified FROM names n JOIN change c ON c.file = n.name GROUP BY n.file")
+@query(
+    "file_history",
+    f"{CHAIN}, names AS (SELECT src AS file, dst AS name FROM chain UNION ALL SELECT p_partkey, p_partkey FROM part) SELECT n.file, count(DISTINCT c.commit_id) AS commits, count(DISTINCT c.author) AS authors, min(c.tick) AS created, max(c.tick) AS modified FROM names n JOIN change c ON c.file = n.name WHERE n.file NOT IN (SELECT dst FROM renamed) GROUP BY n.file",
+)
 def file_history(t):
-    names = _chain(t).select(F.col("src").alias("file"), F.col("dst").alias("name")).unionByName(t.part.select(F.col("p_partkey").alias("file"), F.col("p_partkey").alias("name")))
-    rows = names.join(t.change.select(F.col("file").alias("name"), "commit_id", "author", "tick"), "name")
-    return rows.groupBy("file").agg(F.count_distinct("commit_id").alias("commits"), F.count_distinct("author").alias("authors"), F.min("tick").alias("created"), F.max("tick").alias("modified"))
+    """One row for every file that still bears its name: the changes of all its names, gathered under the chain's root."""
+    names = t.part.select(F.col("p_partkey").alias("name"))
+    rooted = names.join(G.chains(t.renamed).select(F.col("id").alias("name"), "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"))
+    current = rooted.join(t.renamed.select(F.col("dst").alias("name")), "name", "left_anti").select("root", F.col("name").alias("file"))
+    rows = t.change.select(F.col("file").alias("name"), "commit_id", "author", "tick").join(rooted, "name").groupBy("root").agg(
+        F.count_distinct("commit_id").alias("commits"), F.count_distinct("author").alias("authors"), F.min("tick").alias("created"), F.max("tick").alias("modified")
+    )
+    return rows.join(current, "root").select("file", "commits", "authors", "created", "modified")
 
 
 @query("dependency_lists", "SELECT id, max(df) AS derives_from, max(db) AS derived_by FROM (SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS df, NULL AS db FROM edge WHERE rel IN ('in_region', 'in_nation') GROUP BY src UNION ALL SELECT dst, NULL, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM edge WHERE rel IN ('in_region', 'in_nation') GROUP BY dst) x GROUP BY id")
@@ -130,6 +156,15 @@ def dependency_cycles(t):
     return G.on_cycles(t.part.select(k.alias("src"), F.when(k % 10 < 3, k - k % 10 + (k % 10 + 1) % 3).otherwise(k - 1).alias("dst")))
 
 
+CYCLE = "WITH RECURSIVE d AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 10 < 3 THEN p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 3 ELSE p_partkey - 1 END AS b FROM part), w AS (SELECT 0 AS place, CAST(0 AS BIGINT) AS id UNION ALL SELECT w.place + 1, d.b FROM w JOIN d ON d.a = w.id WHERE w.place = 0 OR w.id <> 0)"
+
+
+@query("first_cycle", f"{CYCLE} SELECT place, id FROM w")
+def first_cycle(t):
+    k = F.col("p_partkey")
+    return G.first_cycle(t.part.select(k.alias("src"), F.when(k % 10 < 3, k - k % 10 + (k % 10 + 1) % 3).otherwise(k - 1).alias("dst")))
+
+
 @query(
     "view_lifted",
     """SELECT c.c_nationkey + 2000000000000 AS from_id, s.s_nationkey + 2000000000000 AS to_id, count(*) AS n, min(e.src * 10 + e.dst % 10) AS first_relation, max(e.src * 10 + e.dst % 10) AS last_relation
@@ -142,6 +177,28 @@ def view_lifted(t):
     return G.lifted(e.where("rel = 'supplied_by'").select("src", "dst"), G.ancestors(parents, shown, 2), F.col("src") * 10 + F.col("dst") % 10)
 
 
+@query(
+    "view_refined_once",
+    """WITH x AS (SELECT l_suppkey, c_custkey, s_nationkey + 2000000000000 AS a, c_nationkey + 2000000000000 AS b, l_quantity, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+    coarse AS (SELECT DISTINCT a, b FROM x WHERE l_quantity >= 50), fine AS (SELECT DISTINCT l_suppkey, c_custkey, a, b FROM x WHERE l_quantity >= 48 AND o_orderpriority = '1-URGENT')
+    SELECT a AS from_id, b AS to_id, count(*) AS n FROM (SELECT a, b FROM coarse UNION ALL SELECT a, b FROM fine WHERE NOT EXISTS (SELECT 1 FROM coarse c WHERE c.a = fine.a AND c.b = fine.b)) u WHERE a <> b GROUP BY 1, 2""",
+)
+def view_refined_once(t):
+    """Large shipments between nations, and urgent ones between a supplier and a customer, which refine them: a refinement
+    counts only where the relation it refines isn't drawn."""
+    rows = t.lineitem.select("l_quantity", F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    rows = rows.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderpriority"), "o_orderkey").join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    ends = {"a": F.col("s_nationkey") + 2_000_000_000_000, "b": F.col("c_nationkey") + 2_000_000_000_000, "s": F.col("s_suppkey") + 4_000_000_000_000, "c": F.col("c_custkey") + 3_000_000_000_000}
+    rows = rows.withColumns({k: v.cast("long") for k, v in ends.items()})
+    name = lambda *cols: F.concat_ws(">", *[F.col(c).cast("string") for c in cols])
+    coarse = rows.where("l_quantity >= 50").select(name("a", "b").alias("id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast("string").alias("refines"))
+    fine = rows.where("l_quantity >= 48 AND o_orderpriority = '1-URGENT'").select(name("s", "c").alias("id"), F.col("s").alias("src"), F.col("c").alias("dst"), name("a", "b").alias("refines"))
+    relations = coarse.unionByName(fine).distinct()
+    above = G.ancestors(t.edge.where("rel = 'in_nation'").select("src", "dst"), t.node.where("kind = 'nation'").select("id"), 1)
+    crossing = relations.join(above.select(F.col("id").alias("src"), F.col("shown").alias("x")), "src").join(above.select(F.col("id").alias("dst"), F.col("shown").alias("y")), "dst").where("x <> y")
+    return G.lifted(G.without_refinements(relations, crossing), above, F.col("id")).select("from_id", "to_id", "n")
+
+
 DEP = "WITH e AS (SELECT rel, src, dst FROM edge WHERE rel IN ('in_region', 'in_nation') UNION ALL SELECT rel, dst, src FROM edge WHERE rel = 'placed'), h1 AS (SELECT n.id AS origin, e.src AS node, e.rel AS chain FROM node n JOIN e ON e.dst = n.id WHERE n.kind = 'region'), h2 AS (SELECT h.origin, e.src AS node, h.chain || '>' || e.rel AS chain FROM h1 h JOIN e ON e.dst = h.node), h3 AS (SELECT h.origin, e.src AS node, h.chain || '>' || e.rel AS chain FROM h2 h JOIN e ON e.dst = h.node)"
 
 
@@ -151,6 +208,18 @@ def dependents(t):
     return G.dependents(t.node.where("kind = 'region'"), e, 3)
 
 
+AT = 900_000_000_000
+
+
+@query(
+    "dependents_asof",
+    f"""WITH h AS (SELECT rel, src, dst FROM held WHERE valid_from <= {AT} AND (valid_to IS NULL OR valid_to > {AT})), a AS (SELECT DISTINCT dst AS origin, src AS node, rel AS chain FROM h WHERE dst IN (SELECT id FROM node WHERE kind = 'customer')),
+    b AS (SELECT DISTINCT a.origin, h.src AS node, a.chain || '>' || h.rel AS chain FROM a JOIN h ON h.dst = a.node) SELECT origin, node, 1 AS hops, chain FROM a UNION ALL SELECT origin, node, 2, chain FROM b""",
+)
+def dependents_asof(t):
+    return G.dependents_as_of(t.node.where("kind = 'customer'"), t.held, 2, AT)
+
+
 @query("dependencies", "SELECT a.src AS origin, a.dst AS node, 1 AS hops, a.rel AS chain FROM edge a WHERE a.rel IN ('in_nation', 'in_region') UNION ALL SELECT a.src, b.dst, 2, a.rel || '>' || b.rel FROM edge a JOIN edge b ON b.src = a.dst AND b.rel = 'in_region' WHERE a.rel = 'in_nation'")
 def dependencies(t):
     e = t.edge.where("rel IN ('in_nation', 'in_region')").select("rel", F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -101,15 +101,19 @@ def rule_route_outside_group(t):
     return t.node.where((F.col("kind") == "part") & ~F.regexp_extract("label", "^([a-z]+)", 1).isin("red", "blue")).join(heavy, "id", "left_semi").select("nkey")
 
 
-@query("rule_taint_path", "SELECT DISTINCT a.src AS input, b.dst AS sink FROM edge a JOIN edge b ON b.src = a.dst WHERE a.rel = 'placed' AND b.rel = 'supplied_by' AND a.src % 5 = 0 AND b.dst % 10 = 3")
+@query(
+    "rule_taint_path",
+    "SELECT DISTINCT a.src AS input, b.dst AS sink FROM edge a JOIN edge b ON b.src = a.dst WHERE a.rel = 'placed' AND b.rel = 'supplied_by' AND a.src IN (SELECT 3000000000000 + c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND b.dst IN (SELECT 4000000000000 + s_suppkey FROM supplier WHERE s_acctbal < 0)",
+)
 def rule_taint_path(t):
-    a = t.edge.where("rel = 'placed' AND src % 5 = 0").select(F.col("src").alias("input"), F.col("dst").alias("mid"))
-    b = t.edge.where("rel = 'supplied_by' AND dst % 10 = 3").select(F.col("src").alias("mid"), F.col("dst").alias("sink"))
-    return a.join(b, "mid").select("input", "sink").distinct()
+    """Paths of two hops from inputs (customers of a segment) to sinks (suppliers in debt)."""
+    inputs = t.customer.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 3_000_000_000_000).alias("input"))
+    sinks = t.supplier.where("s_acctbal < 0").select((F.col("s_suppkey") + 4_000_000_000_000).alias("sink"))
+    return Q.paths_between(t.edge.where("rel IN ('placed', 'supplied_by')").select("src", "dst"), inputs, sinks, 2)
 
 
 FOUND = """f AS (SELECT DISTINCT * FROM (SELECT 'large-file' AS rule, CAST(file AS VARCHAR) AS target, '' AS detail FROM file WHERE lines >= 1800 UNION ALL SELECT 'dead-export', CAST(file AS VARCHAR), '' FROM file WHERE file NOT IN (SELECT file FROM change WHERE flag = 'A')
-    UNION ALL SELECT 'removed-line', CAST(file AS VARCHAR), flag FROM change WHERE removed >= 7) x WHERE (rule, target) NOT IN (SELECT 'large-file', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 0))"""
+    UNION ALL SELECT 'removed-line', CAST(file AS VARCHAR), flag FROM change WHERE removed >= 7) x WHERE (rule, target) NOT IN (SELECT 'large-file', CAST(p_partkey AS VARCHAR) FROM part WHERE p_type = 'PROMO'))"""
 
 
 def _found(t):
@@ -117,7 +121,7 @@ def _found(t):
         Q.findings("large-file", t.file.where("lines >= 1800"), "file"), Q.findings("dead-export", Q.not_in(t.file, t.change.where("flag = 'A'"), "file"), "file"),
         Q.findings("removed-line", t.change.where("removed >= 7"), "file", F.col("flag")),
     ]
-    dismissed = t.part.where("p_partkey % 3 = 0").select(F.lit("large-file").alias("rule"), F.col("p_partkey").cast("string").alias("target"))
+    dismissed = t.part.where("p_type = 'PROMO'").select(F.lit("large-file").alias("rule"), F.col("p_partkey").cast("string").alias("target"))
     return Q.without_dismissed(reduce(lambda a, b: a.unionByName(b), parts), dismissed)
 
 
@@ -152,9 +156,9 @@ def verdict_reasons(t):
     return t.event.where("k >= 60").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(10)
 
 
-@query("unit_validation", "SELECT o_orderkey AS id, concat_ws(',', CASE WHEN c.c_custkey IS NULL THEN 'reference' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'kind' END) AS refused FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 11 <> 0 WHERE c.c_custkey IS NULL OR o_orderstatus NOT IN ('O', 'F')")
+@query("unit_validation", "SELECT o_orderkey AS id, concat_ws(',', CASE WHEN c.c_custkey IS NULL THEN 'reference' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'kind' END) AS refused FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal >= 0 WHERE c.c_custkey IS NULL OR o_orderstatus NOT IN ('O', 'F')")
 def unit_validation(t):
-    known = t.customer.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known"))
+    known = t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known"))
     rows = t.orders.join(known, "o_custkey", "left")
     refused = F.concat_ws(",", F.when(F.col("known").isNull(), "reference"), F.when(~F.col("o_orderstatus").isin("O", "F"), "kind"))
     return rows.select(F.col("o_orderkey").alias("id"), refused.alias("refused")).where("refused <> ''")

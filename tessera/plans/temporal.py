@@ -22,9 +22,9 @@ def asof_read_source(t):
     return T.as_of(t.assertion, V, K, "src1").select("entity_id", "content", "valid_from")
 
 
-@query("asof_join", "SELECT o.id, o.user_id, a.content FROM (SELECT id, run AS user_id, at AS moment FROM log WHERE at IS NOT NULL AND id % 3 = 0) o JOIN assertion a ON a.entity_id = o.user_id AND a.valid_from <= o.moment AND (a.valid_to IS NULL OR a.valid_to > o.moment)".replace("at AS moment", "tick AS moment").replace("at IS NOT", "tick IS NOT"))
+@query("asof_join", "SELECT o.id, o.run AS user_id, a.content FROM log o JOIN assertion a ON a.entity_id = o.run AND a.valid_from <= o.tick AND (a.valid_to IS NULL OR a.valid_to > o.tick) WHERE o.tick IS NOT NULL")
 def asof_join(t):
-    probes = t.log.where("tick IS NOT NULL AND id % 3 = 0").select("id", F.col("run").alias("user_id"), F.col("tick").alias("moment"))
+    probes = t.log.where("tick IS NOT NULL").select("id", F.col("run").alias("user_id"), F.col("tick").alias("moment"))
     return T.as_of_join(probes, t.assertion, "user_id", "moment").select("id", "user_id", "content")
 
 
@@ -54,7 +54,7 @@ def discrepancies(t):
 def _store(name, successor):
     late = "CAST(NULL AS BIGINT)" if successor is None else f"CAST({successor} AS BIGINT)"
     sql = f"""WITH o AS (SELECT kind, entity_id, content AS old, valid_from AS vf, valid_to AS vt FROM assertion WHERE source = 'src1' AND recorded_to IS NULL AND valid_from <= {V} AND (valid_to IS NULL OR valid_to > {V})),
-      n AS (SELECT DISTINCT 'user' AS kind, user_id AS entity_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS new FROM event WHERE user_id % 4 <> 0),
+      n AS (SELECT DISTINCT 'user' AS kind, user_id AS entity_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS new FROM event WHERE event_type = 'purchase'),
       c AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.entity_id, n.entity_id) AS entity_id, old, new, vf, vt FROM o FULL JOIN n ON o.kind = n.kind AND o.entity_id = n.entity_id WHERE old IS DISTINCT FROM new)
       SELECT kind, entity_id, 'closed' AS action, old AS content, vf AS valid_from, vt AS valid_to, CAST(NULL AS BIGINT) AS recorded_from, CAST({K} AS BIGINT) AS recorded_to FROM c WHERE old IS NOT NULL
       UNION ALL SELECT kind, entity_id, 'truncated', old, vf, {V}, {K}, NULL FROM c WHERE old IS NOT NULL AND vf < {V}
@@ -63,7 +63,7 @@ def _store(name, successor):
 
     @query(name, sql)
     def run(t):
-        version = t.event.where("user_id % 4 <> 0").select("user_id").distinct().select(F.lit("user").alias("kind"), F.col("user_id").alias("entity_id"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("view").alias("content"))
+        version = t.event.where("event_type = 'purchase'").select("user_id").distinct().select(F.lit("user").alias("kind"), F.col("user_id").alias("entity_id"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("view").alias("content"))
         return T.store_version(t.assertion, version, "src1", V, K, successor)
 
     return run
@@ -119,3 +119,32 @@ def binding_discrepancies(t):
 @query("children_asof", f"SELECT content AS parent, entity_id AS child FROM assertion WHERE {HOLDS} AND content <> 'error'")
 def children_asof(t):
     return T.as_of(t.assertion, V, K).where("content <> 'error'").select(F.col("content").alias("parent"), F.col("entity_id").alias("child"))
+
+
+DIGEST = "CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(sha256('event|' || CAST(event_id AS VARCHAR) || '|' || event_type), 1, 12)) AS BIGINT)) AS VARCHAR)"
+
+
+@query(
+    "store_admission",
+    f"""WITH s AS (SELECT 'src1' AS source, 'c' || CAST(user_id AS VARCHAR) AS commit_id, min(tick) AS at, {DIGEST} AS digest FROM event WHERE event_type <> 'error' AND user_id IN (SELECT user_id FROM event WHERE event_type = 'signup') GROUP BY user_id),
+    i AS (SELECT 'src1' AS source, 'c' || CAST(user_id AS VARCHAR) AS commit_id, min(tick) AS at, {DIGEST} AS digest FROM event WHERE event_type <> 'error' OR k < 20 GROUP BY user_id),
+    j AS (SELECT i.source, i.commit_id, s.digest IS NULL AS fresh, concat_ws('; ', CASE WHEN s.at <> i.at THEN 'a different commit time' END, CASE WHEN s.digest <> i.digest THEN 'stored digest ' || s.digest || ' differs from incoming digest ' || i.digest END) AS reason FROM i LEFT JOIN s ON s.source = i.source AND s.commit_id = i.commit_id)
+    SELECT source, commit_id, CASE WHEN fresh THEN 'stored' WHEN reason = '' THEN 'repeated' ELSE 'refused' END AS outcome, CASE WHEN NOT fresh AND reason <> '' THEN reason END AS reason FROM j""",
+)
+def store_admission(t):
+    """A user's events as a model version: stored without errors for users that signed up, coming again with some errors."""
+    row = lambda e: e.select(F.lit("src1").alias("source"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("commit_id"), F.lit("event").alias("kind"), F.col("event_id").alias("entity_id"), F.col("event_type").alias("content"), "tick")
+
+    def digests(rows):
+        first = rows.groupBy("source", "commit_id").agg(F.min("tick").alias("committed_at"))
+        return T.version_digests(rows.drop("tick").join(first, ["source", "commit_id"]))
+
+    signed = t.event.where("event_type = 'signup'").select("user_id").distinct()
+    stored = digests(row(t.event.where("event_type <> 'error'").join(signed, "user_id", "left_semi")))
+    return T.admit(stored, digests(row(t.event.where("event_type <> 'error' OR k < 20"))))
+
+
+@query("recorded_time", "SELECT event_id, m + rn AS recorded FROM (SELECT event_id, rn, max(clock - rn) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM (SELECT event_id, event_type, tick - (k % 7) * 3600000 AS clock, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM event) x) y")
+def recorded_time(t):
+    arrivals = t.event.withColumn("clock", F.col("tick") - (F.col("k") % 7) * 3_600_000)
+    return T.recorded_times(arrivals, "event_type", "event_id", "clock").select("event_id", "recorded")

@@ -33,11 +33,26 @@ def search_flat(t):
     return S.flat(_entries(t), "ma", 50)
 
 
-@query("search_groups", f"WITH {RANKED} SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS total, min(rank) OVER (PARTITION BY kind) AS best, CAST(row_number() OVER (PARTITION BY kind ORDER BY rank, length(label), label, id) AS INTEGER) AS rn FROM r) x WHERE rn <= 5")
+@query(
+    "search_groups",
+    f"""WITH {RANKED}, k AS (SELECT kind, CAST(row_number() OVER (ORDER BY min(rank), count(*) DESC, kind) AS INTEGER) AS place FROM r GROUP BY kind)
+    SELECT x.*, k.place FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS total, min(rank) OVER (PARTITION BY kind) AS best, CAST(row_number() OVER (PARTITION BY kind ORDER BY rank, length(label), label, id) AS INTEGER) AS rn FROM r) x JOIN k ON k.kind = x.kind WHERE rn <= 5""",
+)
 def search_groups(t):
     return S.grouped(_entries(t), "ma", 5)
 
 
+@query(
+    "search_catalogue",
+    """WITH c AS (SELECT DISTINCT kind AS name, replace(kind, '_', ' ') AS word, first_label AS definition FROM (SELECT kind, min(label) AS first_label FROM node GROUP BY kind) x)
+    SELECT name, word, CAST(CASE WHEN lower(word) = 'part' THEN 0 WHEN starts_with(lower(word), 'part') THEN 1 WHEN position('part' IN lower(word)) > 0 THEN 2 ELSE 3 END AS INTEGER) AS rank,
+      CASE WHEN position('part' IN lower(word)) > 0 THEN word ELSE definition END AS matched FROM c WHERE position('part' IN lower(word)) > 0 OR position('part' IN lower(coalesce(definition, ''))) > 0""",
+)
+def search_catalogue(t):
+    kinds = t.node.groupBy(F.col("kind").alias("name")).agg(F.min("label").alias("definition")).withColumn("word", F.translate("name", "_", " "))
+    return S.catalogue_ranked(kinds, " PART ")
+
+
 @query("term_mentions", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), m AS (SELECT doc_id, line, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: w IN ('the', 'that', 'des', 'und'))) AS term FROM l)
     SELECT doc_id, CAST(line AS INTEGER) AS line, term, count(*) AS n FROM m GROUP BY 1, 2, 3""")
 def term_mentions(t):
@@ -81,9 +96,15 @@ def node_uid(t):
     return t.node.select("id", I.name_uid(F.col("kind"), F.concat(F.lit('["'), "nkey", F.lit('"]'))).alias("uid"))
 
 
-@query("search_line", "SELECT doc_id, CASE WHEN length(text) > 90 THEN regexp_replace(substr(text, 1, 90), '\\s+\\S*$', '') || '…' ELSE text END AS line FROM documents")
+@query(
+    "search_line",
+    r"""WITH d AS (SELECT doc_id, text AS value, CASE WHEN lang = 'en' THEN sha256(text) ELSE source END AS label FROM documents),
+    l AS (SELECT doc_id, value, label, CASE WHEN regexp_full_match(label, '[0-9a-f]{7,64}') THEN substr(label, 1, 7) ELSE label END AS short, regexp_replace(regexp_replace(split_part(value, chr(10), 1), '^\s+', ''), '\s+$', '') AS line FROM d)
+    SELECT doc_id, CASE WHEN value = '' OR value = label THEN short ELSE short || ' — ' || CASE WHEN length(line) > 90 THEN regexp_replace(substr(line, 1, 90), '\s+\S*$', '') || '…' ELSE line END END AS line FROM l""",
+)
 def search_line(t):
-    return t.documents.select("doc_id", I.shortened(F.col("text")).alias("line"))
+    label = F.when(F.col("lang") == "en", F.sha2("text", 256)).otherwise(F.col("source"))
+    return t.documents.select("doc_id", I.search_line(label, F.col("text")).alias("line"))
 
 
 @query("redaction", "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 3 END AS INTEGER) AS kept, CASE WHEN event_id % 3 <> 0 THEN event_type END AS value FROM event")

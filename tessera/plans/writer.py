@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators import writer as R
+from tessera.operators.temporal import positions
 from tessera.plans.registry import query
 
 
@@ -14,11 +15,11 @@ def declare_vertices(t):
     return R.declare(t.node, t.event.select((F.col("user_id") * 7 + 3_000_000_000_000).alias("id")))
 
 
-BATCH = "SELECT event_id + 1000000 AS id, user_id * 20 + k % 20 AS holder, event_type AS producer, 'en' AS lang, 'g' || CAST(event_id % 3 AS VARCHAR) AS grade, 'file' || CAST(event_id % 50 AS VARCHAR) || ':' || CAST(k + 1 AS VARCHAR) AS evidence FROM event WHERE event_id % 5 = 0"
+BATCH = "SELECT event_id + 1000000 AS id, user_id * 20 + k % 20 AS holder, event_type AS producer, 'en' AS lang, 'g' || CAST(event_id % 3 AS VARCHAR) AS grade, 'file' || CAST(event_id % 50 AS VARCHAR) || ':' || CAST(k + 1 AS VARCHAR) AS evidence FROM event WHERE event_type = 'purchase'"
 
 
 def _batch(t):
-    return t.event.where("event_id % 5 = 0").selectExpr(
+    return t.event.where("event_type = 'purchase'").selectExpr(
         "event_id + 1000000 AS id", "user_id * 20 + k % 20 AS holder", "event_type AS producer", "'en' AS lang", "'g' || CAST(event_id % 3 AS STRING) AS grade",
         "'file' || CAST(event_id % 50 AS STRING) || ':' || CAST(k + 1 AS STRING) AS evidence",
     )
@@ -46,10 +47,15 @@ def retraction(t):
     return R.retract(t.opinion, t.orders.select(F.col("o_custkey").alias("holder")), "view")
 
 
-@query("edge_withdrawal", "SELECT holder, producer FROM opinion GROUP BY holder, producer HAVING count(*) FILTER (WHERE state = 'open' AND event_id_mod <> 0) = 0".replace("event_id_mod", "id % 2") + " AND count(*) > 0")
+@query(
+    "edge_withdrawal",
+    """WITH o AS (SELECT DISTINCT 'touched' AS rel, 6000000000000 + l_orderkey AS src, 5000000000000 + l_partkey AS dst, l_returnflag AS producer FROM lineitem), h AS (SELECT rel, src, dst, count(*) FILTER (WHERE producer = 'R') AS closed, count(*) FILTER (WHERE producer <> 'R') AS rest FROM o GROUP BY 1, 2, 3)
+    SELECT e.rel, e.src, e.dst, h.closed, h.rest = 0 AS removed FROM edge e JOIN h ON h.rel = e.rel AND h.src = e.src AND h.dst = e.dst WHERE h.closed > 0""",
+)
 def edge_withdrawal(t):
-    left = F.count(F.when((F.col("state") == "open") & (F.col("id") % 2 != 0), 1))
-    return t.opinion.groupBy("holder", "producer").agg(left.alias("n")).where("n = 0").drop("n")
+    """The producer 'R' withdraws its edges; an edge goes when no other producer states it."""
+    stated = t.lineitem.select(F.lit("touched").alias("rel"), (F.col("l_orderkey") + 6_000_000_000_000).alias("src"), (F.col("l_partkey") + 5_000_000_000_000).alias("dst"), F.col("l_returnflag").alias("producer")).distinct()
+    return R.withdraw_edges(t.edge, stated, "R")
 
 
 @query("publish_edges", "SELECT e.rel, e.src, e.dst, CASE WHEN a.id IS NULL AND b.id IS NULL THEN 'from+to' WHEN a.id IS NULL THEN 'from' WHEN b.id IS NULL THEN 'to' ELSE 'published' END AS outcome FROM edge e LEFT JOIN node a ON a.id = e.src AND NOT a.removed LEFT JOIN node b ON b.id = e.dst AND NOT b.removed")
@@ -78,17 +84,23 @@ def unevidenced(t):
     return rows.select("id", F.expr("stack(3, 'grade', grade, 'title', title, 'amount', CAST(amount AS STRING)) AS (field, v)")).where("v IS NOT NULL").select("id", "field")
 
 
-@query("journal_entries", "SELECT user_id AS author, CAST(floor(tick / 3600000) AS BIGINT) AS hour, count(*) AS changes, min(event_id) AS first_seq, max(event_id) AS last_seq FROM event WHERE event_type <> 'view' GROUP BY 1, 2")
+@query("journal_entries", "SELECT row_number() OVER (ORDER BY min(event_id)) AS seq, user_id AS author, tick // 1000 AS second, count(*) AS changes, count(*) FILTER (WHERE event_type = 'signup') AS vertices, count(*) FILTER (WHERE event_type = 'error') AS withdrawals, min(event_id) AS first_event FROM event WHERE event_type <> 'view' GROUP BY user_id, tick // 1000")
 def journal_entries(t):
-    rows = t.event.where("event_type <> 'view'").groupBy(F.col("user_id").alias("author"), F.floor(F.col("tick") / 3_600_000).alias("hour"))
-    return rows.agg(F.count(F.lit(1)).alias("changes"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
+    """One entry for each publication, an author's changes of one second, numbered in the order they came in."""
+    kind = F.col("event_type")
+    entries = t.event.where("event_type <> 'view'").groupBy(F.col("user_id").alias("author"), F.floor(F.col("tick") / 1_000).alias("second")).agg(
+        F.count(F.lit(1)).alias("changes"), F.count(F.when(kind == "signup", 1)).alias("vertices"), F.count(F.when(kind == "error", 1)).alias("withdrawals"), F.min("event_id").alias("first_event")
+    )
+    numbered = positions(entries.withColumn("all", F.lit(0)), "all", [F.asc("first_event")], [], "seq")
+    return numbered.withColumn("seq", F.col("seq").cast("long")).drop("all")
 
 
-@query("declaration_diff", """WITH c AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0), w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0)
+@query("declaration_diff", """WITH c AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderpriority <> '2-HIGH'), w AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderpriority <> '3-MEDIUM')
     SELECT coalesce(c.id, w.id) AS id, CASE WHEN c.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'removed' ELSE 'changed' END AS action FROM c FULL JOIN w ON c.id = w.id WHERE c.v IS DISTINCT FROM w.v""")
 def declaration_diff(t):
-    o = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
-    return R.diff(o.where("id % 5 <> 0"), o.where("id % 4 <> 0").withColumn("v", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("v"))), "id", ["v"])
+    o = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"), F.col("o_orderpriority").alias("p"))
+    wanted = o.where("p <> '3-MEDIUM'").withColumn("v", F.when(F.col("p") == "1-URGENT", "X").otherwise(F.col("v")))
+    return R.diff(o.where("p <> '2-HIGH'"), wanted, "id", ["v"])
 
 
 @query("membership_digest", "SELECT kind, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(id AS VARCHAR), label)), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest FROM node GROUP BY kind")
@@ -96,14 +108,24 @@ def membership_digest(t):
     return R.membership_digest(t.node, "kind", ["id", "label"])
 
 
-@query("staleness", """WITH d AS (SELECT repository, sum(lines) AS digest, count(*) AS n FROM file GROUP BY repository), r AS (SELECT repository, sum(CASE WHEN file % 50 = 0 THEN lines + 1 ELSE lines END) AS digest, count(*) AS n FROM file WHERE file % 331 <> 0 GROUP BY repository)
-    SELECT coalesce(d.repository, r.repository) AS repository, CASE WHEN r.n IS DISTINCT FROM d.n THEN 'membership' ELSE 'content' END AS reason FROM d FULL JOIN r ON d.repository = r.repository WHERE d.digest IS DISTINCT FROM r.digest OR d.n IS DISTINCT FROM r.n""")
+@query(
+    "staleness",
+    """WITH now AS (SELECT repository AS kind, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(file AS VARCHAR), CAST(lines AS VARCHAR))), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest FROM file GROUP BY repository),
+    was AS (SELECT repository AS kind, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(file AS VARCHAR), CAST(CASE WHEN path LIKE '%/red %' AND repository < 'Brand#2' THEN lines + 1 ELSE lines END AS VARCHAR))), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest
+      FROM file WHERE NOT (repository LIKE 'Brand#2%' AND lines = 2000) GROUP BY repository),
+    own AS (SELECT coalesce(now.kind, was.kind) AS kind, CASE WHEN now.n IS DISTINCT FROM was.n THEN 'membership' WHEN now.digest IS DISTINCT FROM was.digest THEN 'content' END AS reason FROM now FULL JOIN was ON was.kind = now.kind),
+    consumed AS (SELECT kind, lag(kind) OVER (ORDER BY kind) AS of FROM now)
+    SELECT own.kind, coalesce(own.reason, 'consumed ' || c.of) AS reason FROM own LEFT JOIN (SELECT c.kind, c.of FROM consumed c JOIN own o ON o.kind = c.of AND o.reason IS NOT NULL) c ON c.kind = own.kind WHERE own.reason IS NOT NULL OR c.of IS NOT NULL""",
+)
 def staleness(t):
-    d = t.file.groupBy("repository").agg(F.sum("lines").alias("d"), F.count(F.lit(1)).alias("n"))
-    moved = t.file.where("file % 331 <> 0").withColumn("lines", F.when(F.col("file") % 50 == 0, F.col("lines") + 1).otherwise(F.col("lines")))
-    r = moved.groupBy("repository").agg(F.sum("lines").alias("rd"), F.count(F.lit(1)).alias("rn"))
-    rows = d.join(r, "repository", "full").where(~F.col("d").eqNullSafe(F.col("rd")) | ~F.col("n").eqNullSafe(F.col("rn")))
-    return rows.select("repository", F.when(~F.col("n").eqNullSafe(F.col("rn")), "membership").otherwise("content").alias("reason"))
+    """Files by repository against what was recorded; each repository consumes the one before it."""
+    rows = lambda f: f.select(F.col("repository").alias("kind"), "file", "lines")
+    now = rows(t.file)
+    red = F.col("path").like("%/red %") & (F.col("repository") < "Brand#2")
+    was = rows(t.file.where("NOT (repository LIKE 'Brand#2%' AND lines = 2000)").withColumn("lines", F.when(red, F.col("lines") + 1).otherwise(F.col("lines"))))
+    kinds = now.select("kind").distinct()  # the repositories: a handful
+    consumed = kinds.withColumn("of", F.lag("kind").over(W.orderBy("kind"))).where("of IS NOT NULL")
+    return R.stale(R.membership_digest(now, "kind", ["file", "lines"]), R.membership_digest(was, "kind", ["file", "lines"]), consumed)
 
 
 @query("refresh_decision", """WITH r AS (SELECT file, 'changed' AS reason FROM change WHERE flag = 'R' UNION SELECT file, 'large' FROM file WHERE lines > 1800 UNION SELECT file, 'language' FROM file WHERE path LIKE '%.md')
@@ -123,8 +145,8 @@ def _jobs(t):
 
 @query("queue_order", f"WITH j AS ({JOB}) SELECT queue, id, CAST(row_number() OVER (PARTITION BY queue ORDER BY priority DESC, due, id) AS INTEGER) AS position FROM j WHERE event_type <> 'purchase'")
 def queue_order(t):
-    by = W.partitionBy("queue").orderBy(F.desc("priority"), "due", "id")
-    return _jobs(t).where("event_type <> 'purchase'").select("queue", "id", F.row_number().over(by).alias("position"))
+    jobs = _jobs(t).where("event_type <> 'purchase'").select("queue", "id", "priority", "due")
+    return positions(jobs, "queue", [F.desc("priority"), F.asc("due"), F.asc("id")], []).select("queue", "id", "position")
 
 
 @query("queue_retry", f"WITH j AS ({JOB}) SELECT id, queue, attempt, CASE WHEN attempt >= 4 THEN 'dead' ELSE 'retry' END AS outcome, CASE WHEN attempt < 4 THEN due + CAST(1000 * power(2, attempt) AS BIGINT) END AS next FROM j WHERE event_type = 'error'")
@@ -169,8 +191,8 @@ def latest_run(t):
 
 @query("admission_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY k % 3, event_id - CAST(floor(value / 10) AS BIGINT), event_id) AS INTEGER) AS position FROM event")
 def admission_order(t):
-    by = W.partitionBy(F.col("user_id") % 3).orderBy(F.col("k") % 3, F.col("event_id") - F.floor(F.col("value") / 10), "event_id")
-    return t.event.select("event_id", F.row_number().over(by).alias("position"))
+    rows = t.event.select("event_id", (F.col("user_id") % 3).alias("queue"), (F.col("k") % 3).alias("rank"), (F.col("event_id") - F.floor(F.col("value") / 10)).alias("since"))
+    return positions(rows, "queue", [F.asc("rank"), F.asc("since"), F.asc("event_id")], []).select("event_id", "position")
 
 
 @query("publications_per_stage", "SELECT event_type AS stage, count(*) AS publications, CAST(coalesce(sum(CASE WHEN k > 95 THEN k END), 0) AS BIGINT) AS facts, count(DISTINCT user_id) AS units FROM event GROUP BY event_type")

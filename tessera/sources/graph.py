@@ -60,6 +60,11 @@ RELATIONS = {
         SELECT event_id AS id, CASE WHEN event_id % 13 <> 0 THEN tick END AS tick, CASE event_id % 4 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' ELSE 'error' END AS level,
             event_type AS source, user_id AS run, CASE WHEN k % 5 = 0 THEN 'src/f' || CAST(k AS STRING) || '.ts:' || CAST(event_id % 300 AS STRING) || ': failed' WHEN k % 5 = 1 THEN 'unit ' || CAST(k AS STRING) || ' started' ELSE 'step done' END AS message
         FROM event""",
+    "held": """
+        SELECT 'ordered_by' AS rel, 6000000000000 + o_orderkey AS src, 3000000000000 + o_custkey AS dst, MS(o_orderdate) AS valid_from, MS(o_orderdate) + CAST(FLOOR(o_totalprice) AS BIGINT) * 100000 AS valid_to FROM {orders}
+        UNION ALL SELECT 'shipped_for', 4000000000000 + l_suppkey, 6000000000000 + l_orderkey, MS(l_shipdate), CAST(NULL AS BIGINT) FROM {lineitem}""",
+    "renamed": """
+        SELECT src, dst FROM (SELECT p_partkey AS src, lag(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS dst FROM {part}) r WHERE dst IS NOT NULL""",
     "file": """
         SELECT p_partkey AS file, p_brand || '/' || p_type || '/' || p_name || '.' || CASE p_size % 4 WHEN 0 THEN 'sql' WHEN 1 THEN 'ts' WHEN 2 THEN 'md' ELSE 'py' END AS path,
             p_brand AS repository, CAST(p_size AS BIGINT) * 40 AS lines, CAST(FLOOR(p_retailprice) AS BIGINT) AS bytes FROM {part}""",
