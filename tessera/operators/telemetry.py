@@ -22,10 +22,80 @@ def covered(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return islands(rows, key, start, end).groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
-def gaps(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end) of what lies between a key's intervals."""
-    merged = islands(rows, key, start, end)
-    return merged.select(key, F.col("end").alias("gap_start"), F.lead("start").over(W.partitionBy(key).orderBy("start")).alias("gap_end")).where("gap_end IS NOT NULL")
+def uncovered(spans: DataFrame) -> DataFrame:
+    """(trace, gap_start, gap_end): what no span of a trace covers, between its first start and its last end.
+
+    The run's own span, the one root (without a parent in the trace) that begins with the first root and ends with the last,
+    covers everything by construction and doesn't count; a trace without such a span is covered by all its spans.
+    """
+    known = spans.select("trace", F.col("span").alias("parent"), F.lit(True).alias("known"))
+    marked = spans.join(known, ["trace", "parent"], "left").withColumn("root", F.col("known").isNull())
+    ends = marked.groupBy("trace").agg(
+        F.min("started").alias("begin"), F.max("ended").alias("end"),
+        F.min(F.when(F.col("root"), F.col("started"))).alias("first"), F.max(F.when(F.col("root"), F.col("ended"))).alias("last"),
+    )
+    placed = marked.join(ends, "trace")
+    whole = placed.where("root AND started = first AND ended = last").groupBy("trace").agg(F.min("span").alias("run"))
+    others = placed.join(whole, "trace", "left").where("run IS NULL OR span <> run")
+    merged = islands(others.select("trace", "started", "ended"), "trace", "started", "ended")
+    before = F.lag("end").over(W.partitionBy("trace").orderBy("start"))
+    bounds = ends.select("trace", "begin", F.col("end").alias("finish"))
+    inner = merged.withColumn("before", before).join(bounds, "trace").select("trace", F.coalesce("before", "begin").alias("gap_start"), F.col("start").alias("gap_end"))
+    tail = bounds.join(merged.groupBy("trace").agg(F.max("end").alias("covered")), "trace", "left").select("trace", F.coalesce("covered", "begin").alias("gap_start"), F.col("finish").alias("gap_end"))
+    return inner.unionByName(tail).where("gap_end > gap_start")
+
+
+def slow_requests(spans: DataFrame, name: str, over: int, depth: int = 8) -> DataFrame:
+    """(span, ms, stages, stage_ms, slowest): requests of a name that took ``over`` or longer, with all their descendants, at
+    most ``depth`` levels down: their number, the time of the direct ones, and the longest one's name."""
+    slow = spans.where((F.col("name") == name) & (F.col("ended") - F.col("started") >= over))
+    kids = spans.where("parent IS NOT NULL AND parent <> span").select(F.col("parent").alias("at"), F.col("span").alias("kid"), F.col("name").alias("stage"), (F.col("ended") - F.col("started")).alias("ms"))
+    front, found = slow.select("span", F.col("span").alias("at")), None
+    for level in range(1, depth + 1):
+        front = front.join(kids, "at").select("span", F.col("kid").alias("at"), "stage", "ms", F.lit(level).alias("level"))
+        found = front if found is None else found.unionByName(front)
+        front = front.select("span", "at")
+    stages = found.groupBy("span").agg(
+        F.count(F.lit(1)).alias("stages"), F.sum(F.when(F.col("level") == 1, F.col("ms"))).alias("stage_ms"), F.max(F.struct("ms", "stage"))["stage"].alias("slowest")
+    )
+    zero = F.lit(0).cast("long")
+    rows = slow.select("span", (F.col("ended") - F.col("started")).alias("ms")).join(stages, "span", "left")
+    return rows.select("span", "ms", F.coalesce("stages", zero).alias("stages"), F.coalesce("stage_ms", zero).alias("stage_ms"), "slowest")
+
+
+def span_usage(spans: DataFrame) -> DataFrame:
+    """(kind, field, model, input, output, total, turns, cost): model calls as spans named agent.usage state them in their
+    attributes, one turn's increment each. ``total`` adds the larger of a span's own total and its parts; ``cost`` is a list
+    of currency=amount, rounded to 6 places."""
+    text = lambda key: F.coalesce(F.try_element_at("attributes", F.lit(key)), F.lit(""))
+    number = lambda key: F.coalesce(F.try_element_at("attributes", F.lit(key)).try_cast("double"), F.lit(0.0))
+    calls = spans.where("name = 'agent.usage'").select(
+        text("agent.kind").alias("kind"), text("agent.field").alias("field"), text("agent.model").alias("model"),
+        number("agent.tokens.input").alias("input"), number("agent.tokens.output").alias("output"), number("agent.tokens.total").alias("said"),
+        F.map_filter("attributes", lambda k, v: F.startswith(k, F.lit("agent.cost.")) & v.try_cast("double").isNotNull()).alias("costs"),
+    )
+    key = ["kind", "field", "model"]
+    tokens = calls.groupBy(*key).agg(
+        F.sum("input").cast("long").alias("input"), F.sum("output").cast("long").alias("output"),
+        F.sum(F.greatest("said", F.col("input") + F.col("output"))).cast("long").alias("total"), F.count(F.lit(1)).alias("turns"),
+    )
+    money = calls.select(*key, F.explode("costs").alias("name", "amount")).groupBy(*key, "name").agg(F.sum(F.col("amount").cast("decimal(20,6)")).alias("amount"))
+    line = F.concat(F.substring("name", len("agent.cost.") + 1, 100), F.lit("="), F.round("amount", 6).cast("double").cast("string"))
+    listed = money.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(line)), ";").alias("cost"))
+    return tokens.join(listed, key, "left").withColumn("cost", F.coalesce("cost", F.lit("")))
+
+
+def message_codes(log: DataFrame, families: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+    """``log`` with ``code`` and ``arguments`` of the first family whose pattern the whole message matches: the engine's own
+    events. Other messages have no code and stand as they are (``quoted``)."""
+    m = F.col("message")
+    code = F.coalesce(*[F.when(m.rlike(f"\\A(?:{p})\\z"), name) for name, p, _ in families])
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    arguments = none
+    for name, p, names in reversed(families):
+        held = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.regexp_extract(m, p, i + 1))]) if names else none
+        arguments = F.when(F.col("code") == name, held).otherwise(arguments)
+    return log.withColumn("code", code).withColumn("arguments", arguments).withColumn("quoted", F.col("code").isNull())
 
 
 def self_times(spans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tessera.operators import quality as Q
+from tessera.operators import rules as R
 from tessera.plans.registry import query
 
 
@@ -85,20 +86,75 @@ def rule_used_undeclared(t):
     return Q.not_in(t.opinion.where("state = 'open'").select(F.col("holder").alias("id")).distinct(), t.customer.select(F.col("c_custkey").alias("id")), "id")
 
 
-@query("rule_operation_without_route", "SELECT DISTINCT user_id, event_type FROM event WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM event WHERE event_type = 'signup' AND k > 70)")
+@query("rule_operation_without_route", "SELECT DISTINCT 'operation-without-route' AS rule, CAST(user_id AS VARCHAR) AS target, '' AS detail FROM event WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM event WHERE event_type = 'signup' AND k > 70)")
 def rule_operation_without_route(t):
-    return Q.not_in(t.event.where("event_type = 'purchase'").select("user_id", "event_type").distinct(), t.event.where("event_type = 'signup' AND k > 70"), "user_id")
+    signed = t.event.where("event_type = 'signup' AND k > 70").select(F.col("user_id").alias("key"))
+    return R.without("operation-without-route", t.event.where("event_type = 'purchase'").select(F.col("user_id").alias("key")), signed)
 
 
-@query("rule_route_without_operation", "SELECT DISTINCT user_id FROM event WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM event WHERE event_type = 'purchase' AND k < 10)")
+@query("rule_route_without_operation", "SELECT DISTINCT 'route-without-operation' AS rule, CAST(user_id AS VARCHAR) AS target, '' AS detail FROM event WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM event WHERE event_type = 'purchase' AND k < 10)")
 def rule_route_without_operation(t):
-    return Q.not_in(t.event.where("event_type = 'signup'").select("user_id").distinct(), t.event.where("event_type = 'purchase' AND k < 10"), "user_id")
+    bought = t.event.where("event_type = 'purchase' AND k < 10").select(F.col("user_id").alias("key"))
+    return R.without("route-without-operation", t.event.where("event_type = 'signup'").select(F.col("user_id").alias("key")), bought)
 
 
-@query("rule_route_outside_group", "SELECT nkey FROM node WHERE kind = 'part' AND regexp_extract(label, '^([a-z]+)', 1) NOT IN ('red', 'blue') AND id IN (SELECT dst FROM edge WHERE rel = 'touched' AND weight >= 50)")
+@query(
+    "rule_route_outside_group",
+    """WITH r AS (SELECT o_orderkey AS key, o_orderstatus AS service, o_orderpriority AS root, o_totalprice > 400000 AS inside, c_acctbal < 0 AS public FROM orders JOIN customer ON c_custkey = o_custkey), g AS (SELECT DISTINCT service, root FROM r WHERE inside)
+    SELECT 'route-outside-group' AS rule, CAST(key AS VARCHAR) AS target, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.service = r.service AND g.root = r.root) THEN 'group ' || root ELSE 'contract' END AS detail
+    FROM r WHERE NOT inside AND service IN (SELECT service FROM g) AND (NOT public OR EXISTS (SELECT 1 FROM g WHERE g.service = r.service AND g.root = r.root))""",
+)
 def rule_route_outside_group(t):
-    heavy = t.edge.where("rel = 'touched' AND weight >= 50").select(F.col("dst").alias("id"))
-    return t.node.where((F.col("kind") == "part") & ~F.regexp_extract("label", "^([a-z]+)", 1).isin("red", "blue")).join(heavy, "id", "left_semi").select("nkey")
+    return R.routes_outside(*_routes(t))
+
+
+def _routes(t):
+    """Orders as routes of a service, by status; the dear ones are in its group. They serve their customers, public if in debt."""
+    o = t.orders
+    routes = o.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("service"), F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_totalprice") > 400_000).alias("inside"))
+    serves = o.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", (F.col("c_acctbal") < 0).alias("public")), "c_custkey").select("key", "public")
+    return routes, serves
+
+
+IMPORTS = "SELECT p_partkey AS a, CASE WHEN p_partkey % 10 < 3 THEN p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 3 ELSE p_partkey - 1 END AS b FROM part"
+
+
+@query("rule_dependency_cycle", f"WITH d AS ({IMPORTS}), r AS (SELECT a - a % 10 AS ring, a FROM d WHERE a % 10 < 3) SELECT 'dependency-cycle' AS rule, CAST(ring AS VARCHAR) AS target, string_agg(CAST(a AS VARCHAR), ',' ORDER BY a) AS detail FROM r GROUP BY ring HAVING count(*) = 3")
+def rule_dependency_cycle(t):
+    k = F.col("p_partkey")
+    return R.dependency_cycles(t.part.select(k.alias("src"), F.when(k % 10 < 3, k - k % 10 + (k % 10 + 1) % 3).otherwise(k - 1).alias("dst")))
+
+
+@query(
+    "rule_sql_input",
+    """SELECT DISTINCT 'sql-input' AS rule, CAST(l_suppkey AS VARCHAR) AS target, CAST(l_orderkey AS VARCHAR) AS detail FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING')""",
+)
+def rule_sql_input(t):
+    """Customers of a segment as inputs, their orders as builders, the suppliers of returned lines as sinks."""
+    flow = lambda df, a, src, b, dst: df.select(F.lit(a).alias("src_kind"), F.col(src).alias("src"), F.lit(b).alias("dst_kind"), F.col(dst).alias("dst"))
+    inputs = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    into = flow(t.orders.join(inputs, "o_custkey", "left_semi"), "input", "o_custkey", "build", "o_orderkey")
+    return R.sql_inputs(into.unionByName(flow(t.lineitem.where("l_returnflag = 'R'"), "build", "l_orderkey", "sink", "l_suppkey")))
+
+
+@query(
+    "rules_judged",
+    """SELECT 'large-file' AS rule, CAST(file AS VARCHAR) AS target, CAST(lines AS VARCHAR) AS detail FROM file WHERE lines >= 1960
+    UNION SELECT 'change-hotspot', CAST(f.file AS VARCHAR), CAST(f.lines * c.n AS VARCHAR) FROM file f JOIN (SELECT file, count(DISTINCT commit_id) AS n FROM change GROUP BY file) c ON c.file = f.file WHERE f.lines * c.n >= 60000
+    UNION SELECT 'dead-export', CAST(file AS VARCHAR), '' FROM file WHERE file NOT IN (SELECT file FROM change WHERE flag = 'A')
+    UNION SELECT 'declared-unused', CAST(s_suppkey AS VARCHAR), '' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)
+    UNION SELECT 'used-undeclared', CAST(holder AS VARCHAR), '' FROM opinion WHERE state = 'open' AND holder NOT IN (SELECT c_custkey FROM customer)""",
+)
+def rules_judged(t):
+    key = lambda df, c: df.select(F.col(c).cast("long").alias("key"))
+    rules = {
+        "large-file": lambda s: R.large_files(t.file, **s), "change-hotspot": lambda s: R.hotspots(t.file, t.change, **s),
+        "dead-export": lambda s: R.without("dead-export", key(t.file, "file"), key(t.change.where("flag = 'A'"), "file")),
+        "declared-unused": lambda s: R.without("declared-unused", key(t.supplier, "s_suppkey"), key(t.lineitem.where("l_quantity >= 50"), "l_suppkey")),
+        "used-undeclared": lambda s: R.without("used-undeclared", key(t.opinion.where("state = 'open'"), "holder"), key(t.customer, "c_custkey")),
+        "debt-marker": lambda s: R.debt_markers(t.documents, **s),
+    }
+    return R.judged(rules, {"large-file": {"lines": 1_960}, "debt-marker": {"on": False}})
 
 
 @query(

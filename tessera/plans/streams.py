@@ -13,13 +13,17 @@ def stream_progress(t):
     return live.run(live.progress(live.source(t.spark, t.sf_dir, "events")), "complete")
 
 
-@query("stream_windows", "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) // 1000 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("stream_windows", "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) // 1000 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING min(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_windows(t):
-    rows = live.run(live.windowed(live.source(t.spark, t.sf_dir, "events")), "complete")
+    rows = live.run(live.windowed(live.source(t.spark, t.sf_dir, "events")))
     return rows.select(F.unix_millis("window.start").alias("start"), "event_type", "n")
 
 
-@query("stream_meter", "SELECT user_id AS session, event_id AS seq, CASE WHEN prev IS NULL OR r < prev THEN r ELSE r - prev END AS increment FROM (SELECT *, lag(r) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS r FROM events) x) y")
+@query(
+    "stream_meter",
+    """SELECT user_id AS session, event_id AS seq, CASE WHEN prev IS NULL OR r < prev THEN r ELSE r - prev END AS increment FROM (SELECT *, lag(r) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS prev
+    FROM (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS r FROM events) x) y WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)""",
+)
 def stream_meter(t):
-    events = live.source(t.spark, t.sf_dir, "events", 1_000_000)
-    return live.run(live.meter(events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor("value").alias("reading"))))
+    events = live.source(t.spark, t.sf_dir, "events")
+    return live.run(live.meter(events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor("value").alias("reading"), "ts")))

@@ -21,9 +21,18 @@ def coverage(t):
     return T.covered(t.span.where("parent IS NOT NULL"), "trace", "started", "ended")
 
 
-@query("uncovered_gaps", f"WITH {ISLANDS}, g AS (SELECT trace, e AS gap_start, lead(s) OVER (PARTITION BY trace ORDER BY s) AS gap_end FROM u) SELECT * FROM g WHERE gap_end IS NOT NULL ORDER BY gap_end - gap_start DESC, trace, gap_start LIMIT 10")
+@query(
+    "uncovered_gaps",
+    """WITH s AS (SELECT span, parent, span // 10 AS trace, started, ended FROM span), r AS (SELECT s.*, NOT EXISTS (SELECT 1 FROM s p WHERE p.trace = s.trace AND p.span = s.parent) AS root FROM s),
+    run AS (SELECT trace, min(span) AS run FROM (SELECT r.*, min(started) FILTER (WHERE root) OVER (PARTITION BY trace) AS a, max(ended) FILTER (WHERE root) OVER (PARTITION BY trace) AS z FROM r) x WHERE root AND started = a AND ended = z GROUP BY trace),
+    c AS (SELECT r.* FROM r LEFT JOIN run ON run.trace = r.trace WHERE (run.run IS NULL OR r.span <> run.run) AND r.started < r.ended),
+    p AS (SELECT trace, started AS mark FROM c UNION SELECT trace, ended FROM c UNION SELECT trace, min(started) FROM s GROUP BY trace UNION SELECT trace, max(ended) FROM s GROUP BY trace),
+    e AS (SELECT trace, mark, lead(mark) OVER (PARTITION BY trace ORDER BY mark) AS upto FROM p), f AS (SELECT e.*, NOT EXISTS (SELECT 1 FROM c WHERE c.trace = e.trace AND c.started <= e.mark AND c.ended >= e.upto) AS open FROM e WHERE upto IS NOT NULL),
+    g AS (SELECT *, sum(CASE WHEN open THEN 0 ELSE 1 END) OVER (PARTITION BY trace ORDER BY mark) AS n FROM f)
+    SELECT trace, min(mark) AS gap_start, max(upto) AS gap_end FROM g WHERE open GROUP BY trace, n ORDER BY gap_end - gap_start DESC, trace, gap_start LIMIT 10""",
+)
 def uncovered_gaps(t):
-    rows = T.gaps(t.span.where("parent IS NOT NULL"), "trace", "started", "ended")
+    rows = T.uncovered(t.span.withColumn("trace", F.floor(F.col("span") / 10)))
     return rows.orderBy(F.desc(F.col("gap_end") - F.col("gap_start")), "trace", "gap_start").limit(10)
 
 
@@ -65,12 +74,31 @@ def step_attribution(t):
     return T.attribute(t.span, naming, 3)
 
 
-@query("slow_requests", "SELECT s.span, s.ended - s.started AS ms, count(c.span) AS stages, CAST(coalesce(sum(c.ended - c.started), 0) AS BIGINT) AS stage_ms FROM span s LEFT JOIN span c ON c.parent = s.span AND c.span <> s.span WHERE s.ended - s.started >= 110 GROUP BY 1, 2")
+@query(
+    "slow_requests",
+    """WITH RECURSIVE d AS (SELECT r.span AS request, c.span, c.name, c.ended - c.started AS ms, 1 AS level FROM span r JOIN span c ON c.parent = r.span AND c.span <> r.span WHERE r.name = 'view' AND r.ended - r.started >= 60
+      UNION ALL SELECT d.request, c.span, c.name, c.ended - c.started, d.level + 1 FROM d JOIN span c ON c.parent = d.span AND c.span <> d.span)
+    SELECT s.span, s.ended - s.started AS ms, count(d.span) AS stages, CAST(coalesce(sum(d.ms) FILTER (WHERE d.level = 1), 0) AS BIGINT) AS stage_ms, max(struct_pack(ms := d.ms, name := d.name)).name AS slowest
+    FROM span s LEFT JOIN d ON d.request = s.span WHERE s.name = 'view' AND s.ended - s.started >= 60 GROUP BY 1, 2""",
+)
 def slow_requests(t):
-    slow = t.span.select("span", (F.col("ended") - F.col("started")).alias("ms")).where("ms >= 110")
-    kids = t.span.where("parent IS NOT NULL").groupBy(F.col("parent").alias("span")).agg(F.count(F.lit(1)).alias("stages"), F.sum(F.col("ended") - F.col("started")).alias("stage_ms"))
-    zero = F.lit(0).cast("long")
-    return slow.join(kids, "span", "left").select("span", "ms", F.coalesce("stages", zero).alias("stages"), F.coalesce("stage_ms", zero).alias("stage_ms"))
+    return T.slow_requests(t.span, "view", 60, 4)
+
+
+@query(
+    "usage_from_spans",
+    """SELECT event_type AS kind, '' AS field, 'm' || CAST(k % 3 AS VARCHAR) AS model, CAST(sum(k) AS BIGINT) AS input, CAST(sum(user_id % 7) AS BIGINT) AS output, CAST(sum(greatest(CASE WHEN k % 2 = 0 THEN k + 3 ELSE 0 END, k + user_id % 7)) AS BIGINT) AS total, count(*) AS turns,
+    concat_ws(';', 'EUR=' || CAST(CAST(round(sum(k) FILTER (WHERE k % 2 = 0) * 0.25, 6) AS DOUBLE) AS VARCHAR), 'USD=' || CAST(CAST(round(sum(k) FILTER (WHERE k % 2 <> 0) * 0.5, 6) AS DOUBLE) AS VARCHAR)) AS cost
+    FROM event WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3""",
+)
+def usage_from_spans(t):
+    k, text = F.col("k"), lambda c: c.cast("string")
+    even = k % 2 == 0
+    attributes = F.create_map(
+        F.lit("agent.kind"), F.col("event_type"), F.lit("agent.model"), F.concat(F.lit("m"), text(k % 3)), F.lit("agent.tokens.input"), text(k), F.lit("agent.tokens.output"), text(F.col("user_id") % 7),
+        F.lit("agent.tokens.total"), F.when(even, text(k + 3)), F.when(even, "agent.cost.EUR").otherwise("agent.cost.USD"), text(F.when(even, k * 0.25).otherwise(k * 0.5)),
+    )
+    return T.span_usage(t.event.where("event_type IN ('click', 'view')").select(F.lit("agent.usage").alias("name"), attributes.alias("attributes")))
 
 
 METER = "i AS (SELECT *, CASE WHEN prev IS NULL OR reading < prev THEN reading ELSE reading - prev END AS increment FROM (SELECT *, lag(reading) OVER (PARTITION BY session ORDER BY seq) AS prev FROM usage) x)"
@@ -111,10 +139,18 @@ def log_error_place(t):
     return t.log.where(F.col("message").rlike(place)).select("id", F.regexp_extract("message", place, 1).alias("file"), F.regexp_extract("message", place, 2).cast("long").alias("line"))
 
 
-@query("log_families", "SELECT CASE WHEN message = 'step done' THEN 'step.done' WHEN starts_with(message, 'unit ') THEN 'unit.started' ELSE 'other' END AS family, regexp_extract(message, '^unit ([0-9]+) started$', 1) AS argument, count(*) AS n FROM log GROUP BY 1, 2")
+FAMILIES = (("step.done", "step done", ()), ("unit.started", "unit ([0-9]+) started", ("unit",)), ("file.failed", "([^ :]+):([0-9]+): failed", ("file", "line")))
+
+
+@query(
+    "log_families",
+    """SELECT CASE WHEN message = 'step done' THEN 'step.done' WHEN regexp_full_match(message, 'unit [0-9]+ started') THEN 'unit.started' WHEN regexp_full_match(message, '[^ :]+:[0-9]+: failed') THEN 'file.failed' END AS code,
+    CASE WHEN message LIKE 'unit %' THEN regexp_extract(message, '[0-9]+') END AS unit, CASE WHEN message LIKE '%: failed' THEN split_part(message, ':', 1) END AS file, count(*) AS n FROM log GROUP BY 1, 2, 3""",
+)
 def log_families(t):
-    family = F.when(F.col("message") == "step done", "step.done").when(F.startswith("message", F.lit("unit ")), "unit.started").otherwise("other")
-    return t.log.groupBy(family.alias("family"), F.regexp_extract("message", "^unit ([0-9]+) started$", 1).alias("argument")).agg(F.count(F.lit(1)).alias("n"))
+    rows = T.message_codes(t.log, FAMILIES)
+    held = lambda name: F.try_element_at("arguments", F.lit(name)).alias(name)
+    return rows.groupBy("code", held("unit"), held("file")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("retention_sweep", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER w AS rn, sum(k + 1) OVER (PARTITION BY user_id ORDER BY tick DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM event WHERE tick >= 1704067200000 + 3 * 86400000 WINDOW w AS (PARTITION BY user_id ORDER BY tick DESC, event_id DESC)) x WHERE rn <= 20 AND used <= 600")

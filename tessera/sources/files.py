@@ -7,25 +7,63 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.identity import redacted
+
 SPAN = "traceId string, spanId string, parentSpanId string, name string, startTimeUnixNano string, endTimeUnixNano string, attributes map<string,string>, failed boolean"
-LOG = {"id": "string", "at": "long", "level": "string", "source": "string", "run": "string", "unit": "string", "message": "string", "code": "string"}
+#: A log entry as every source gives it.
+LOG = {
+    "id": "string", "at": "long", "level": "string", "source": "string", "run": "string", "unit": "string", "message": "string", "code": "string", "arguments": "map<string,string>", "quoted": "boolean",
+    "file": "string", "line": "long", "path": "string", "detail": "string", "cut": "boolean", "fields": "map<string,string>",
+}
+MAX_DETAIL = 20_000
+SECRET = ("token", "secret", "password", "apikey", "authorization", "cookie")
 
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
     """Spans of JSON lines with a fixed schema; a bad line fails the read."""
-    rows = spark.read.schema(SPAN).option("mode", "FAILFAST").json(path)
+    return spans_of(spark.read.schema(SPAN).option("mode", "FAILFAST").json(path))
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
     ms = lambda c: F.col(c).cast("decimal(38,0)") / 1_000_000
     return rows.select("traceId", "spanId", "parentSpanId", "name", ms("startTimeUnixNano").cast("double").alias("start"), ms("endTimeUnixNano").cast("double").alias("end"), "attributes", F.coalesce("failed", F.lit(False)).alias("failed"))
 
 
 def logs(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Several log folders as one row shape; what a source lacks is null."""
+    """Several log folders as one row shape; what a source lacks is null.
+
+    An entry without an id is named by its source, file and content. One without a code is verbatim text (``quoted``). A
+    message that begins with ``file:line:`` gives its place, details are cut at ``MAX_DETAIL`` characters, and fields whose
+    names speak of secrets are left out.
+    """
     out = None
     schema = ", ".join(f"{n} {t}" for n, t in LOG.items())
+    place = r"\A([^ :]+):([0-9]+):"
     for source, path in sorted(paths.items()):
         rows = spark.read.schema(schema).json(path).withColumn("source", F.coalesce("source", F.lit(source)))
+        named = F.concat_ws(":", "source", F.col("_metadata.file_name"), F.substring(F.sha1(F.to_json(F.struct(*[F.col(c) for c in LOG if c != "id"]))), 1, 12))
+        rows = rows.withColumns({
+            "id": F.coalesce("id", named), "quoted": F.coalesce("quoted", F.col("code").isNull()), "cut": F.coalesce("cut", F.length("detail") > MAX_DETAIL, F.lit(False)), "detail": F.substring("detail", 1, MAX_DETAIL),
+            "file": F.coalesce("file", F.nullif(F.regexp_extract("message", place, 1), F.lit(""))), "line": F.coalesce("line", F.regexp_extract("message", place, 2).try_cast("long")),
+            "fields": redacted(F.col("fields"), SECRET),
+        })
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.select(*LOG)
+
+
+def tree(spark: SparkSession, listing: str, counts: str) -> DataFrame:
+    """(mode, kind, sha, bytes, path, lines, binary) of the dumps of a tree: its listing, records of ``mode kind sha size``,
+    a tab and the path, and line counts against the empty tree, records of added, removed and path, each ended by a zero byte.
+
+    A path counted as ``-`` is binary and has no lines; one without counts has null for both. Links to other repositories
+    (kind commit) are kept, without bytes.
+    """
+    records = lambda path: spark.read.option("lineSep", "\0").text(path).where("value <> ''")
+    head, path = F.split(F.regexp_replace(F.substring_index("value", "\t", 1), " +", " "), " "), F.expr("substring(value, instr(value, '\t') + 1)")
+    entries = records(listing).select(head[0].alias("mode"), head[1].alias("kind"), head[2].alias("sha"), head[3].try_cast("long").alias("bytes"), path.alias("path"))
+    part = F.split("value", "\t", 3)
+    counted = records(counts).select(part[2].alias("path"), part[0].try_cast("long").alias("lines"), (part[0] == "-").alias("binary"))
+    return entries.join(counted, "path", "left").select("mode", "kind", "sha", "bytes", "path", "lines", "binary")
 
 
 def tail(spark: SparkSession, path: str, most: int = 2 << 20) -> DataFrame:

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the progress fold, the usage meter and windowed counts.
 
-Each equals its batch form over the same rows. ``run`` drains what is available and returns the sink's content.
+Each equals its batch form over the rows that its watermark has passed. ``run`` drains what is available and returns the
+sink's content.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
+from tessera.sources.files import SPAN, spans_of
 
 
 def _shared(spark: SparkSession) -> str:
@@ -52,23 +54,46 @@ def progress(events: DataFrame) -> DataFrame:
     )
 
 
+def trace_source(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+    """Spans of JSON lines files as they arrive, each file read once; a bad line fails the read, as in ``files.traces``."""
+    rows = spark.readStream.schema(SPAN).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return spans_of(rows)
+
+
 def windowed(events: DataFrame, late: str = "1 hour", width: str = "6 hours") -> DataFrame:
-    """Events per window and type; the watermark only bounds the state."""
+    """Events per window and type, for append mode: a window is final, and leaves the state, once the watermark (the newest
+    time less ``late``) has passed its end; rows that come later still are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def meter(readings: DataFrame) -> DataFrame:
-    """Increments of a cumulative reading per session; the state is the last reading."""
+def meter(readings: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(session, seq, increment) of a cumulative reading per session; ``readings``: session, seq, reading, ts.
+
+    Rows may come in any order within ``late`` of the newest time, over any number of micro-batches: they wait in the state
+    until the watermark has passed them, and are then taken in the order of (ts, seq). The state is the last reading and the
+    waiting rows; it is visited again when the watermark passes the first of these. Rows later than that are dropped.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seq")
+        last, ticks, seqs, values = state.get if state.exists else (None, [], [], [])
+        waiting = list(zip(ticks, seqs, values))
+        if not state.hasTimedOut:
+            for f in frames:
+                waiting += zip((f["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist(), f["seq"].tolist(), f["reading"].tolist())
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs()
+        n = sum(t < passed for t, _, _ in waiting)
         out = []
-        for seq, reading in zip(rows["seq"], rows["reading"]):
+        for _, seq, reading in waiting[:n]:
             out.append((key[0], seq, reading if last is None or reading < last else reading - last))
             last = reading
-        state.update((int(last),))
+        left = waiting[n:]
+        state.update((last, *(list(x) for x in zip(*left))) if left else (last, [], [], []))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0], passed + 1))
         yield pd.DataFrame(out, columns=["session", "seq", "increment"])
 
-    return readings.groupBy("session").applyInPandasWithState(step, "session long, seq long, increment long", "last long", "append", "NoTimeout")
+    timed = readings.select("session", "seq", "reading", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    held = "last long, ticks array<long>, seqs array<long>, readings array<long>"
+    return timed.groupBy("session").applyInPandasWithState(step, "session long, seq long, increment long", held, "append", "EventTimeTimeout")

@@ -1,6 +1,7 @@
 """Operators on hand-made frames: nulls, ties, empty inputs, boundary cases."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import identity
 from tessera.operators import aggregates, connections, graph, opinions, predicates, search, telemetry, temporal, writer
 from tessera.sources import files
+from tessera.streaming import live
 
 OP = "id long, holder long, producer string, said_by string, said_at long, lang string, grade string, amount long, title string, evidence string, state string"
 
@@ -270,4 +272,133 @@ def test_no_operator_collects():
 
     root = pathlib.Path(graph.__file__).parent
     for p in root.glob("*.py"):
-        assert ".collect()" not in p.read_text() and ".toPandas()" not in p.read_text(), p.name
+        # search sends queries out in batches of a bounded number
+        assert p.read_text().count(".collect()") == (p.name == "search.py") and ".toPandas()" not in p.read_text() and ".toArrow()" not in p.read_text(), p.name
+
+
+# -- files, streams
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_stream_meter_over_micro_batches(spark, tmp_path, order):
+    """Rows of one hour over several files, in or out of order, one file a trigger: as the batch form."""
+    rng = random.Random(order)
+    base = 1_700_000_000_000
+    rows = [(i % 3, i, rng.randrange(50), base + 60_000 * i) for i in range(40)]
+    parts = [rows[i: i + 8] for i in range(0, 40, 8)][::order]
+    schema = "session long, seq long, reading long, ms long"
+    for n, part in enumerate(parts):
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_millis("ms"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        source = next((tmp_path / f"part{n}").glob("*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        target = tmp_path / "all" / f"{n}.parquet"
+        source.rename(target)
+        os.utime(target, (1_600_000_000 + n, 1_600_000_000 + n))
+    stream = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    got = {(r["session"], r["seq"]): r["increment"] for r in live.run(live.meter(stream, "2 hours" if order < 0 else "5 minutes")).collect()}
+    batch = telemetry.increments(spark.createDataFrame(rows, schema), "session", "seq", "reading").collect()
+    last = max(r[3] for r in rows) - (7_200_000 if order < 0 else 300_000)
+    want = {(r["session"], r["seq"]): r["increment"] for r in batch if r["ms"] < last}
+    assert got == want and (len(want) > 20 or order < 0)
+    if order < 0:  # a newer row moves the watermark past all of them
+        late = spark.createDataFrame([(9, 99, 1, base + 10_800_000)], schema).withColumn("ts", F.timestamp_millis("ms"))
+        late.coalesce(1).write.parquet(str(tmp_path / "late"))
+        next((tmp_path / "late").glob("*.parquet")).rename(tmp_path / "all" / "late.parquet")
+        whole = {(r["session"], r["seq"]): r["increment"] for r in live.run(live.meter(stream, "2 hours")).collect()}
+        assert whole == {(r["session"], r["seq"]): r["increment"] for r in batch}
+
+
+def test_stream_of_traces(spark, tmp_path):
+    line = '{{"traceId":"t","spanId":"{0}","name":"n","startTimeUnixNano":"{0}000000","endTimeUnixNano":"{0}500000","attributes":{{"a":"1"}}}}\n'
+    (tmp_path / "a.jsonl").write_text("".join(line.format(i) for i in (1, 2)))
+    (tmp_path / "b.jsonl").write_text(line.format(3))
+    got = live.run(live.trace_source(spark, str(tmp_path), 1)).orderBy("spanId").collect()
+    assert got == files.traces(spark, str(tmp_path)).orderBy("spanId").collect() and [r["start"] for r in got] == [1.0, 2.0, 3.0]
+
+
+def test_tree_dump(spark, tmp_path):
+    (tmp_path / "tree").write_bytes(b"100644 blob aa      12\tsrc/a b.ts\x00120000 blob bb     900\tlogo.png\x00160000 commit cc       -\tvendor\x00")
+    (tmp_path / "counts").write_bytes(b"3\t0\tsrc/a b.ts\x00-\t-\tlogo.png\x00")
+    got = {r["path"]: (r["mode"], r["kind"], r["bytes"], r["lines"], r["binary"]) for r in files.tree(spark, str(tmp_path / "tree"), str(tmp_path / "counts")).collect()}
+    assert got == {"src/a b.ts": ("100644", "blob", 12, 3, False), "logo.png": ("120000", "blob", 900, None, True), "vendor": ("160000", "commit", None, None, None)}
+
+
+def test_log_rows(spark, tmp_path):
+    (tmp_path / "engine").mkdir()
+    (tmp_path / "engine" / "x.jsonl").write_text(
+        '{"at":1,"level":"error","message":"src/a.ts:12: failed","fields":{"unit":"u","api_key":"s"}}\n'
+        '{"at":2,"level":"info","message":"m","code":"step","detail":"' + "d" * (files.MAX_DETAIL + 5) + '"}\n'
+    )
+    a, b = files.logs(spark, {"engine": str(tmp_path / "engine")}).orderBy("at").collect()
+    assert (a["file"], a["line"], a["quoted"], a["cut"], a["fields"]) == ("src/a.ts", 12, True, False, {"unit": "u"})
+    assert (b["quoted"], b["cut"], len(b["detail"]), b["file"]) == (False, True, files.MAX_DETAIL, None) and a["id"] != b["id"]
+    assert list(a.asDict()) == list(files.LOG)
+
+
+# -- the rest of this round
+
+
+def test_uncovered_golden(spark):
+    """A run of 10 ms with spans (2, 4) and (6, 8): three gaps of 2 ms; without the run's own span only the one between."""
+    rows = [(1, 1, None, 0, 10), (1, 2, 1, 2, 4), (1, 3, 1, 6, 8), (2, 5, None, 2, 4), (2, 6, None, 6, 8)]
+    df = spark.createDataFrame(rows, "trace long, span long, parent long, started long, ended long")
+    got = sorted(tuple(r) for r in telemetry.uncovered(df).collect())
+    assert got == [(1, 0, 2), (1, 4, 6), (1, 8, 10), (2, 4, 6)]
+
+
+def test_admission(spark):
+    row = "source string, commit_id string, committed_at long, kind string, entity_id long, content string"
+    old = temporal.version_digests(spark.createDataFrame([("s", "c1", 1, "e", 1, "a"), ("s", "c1", 1, "e", 2, None), ("s", "c2", 5, "e", 1, "a")], row))
+    new = temporal.version_digests(spark.createDataFrame([("s", "c1", 1, "e", 2, None), ("s", "c1", 1, "e", 1, "a"), ("s", "c2", 6, "e", 1, "b"), ("s", "c3", 9, "e", 1, "a")], row))
+    got = {r["commit_id"]: (r["outcome"], r["reason"]) for r in temporal.admit(old, new).collect()}
+    assert got["c1"] == ("repeated", None) and got["c3"] == ("stored", None) and got["c2"][0] == "refused"
+    assert got["c2"][1].startswith("a different commit time; stored digest ")
+
+
+def test_recorded_time_never_goes_back(spark):
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate([10, 5, 5, 20, 20])], "source string, seq long, clock long")
+    assert [r["recorded"] for r in temporal.recorded_times(df, "source", "seq", "clock").orderBy("seq").collect()] == [10, 11, 12, 20, 21]
+
+
+def test_positions_against_one_window(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(30), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x long, id long")
+    got = {r["id"]: (r["position"], r["next_id"]) for r in temporal.positions(df, "g", [F.desc("x"), F.asc("id")], ["id"]).collect()}
+    for g in ("a", "b", None):
+        order = [i for _, _, i in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))]
+        assert [got[i] for i in order] == list(zip(range(1, len(order) + 1), [*order[1:], None]))
+
+
+def test_chains_and_cycles(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (20, 21), (21, 20), (22, 20)], "src long, dst long")
+    assert {tuple(r) for r in graph.chains(edges).collect()} == {(5, 2, 3), (4, 2, 2), (3, 2, 1), (9, 8, 1)}
+    assert {r["id"] for r in graph.on_cycles(edges).collect()} == {20, 21}
+    assert [r["id"] for r in graph.first_cycle(edges).orderBy("place").collect()] == [20, 21, 20]
+    assert graph.first_cycle(edges.where("src < 10")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1_000, 3])
+def test_cochange_of_hubs(spark, block):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(6), 100 + rng.randrange(25)) for _ in range(90)}
+    df = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    for both in (False, True):
+        near = {}
+        for s, d in pairs | ({(d, s) for s, d in pairs} if both else set()):
+            near.setdefault(d, set()).add(s)
+        want = {(a, b): len(near[a] & near[b]) for a in near for b in near if a != b and len(near[a] & near[b]) >= 2}
+        got = {(r["id"], r["other"]): r["n"] for r in graph.cochange(df, 50, both=both, block=block).collect()}
+        assert got == want
+
+
+def test_connection_of_a_null_parent(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (1, 2)], "p long, c long")
+    assert sorted(tuple(r) for r in connections.connection(df, "p", [F.asc("c")], 0).collect() if r["p"] is None) == [(None, 1, 2, 1)]
+
+
+def test_search_line(spark):
+    rows = [("a" * 40, " first line \nsecond"), ("label", ""), ("label", "label"), ("x", "word " * 30), ("b" * 40 + "\n", "v")]
+    got = [r["l"] for r in spark.createDataFrame(rows, "label string, value string").select(identity.search_line(F.col("label"), F.col("value")).alias("l")).collect()]
+    assert got == ["a" * 7 + " — first line", "label", "label", "x — " + ("word " * 18).strip() + "…", "b" * 40 + "\n — v"]
