@@ -143,6 +143,41 @@ def chains(edges: DataFrame) -> DataFrame:
     return now.join(edges.select(F.col("src").alias("root")), "root", "left_anti").select("id", "root", "steps")
 
 
+def chain_faults(states: DataFrame, subject: str) -> DataFrame:
+    """(subject, roots, followers, states, unreached) of chains (subject, id, prev): states without a predecessor, the most
+    followers that one has, and those that no root leads to. A sound chain has one root, one follower each and all reached."""
+    prevs = states.where("prev IS NOT NULL").select(F.col("id").alias("src"), F.col("prev").alias("dst"))
+    rooted = chains(prevs).join(states.where("prev IS NULL").select(F.col("id").alias("root")), "root", "left_semi").select("id", F.lit(1).alias("led"))
+    followers = prevs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("dst", "id")
+    rows = states.join(rooted, "id", "left").join(followers, "id", "left")
+    return rows.groupBy(subject).agg(
+        F.count(F.when(F.col("prev").isNull(), 1)).alias("roots"), F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("followers"), F.count(F.lit(1)).alias("states"),
+        F.count(F.when(F.col("prev").isNotNull() & F.col("led").isNull(), 1)).alias("unreached"),
+    )
+
+
+def starved(consumes: DataFrame, produces: DataFrame, longest: int = 64) -> DataFrame:
+    """(stage, steps, path): stages that wait for a capability which no stage provides, with the shortest way to it.
+
+    ``consumes`` and ``produces``: (stage, capability). A capability whose producers all starve is missing as well; of several
+    ways the smallest by name. ``path`` names capabilities from the stage's own to the missing one.
+    """
+    missing = cut(consumes.select("capability").distinct().join(produces, "capability", "left_anti").select("capability", F.col("capability").cast("string").alias("path")))
+    found, gone = None, missing.select("capability")
+    for step in range(1, longest + 1):
+        if missing.isEmpty():
+            return found if found is not None else consumes.select("stage", F.lit(0).alias("steps"), F.lit("").alias("path")).where("false")
+        waits = consumes.join(missing, "capability").groupBy("stage").agg(F.min("path").alias("path")).withColumn("steps", F.lit(step))
+        waits = cut(waits.join(found.select("stage"), "stage", "left_anti") if found is not None else waits)
+        found = cut(waits if found is None else found.unionByName(waits))
+        # capabilities all of whose producers starve by now
+        fed = produces.join(found.select("stage"), "stage", "left_anti").select("capability").distinct()
+        lost = produces.join(waits, "stage").join(fed, "capability", "left_anti").join(gone, "capability", "left_anti")
+        missing = cut(lost.groupBy("capability").agg(F.min(F.concat_ws(">", F.col("capability").cast("string"), "path")).alias("path")))
+        gone = cut(gone.unionByName(missing.select("capability")))
+    return found
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level): 0 without dependencies (src depends on dst), else one more than the deepest; cycles are left out."""
     left = cut(edges.select("src", "dst").distinct())

@@ -32,6 +32,26 @@ def contested(opinions: DataFrame, holder: str, fields: Sequence[str]) -> DataFr
     return rows.where(F.col("contested") != "")
 
 
+def details(opinions: DataFrame, holder: str, fields: Sequence[str], keys: Sequence[str] = (), order: str = "id", most: int = 3) -> DataFrame:
+    """(holder, field, is_key, value, contested, opinions, newest): every field of every holder with open opinions.
+
+    A key field is identity: its value stands without opinions. Of the others come the agreed value, the number of opinions
+    with a value and the last ``most``, newest first, as ``order=value``.
+    """
+    rows = opinions.where(F.col("state") == OPEN)
+    pairs = ", ".join(f"'{f}', CAST({f} AS STRING)" for f in fields)
+    long = rows.select(holder, order, F.expr(f"stack({len(fields)}, {pairs}) AS (field, v)"))
+    stated = long.groupBy(holder, "field").agg(agreed("v").alias("value"), (F.coalesce(F.min("v") != F.max("v"), F.lit(False))).alias("contested"), F.count("v").alias("opinions"))
+    last = long.where("v IS NOT NULL").withColumn("rn", F.row_number().over(W.partitionBy(holder, "field").orderBy(F.desc(order)))).where(F.col("rn") <= most)
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws("=", F.col(order).cast("string"), "v").alias("t")))), lambda x: x["t"]), ",")
+    out = stated.join(last.groupBy(holder, "field").agg(shown.alias("newest")), [holder, "field"], "left").withColumn("is_key", F.lit(False))
+    out = out.select(holder, "field", "is_key", "value", "contested", "opinions", F.coalesce("newest", F.lit("")).alias("newest"))
+    for k in keys:
+        held = rows.select(holder, F.lit(k).alias("field"), F.lit(True).alias("is_key"), F.col(k).cast("string").alias("value")).distinct()
+        out = out.unionByName(held.select("*", F.lit(False).alias("contested"), F.lit(0).cast("long").alias("opinions"), F.lit("").alias("newest")))
+    return out
+
+
 def choose_language(opinions: DataFrame, holder: str, field: str, lang: str, fallback: str) -> DataFrame:
     """The rows that speak for a text field: those in the reader's language, else in the fallback, else the neutral ones.
 

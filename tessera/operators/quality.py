@@ -72,3 +72,20 @@ def paths_between(edges: DataFrame, inputs: DataFrame, sinks: DataFrame, hops: i
     for _ in range(hops):
         front = front.join(edges, F.col("at") == F.col("src")).select("input", F.col("dst").alias("at")).distinct()
     return front.withColumnRenamed("at", "sink").join(sinks, "sink", "left_semi").select("input", "sink")
+
+
+def validated(units: DataFrame, contract: Mapping[str, Sequence[str]], known: DataFrame) -> DataFrame:
+    """(id, refused) of unit results (id, kind, key: map, ref) that a contract of key fields by kind doesn't allow.
+
+    Reasons, comma-joined in this order: ``kind`` unknown; ``missing:f`` and ``extra:f`` of a known kind's key fields;
+    ``reference`` that ``known`` (ref) doesn't list. What nothing is said against gives no row.
+    """
+    fields = F.create_map(*[x for k, names in contract.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
+    rows = units.join(known.select("ref", F.lit(True).alias("listed")).distinct(), "ref", "left")
+    wanted, held = F.try_element_at(fields, F.col("kind")), F.map_keys("key")
+    named = lambda what, names: F.transform(F.array_sort(names), lambda f: F.concat(F.lit(f"{what}:"), f))
+    reasons = F.concat(
+        F.when(wanted.isNull(), F.array(F.lit("kind"))).otherwise(F.concat(named("missing", F.array_except(wanted, held)), named("extra", F.array_except(held, wanted)))),
+        F.when(F.col("listed").isNull(), F.array(F.lit("reference"))).otherwise(F.array().cast("array<string>")),
+    )
+    return rows.select("id", F.array_join(reasons, ",").alias("refused")).where("refused <> ''")

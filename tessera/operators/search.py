@@ -59,6 +59,16 @@ def mentions(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     return found.groupBy("doc_id", "line", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def glossary(docs: DataFrame, key: str) -> DataFrame:
+    """(key, n, term, definition) of Markdown texts: lines that begin with a term in bold and go on, after a dash or a colon,
+    with its definition. Of a term that a text defines twice, the first counts."""
+    line = r"(?m)^[ \t]*(?:[-*+][ \t]+)?\*\*([^*\n]+)\*\*[ \t]*(?:—|–|-|:)[ \t]*(\S[^\n]*)$"
+    terms, said = (F.regexp_extract_all("text", F.lit(line), F.lit(i)) for i in (1, 2))
+    rows = docs.select(key, F.posexplode(F.arrays_zip(terms.alias("term"), said.alias("definition"))).alias("n", "x"))
+    rows = rows.select(key, (F.col("n") + 1).alias("n"), F.trim("x.term").alias("term"), F.trim("x.definition").alias("definition"))
+    return rows.groupBy(key, "term").agg(F.min(F.struct("n", "definition")).alias("m")).select(key, "m.n", "term", "m.definition")
+
+
 def line_range(docs: DataFrame, first: int, last: int) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return lines.where((F.col("n") >= first - 1) & (F.col("n") < last)).select("doc_id", (F.col("n") + 1).cast("long").alias("line"), "text")

@@ -183,3 +183,11 @@ def shortest_prefixes(uids: DataFrame, uid: str, head: int = 4) -> DataFrame:
     inner = W.partitionBy("h").orderBy(uid)
     inside = F.greatest(common(F.col(uid), F.lag(uid).over(inner), 40), common(F.col(uid), F.lead(uid).over(inner), 40))
     return rows.withColumn("inside", inside).join(heads, "h").withColumn("prefix", F.expr(f"substring({uid}, 1, greatest(inside, outside) + 1)")).drop("h", "inside", "outside")
+
+
+def children_as_of(assertions: DataFrame, parents: DataFrame, parent: str, valid: int, known: int) -> DataFrame:
+    """(child) of the element ``parent`` at a time; ``parents``: (entity_id, parent). An element that didn't exist then is an error."""
+    held = as_of(assertions, valid, known).select("entity_id").distinct()
+    if held.where(F.col("entity_id") == parent).isEmpty():
+        raise ValueError(f"{parent} does not exist at {valid}")
+    return held.join(parents.where(F.col("parent") == parent), "entity_id", "left_semi").select(F.col("entity_id").alias("child"))

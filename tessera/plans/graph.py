@@ -150,6 +150,19 @@ def topological_levels(t):
     return G.levels(edges, t.part.select(F.col("p_partkey").alias("id")))
 
 
+@query(
+    "starved_stages",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS stage, CAST(floor(p_partkey / 8) AS BIGINT) AS cap, p_size = 50 AS retired FROM part WHERE p_partkey > 0), w AS (SELECT p.stage, 1 AS steps, CAST(p.cap AS VARCHAR) AS path FROM p JOIN part q ON q.p_partkey = p.cap WHERE q.p_size = 50
+      UNION ALL SELECT p.stage, w.steps + 1, CAST(p.cap AS VARCHAR) || '>' || w.path FROM w JOIN p ON p.cap = w.stage AND w.stage NOT IN (SELECT p_partkey FROM part WHERE p_size = 50))
+    SELECT stage, CAST(steps AS INTEGER) AS steps, path FROM w""",
+)
+def starved_stages(t):
+    """Parts as stages that need the part of an eighth of their number; those of size 50 provide nothing."""
+    k = F.col("p_partkey")
+    needs = t.part.where("p_partkey > 0").select(k.alias("stage"), F.floor(k / 8).alias("capability"))
+    return G.starved(needs, t.part.where("p_size <> 50").select(k.alias("stage"), k.alias("capability")))
+
+
 @query("dependency_cycles", "WITH RECURSIVE d AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 10 < 3 THEN p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 3 ELSE p_partkey - 1 END AS b FROM part), c AS (SELECT a, b FROM d UNION SELECT c.a, d.b FROM c JOIN d ON d.a = c.b) SELECT DISTINCT a AS id FROM c WHERE a = b")
 def dependency_cycles(t):
     k = F.col("p_partkey")

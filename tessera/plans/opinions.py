@@ -71,15 +71,19 @@ def opinions_list(t):
 
 @query(
     "opinion_details",
-    """WITH u AS (SELECT holder, 'grade' AS field, grade AS v, id FROM opinion WHERE state = 'open' UNION ALL SELECT holder, 'title', title, id FROM opinion WHERE state = 'open'
-      UNION ALL SELECT holder, 'amount', CAST(amount AS VARCHAR), id FROM opinion WHERE state = 'open')
-    SELECT holder, field, CASE WHEN count(DISTINCT v) = 1 THEN max(v) END AS value, CASE WHEN count(DISTINCT v) > 1 THEN 'contested' WHEN count(v) = 0 THEN 'unstated' ELSE 'agreed' END AS mark, count(v) AS opinions, max(CASE WHEN v IS NOT NULL THEN id END) AS newest
-    FROM u GROUP BY holder, field""",
+    """WITH u AS (SELECT holder, 'grade' AS field, grade AS v, id FROM opinion WHERE state = 'open' UNION ALL SELECT holder, 'title', title, id FROM opinion WHERE state = 'open' UNION ALL SELECT holder, 'amount', CAST(amount AS VARCHAR), id FROM opinion WHERE state = 'open'),
+      n AS (SELECT holder, field, string_agg(CAST(id AS VARCHAR) || '=' || v, ',' ORDER BY id DESC) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY holder, field ORDER BY id DESC) AS rn FROM u WHERE v IS NOT NULL) x WHERE rn <= 3 GROUP BY 1, 2)
+    SELECT u.holder, u.field, false AS is_key, CASE WHEN count(DISTINCT v) = 1 THEN max(v) END AS value, count(DISTINCT v) > 1 AS contested, count(v) AS opinions, coalesce(max(n.newest), '') AS newest FROM u LEFT JOIN n ON n.holder = u.holder AND n.field = u.field GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT holder, 'holder', true, CAST(holder AS VARCHAR), false, 0, '' FROM opinion WHERE state = 'open'""",
 )
 def opinion_details(t):
-    long = t.opinion.where("state = 'open'").select("holder", "id", F.expr("stack(3, 'grade', grade, 'title', title, 'amount', CAST(amount AS STRING)) AS (field, v)"))
-    mark = F.when(F.min("v") != F.max("v"), "contested").when(F.count("v") == 0, "unstated").otherwise("agreed")
-    return long.groupBy("holder", "field").agg(O.agreed("v").alias("value"), mark.alias("mark"), F.count("v").alias("opinions"), F.max(F.when(F.col("v").isNotNull(), F.col("id"))).alias("newest"))
+    return O.details(t.opinion, "holder", ["grade", "title", "amount"], ["holder"])
+
+
+@query("product_file_index", "SELECT f.path, c.mode, c.bytes, c.form FROM file f LEFT JOIN (SELECT file, CASE WHEN count(DISTINCT flag) = 1 THEN max(flag) END AS mode, CASE WHEN count(DISTINCT added) = 1 THEN max(added) END AS bytes, CASE WHEN count(DISTINCT removed) = 1 THEN max(removed) END AS form FROM change GROUP BY file) c ON c.file = f.file")
+def product_file_index(t):
+    stated = t.change.groupBy("file").agg(O.agreed("flag").alias("mode"), O.agreed("added").alias("bytes"), O.agreed("removed").alias("form"))
+    return t.file.select("file", "path").join(stated, "file", "left").select("path", "mode", "bytes", "form")
 
 
 @query(

@@ -212,9 +212,15 @@ def verdict_reasons(t):
     return t.event.where("k >= 60").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(10)
 
 
-@query("unit_validation", "SELECT o_orderkey AS id, concat_ws(',', CASE WHEN c.c_custkey IS NULL THEN 'reference' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'kind' END) AS refused FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal >= 0 WHERE c.c_custkey IS NULL OR o_orderstatus NOT IN ('O', 'F')")
+@query(
+    "unit_validation",
+    """SELECT id, refused FROM (SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'kind' END, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 'missing:price' END, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'extra:note' END,
+      CASE WHEN c.c_custkey IS NULL THEN 'reference' END) AS refused FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_acctbal >= 0) x WHERE refused <> ''""",
+)
 def unit_validation(t):
-    known = t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known"))
-    rows = t.orders.join(known, "o_custkey", "left")
-    refused = F.concat_ws(",", F.when(F.col("known").isNull(), "reference"), F.when(~F.col("o_orderstatus").isin("O", "F"), "kind"))
-    return rows.select(F.col("o_orderkey").alias("id"), refused.alias("refused")).where("refused <> ''")
+    price = F.when((F.col("o_orderstatus") != "F") | (F.col("o_totalprice") >= 100_000), F.map_from_arrays(F.array(F.lit("price")), F.array(F.lit("1"))))
+    note = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"), F.map_from_arrays(F.array(F.lit("note")), F.array(F.lit("x"))))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    key = F.map_concat(F.map_from_arrays(F.array(F.lit("number")), F.array(F.col("o_orderkey").cast("string"))), F.coalesce(price, none), F.coalesce(note, none))
+    units = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind"), key.alias("key"), F.col("o_custkey").alias("ref"))
+    return Q.validated(units, {"O": ("number", "price"), "F": ("number", "price")}, t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("ref")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.operators import temporal as T
 from tessera.plans.registry import query
 
@@ -101,13 +102,19 @@ def shortest_prefix(t):
     return T.shortest_prefixes(uids, "uid").select("id", "prefix")
 
 
-@query("state_chain", "SELECT user_id, count(*) FILTER (WHERE prev IS NULL) AS roots, max(followers) AS followers, count(*) AS states FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, CASE WHEN lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL THEN 0 ELSE 1 END AS followers FROM event) x GROUP BY user_id")
+@query(
+    "state_chain",
+    """WITH RECURSIVE s AS (SELECT user_id, event_id AS id, CASE WHEN event_type = 'error' AND k < 5 THEN NULL WHEN k = 99 THEN event_id ELSE lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS prev FROM event),
+    r AS (SELECT id FROM s WHERE prev IS NULL UNION ALL SELECT s.id FROM r JOIN s ON s.prev = r.id), f AS (SELECT prev, count(*) AS n FROM s WHERE prev IS NOT NULL GROUP BY prev)
+    SELECT user_id, count(*) FILTER (WHERE s.prev IS NULL) AS roots, coalesce(max(f.n), 0) AS followers, count(*) AS states, count(*) FILTER (WHERE s.id NOT IN (SELECT id FROM r)) AS unreached FROM s LEFT JOIN f ON f.prev = s.id GROUP BY user_id""",
+)
 def state_chain(t):
+    """A user's events as a chain of states, some of which begin anew or, wrongly, follow themselves."""
     from pyspark.sql import Window as W
 
-    by = W.partitionBy("user_id").orderBy("event_id")
-    rows = t.event.select("user_id", F.lag("event_id").over(by).alias("prev"), F.when(F.lead("event_id").over(by).isNull(), 0).otherwise(1).alias("f"))
-    return rows.groupBy("user_id").agg(F.count(F.when(F.col("prev").isNull(), 1)).alias("roots"), F.max("f").alias("followers"), F.count(F.lit(1)).alias("states"))
+    before = F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
+    prev = F.when((F.col("event_type") == "error") & (F.col("k") < 5), F.lit(None)).when(F.col("k") == 99, F.col("event_id")).otherwise(before)
+    return graph.chain_faults(t.event.select("user_id", F.col("event_id").alias("id"), prev.alias("prev")), "user_id")
 
 
 @query("binding_discrepancies", "SELECT user_id, k % 5 AS variable, count(DISTINCT event_type) AS contents, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stated FROM event GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1")

@@ -64,9 +64,18 @@ def line_range(t):
     return S.line_range(t.documents, 2, 3)
 
 
-@query("glossary_definitions", "SELECT page_id, unnest(regexp_extract_all(html, '<title>([^<]+)</title>', 1)) AS term FROM pages")
+@query(
+    "glossary_definitions",
+    """WITH d AS (SELECT page_id, 1 AS n, trim(regexp_extract(html, '<title>([^<]+)</title>', 1), ' ') AS term, url AS definition FROM pages UNION ALL SELECT page_id, 2, 'page ' || CAST(page_id AS VARCHAR), regexp_extract(html, '<html lang="([a-z]+)"', 1) FROM pages)
+    SELECT page_id, CAST(n AS INTEGER) AS n, term, definition FROM d WHERE term <> '' AND term NOT LIKE '%*%' AND definition <> ''""",
+)
 def glossary_definitions(t):
-    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<title>([^<]+)</title>"), F.lit(1))).alias("term"))
+    """A page's title and number as terms of a Markdown text; titles with asterisks aren't terms in bold."""
+    bold = lambda term, said: F.concat(F.lit("**"), term, F.lit("** — "), said)
+    title, lang = F.regexp_extract("html", "<title>([^<]+)</title>", 1), F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    text = F.concat_ws("\n", bold(title, F.col("url")), F.concat(F.lit("- "), bold(F.concat(F.lit("page "), F.col("page_id").cast("string")), lang)), F.lit("no **term** here"))
+    rows = S.glossary(t.pages.select("page_id", text.alias("text")), "page_id")
+    return rows.select("page_id", F.when(F.startswith("term", F.lit("page ")), 2).otherwise(1).alias("n"), "term", "definition")
 
 
 def _vector(metric, expr):
