@@ -101,10 +101,16 @@ def _bench_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(run, "seed long, number int, item long, place int, size int")
 
 
+#: Shifts of a seed whose low bits each set a bit of the filter.
+SHIFTS = (0, 12, 24, 36)
+
+
 def _filter_bits(known: DataFrame, many: int, most: int) -> np.ndarray:
-    """A bit for each seed's low bits: 16 bits a seed, ``most`` at most. Where it is too small, more seeds pass for the join."""
-    bits = 1 << max(12, min(most, 16 * max(many, 1)).bit_length() - 1)
-    low = known.select(F.col("seed").bitwiseAND(F.lit(bits - 1)).alias("low"))
+    """A filter of the seeds, four bits set for each: 64 bits a seed, ``most`` at most. One other seed in 65,000 passes; where
+    the filter is too small, more do, and the join takes them out."""
+    bits = 1 << max(12, min(most, 64 * max(many, 1)).bit_length() - 1)
+    places = F.array(*[F.shiftrightunsigned("seed", x).bitwiseAND(F.lit(bits - 1)) for x in SHIFTS])
+    low = known.select(F.explode(places).alias("low"))
     words = low.groupBy(F.shiftrightunsigned("low", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(low & 63 AS INT)))").alias("on")).toArrow()
     out = np.zeros(bits // 64, np.int64)  # at most ``most`` / 64 numbers reach the driver
     out[words["word"].to_numpy()] = words["on"].to_numpy()
@@ -128,8 +134,10 @@ def _candidates(docs: DataFrame, known: DataFrame, many: int, most: int) -> Data
                 for n in numbers:
                     m = _mask(n)
                     h = seeds(tok, m, n)
-                    low = h & least
-                    p = np.flatnonzero((on[(low >> U(6)).astype(np.int64)] >> (low & U(63)) & U(1)).astype(bool))
+                    p = np.arange(len(h))
+                    for x in SHIFTS:
+                        low = h[p] >> U(x) & least
+                        p = p[(on[(low >> U(6)).astype(np.int64)] >> (low & U(63)) & U(1)).astype(bool)]
                     p = p[doc[p] == doc[p + m[-1]]]
                     found.append((doc[p], h[p], p - first[doc[p]]))
                 d, h, p = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
