@@ -24,47 +24,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, what strings of 50 bytes repeat from documents of smaller ids (``suffixes.remove_repeats``)."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 50)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document over 16 shards by rendezvous hashing of doc_id; the law is key (``sharding``)."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the labels is held out (``quality``). Rows of a null id are never held out."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_documents(docs, model, QUALITY_AT)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100 (``ann.nearest``)."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (``simhash.simhash_classes``)."""
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best alignment of every document and benchmark item that overlap (``decontaminate.find_overlaps``)."""
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's ids and of the text decoded from them (``bpe.encode_documents``)."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, the lines and spans cut as repeated, and a digest of what is left (``lines.dedup_runs``)."""
     out = lines.dedup_runs(table(spark, sf_dir, "documents"), report=True)
     return out.select("doc_id", "n_lines_removed", "n_chunks_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, as read back from token files (``tokenfile``)."""
     return tokenfile.tokenize_to_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document and how widely its values are owned; a document stands for a repository, its source
+    for the owner (``secrets.scan_secrets``)."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
