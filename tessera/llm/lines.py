@@ -114,8 +114,10 @@ def _verified(texts: DataFrame, spans: DataFrame) -> DataFrame:
     sliced = some.join(wanted, some["doc_id"] == wanted["id"]).select("id", F.explode(cut).alias("s")).select("id", "s.x.*", F.col("s.bytes").alias("bytes"))
     strings = sliced.where("first_id IS NOT NULL").select("id", "at", *key[:2], size, "bytes")
     kinds = strings.groupBy(*key, "bytes").agg(F.count(F.lit(1)).alias("n"))
-    kept = sliced.where("first_id IS NULL").select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), size, F.col("bytes").alias("kept")).dropDuplicates(key)
-    unlike = materialize(kinds.join(kept, key, "left").where("kept IS NULL OR bytes <> kept").select(*key, "bytes"))
+    kept = sliced.where("first_id IS NULL").select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), size, "bytes")
+    # of a first id that several rows repeat, all must agree
+    kept = kept.groupBy(*key).agg(F.min("bytes").alias("kept"), F.max("bytes").alias("too"))
+    unlike = materialize(kinds.join(kept, key, "left").where("kept IS NULL OR kept <> too OR bytes <> kept").select(*key, "bytes"))
     if unlike.isEmpty():
         return spans
     wrong = strings.join(unlike, [*key, "bytes"], "left_semi").select("id", "at", *key)
