@@ -32,7 +32,7 @@ from .common import partitions, text_bytes, utf8
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Kinds of messages: contexts to compare; windows that go; windows and contexts that fare as an equal one of their document.
 ASK, GONE, LIKE_WINDOW, LIKE_CONTEXT = range(4)
 
@@ -45,7 +45,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-_UP, _DOWN = _powers(BLOCK + 4096)
+_UP, _DOWN = _powers((1 << 20) + 4096)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
