@@ -251,6 +251,34 @@ def lifted(relations: DataFrame, ancestor: DataFrame, ids: Column) -> DataFrame:
     return pairs.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.min(ids).alias("first_relation"), F.max(ids).alias("last_relation"))
 
 
+def view(elements: DataFrame, relations: DataFrame, scope: object, depth: int, context: bool = False, levels: int = 8) -> DataFrame:
+    """(from_id, to_id, n, first_relation, last_relation): the relations (id, src, dst) that a view of ``scope`` draws.
+
+    Shown are the elements (id, parent) inside the scope, down to ``depth`` levels; ends lie on their nearest shown ancestor.
+    With ``context``, relations across the boundary are drawn too: their outer end lies on its ancestor (or itself) whose parent
+    is the scope's parent or one of its ancestors, or which has no parent. Pairs are merged, relations within one box dropped.
+    Trees are at most ``levels`` deep.
+    """
+    up = elements.select(F.col("id").alias("at"), F.col("parent").alias("up"))
+    # each element with its ancestors, itself first
+    rows = elements.select("id", F.col("id").alias("at"), F.array("id").alias("line"))
+    for _ in range(levels):
+        rows = rows.join(up, "at", "left").select("id", F.col("up").alias("at"), F.when(F.col("up").isNotNull(), F.array_append("line", F.col("up"))).otherwise(F.col("line")).alias("line"))
+    line = F.col("line")
+    own = rows.where(F.col("id") == scope).select(F.slice(line, 2, levels + 1).alias("above"))  # one row
+    place = F.array_position(line, F.lit(scope)).cast("int")  # 0 outside, 1 the scope itself
+    inside = F.when(place > 1, F.element_at(line, F.greatest(place - depth, F.lit(1))))
+    # the first of the line whose parent is above the scope, or the last, which has none
+    shared = F.filter(F.sequence(F.lit(1), F.size(line)), lambda i: (i == F.size(line)) | F.array_contains("above", F.try_element_at(line, i + 1)))
+    outside = F.when(place == 0, F.element_at(line, F.element_at(shared, 1)))
+    lifted_ = rows.crossJoin(F.broadcast(own)).select("id", inside.alias("inner"), (outside if context else F.lit(None)).alias("outer"))
+    a = lifted_.select(F.col("id").alias("src"), F.col("inner").alias("a_in"), F.col("outer").alias("a_out"))
+    b = lifted_.select(F.col("id").alias("dst"), F.col("inner").alias("b_in"), F.col("outer").alias("b_out"))
+    ends = relations.join(a, "src").join(b, "dst").where("a_in IS NOT NULL OR b_in IS NOT NULL")
+    pairs = ends.select("id", F.coalesce("a_in", "a_out").alias("from_id"), F.coalesce("b_in", "b_out").alias("to_id")).where("from_id <> to_id")
+    return pairs.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_relation"), F.max("id").alias("last_relation"))
+
+
 def without_refinements(relations: DataFrame, drawn: DataFrame) -> DataFrame:
     """Relations (id, src, dst, refines) without the refinements of a relation that the view draws (``drawn``: id)."""
     return relations.join(drawn.select(F.col("id").alias("refines")).distinct(), "refines", "left_anti")

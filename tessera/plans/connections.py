@@ -150,9 +150,9 @@ def page_with_total(t):
     return total.join(rows.where("id > 4999999999999").select("id").orderBy("id").limit(10), F.lit(True), "left")
 
 
-@query("kind_counts", "SELECT kind, count(*) AS n FROM node WHERE NOT removed GROUP BY kind")
+@query("kind_counts", "SELECT kind, count(DISTINCT id) AS n FROM node WHERE NOT removed GROUP BY kind")
 def kind_counts(t):
-    return t.node.where("NOT removed").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return t.node.where("NOT removed").groupBy("kind").agg(F.count_distinct("id").alias("n"))
 
 
 @query("repository_counts", "SELECT (SELECT count(*) FROM file) AS files, (SELECT count(DISTINCT commit_id) FROM change) AS commits, (SELECT count(DISTINCT repository) FROM file) AS directories")

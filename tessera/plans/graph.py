@@ -190,6 +190,21 @@ def view_lifted(t):
     return G.lifted(e.where("rel = 'supplied_by'").select("src", "dst"), G.ancestors(parents, shown, 2), F.col("src") * 10 + F.col("dst") % 10)
 
 
+@query(
+    "view_context",
+    """WITH x AS (SELECT l_orderkey AS id, CASE WHEN a.n_regionkey = 1 THEN 2000000000000 + a.n_nationkey ELSE 1000000000000 + a.n_regionkey END AS from_id, CASE WHEN b.n_regionkey = 1 THEN 2000000000000 + b.n_nationkey ELSE 1000000000000 + b.n_regionkey END AS to_id
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey = 1 OR b.n_regionkey = 1)
+    SELECT from_id, to_id, count(*) AS n, min(id) AS first_relation, max(id) AS last_relation FROM x WHERE from_id <> to_id GROUP BY 1, 2""",
+)
+def view_context(t):
+    """The nations of one region, and the other regions they trade with: customers to suppliers, by line item."""
+    parents = t.edge.where("rel IN ('in_region', 'in_nation')").select(F.col("src").alias("id"), F.col("dst").alias("parent"))
+    elements = t.node.where("kind IN ('region', 'nation', 'customer', 'supplier')").select("id").join(parents, "id", "left")
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") + 3_000_000_000_000).alias("src"))
+    relations = t.lineitem.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") + 4_000_000_000_000).alias("dst")).join(orders, "id")
+    return G.view(elements, relations, 1_000_000_000_001, 1, context=True, levels=3)
+
+
 @query(
     "view_refined_once",
     """WITH x AS (SELECT l_suppkey, c_custkey, s_nationkey + 2000000000000 AS a, c_nationkey + 2000000000000 AS b, l_quantity, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),

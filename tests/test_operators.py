@@ -402,3 +402,23 @@ def test_search_line(spark):
     rows = [("a" * 40, " first line \nsecond"), ("label", ""), ("label", "label"), ("x", "word " * 30), ("b" * 40 + "\n", "v")]
     got = [r["l"] for r in spark.createDataFrame(rows, "label string, value string").select(identity.search_line(F.col("label"), F.col("value")).alias("l")).collect()]
     assert got == ["a" * 7 + " — first line", "label", "label", "x — " + ("word " * 18).strip() + "…", "b" * 40 + "\n — v"]
+
+
+def test_view_scenarios(spark):
+    """Collapse, context and inside one box: two calls between services are one relation to the neighbouring domain."""
+    tree = [("shop", None), ("payments", None), ("web", "shop"), ("catalog", "shop"), ("cart", "web"), ("ui", "web"), ("api", "payments")]
+    elements = spark.createDataFrame(tree, "id string, parent string")
+    calls = spark.createDataFrame([("r1", "cart", "api"), ("r2", "ui", "api"), ("r3", "cart", "ui"), ("r4", "cart", "catalog")], "id string, src string, dst string")
+    got = lambda *a, **k: {(r["from_id"], r["to_id"], r["n"]) for r in graph.view(elements, calls, *a, **k).collect()}
+    assert got("shop", 1) == {("web", "catalog", 1)}
+    assert got("shop", 1, context=True) == {("web", "catalog", 1), ("web", "payments", 2)}
+    assert got("web", 1, context=True) == {("cart", "payments", 1), ("ui", "payments", 1), ("cart", "ui", 1), ("cart", "catalog", 1)}
+
+
+def test_children_need_their_parent(spark):
+    rows = [("s", "system", "payments", "x", 0, None, 0, None), ("s", "system", "api", "x", 0, None, 0, None)]
+    held = spark.createDataFrame(rows, "source string, kind string, entity_id string, content string, valid_from long, valid_to long, recorded_from long, recorded_to long")
+    parents = spark.createDataFrame([("api", "payments")], "entity_id string, parent string")
+    assert [r["child"] for r in temporal.children_as_of(held, parents, "payments", 5, 5).collect()] == ["api"]
+    with pytest.raises(ValueError, match="orders does not exist at 5"):
+        temporal.children_as_of(held, parents, "orders", 5, 5)
