@@ -28,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import pieces
+
 END = "</w>"
 _BREAK = re.compile(rb"[\t-\r ]")
 SPACES = r"\t-\r\x85\p{Z}"
@@ -77,7 +79,7 @@ class _Known(dict):
 class Vocabulary:
     """A BPE vocabulary file of the tokenizers library: word ends marked, lower case, white space dropped."""
 
-    def __init__(self, content: str, keep: int = 400_000):
+    def __init__(self, content: str, keep: int = 100_000):
         spec = json.loads(content)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -269,7 +271,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, decode: bool = True, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _load(name)
         d = Decoder(v)
-        for b in batches:
+        for b in pieces(batches):
             n, shas, decoded, every = [], [], [], []
             for text in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist():
                 many, sha, back, parts = 0, hashlib.sha256(), hashlib.sha256(), []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that what is made of them is small at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def spans(offsets: np.ndarray, most: int):
     """Consecutive documents of at most ``most`` bytes together (one longer document alone), as index pairs."""
     i, n = 0, len(offsets) - 1

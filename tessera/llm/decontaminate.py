@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, fresh, join_counted, materialize, spans, utf8
+from .common import among, fresh, join_counted, materialize, pieces, spans, utf8
 from .suffixes import _DOWN, _UP, _mix
 
 U = np.uint64
@@ -81,7 +81,7 @@ def _bench_seeds(items: DataFrame) -> DataFrame:
     """(seed, number, item, place, size) of all items: at every place of those of ``WINDOW`` tokens or more, else the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             tok, doc, _, _ = tokens(*utf8(_lower(b.column(1))))
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
             size = np.diff(at)
@@ -125,7 +125,7 @@ def _candidates(docs: DataFrame, known: DataFrame, many: int, most: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = shared.value
         least = U(64 * len(on) - 1)
-        for b in batches:
+        for b in pieces(batches):
             buf, offsets = utf8(_lower(b.column(1)))
             for i, j in spans(offsets, 4 << 20):
                 tok, doc, _, _ = tokens(buf[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])

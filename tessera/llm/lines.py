@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import among, fresh, join_counted, materialize
+from .simhash import fingerprints
 
 M64 = (1 << 64) - 1
 
@@ -314,9 +315,26 @@ def _joined_windows(hits: DataFrame) -> DataFrame:
     return per.mapInArrow(run, f"id {kind}, at int, to int, first_id {kind}, first_at int")
 
 
-def repeated_runs(docs: DataFrame, long: int = 50) -> DataFrame:
+def _copies(texts: DataFrame, pairs: DataFrame, radius: int, k: int = 5) -> DataFrame:
+    """Those of ``pairs`` (id, first_id, a written table) whose 256-bit SimHash fingerprints of k-word shingles differ in at
+    most ``radius`` bits. A repeated id has the fingerprint of one of its rows, the smallest."""
+    ids = materialize(pairs.select("id").unionByName(pairs.select(F.col("first_id").alias("id"))).distinct())
+    bits = ["f0", "f1", "f2", "f3"]
+    prints = fingerprints(among(texts, "doc_id", ids), k, 4).groupBy("id").agg(F.min(F.struct(*bits)).alias("mine"))
+    prints = materialize(prints)
+    counts = pairs.groupBy(F.col("first_id").alias("id")).agg(F.count(F.lit(1)).alias("many"))
+    theirs = materialize(prints.join(counts, "id").select(F.col("id").alias("first_id"), F.col("mine").alias("theirs"), "many"))
+    both = join_counted(pairs.join(prints, "id"), theirs, "first_id")
+    far = sum((F.bit_count(F.col(f"mine.{f}").bitwiseXOR(F.col(f"theirs.{f}"))) for f in bits), F.lit(0))
+    return both.where(far <= radius).select("id", "first_id")
+
+
+def repeated_runs(docs: DataFrame, long: int = 50, copies: int | None = None) -> DataFrame:
     """(doc_id, at, to, first_id, first_at) of what occurred before, by (doc_id, position): byte spans, which may overlap.
 
+    With ``copies``, what a text repeats of a text whose fingerprint differs from its own in at most so many of 256 bits isn't
+    counted: it is a copy of the whole, not a passage.
+
     Spans stay where their bytes differ from the first ones (a hash collision). A line or sentence is never removed at its
     first occurrence in the corpus. Rows of a null doc_id take no part; rows that repeat an id lose a span only where all of
     them hold its bytes. Null and empty texts and empty tables have no spans.
@@ -328,7 +346,13 @@ def repeated_runs(docs: DataFrame, long: int = 50) -> DataFrame:
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     hits = materialize(join_counted(found, materialize(counts), "h"))
     first = hits.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("many"))
-    spans = materialize(_joined_windows(join_counted(hits, materialize(first), "h").where(~F.struct("id", "at").eqNullSafe(F.col("first")))))
+    later = join_counted(hits, materialize(first), "h").where(~F.struct("id", "at").eqNullSafe(F.col("first")))
+    if copies is not None:
+        later = materialize(later)
+        pairs = materialize(later.select("id", F.col("first.id").alias("first_id")).where("id <> first_id").distinct())
+        whole = _copies(texts, pairs, copies).withColumnRenamed("id", "__id")
+        later = later.join(whole, (F.col("id") == F.col("__id")) & (F.col("first.id") == F.col("first_id")), "left_anti")
+    spans = materialize(_joined_windows(later))
     return _verified(texts, spans).select(F.col("id").alias("doc_id"), "at", "to", "first_id", "first_at")
 
 
@@ -365,11 +389,12 @@ def cut_runs(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]
     return bytes(out), lines, len(runs)
 
 
-def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False) -> DataFrame:
+def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False, copies: int | None = None) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text``; with ``report``, doc_id, n_lines_removed (whole or in part),
     n_chunks_removed (separate spans), kept_text.
 
-    Rows without repeated runs, with null or empty text or a null doc_id come out unchanged; a text may become empty.
+    Rows without repeated runs, with null or empty text or a null doc_id come out unchanged; a text may become empty. ``copies``
+    leaves copies of whole texts alone, as in ``repeated_runs``.
     """
 
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -380,7 +405,7 @@ def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False) -> DataFra
         return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("n", pa.int64())]))
 
     key, spans, done = fresh(docs, "__id"), fresh(docs, "__gone"), fresh(docs, "__cut")
-    per = repeated_runs(docs, long).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("at", "to")).alias(spans))
+    per = repeated_runs(docs, long, copies).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("at", "to")).alias(spans))
     joined, rest = _touched(docs, per, key)
     joined = joined.withColumn(done, F.arrow_udf(cut, "text string, lines long, n long")("text", spans))
     if report:

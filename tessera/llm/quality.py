@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans, utf8
+from .common import pieces, spans, utf8
 
 BLOCK = 4 << 20
 
@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, model: Trees, threshold: float = 0.3, keep:
     slim = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             s = model.score(_statistics_of(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
@@ -201,7 +201,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             s = model.score(_statistics_of(b.column(at)))
             yield b.filter(pa.array(s >= threshold))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, partitions
+from .common import join_counted, materialize, partitions, pieces
 from .components import components
 
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, keys: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = Minima()
-        for b in batches:
+        for b in pieces(batches):
             prints, minima = [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(text or b"", k)
