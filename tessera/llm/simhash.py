@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, partitions, pieces
+from .common import among, join_counted, materialize, partitions, pieces
 from .components import components
 
 SEED = 42
@@ -299,10 +299,11 @@ def _refined(prints: DataFrame, words: int, keys: Column, finer: Column, hot: in
     """Rows (key, id, f..), one for each of ``keys``. A key of more than ``hot`` rows is replaced by the ``finer`` ones,
     which depend on the key and its number ``t`` and lose no pair within the radius."""
     rows, counts = _rows_by_key(prints, words, keys)
-    large = counts.where(F.col("many") > hot).select("key")
+    # of n rows there are at most n / hot such keys
+    large = materialize(counts.where(F.col("many") > hot).select("key"))
     cols = [c for c in rows.columns if c not in ("t", "key")]
-    refined = rows.join(large, "key", "left_semi").select(*cols, F.explode(finer).alias("key"))
-    return rows.join(large, "key", "left_anti").select(*cols, "key").unionByName(refined.select(*cols, "key"))
+    refined = among(rows, "key", large).select(*cols, F.explode(finer).alias("key"))
+    return among(rows, "key", large, "left_anti").select(*cols, "key").unionByName(refined.select(*cols, "key"))
 
 
 def _in_blocks(prints: DataFrame, words: int, keys: Column, hot: int, *more: str) -> DataFrame:
@@ -311,9 +312,9 @@ def _in_blocks(prints: DataFrame, words: int, keys: Column, hot: int, *more: str
     many more than 2 * ``hot`` rows."""
     rows, counts = _rows_by_key(prints, words, keys, *more)
     rows, counts = materialize(rows), materialize(counts)
-    large = counts.where(F.col("many") > hot)
+    large = counts.where(F.col("many") > hot)  # of n rows at most n / hot keys
     cols = [c for c in rows.columns if c not in ("t", "key")]
-    few = rows.join(large.select("key"), "key", "left_anti").select("key", *cols)
+    few = among(rows, "key", large.select("key"), "left_anti").select("key", *cols)
     n = F.ceil(F.col("many") / hot).cast("int")
     split = join_counted(rows, large.withColumn("n", n), "key").withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("n")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
