@@ -226,26 +226,36 @@ def link(key: np.ndarray, f: np.ndarray, radius: int, compared: bool = False) ->
     return np.column_stack([moved, root[moved]])
 
 
-def across(key: np.ndarray, f: np.ndarray, kind: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """All pairs (i, j) of rows of equal, sorted keys and different kinds within the radius, one lag after the other."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(key)])
-    # groups of one kind have no such pair
-    mixed = np.flatnonzero([len(np.unique(kind[a: a + n])) > 1 for a, n in zip(start, size)])
-    mixed = mixed[np.argsort(-size[mixed], kind="stable")]
-    if not len(mixed):
-        return
-    rows = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in mixed])
-    sizes, planes = size[mixed], _planes(np.ascontiguousarray(f[rows]))
-    ends, mine, sort = np.cumsum(sizes), key[rows], kind[rows]
-    for lag in range(1, int(sizes[0])):
-        m = int(ends[int(np.searchsorted(-sizes, -lag, side="left")) - 1]) - lag
-        hit = close(planes, lag, (mine[:m] == mine[lag: m + lag]) & (sort[:m] != sort[lag: m + lag]), radius)
-        if len(hit):
-            yield np.column_stack([rows[hit], rows[hit + lag]])
-
+def across(key: np.ndarray, f: np.ndarray, kind: np.ndarray, radius: int, nearest: bool = False) -> Iterator[np.ndarray]:
+    """All pairs (i, j) of rows of equal, sorted keys and different kinds within the radius, or each row's nearest of them.
 
-def _links(keyed: DataFrame, words: int, radius: int, compared: bool = False, kind: str | None = None) -> DataFrame:
+    Every row outside its group's largest kind is compared with all rows of the group: few, once most are of one kind.
+    """
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    for a, z in zip(start, np.r_[start[1:], len(key)]):
+        names, mine = np.unique(kind[a:z], return_inverse=True)
+        if len(names) < 2:
+            continue
+        g = f[a:z]
+        small = mine != np.bincount(mine).argmax()
+        best, to = np.full(z - a, radius + 1), np.zeros(z - a, np.int64)
+        for i in np.flatnonzero(small):
+            far = np.bitwise_count(g ^ g[i]).sum(1)
+            # of two rows outside the largest kind, the later one finds the pair
+            j = np.flatnonzero((far <= radius) & (mine != mine[i]) & (~small | (np.arange(z - a) < i)))
+            if nearest:
+                closer = j[far[j] < best[j]]
+                best[closer], to[closer] = far[closer], i
+                if len(j) and far[j].min() < best[i]:
+                    best[i], to[i] = far[j].min(), j[far[j].argmin()]
+            elif len(j):
+                yield np.column_stack([j, np.full(len(j), i)]) + a
+        if nearest:
+            i = np.flatnonzero(best <= radius)
+            yield np.column_stack([i, to[i]]) + a
+
+
+def _links(keyed: DataFrame, words: int, radius: int, compared: bool = False, kind: str | None = None, nearest: bool = False) -> DataFrame:
     """Edges (a, b) between ids of rows with equal keys and close fingerprints: those of ``link``, or, with the name of a
     column of longs, those of ``across``."""
     cols = [f"f{i}" for i in range(words)] + ([kind] if kind else [])
@@ -257,7 +267,7 @@ def _links(keyed: DataFrame, words: int, radius: int, compared: bool = False, ki
         same = np.r_[False, key[1:] == key[:-1]]
         some = same | np.r_[same[1:], False]
         key, ids, f = key[some], ids[some], f[some]
-        for e in across(key, f[:, :words], f[:, words], radius) if kind else [link(key, f, radius, compared)]:
+        for e in across(key, f[:, :words], f[:, words], radius, nearest) if kind else [link(key, f, radius, compared)]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,8 +405,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20
     ``hot`` only bounds tasks: the rows of a key of more different fingerprints meet in pairs of blocks (all pairs still do).
 
     Pairs of ``sure`` bits or less are tried first, as many as it takes to connect them, and those that hold make classes.
-    Then all pairs of candidates of different classes are tried. Their number has no bound but the groups' sizes squared,
-    if very many documents are a little less similar than ``least``.
+    Then, twice, each document's nearest candidate of another class is tried, and at last all pairs of candidates that are
+    still of different classes. Their number has no bound but the groups' sizes squared, if very many documents are a little
+    less similar than ``least``.
 
     Null and empty texts are copies of each other. Rows of a null doc_id take no part. Rows that repeat an id are one
     document, one of whose texts is compared; extra columns play no part; an empty table gives no rows.
@@ -408,10 +419,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     tried = materialize(_links(_in_blocks(found, 4, F.col("band"), hot), 4, sure, compared=True).select(*pair).distinct())
     held = materialize(_similar(tried, docs, k, least))
-    classed = found.join(components(held), F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
-    others = _links(_in_blocks(classed, 4, F.col("band"), hot, "kind"), 4, radius, kind="kind").select(*pair).distinct()
-    others = materialize(others.join(tried, ["a", "b"], "left_anti"))
-    classes = components(held.unionByName(_similar(others, docs, k, least)))
+    for nearest in (True, True, False):
+        classed = found.join(components(held), F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
+        others = _links(_in_blocks(classed, 4, F.col("band"), hot, "kind"), 4, radius, kind="kind", nearest=nearest).select(*pair).distinct()
+        others = materialize(others.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(others)
+        held = held.unionByName(materialize(_similar(others, docs, k, least)))
+    classes = components(held)
     named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"), "many")
     out = join_counted(rows.select("id", *whole), materialize(named), whole)
     return out.select(F.col("id").alias("doc_id"), "component_id")
