@@ -35,6 +35,8 @@ def folder(spark, path, rows, vectors):
     clash(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).write.parquet(f"{path}/labels.parquet")
     bench = [(1, LONG[100:400]), (1, LONG[100:400]), (2, None), (None, SAME), (3, "words")] if rows else []
     clash(spark.createDataFrame(bench, "item_id long, text string")).write.parquet(f"{path}/benchmark.parquet")
+    talk = [(1, 0, "user", None), (1, 1, "assistant", "yes"), (None, None, None, None), (2, 0, "user", LONG), (2, 0, "user", LONG)] if rows else []
+    clash(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).write.parquet(f"{path}/conversations.parquet")
     clash(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
@@ -54,7 +56,7 @@ def empty(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_on_empty_tables(spark, empty, name):
     out = registry.queries()[name](spark, empty)
-    assert out.count() == 0 and out.columns[0] in ("doc_id", "query_id")
+    assert out.count() == (name == "op11_chat_format") and out.columns[0] in ("doc_id", "query_id", "conv_id", "lang", "word")  # op11 adds a conversation
 
 
 def test_pipeline_on_empty_tables(spark, empty):
@@ -191,3 +193,15 @@ def test_stages(spark, odd):
         docs = out
     got = corpus_pipeline.STAGES[-1][1](spark, docs, odd).collect()
     assert ids(got) == ids(docs.collect())
+
+
+def test_chat(spark, odd):
+    got = {r["conv_id"]: r for r in run(spark, odd, "op11_chat_format")}
+    assert set(got) == {1, 2, None, -7} and got[2]["n_turns"] == 2 and got[2]["loss_chars"] == 0 and got[1]["loss_chars"] == 3
+    assert got[2]["turns_sha256"] == hashlib.sha256(f"user\n{LONG}\nuser\n{LONG}\n".encode()).hexdigest()
+
+
+def test_divergence_and_variants(spark, odd):
+    got = run(spark, odd, "op12_source_divergence")
+    assert {(r["lang"], r["source"]) for r in got} == {("en", s) for s in ("", "a", "b", "c")} | {("", ""), ("", "a")} and all(r["value"] == 0 for r in got)
+    assert run(spark, odd, "op13_spelling_variants") == []

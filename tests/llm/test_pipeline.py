@@ -15,7 +15,7 @@ from tests.conftest import DATA
 def test_registered():
     found = __spark_entry__.queries()
     assert "pipeline" in found and set(registry.queries()) <= set(found)
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_stages(spark):
