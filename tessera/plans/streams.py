@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
+from tessera.plans.writer import VISIT, VISITED
 from tessera.streaming import live
 
 
@@ -27,3 +28,11 @@ def stream_windows(t):
 def stream_meter(t):
     events = live.source(t.spark, t.sf_dir, "events")
     return live.run(live.meter(events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor("value").alias("reading"), "ts")))
+
+
+@query("stream_transitions", f"{VISITED} WHERE tick < (SELECT max(tick) - 3600000 FROM event)")
+def stream_transitions(t):
+    """The visits' steps as a stream takes them: all events that the watermark has passed."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+    events = live.source(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), "ts", "value", k.alias("k"))
+    return live.run(live.follow(events, VISIT)).select(F.col("seq").alias("event_id"), "before", "after", "transition", "code", "guard")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators import writer as R
+from tessera.operators.machines import Machine, Step, follow
 from tessera.operators.temporal import positions
 from tessera.plans.registry import query
 
@@ -174,14 +175,38 @@ def progress_sequence(t):
     return t.event.select("event_id", F.col("user_id").alias("run"), F.row_number().over(W.partitionBy("user_id").orderBy("tick", "event_id")).alias("seq"))
 
 
-@query("state_transitions", """WITH s AS (SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was, event_type AS now FROM event), a(was, now) AS (VALUES ('signup', 'view'), ('view', 'click'), ('view', 'view'), ('click', 'purchase'), ('click', 'view'), ('error', 'view'), ('purchase', 'view'))
-    SELECT s.event_id, s.was, s.now, a.was IS NOT NULL OR s.was IS NULL AS allowed FROM s LEFT JOIN a ON a.was = s.was AND a.now = s.now""")
+#: A visit as a state machine: errors end it, if they are severe; what is bought has to be priced and affordable.
+VISIT = Machine(
+    "visit", "new", ("new", "open", "active", "paying", "failed", "closed"),
+    (
+        Step("new", "signup", "open"), Step("open", "view", "active"), Step("open", "click", "active"), Step("active", "view", "active"), Step("active", "click", "active"),
+        Step("active", "purchase", "paying", ("priced", "affordable")), Step("active", "purchase", "active", ("priced",), "declined"), Step("paying", "view", "active"), Step("paying", "purchase", "paying", ("affordable",)),
+        Step("open", "error", "failed", ("severe",)), Step("active", "error", "failed", ("severe",)), Step("paying", "error", "failed"), Step("failed", "signup", "open"), Step("failed", "error", "closed", ("severe", "priced")),
+    ),
+    {"priced": "k > 20", "affordable": "value < 150", "severe": "k % 3 = 0"},
+)
+VISITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type AS event, k, value, tick, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM event),
+    o AS (SELECT e.*, 'new' AS before, CASE WHEN event = 'signup' THEN 'visit/new--signup-->open' ELSE 'no-transition' END AS outcome FROM e WHERE n = 1
+      UNION ALL SELECT event_id, user_id, event, k, value, tick, n, before, CASE
+        WHEN before = 'new' AND event = 'signup' THEN 'visit/new--signup-->open'
+        WHEN before IN ('open', 'active', 'paying') AND event = 'view' OR before IN ('open', 'active') AND event = 'click' THEN 'visit/' || before || '--' || event || '-->active'
+        WHEN before = 'active' AND event = 'purchase' THEN CASE WHEN k <= 20 THEN 'priced' WHEN value < 150 THEN 'visit/active--purchase-->paying' ELSE 'visit/active--purchase-declined-->active' END
+        WHEN before = 'paying' AND event = 'purchase' THEN CASE WHEN value < 150 THEN 'visit/paying--purchase-->paying' ELSE 'affordable' END
+        WHEN before IN ('open', 'active') AND event = 'error' THEN CASE WHEN k % 3 = 0 THEN 'visit/' || before || '--error-->failed' ELSE 'severe' END
+        WHEN before = 'paying' AND event = 'error' THEN 'visit/paying--error-->failed'
+        WHEN before = 'failed' AND event = 'signup' THEN 'visit/failed--signup-->open'
+        WHEN before = 'failed' AND event = 'error' THEN CASE WHEN k % 3 <> 0 THEN 'severe' WHEN k <= 20 THEN 'priced' ELSE 'visit/failed--error-->closed' END
+        ELSE 'no-transition' END
+      FROM (SELECT e.*, CASE WHEN o.outcome LIKE 'visit/%' THEN split_part(o.outcome, '-->', 2) ELSE o.before END AS before FROM o JOIN e ON e.user_id = o.user_id AND e.n = o.n + 1) x)
+    SELECT event_id, before, CASE WHEN outcome LIKE 'visit/%' THEN split_part(outcome, '-->', 2) ELSE before END AS after, CASE WHEN outcome LIKE 'visit/%' THEN outcome END AS transition,
+      CASE WHEN outcome = 'no-transition' THEN 'visit/no-transition' WHEN outcome NOT LIKE 'visit/%' THEN 'visit/guard-refused' END AS code, CASE WHEN outcome NOT LIKE 'visit/%' AND outcome <> 'no-transition' THEN outcome END AS guard FROM o"""
+
+
+@query("state_transitions", VISITED)
 def state_transitions(t):
-    table = [("signup", "view"), ("view", "click"), ("view", "view"), ("click", "purchase"), ("click", "view"), ("error", "view"), ("purchase", "view")]
-    was = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = t.event.select("event_id", was.alias("was"), F.col("event_type").alias("now"))
-    legal = F.concat_ws(">", "was", "now").isin(*[f"{a}>{b}" for a, b in table])
-    return rows.withColumn("allowed", F.col("was").isNull() | legal)
+    """Every event of a user as a step of the visit: the state before and after it, and the transition or why it was refused."""
+    rows = follow(VISIT, t.event.select("event_id", "user_id", "event_type", "k", "value"), "user_id", ["event_id"], "event_type")
+    return rows.select("event_id", "before", "after", "transition", "code", "guard")
 
 
 @query("latest_run", "SELECT session, seq, run FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tick DESC, seq DESC) AS rn FROM usage) x WHERE rn = 1")

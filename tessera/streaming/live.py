@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
+from tessera.operators.machines import Machine
 from tessera.sources.files import SPAN, spans_of
 
 
@@ -97,3 +98,37 @@ def meter(readings: DataFrame, late: str = "1 hour") -> DataFrame:
     timed = readings.select("session", "seq", "reading", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     held = "last long, ticks array<long>, seqs array<long>, readings array<long>"
     return timed.groupBy("session").applyInPandasWithState(step, "session long, seq long, increment long", held, "append", "EventTimeTimeout")
+
+
+def follow(events: DataFrame, machine: Machine, late: str = "1 hour") -> DataFrame:
+    """(subject, seq, before, after, transition, code, guard): ``machines.follow`` over a stream of (subject, seq, event, ts) and
+    the columns that the guards read.
+
+    Rows may come in any order within ``late`` of the newest time; they wait in the state until the watermark has passed them,
+    and are then taken by (ts, seq). The state is the machine's state and the waiting rows.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, ticks, seqs, kinds, helds = state.get if state.exists else (machine.initial, [], [], [], [])
+        waiting = list(zip(ticks, seqs, kinds, helds))
+        if not state.hasTimedOut:
+            for f in frames:
+                waiting += zip((f["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist(), f["seq"].tolist(), f["event"].tolist(), f["held"].tolist())
+        waiting.sort(key=lambda w: w[:2])
+        passed = state.getCurrentWatermarkMs()
+        n = sum(w[0] < passed for w in waiting)
+        out = []
+        for _, seq, event, held in waiting[:n]:
+            after, *more = machine.step(now, event, frozenset(held.split(",")))
+            out.append((key[0], seq, now, after, *more))
+            now = after
+        left = waiting[n:]
+        state.update((now, *(list(x) for x in zip(*left))) if left else (now, [], [], [], []))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0], passed + 1))
+        yield pd.DataFrame(out, columns=["subject", "seq", "before", "after", "transition", "code", "guard"])
+
+    timed = events.select("subject", "seq", "event", F.array_join(machine.held(), ",").alias("held"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    kept = "now string, ticks array<long>, seqs array<long>, kinds array<string>, helds array<string>"
+    out = "subject long, seq long, before string, after string, transition string, code string, guard string"
+    return timed.groupBy("subject").applyInPandasWithState(step, out, kept, "append", "EventTimeTimeout")
