@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import connections as C
 from tessera.operators import graph as G
+from tessera.operators import history as H
 from tessera.plans.registry import query
 
 #: Containment from the outside in.
@@ -122,17 +123,20 @@ def rename_chain(t):
 
 @query(
     "file_history",
-    f"{CHAIN}, names AS (SELECT src AS file, dst AS name FROM chain UNION ALL SELECT p_partkey, p_partkey FROM part) SELECT n.file, count(DISTINCT c.commit_id) AS commits, count(DISTINCT c.author) AS authors, min(c.tick) AS created, max(c.tick) AS modified FROM names n JOIN change c ON c.file = n.name WHERE n.file NOT IN (SELECT dst FROM renamed) GROUP BY n.file",
+    f"""{CHAIN}, names AS (SELECT src AS file, dst AS name FROM chain UNION ALL SELECT p_partkey, p_partkey FROM part), x AS (SELECT c.repository, n.file, c.commit_id, c.committed_at, c.author, c.walk FROM names n JOIN change h ON h.file = n.name JOIN commit c ON c.commit_id = h.commit_id WHERE n.file NOT IN (SELECT dst FROM renamed)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY repository, file ORDER BY walk DESC, commit_id) AS deep, row_number() OVER (PARTITION BY repository, file ORDER BY walk, commit_id) AS shallow FROM x)
+    SELECT repository, file, count(DISTINCT commit_id) AS commits, count(DISTINCT author) AS authors, max(CASE WHEN deep = 1 THEN commit_id END) AS created_in, max(CASE WHEN deep = 1 THEN committed_at END) AS created_at, max(CASE WHEN deep = 1 THEN author END) AS created_by,
+      max(CASE WHEN shallow = 1 THEN commit_id END) AS modified_in, max(CASE WHEN shallow = 1 THEN committed_at END) AS modified_at, max(CASE WHEN shallow = 1 THEN author END) AS modified_by FROM r GROUP BY repository, file""",
 )
 def file_history(t):
-    """One row for every file that still bears its name: the changes of all its names, gathered under the chain's root."""
+    """One row for every file that still bears its name, by repository: the changes of all its names, gathered under the
+    chain's root, created by the deepest commit of the walk and modified by the shallowest."""
     names = t.part.select(F.col("p_partkey").alias("name"))
     rooted = names.join(G.chains(t.renamed).select(F.col("id").alias("name"), "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"))
     current = rooted.join(t.renamed.select(F.col("dst").alias("name")), "name", "left_anti").select("root", F.col("name").alias("file"))
-    rows = t.change.select(F.col("file").alias("name"), "commit_id", "author", "tick").join(rooted, "name").groupBy("root").agg(
-        F.count_distinct("commit_id").alias("commits"), F.count_distinct("author").alias("authors"), F.min("tick").alias("created"), F.max("tick").alias("modified")
-    )
-    return rows.join(current, "root").select("file", "commits", "authors", "created", "modified")
+    changes = t.change.select("file", "commit_id").join(t.commit, "commit_id")
+    dates = H.file_dates(changes, rooted.withColumnRenamed("name", "file"))
+    return dates.join(current, "root").drop("root")
 
 
 @query("dependency_lists", "SELECT id, max(df) AS derives_from, max(db) AS derived_by FROM (SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS df, NULL AS db FROM edge WHERE rel IN ('in_region', 'in_nation') GROUP BY src UNION ALL SELECT dst, NULL, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM edge WHERE rel IN ('in_region', 'in_nation') GROUP BY dst) x GROUP BY id")

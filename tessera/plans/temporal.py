@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.operators import history as H
 from tessera.operators import temporal as T
 from tessera.plans.registry import query
 
@@ -74,11 +75,33 @@ _store("store_version", None)
 _store("store_version_late", V + 3_600_000)
 
 
-@query("path_periods", """WITH c AS (SELECT DISTINCT file, tick, commit_id, flag FROM change WHERE flag IN ('A', 'R')), b AS (SELECT *, lag(flag) OVER (PARTITION BY file ORDER BY tick, commit_id, flag) AS before FROM c),
-    u AS (SELECT * FROM b WHERE (flag = 'A' AND (before IS NULL OR before = 'R')) OR (flag = 'R' AND before = 'A')), l AS (SELECT *, lead(tick) OVER (PARTITION BY file ORDER BY tick, commit_id, flag) AS closed FROM u) SELECT file, tick AS opened, closed FROM l WHERE flag = 'A'""")
+@query(
+    "path_periods",
+    """WITH RECURSIVE pin AS (SELECT repository, max(commit_id) AS pin FROM commit GROUP BY repository), chain AS (SELECT pin AS commit_id FROM pin UNION ALL SELECT p.parent FROM chain JOIN parent p ON p.commit_id = chain.commit_id AND p.place = 0),
+    tree AS (SELECT DISTINCT c.repository, x.file FROM change x JOIN commit c ON c.commit_id = x.commit_id JOIN part ON p_partkey = x.file WHERE p_size % 3 > 0),
+    x AS (SELECT c.repository, c.commit_id, c.committed_at, c.position, x.file, x.removed AS place, r.dst AS previous, c.commit_id IN (SELECT commit_id FROM chain) AS straight,
+      CASE WHEN x.flag = 'A' THEN 'added' WHEN x.flag = 'R' THEN 'deleted' WHEN x.removed > 3 AND r.dst IS NOT NULL THEN 'renamed' ELSE 'modified' END AS change FROM change x JOIN commit c ON c.commit_id = x.commit_id LEFT JOIN renamed r ON r.src = x.file),
+    m AS (SELECT repository, file, position * 10 + place AS pos, commit_id, committed_at, straight, change IN ('added', 'renamed') AS opens FROM x WHERE change <> 'modified' UNION ALL SELECT repository, previous, position * 10 + place, commit_id, committed_at, straight, false FROM x WHERE change = 'renamed'),
+    p AS (SELECT repository, file, w, max(pos) FILTER (WHERE opens) AS o, max(pos) FILTER (WHERE NOT opens) AS e, arg_max(committed_at, pos) FILTER (WHERE opens) AS added_at, arg_max(commit_id, pos) FILTER (WHERE opens) AS added_in, arg_max(committed_at, pos) FILTER (WHERE NOT opens) AS ended_at, arg_max(commit_id, pos) FILTER (WHERE NOT opens) AS ended_in
+      FROM (SELECT m.*, 'full' AS w FROM m UNION ALL SELECT m.*, 'straight' FROM m WHERE straight) y GROUP BY 1, 2, 3),
+    d AS (SELECT repository, file, w, added_at, added_in, CASE WHEN o IS NULL OR e >= o THEN ended_at END AS removed_at, CASE WHEN o IS NULL OR e >= o THEN ended_in END AS removed_in FROM p),
+    f AS (SELECT repository, file, count(DISTINCT commit_id) AS commit_count, max(committed_at) AS last_change FROM x GROUP BY 1, 2),
+    k AS (SELECT repository, file FROM f UNION SELECT repository, file FROM d UNION SELECT repository, file FROM tree),
+    h AS (SELECT k.*, t.file IS NULL AS gone, CASE WHEN t.file IS NULL AND s.removed_at IS NULL THEN u ELSE s END AS h FROM k LEFT JOIN tree t ON t.repository = k.repository AND t.file = k.file LEFT JOIN d s ON s.repository = k.repository AND s.file = k.file AND s.w = 'straight' LEFT JOIN d u ON u.repository = k.repository AND u.file = k.file AND u.w = 'full')
+    SELECT h.repository, h.file, coalesce(f.commit_count, 0) AS commit_count, f.last_change, h.h.added_at AS added_at, h.h.added_in AS added_in, CASE WHEN gone AND h.h.w IS NOT NULL AND h.h.removed_at IS NULL THEN c.committed_at ELSE h.h.removed_at END AS removed_at, CASE WHEN gone AND h.h.w IS NOT NULL AND h.h.removed_at IS NULL THEN pin.pin ELSE h.h.removed_in END AS removed_in
+    FROM h LEFT JOIN f ON f.repository = h.repository AND f.file = h.file JOIN pin ON pin.repository = h.repository JOIN commit c ON c.commit_id = pin.pin""",
+)
 def path_periods(t):
-    changes = t.change.select("file", "tick", "commit_id", "flag").distinct()
-    return T.periods(changes, "file", ["tick", "commit_id", "flag"], "flag", "A", "R")
+    """Files by repository: when they came and went along the first parents of the newest commit. Files of two sizes in three
+    are taken to stand in its tree; late lines of a commit rename a file from the part it replaces."""
+    commits = t.commit.drop("author")
+    pins = commits.groupBy("repository").agg(F.max("commit_id").alias("commit_id"))
+    moved = t.renamed.select(F.col("src").alias("path"), F.col("dst").alias("previous"))
+    kind = F.when(F.col("flag") == "A", "added").when(F.col("flag") == "R", "deleted").when((F.col("removed") > 3) & F.col("previous").isNotNull(), "renamed").otherwise("modified")
+    changes = t.change.select("commit_id", F.col("file").alias("path"), "flag", "removed").join(moved, "path", "left").join(commits.select("repository", "commit_id"), "commit_id")
+    changes = changes.select("repository", "commit_id", "path", kind.alias("change"), "previous", F.col("removed").alias("place"))
+    tree = changes.select("repository", "path").join(t.part.where("p_size % 3 > 0").select(F.col("p_partkey").alias("path")), "path")
+    return H.path_periods(changes, commits, t.parent, pins, tree).withColumnRenamed("path", "file")
 
 
 @query("journal_replay", """WITH j AS (SELECT user_id * 10 + k % 10 AS id, event_id AS seq, event_type FROM event), l AS (SELECT id, count(*) AS events, max(CASE WHEN event_type <> 'click' THEN seq END) AS since, max(CASE WHEN event_type = 'click' THEN seq END) AS evidence FROM j GROUP BY id)

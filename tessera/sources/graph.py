@@ -70,6 +70,12 @@ RELATIONS = {
             p_brand AS repository, CAST(p_size AS BIGINT) * 40 AS lines, CAST(FLOOR(p_retailprice) AS BIGINT) AS bytes FROM {part}""",
     "change": """
         SELECT l_partkey AS file, l_orderkey AS commit_id, MS(l_shipdate) AS tick, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS added, CAST(l_linenumber AS BIGINT) AS removed, l_suppkey AS author FROM {lineitem}""",
+    # histories of 500 commits a repository; every tenth commit merges a side branch of two, and dates don't follow ancestry
+    "commit": """
+        SELECT CAST(FLOOR(o_orderkey / 500) AS BIGINT) AS repository, o_orderkey AS commit_id, MS(o_orderdate) AS committed_at, o_orderkey % 500 AS position, 499 - o_orderkey % 500 AS walk, o_custkey AS author FROM {orders}""",
+    "parent": """
+        SELECT o_orderkey AS commit_id, 0 AS place, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 3 ELSE o_orderkey - 1 END AS parent FROM {orders} WHERE o_orderkey % 500 > 0
+        UNION ALL SELECT o_orderkey, 1, o_orderkey - 1 FROM {orders} WHERE o_orderkey % 10 = 9""",
 }
 
 
