@@ -6,17 +6,20 @@ turn it into one contribution a pair of sources, and sums of these combine on th
 
 from __future__ import annotations
 
-import string
+import collections
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_counted, materialize
 
-# Fixed value: a term is a run of characters that are neither ASCII controls, digits, spaces nor signs.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-ONE = 1_000_000_000
+#: What each byte of a text becomes: terms are runs of ASCII letters, taken in lower case, and of whatever isn't ASCII.
+LETTERS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+#: Terms that a task gathers before it hands their counts on.
+HELD = 200_000
 
 
 def share(count: Column, of: Column) -> Column:
@@ -34,18 +37,41 @@ def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, str], tuple[collections.Counter, collections.Counter]] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms, pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"]
+            )
+
+    for b in batches:
+        for lang, source, text in zip(*[c.to_pylist() for c in b.columns]):
+            n, docs = held.setdefault((lang, source), (collections.Counter(), collections.Counter()))
+            terms = text.translate(LETTERS).split()
+            size -= len(n)
+            n.update(terms)
+            docs.update(set(terms))
+            size += len(n)
+            if size >= HELD:
+                yield from flush()
+                held, size = {}, 0
+    yield from flush()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that hold the term.
 
-    A document's terms are sorted, so that the first of equal ones counts for the document: one pass over the texts, and
-    nothing but sums by (lang, source, term) is shuffled.
+    One pass over the texts as bytes: all that isn't of a term becomes a space, and A-Z lower case. Counts of some documents are
+    gathered in the task and handed on, some hundred thousand at a time; sums by (lang, source, term) are all that is shuffled.
     """
-    lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.array_sort(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("terms"))
-    before = F.concat(F.array(F.lit("")), F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
-    pairs = texts.where(F.size("terms") > 0).select("lang", "source", F.inline(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))))
-    first = F.when(F.col("term") != F.col("before"), F.lit(1).cast("long"))
-    return pairs.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count(first).alias("docs"))
+    empty = F.lit("")
+    texts = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).cast("binary").alias("text"))
+    counts = texts.mapInArrow(_terms, "lang string, source string, term string, n long, docs long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def source_divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
@@ -75,13 +101,19 @@ def source_divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFr
     kept = vectors.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     langs = materialize(sources.join(kept, "lang", "left").withColumn("v", F.coalesce("v", zero)).withColumn("many", F.col("v")))
 
-    wide = join_counted(vectors.withColumn("held", F.map_from_entries("cells")).drop("cells"), langs, "lang")
-    cell = lambda s: F.coalesce(F.try_element_at("held", s["source"]), zero)
-    p = lambda s: share(cell(s) + 2, s["n"] + F.col("v") * 2) + 1
-    wide = wide.select("lang", "term", (share(F.col("n") + 2, F.col("total") + F.col("v") * 2) + 1).alias("q"), "held", F.transform("sources", lambda s: s["source"]).alias("names"), F.transform("sources", p).alias("ps"))
+    # the wide vectors: counts and shares by the place of the source. Each expression is used once: what a lambda or a filter
+    # mentions again would be computed again
+    wide = join_counted(vectors, langs, "lang")
+    counted = lambda held: F.transform("sources", lambda s: F.struct(F.coalesce(F.try_element_at(held, s["source"]), zero).alias("n"), (s["n"] + F.col("v") * 2).alias("of")))
+    wide = wide.select(
+        "lang", "term", (share(F.col("n") + 2, F.col("total") + F.col("v") * 2) + 1).alias("q"),
+        F.element_at(F.transform(F.array(F.map_from_entries("cells")), counted), 1).alias("counts"),
+    )
+    shares = F.transform("counts", lambda c: F.struct(c["n"].alias("n"), (share(c["n"] + 2, c["of"]) + 1).alias("p")))
+    wide = materialize(wide.select("lang", "term", "q", shares.alias("vector")))
 
     # contributions of a term: each source with those after it
-    each = wide.select("lang", "ps", F.posexplode("ps").alias("i", "p"))
+    each = wide.select("lang", F.col("vector.p").alias("ps"), F.posexplode("vector.p").alias("i", "p"))
     later = F.slice("ps", F.col("i") + 2, F.size("ps"))
     parts = each.select("lang", "i", F.inline(F.transform(later, lambda q, k: F.struct((F.col("i") + 1 + k).alias("j"), distance(F.col("p"), q).alias("f")))))
     sums = parts.groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))
@@ -94,7 +126,10 @@ def source_divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFr
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = pairs.select("lang", "value", F.inline(both)).select("lang", "source", F.lit("pair").alias("part"), "item", "value", rank.alias("rank"))
 
-    used = wide.select("lang", "term", "q", F.inline(F.filter(F.transform(F.arrays_zip("names", "ps"), lambda x: F.struct(x["names"].alias("source"), x["ps"].alias("p"), F.map_contains_key("held", x["names"]).alias("here"))), lambda x: x["here"] & (x["p"] > F.col("q")))))
-    terms = used.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
-    terms = terms.withColumn("rank", rank).where(F.col("rank") <= top)
+    used = wide.select("lang", "term", "q", F.posexplode("vector").alias("i", "x")).where((F.col("x.n") > 0) & (F.col("x.p") > F.col("q")))
+    terms = used.select("lang", "i", F.col("term").alias("item"), distance(F.col("x.p"), F.col("q")).alias("value"))
+    first = F.row_number().over(W.partitionBy("lang", "i").orderBy(F.desc("value"), "item"))
+    place = langs.select("lang", F.posexplode("sources.source").alias("i", "source"))
+    terms = terms.withColumn("rank", first).where(F.col("rank") <= top).join(place, ["lang", "i"])
+    terms = terms.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)
