@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions.lineage import cut
 from tessera.operators.connections import grouped_top
+from tessera.operators.cycles import components
 from tessera.operators.temporal import holds
 
 
@@ -156,17 +157,17 @@ def chain_faults(states: DataFrame, subject: str) -> DataFrame:
     )
 
 
-def starved(consumes: DataFrame, produces: DataFrame, longest: int = 64) -> DataFrame:
+def starved(consumes: DataFrame, produces: DataFrame) -> DataFrame:
     """(stage, steps, path): stages that wait for a capability which no stage provides, with the shortest way to it.
 
     ``consumes`` and ``produces``: (stage, capability). A capability whose producers all starve is missing as well; of several
-    ways the smallest by name. ``path`` names capabilities from the stage's own to the missing one.
+    ways the smallest by name. ``path`` names capabilities from the stage's own to the missing one. As many rounds as the
+    longest of these ways: a round ends the search only when it finds no further stage.
     """
     missing = cut(consumes.select("capability").distinct().join(produces, "capability", "left_anti").select("capability", F.col("capability").cast("string").alias("path")))
-    found, gone = None, missing.select("capability")
-    for step in range(1, longest + 1):
-        if missing.isEmpty():
-            return found if found is not None else consumes.select("stage", F.lit(0).alias("steps"), F.lit("").alias("path")).where("false")
+    found, gone, step = None, missing.select("capability"), 0
+    while not missing.isEmpty():
+        step += 1
         waits = consumes.join(missing, "capability").groupBy("stage").agg(F.min("path").alias("path")).withColumn("steps", F.lit(step))
         waits = cut(waits.join(found.select("stage"), "stage", "left_anti") if found is not None else waits)
         found = cut(waits if found is None else found.unionByName(waits))
@@ -175,7 +176,7 @@ def starved(consumes: DataFrame, produces: DataFrame, longest: int = 64) -> Data
         lost = produces.join(waits, "stage").join(fed, "capability", "left_anti").join(gone, "capability", "left_anti")
         missing = cut(lost.groupBy("capability").agg(F.min(F.concat_ws(">", F.col("capability").cast("string"), "path")).alias("path")))
         gone = cut(gone.unionByName(missing.select("capability")))
-    return found
+    return found if found is not None else consumes.select("stage", F.lit(0).alias("steps"), F.lit("").alias("path")).where("false")
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -193,43 +194,33 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Nodes without edges in or out are peeled off first; the closure is that of the rest."""
-    left = cut(edges.select("src", "dst").distinct())
-    n = left.count()
-    while n:
-        heads, tails = left.select(F.col("src").alias("dst")).distinct(), left.select(F.col("dst").alias("src")).distinct()
-        left = cut(left.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return closure(left).where("src = dst").select(F.col("src").alias("id"))
+    """Nodes that reach themselves: those of components of several nodes, and those with an edge to themselves."""
+    named = cut(components(edges))
+    many = named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named.join(many, "component", "left_semi").select("id").unionByName(edges.where("src = dst").select(F.col("src").alias("id"))).distinct()
 
 
-def first_cycle(edges: DataFrame, longest: int = 1_000) -> DataFrame:
+def first_cycle(edges: DataFrame) -> DataFrame:
     """(place, id): the shortest cycle through the smallest node that is on one, as a path from it back to it.
 
-    Of several, the one that takes the smaller node where they part. The search goes along edges between nodes on cycles,
-    one distance at a time, and keeps the smallest path to each node.
+    Of several, the one that takes the smaller node where they part. The search goes along the edges of that node's component,
+    one distance at a time, and keeps the smallest path to each node; it ends when it is back, as it must within as many rounds
+    as the component has nodes.
     """
     nodes = cut(on_cycles(edges))
     start = nodes.agg(F.min("id")).first()[0]
-    none = nodes.select(F.lit(0).alias("place"), "id").where("false")
     if start is None:
-        return none
+        return nodes.select(F.lit(0).alias("place"), "id").where("false")
     inner = cut(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
     front = inner.where(F.col("src") == start).groupBy("dst").agg(F.min(F.array("src", "dst")).alias("path"))
     seen = front.select("dst")
-    for _ in range(longest):
+    while True:
         closed = front.where(F.col("dst") == start).select(F.posexplode("path").alias("place", "id"))
         if not closed.isEmpty():
             return closed
         front = front.select(F.col("dst").alias("src"), "path").join(inner, "src").groupBy("dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
         front = cut(front.join(seen, "dst", "left_anti"))
-        if front.isEmpty():
-            return none
         seen = cut(seen.unionByName(front.select("dst")))
-    raise ValueError(f"no cycle of {longest} nodes or fewer through {start}")
 
 
 def ancestors(parents: DataFrame, shown: DataFrame, depth: int) -> DataFrame:
@@ -257,13 +248,15 @@ def view(elements: DataFrame, relations: DataFrame, scope: object, depth: int, c
     Shown are the elements (id, parent) inside the scope, down to ``depth`` levels; ends lie on their nearest shown ancestor.
     With ``context``, relations across the boundary are drawn too: their outer end lies on its ancestor (or itself) whose parent
     is the scope's parent or one of its ancestors, or which has no parent. Pairs are merged, relations within one box dropped.
-    Trees are at most ``levels`` deep.
+    A tree deeper than ``levels`` fails the query rather than lift an end to the wrong box.
     """
     up = elements.select(F.col("id").alias("at"), F.col("parent").alias("up"))
     # each element with its ancestors, itself first
     rows = elements.select("id", F.col("id").alias("at"), F.array("id").alias("line"))
     for _ in range(levels):
         rows = rows.join(up, "at", "left").select("id", F.col("up").alias("at"), F.when(F.col("up").isNotNull(), F.array_append("line", F.col("up"))).otherwise(F.col("line")).alias("line"))
+    deeper = rows.join(up, "at", "left").withColumn("line", F.when(F.col("up").isNull(), F.col("line")).otherwise(F.raise_error(F.lit(f"an element lies deeper than {levels} levels"))))
+    rows = deeper.select("id", "line")
     line = F.col("line")
     own = rows.where(F.col("id") == scope).select(F.slice(line, 2, levels + 1).alias("above"))  # one row
     place = F.array_position(line, F.lit(scope)).cast("int")  # 0 outside, 1 the scope itself

@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.ranges import dealt, running
+
 
 def islands(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end) of the merged intervals per key; touching ones merge, empty ones are dropped."""
-    by = W.partitionBy(key).orderBy(start, end)
-    seen = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.where(F.col(start) < F.col(end)).select(key, start, end, F.when(seen.isNull() | (F.col(start) > seen), 1).otherwise(0).alias("new"))
-    numbered = marked.withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy(key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("island")
+    """(key, start, end, before) of the merged intervals per key; touching ones merge, empty ones are dropped. ``before`` is the
+    end of the key's island before, null for the first.
+
+    An interval begins an island if it starts after all earlier ones of its key have ended. The latest end so far and the
+    island's start are carried over ranges, so that no key is one task's.
+    """
+    order = [F.col(start), F.col(end)]
+    some = dealt(rows.where(F.col(start) < F.col(end)).select(key, start, end), key, order)
+    seen = running(some, key, order, "__seen", F.col(end), own=False)
+    begins = F.col("__seen").isNull() | (F.col(start) > F.col("__seen"))
+    marked = seen.withColumn("__begin", F.when(begins, F.col(start)))
+    # starts only grow, so the newest beginning is the largest
+    placed = running(marked, key, order, "__island", F.col("__begin"))
+    return placed.groupBy(key, "__island").agg(F.max(end).alias("__end"), F.max(F.when(F.col("__begin").isNotNull(), F.col("__seen"))).alias("before")).select(key, F.col("__island").alias("start"), F.col("__end").alias("end"), "before")
 
 
 def covered(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -38,9 +48,8 @@ def uncovered(spans: DataFrame) -> DataFrame:
     whole = placed.where("root AND started = first AND ended = last").groupBy("trace").agg(F.min("span").alias("run"))
     others = placed.join(whole, "trace", "left").where("run IS NULL OR span <> run")
     merged = islands(others.select("trace", "started", "ended"), "trace", "started", "ended")
-    before = F.lag("end").over(W.partitionBy("trace").orderBy("start"))
     bounds = ends.select("trace", "begin", F.col("end").alias("finish"))
-    inner = merged.withColumn("before", before).join(bounds, "trace").select("trace", F.coalesce("before", "begin").alias("gap_start"), F.col("start").alias("gap_end"))
+    inner = merged.join(bounds, "trace").select("trace", F.coalesce("before", "begin").alias("gap_start"), F.col("start").alias("gap_end"))
     tail = bounds.join(merged.groupBy("trace").agg(F.max("end").alias("covered")), "trace", "left").select("trace", F.coalesce("covered", "begin").alias("gap_start"), F.col("finish").alias("gap_end"))
     return inner.unionByName(tail).where("gap_end > gap_start")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.lineage import cut
+from tessera.operators.ranges import dealt, running
 
 
 def holds(start: str, end: str, at: int | Column) -> Column:
@@ -24,9 +25,33 @@ def as_of(assertions: DataFrame, valid: int, known: int, source: str | None = No
 
 
 def as_of_join(probes: DataFrame, assertions: DataFrame, key: str, at: str) -> DataFrame:
-    """What held for each probe's entity at the probe's time: an equi-join with a range residual."""
-    a = assertions.select(F.col("entity_id").alias(key), "content", "valid_from", "valid_to")
-    return probes.join(a, key).where(holds("valid_from", "valid_to", F.col(at))).drop("valid_from", "valid_to")
+    """Probes with the ``content`` of every version (entity_id, content, valid_from, valid_to) that held for their key at their
+    time; a probe for which none held gives no row, one for which several held (versions may overlap) a row each.
+
+    Probes and versions go by in one stream by (key, time), and the last version that began is carried along, also over ranges
+    of one key: the cost is that of sorting both. Versions that a later one of their key overlaps may still hold when they are no
+    longer the last; these alone meet the probes by key, and only probes of keys that have such versions.
+    """
+    columns = probes.columns
+    begins, ends = F.col("valid_from"), F.col("valid_to")
+    versions = assertions.where(begins.isNotNull() & (ends.isNull() | (ends > begins))).select(F.col("entity_id").alias("__key"), begins.alias("__time"), F.struct("valid_from", "valid_to", "content", F.expr("uuid()").alias("row")).alias("__version"))
+    asked = probes.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__key"), F.col(at).alias("__time"), F.struct(*columns).alias("__probe"))
+    stream = versions.unionByName(asked, allowMissingColumns=True)
+    # a version that begins at a probe's moment goes before it
+    order = [F.col("__time"), F.col("__probe").isNotNull(), F.col("__version.valid_to").asc_nulls_last(), F.col("__version.row")]
+    last = running(dealt(stream, "__key", order), "__key", order, "__last", F.col("__version"), "last")
+    last = running(last, "__key", order, "__begun", F.col("__version"), "last", own=False)
+    at_probe = last.where("__probe IS NOT NULL AND __last IS NOT NULL")
+    held = (F.col("__last.valid_to").isNull() | (F.col("__last.valid_to") > F.col("__time")))
+    out = at_probe.where(held).select("__probe.*", F.col("__last.content").alias("content"))
+    # versions whose end lies beyond the next one's beginning
+    over = last.where("__version IS NOT NULL AND __begun IS NOT NULL").select("__key", F.col("__time").alias("next"), "__begun")
+    long_ = cut(over.where(F.col("__begun.valid_to").isNull() | (F.col("__begun.valid_to") > F.col("next"))).select("__key", "next", F.col("__begun").alias("__long")))
+    if long_.isEmpty():
+        return out
+    more = at_probe.select("__key", "__time", "__probe").join(long_, "__key")
+    more = more.where((F.col("__time") >= F.col("next")) & (F.col("__long.valid_to").isNull() | (F.col("__long.valid_to") > F.col("__time"))))
+    return out.unionByName(more.select("__probe.*", F.col("__long.content").alias("content")))
 
 
 def state_at(assertions: DataFrame, at: int, commit: str) -> DataFrame:
@@ -114,12 +139,12 @@ def admit(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def recorded_times(arrivals: DataFrame, source: str, seq: str, clock: str) -> DataFrame:
     """``arrivals`` with ``recorded``: the clock's time, or 1 ms past the source's previous recorded time where the clock
-    hasn't moved beyond it. Recorded time only ever increases within a source: a running maximum of (time - position)."""
-    by = W.partitionBy(source).orderBy(seq)
-    n = F.row_number().over(by).cast("long")
-    rows = arrivals.withColumn("__n", n)
-    ahead = F.max(F.col(clock) - F.col("__n")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("recorded", ahead + F.col("__n")).drop("__n")
+    hasn't moved beyond it. Recorded time only ever increases within a source: a running maximum of (time - position), plus the
+    position. Sources are few: place and maximum are carried over ranges of their arrivals."""
+    order = [F.col(seq)]
+    placed = running(dealt(arrivals, source, order), source, order, "__n", F.lit(1).cast("long"), "sum")
+    ahead = running(placed, source, order, "__ahead", F.col(clock) - F.col("__n"))
+    return ahead.withColumn("recorded", F.col("__ahead") + F.col("__n")).select(*arrivals.columns, "recorded")
 
 
 def positions(rows: DataFrame, group: str, order: list[Column], names: list[str], name: str = "position") -> DataFrame:

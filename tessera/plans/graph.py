@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import connections as C
+from tessera.operators import cycles as C_
 from tessera.operators import graph as G
 from tessera.operators import history as H
 from tessera.plans.registry import query
@@ -173,6 +174,21 @@ def dependency_cycles(t):
     return G.on_cycles(t.part.select(k.alias("src"), F.when(k % 10 < 3, k - k % 10 + (k % 10 + 1) % 3).otherwise(k - 1).alias("dst")))
 
 
+LINKS = """l AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 10 < 3 THEN p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 3 ELSE p_partkey - 1 END AS b FROM part
+    UNION SELECT p_partkey, p_partkey + 10 FROM part WHERE p_size % 5 = 0 AND p_partkey % 100 < 90 AND p_partkey + 10 IN (SELECT p_partkey FROM part) UNION SELECT p_partkey, p_partkey - 10 FROM part WHERE p_size % 7 = 0 AND p_partkey % 100 >= 10)"""
+
+
+@query("dependency_components", f"WITH RECURSIVE {LINKS}, c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b) SELECT n.a AS id, least(n.a, min(c.b)) AS component FROM (SELECT DISTINCT a FROM l) n LEFT JOIN c ON c.a = n.a AND EXISTS (SELECT 1 FROM c d WHERE d.a = c.b AND d.b = c.a) GROUP BY n.a")
+def dependency_components(t):
+    """Groups of parts that depend on one another: rings of three, chains into them, and links to the same place ten before or
+    after, within each hundred."""
+    k = F.col("p_partkey")
+    ring = t.part.select(k.alias("src"), F.when(k % 10 < 3, k - k % 10 + (k % 10 + 1) % 3).otherwise(k - 1).alias("dst"))
+    on = t.part.where((F.col("p_size") % 5 == 0) & (k % 100 < 90)).select(k.alias("src"), (k + 10).alias("dst")).join(t.part.select(k.alias("dst")), "dst", "left_semi")
+    back = t.part.where((F.col("p_size") % 7 == 0) & (k % 100 >= 10)).select(k.alias("src"), (k - 10).alias("dst"))
+    return C_.components(ring.unionByName(on.select("src", "dst")).unionByName(back))
+
+
 CYCLE = "WITH RECURSIVE d AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 10 < 3 THEN p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 3 ELSE p_partkey - 1 END AS b FROM part), w AS (SELECT 0 AS place, CAST(0 AS BIGINT) AS id UNION ALL SELECT w.place + 1, d.b FROM w JOIN d ON d.a = w.id WHERE w.place = 0 OR w.id <> 0)"
 
 

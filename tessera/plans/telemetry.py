@@ -13,7 +13,7 @@ ISLANDS = """m AS (SELECT trace, started, ended, CASE WHEN started > max(ended)
 
 @query("interval_union", f"WITH {ISLANDS} SELECT trace, s AS start, e AS \"end\" FROM u")
 def interval_union(t):
-    return T.islands(t.span.where("parent IS NOT NULL"), "trace", "started", "ended")
+    return T.islands(t.span.where("parent IS NOT NULL"), "trace", "started", "ended").drop("before")
 
 
 @query("coverage", f"WITH {ISLANDS} SELECT trace, CAST(sum(e - s) AS BIGINT) AS covered FROM u GROUP BY trace")

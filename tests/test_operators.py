@@ -203,9 +203,9 @@ def test_replay_against_plain_python(spark, seed):
 
 def test_intervals(spark):
     df = spark.createDataFrame([(1, 0, 4), (1, 4, 6), (1, 2, 3), (1, 8, 9), (1, 7, 7), (2, 5, 6)], "k long, s long, e long")
-    assert as_set(telemetry.islands(df, "k", "s", "e")) == {(1, 0, 6), (1, 8, 9), (2, 5, 6)}
+    assert as_set(telemetry.islands(df, "k", "s", "e")) == {(1, 0, 6, None), (1, 8, 9, 6), (2, 5, 6, None)}
     spans = df.selectExpr("k AS trace", "row_number() OVER (ORDER BY k, s, e) AS span", "CAST(NULL AS INT) AS parent", "s AS started", "e AS ended")
-    assert as_set(telemetry.uncovered(spans)) == {(1, 6, 8)}
+    assert as_set(telemetry.uncovered(spans)) == {(1, 6, 8), (2, 5, 6)}  # a span that is all of its trace is the run itself
 
 
 def test_self_time_counts_children_unclipped(spark):
