@@ -1,4 +1,4 @@
-"""File sources and sinks: traces, logs, version-control dumps, tails, snapshots."""
+"""File sources and sinks: traces, logs, version-control dumps, snapshots."""
 
 from __future__ import annotations
 
@@ -66,14 +66,6 @@ def tree(spark: SparkSession, listing: str, counts: str) -> DataFrame:
     return entries.join(counted, "path", "left").select("mode", "kind", "sha", "bytes", "path", "lines", "binary")
 
 
-def tail(spark: SparkSession, path: str, most: int = 2 << 20) -> DataFrame:
-    """(path, n, line, truncated): the lines in each file's last ``most`` bytes; a first half line is dropped."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.expr(f"decode(substring(content, greatest(length - {most}, 0) + 1, {most}), 'UTF-8')").alias("text"))
-    cut = F.col("length") > most
-    lines = files.select("path", cut.alias("truncated"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.where((~F.col("truncated") | (F.col("n") > 0)) & (F.col("line") != "")).select("path", "n", "line", "truncated")
-
-
 def change_log(spark: SparkSession, statuses: str, counts: str) -> DataFrame:
     """(hash, author, at, path, status, added, removed) of two dumps of one history.
 
@@ -85,7 +77,7 @@ def change_log(spark: SparkSession, statuses: str, counts: str) -> DataFrame:
         text = spark.read.option("lineSep", "\x1e").text(path).where(F.trim("value") != "")
         lines = F.split("value", "\n")
         head = F.split(lines[0], "\x1f")
-        return text.select(head[0].alias("hash"), head[1].alias("author"), F.to_timestamp(head[2]).alias("at"), F.explode(F.filter(F.slice(lines, 2, 10_000_000), lambda x: F.trim(x) != "")).alias("line"))
+        return text.select(head[0].alias("hash"), head[1].alias("author"), F.to_timestamp(head[2]).alias("at"), F.explode(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x) != "")).alias("line"))
 
     a = records(statuses).select("hash", "author", "at", F.split("line", "\t")[1].alias("path"), F.split("line", "\t")[0].alias("status"))
     number = lambda i: F.expr(f"try_cast(split(line, '\\t')[{i}] AS BIGINT)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity
 from tessera.operators import aggregates, connections, graph, opinions, predicates, search, telemetry, temporal, writer
-from tessera.sources import files
+from tessera.sources import files, tails
 from tessera.streaming import live
 
 OP = "id long, holder long, producer string, said_by string, said_at long, lang string, grade string, amount long, title string, evidence string, state string"
@@ -257,7 +257,7 @@ def test_file_sources(spark, tmp_path):
     with pytest.raises(Exception):
         files.traces(spark, str(tmp_path / "bad.jsonl")).collect()
     (tmp_path / "log").write_text("first line\nsecond\nthird\n")
-    assert [(x["line"], x["truncated"]) for x in files.tail(spark, str(tmp_path / "log"), 14).collect()] == [("second", True), ("third", True)][-len(files.tail(spark, str(tmp_path / "log"), 14).collect()):]
+    assert [(x["line"], x["truncated"]) for x in tails.tail(spark, str(tmp_path / "log"), 14).collect()] == [("second", True), ("third", True)][-len(tails.tail(spark, str(tmp_path / "log"), 14).collect()):]
     (tmp_path / "s").write_text("\x1eh1\x1fann\x1f2024-01-01T00:00:00Z\nA\tx.txt\nM\ty.txt\n\x1eh2\x1fbob\x1f2024-01-02T00:00:00Z\nD\tx.txt\n")
     (tmp_path / "n").write_text("\x1eh1\x1fann\x1f2024-01-01T00:00:00Z\n3\t0\tx.txt\n-\t-\ty.txt\n")
     got = files.change_log(spark, str(tmp_path / "s"), str(tmp_path / "n")).select("hash", "path", "status", "added")
