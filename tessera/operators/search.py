@@ -50,13 +50,81 @@ def catalogue_ranked(kinds: DataFrame, text: str) -> DataFrame:
     return hits.select("name", "word", "rank", F.when(F.col("rank") == 3, F.col("definition")).otherwise(F.col("word")).alias("matched"))
 
 
-def mentions(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(doc_id, line, term, n): whole-word mentions, any case, longest alternative first."""
-    words = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
-    pattern = r"(?U)\b(" + "|".join(words) + r")\b"
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    found = lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1))).alias("term"))
-    return found.groupBy("doc_id", "line", "term").agg(F.count(F.lit(1)).alias("n"))
+#: Names of terms that one automaton holds; more are dealt over several, each of which goes over the texts.
+NAMES = 200_000
+
+
+def folded(text: str) -> str:
+    """Lower case character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c in "_$"
+
+
+def found_terms(automaton, line: str) -> dict:
+    """Number of mentions of every term in a line: whole words only, of one term's names the longest that begins first."""
+    hits: dict = {}
+    low = folded(line)
+    for end, (name, terms) in automaton.iter(low):
+        start = end - len(name) + 1
+        if not (start and _in_word(low[start - 1])) and not (end + 1 < len(low) and _in_word(low[end + 1])):
+            for term in terms:
+                hits.setdefault(term, []).append((start, start - end - 1))
+    out = {}
+    for term, places in hits.items():
+        upto, n = 0, 0
+        for start, size in sorted(places):
+            if start >= upto:
+                upto, n = start - size, n + 1
+        out[term] = n
+    return out
+
+
+def term_mentions(texts: DataFrame, terms: DataFrame, definitions: DataFrame | None = None, names: int = NAMES) -> DataFrame:
+    """(id, line, term, n): mentions of terms (term, name: one row for each of a term's names) in texts (id, text), by line from 1.
+
+    Any case, whole words (not beside a letter, digit, ``_`` or ``$``), of one term's overlapping names the longest at the
+    earliest place. Lines that define the term itself, ``definitions`` (id, term, line_start, line_end), don't count for it.
+    All names are looked for at once by an Aho-Corasick automaton, built in every task from at most ``names`` of them; larger term
+    tables are dealt over several automata. The work is one pass over the texts for each and what it finds.
+    """
+    some = terms.where("name IS NOT NULL AND name <> ''").select("term", "name").distinct()
+    parts = max(1, -(-some.count() // names))
+    dealt = some.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    kind, of = texts.schema["id"].dataType.simpleString(), terms.schema["term"].dataType.simpleString()
+    out = None
+    for part in range(parts):
+        held: dict[str, list] = {}
+        for r in dealt.where(F.col("part") == part).select("term", "name").collect():  # a bounded number of names
+            held.setdefault(folded(r["name"]), []).append(r["term"])
+        held_ = texts.sparkSession.sparkContext.broadcast(held)
+
+        def search(batches: Iterator[pa.RecordBatch], held_=held_) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for name, mine in held_.value.items():
+                automaton.add_word(name, (name, mine))
+            automaton.make_automaton()
+            for b in batches:
+                rows = []
+                for i, text in enumerate(b.column(1).to_pylist()):
+                    for n, line in enumerate((text or "").split("\n") if held_.value else ()):
+                        rows += [(i, n + 1, term, many) for term, many in found_terms(automaton, line).items()]
+                if rows:
+                    at, line_, term, many = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(line_, pa.int32()), pa.array(term), pa.array(many, pa.int64())], names=["id", "line", "term", "n"])
+
+        found = texts.select("id", "text").mapInArrow(search, f"id {kind}, line int, term {of}, n long")
+        out = found if out is None else out.unionByName(found)
+    if definitions is not None:
+        d = definitions.select("id", "term", "line_start", "line_end")
+        own = F.col("line").between(F.col("line_start"), F.col("line_end"))
+        out = out.alias("m").join(d.alias("d"), (F.col("m.id") == F.col("d.id")) & (F.col("m.term") == F.col("d.term")) & own, "left_anti")
+    return out
 
 
 def glossary(docs: DataFrame, key: str) -> DataFrame:

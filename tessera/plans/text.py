@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import identity as I
+from tessera.operators import languages
 from tessera.operators import search as S
 from tessera.plans.registry import query
 
@@ -53,10 +54,55 @@ def search_catalogue(t):
     return S.catalogue_ranked(kinds, " PART ")
 
 
-@query("term_mentions", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), m AS (SELECT doc_id, line, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: w IN ('the', 'that', 'des', 'und'))) AS term FROM l)
-    SELECT doc_id, CAST(line AS INTEGER) AS line, term, count(*) AS n FROM m GROUP BY 1, 2, 3""")
+TITLE = "lower(regexp_extract(html, '<title>([^<]+)</title>', 1))"
+
+
+@query(
+    "term_mentions",
+    """WITH w AS (SELECT DISTINCT w[1] AS one, w[2] AS two FROM (SELECT regexp_extract_all(lower(regexp_extract(html, '<title>([^<]+)</title>', 1)), '[\\p{L}\\p{N}_$]+') AS w FROM pages) x WHERE len(w) > 1 AND w[1] <> w[2]),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+    t AS (SELECT doc_id, line, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, line, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_$]+|[^\\p{L}\\p{N}_$]+') AS t FROM l) x),
+    p AS (SELECT doc_id, line, token, lead(token) OVER v AS gap, lead(token, 2) OVER v AS after FROM t WINDOW v AS (PARTITION BY doc_id, line ORDER BY i)),
+    first AS (SELECT doc_id, regexp_extract(lower(string_split(text, chr(10))[1]), '^[\\p{L}\\p{N}_$]+') AS term FROM documents),
+    m AS (SELECT doc_id, line, token AS term FROM p WHERE token IN (SELECT two FROM w) UNION ALL SELECT doc_id, line, one || ' ' || two FROM p JOIN w ON w.one = token AND gap = ' ' AND w.two = after)
+    SELECT doc_id, CAST(line AS INTEGER) AS line, term, count(*) AS n FROM m WHERE NOT (line = 1 AND (doc_id, term) IN (SELECT doc_id, term FROM first)) GROUP BY 1, 2, 3""",
+)
 def term_mentions(t):
-    return S.mentions(t.documents, ["the", "that", "des", "und"])
+    """Words of page titles as terms: the second, also under the name of both together, and both together as a term of its own.
+    The first line of a document defines its first word."""
+    words = F.expr(f"regexp_extract_all({TITLE}, '[\\\\p{{L}}\\\\p{{N}}_$]+', 0)")
+    title = t.pages.select(words.alias("w")).where((F.size("w") > 1) & (F.try_element_at("w", F.lit(1)) != F.try_element_at("w", F.lit(2)))).select(F.col("w")[0].alias("one"), F.col("w")[1].alias("two"))
+    both = F.concat_ws(" ", "one", "two")
+    names = F.array(*[F.struct(a.alias("term"), b.alias("name")) for a, b in ((F.col("two"), F.col("two")), (F.col("two"), both), (both, both))])
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    first = docs.select("id", F.regexp_extract(F.lower(F.substring_index("text", "\n", 1)), r"^[\p{L}\p{N}_$]+", 0).alias("term"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    return S.term_mentions(docs, title.select(F.inline(names)), first).withColumnRenamed("id", "doc_id")
+
+
+INDEX = [
+    ("name", "small bolt", "Bolt"), ("name", "red gear", "Gear A"), ("name", "red gear", "Gear B"), ("extension", ".ts", "TypeScript"), ("extension", ".ts", "XML"), ("extension", ".md", "Markdown"),
+    ("extension", ".md", "GCC Machine Description"), ("extension", ".sql", "PLSQL"), ("extension", ".sql", "TSQL"), ("extension", ".py", "Python"), ("extension", ".in", "Template"), ("extension", ".py.in", "Python Template"), ("interpreter", "python", "Python"), ("interpreter", "node", "JavaScript"), ("interpreter", "node", "TypeScript"),
+]
+CONTENT = """CASE file % 5 WHEN 0 THEN '#!/usr/bin/env -S python3.12 -u' || chr(10) || bytes WHEN 1 THEN '{"bytes": ' || bytes || '}' WHEN 2 THEN 'x' || chr(10) || '  (define_insn' WHEN 3 THEN '#! /opt/node' ELSE 'GO' END"""
+PATH = "CASE file % 4 WHEN 1 THEN regexp_replace(path, '[.][a-z]+$', '') WHEN 2 THEN upper(path) || '.in' ELSE path END"
+
+
+@query(
+    "path_language",
+    f"""WITH i(kind, key, language) AS (VALUES {", ".join(map(str, INDEX))}), f AS (SELECT file, lower(regexp_extract({PATH}, '[^/]*$')) AS name, {CONTENT} AS content FROM file),
+    e AS (SELECT file, name, content, substr(name, strpos(name, '.')) AS a, CASE WHEN strpos(name, '.') > 0 THEN regexp_extract(name, '[.][^.]*$') END AS b FROM f),
+    c AS (SELECT e.*, (SELECT list(language ORDER BY language) FROM i WHERE kind = 'name' AND key = e.name) AS n, (SELECT list(language ORDER BY language) FROM i WHERE kind = 'extension' AND key = e.a) AS x, (SELECT list(language ORDER BY language) FROM i WHERE kind = 'extension' AND key = e.b) AS y FROM e),
+    d AS (SELECT *, coalesce(n, x, y) AS held, CASE WHEN n IS NOT NULL THEN name WHEN x IS NOT NULL THEN a WHEN y IS NOT NULL THEN b END AS how FROM c),
+    s AS (SELECT *, CASE WHEN how = '.md' AND content LIKE '%(define_insn%' THEN 'GCC Machine Description' WHEN how = '.sql' AND content = 'GO' THEN 'TSQL' WHEN how = '.ts' THEN 'TypeScript' WHEN how = '.md' THEN 'Markdown' WHEN how = '.sql' THEN 'SQL' END AS chosen,
+      CASE WHEN content LIKE '#!/usr%' THEN 'Python' WHEN content LIKE '#! /opt%' THEN 'JavaScript' WHEN content LIKE '{{%' THEN 'JSON' ELSE 'unknown' END AS other FROM d)
+    SELECT file, CASE WHEN held IS NULL THEN other WHEN len(held) = 1 THEN held[1] WHEN list_contains(held, chosen) THEN chosen ELSE 'ambiguous' END AS language, array_to_string(coalesce(held, [other]), ',') AS candidates FROM s""",
+)
+def path_language(t):
+    """Languages of the files' paths under an index of a few: some without their extension, some templates, with contents that
+    name an interpreter, are JSON or decide between candidates."""
+    files = t.file.select("file", F.expr(PATH).alias("path"), F.expr(CONTENT.replace("chr(10) || bytes", "chr(10) || string(bytes)").replace("' || bytes || '", "' || string(bytes) || '")).alias("content"))
+    index = t.spark.createDataFrame(INDEX, "kind string, key string, language string")
+    return languages.language_of_paths(files, index).select("file", "language", F.array_join("candidates", ",").alias("candidates"))
 
 
 @query("line_range", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, CAST(line AS BIGINT) AS line, text FROM l WHERE line BETWEEN 2 AND 3")
