@@ -36,3 +36,24 @@ def stream_transitions(t):
     k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
     events = live.source(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), "ts", "value", k.alias("k"))
     return live.run(live.follow(events, VISIT)).select(F.col("seq").alias("event_id"), "before", "after", "transition", "code", "guard")
+
+
+@query(
+    "stream_store_version",
+    """WITH v AS (SELECT CAST(FLOOR(tick / 864000000) AS BIGINT) AS b, user_id AS e, arg_max(event_type, event_id) AS c FROM event GROUP BY 1, 2),
+    b AS (SELECT b, lead(b) OVER (ORDER BY b) AS next FROM (SELECT DISTINCT b FROM v) x), e AS (SELECT v.*, b.next, lag(v.b) OVER w AS before, lag(c) OVER w AS was FROM v JOIN b ON b.b = v.b WINDOW w AS (PARTITION BY e ORDER BY v.b)),
+    n AS (SELECT e.*, p.b AS previous, CASE WHEN was = c AND before = p.b THEN 0 ELSE 1 END AS new FROM e LEFT JOIN b p ON p.next = e.b), i AS (SELECT *, sum(new) OVER (PARTITION BY e ORDER BY b) AS i FROM n),
+    r AS (SELECT g.e, g.c, g.b, b.next AS z FROM (SELECT e, c, i, min(b) AS b, max(b) AS last FROM i GROUP BY e, c, i) g JOIN b ON b.b = g.last)
+    SELECT e AS entity_id, c AS content, b * 864000000 AS valid_from, z * 864000000 AS valid_to, 'b' || CAST(coalesce(z, b) AS VARCHAR) AS opened_by, CAST(NULL AS VARCHAR) AS closed_by, coalesce(z, b) * 864000000 + 86400000 AS recorded_from, CAST(NULL AS BIGINT) AS recorded_to FROM r
+    UNION ALL SELECT e, c, b * 864000000, NULL, 'b' || CAST(b AS VARCHAR), 'b' || CAST(z AS VARCHAR), b * 864000000 + 86400000, z * 864000000 + 86400000 FROM r WHERE z IS NOT NULL""",
+)
+def stream_store_version(t):
+    """Ten days of events each make a version, users with their last event; they come as a stream and are stored in turn."""
+    ten = F.floor(F.col("tick") / 864_000_000)
+    last = t.event.groupBy(ten.alias("b"), F.col("user_id").alias("entity_id")).agg(F.max_by("event_type", "event_id").alias("content"))
+    at = (F.col("b") * 864_000_000).cast("long")
+    rows = last.select(F.lit("src").alias("source"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("commit_id"), at.alias("committed_at"), (at + 86_400_000).alias("recorded_at"), F.lit("user").alias("kind"), "entity_id", "content")
+    path = live._shared(t.spark)
+    rows.coalesce(1).write.parquet(f"{path}/versions")
+    out = live.store_versions(t.spark.readStream.schema(live.VERSION).parquet(f"{path}/versions"))
+    return out.drop("source", "kind")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
+from tessera.operators import temporal
 from tessera.operators.machines import Machine
 from tessera.sources.files import SPAN, spans_of
 
@@ -132,3 +133,40 @@ def follow(events: DataFrame, machine: Machine, late: str = "1 hour") -> DataFra
     kept = "now string, ticks array<long>, seqs array<long>, kinds array<string>, helds array<string>"
     out = "subject long, seq long, before string, after string, transition string, code string, guard string"
     return timed.groupBy("subject").applyInPandasWithState(step, out, kept, "append", "EventTimeTimeout")
+
+
+VERSION = "source string, commit_id string, committed_at long, recorded_at long, kind string, entity_id long, content string"
+
+
+def _at(spark: SparkSession, path: str, batch: int) -> tuple[DataFrame, DataFrame]:
+    """Assertions and commits after a micro-batch; none before the first."""
+    if batch < 0:
+        return spark.createDataFrame([], temporal.ASSERTION), spark.createDataFrame([], temporal.COMMIT)
+    return spark.read.schema(temporal.ASSERTION).parquet(f"{path}/{batch}/assertions"), spark.read.schema(temporal.COMMIT).parquet(f"{path}/{batch}/commits")
+
+
+def store_batch(versions: DataFrame, batch: int, path: str) -> None:
+    """Stores the commits of a micro-batch on top of the one before.
+
+    What a batch leaves is a function of its rows and of what the last one left, and it is written under the batch's number: a
+    batch that comes again writes the same, and a commit that comes again in a later batch is known by then. Each commit's rows
+    have to come in one batch; commits may come late.
+    """
+    assertions, commits = _at(versions.sparkSession, path, batch - 1)
+    after, known, outcomes = temporal.store_commits(assertions, commits, cut(versions))
+    for name, df in (("assertions", after), ("commits", known), ("outcomes", outcomes)):
+        df.write.mode("overwrite").parquet(f"{path}/{batch}/{name}")
+
+
+def store_versions(versions: DataFrame, path: str | None = None) -> DataFrame:
+    """The assertions after a stream of model versions (``VERSION``) has been drained, as ``temporal.store_commits`` gives them."""
+    spark = versions.sparkSession
+    path = path or _shared(spark)
+    last = [-1]
+
+    def save(df: DataFrame, batch: int) -> None:
+        store_batch(df, batch, f"{path}/out")
+        last[0] = batch
+
+    versions.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    return _at(spark, f"{path}/out", last[0])[0]
