@@ -15,6 +15,10 @@ from pyspark.sql import Window as W
 from tessera.operators.opinions import LIVE
 
 
+#: States of a generation that may still be published.
+LIVE_GENERATIONS = ("planned", "ready", "running", "waiting_children", "retry_wait", "blocked")
+
+
 def declare(nodes: DataFrame, batch: DataFrame) -> DataFrame:
     """(id, action): ``inserted`` where unknown, ``revived`` where removed; known live nodes give no row."""
     known = nodes.select("id", "removed")
@@ -90,6 +94,35 @@ def stale(now: DataFrame, recorded: DataFrame, consumed: DataFrame) -> DataFrame
     return rows.select("kind", F.coalesce("reason", F.concat(F.lit("consumed "), "of")).alias("reason"))
 
 
+def recheck(generations: DataFrame, keys: DataFrame, reads: DataFrame, facts: DataFrame, published: DataFrame, consumed: DataFrame, run: object) -> DataFrame:
+    """(generation, fresh, cause) of the generations that a run has to look at again.
+
+    ``generations``: (generation, stage, run, state, inputs, versions) as they were recorded; ``keys``: (generation, inputs, versions)
+    as they would be now; ``reads``: (generation, kind, key, digest) of what a generation read, the digest null where it found
+    nothing; ``facts``: (kind, key, digest) as they stand; ``published``: (kind) that the run has published; ``consumed``: (stage, kind).
+
+    Of the run's own generations, live ones are judged by their inputs and versions, published ones by every read too. Of
+    other runs, published generations are looked at whose stage consumes a published kind: they stay fresh where nothing that
+    they themselves read has moved. The cause names versions first, then inputs, then the first read by kind and key.
+    Reads meet facts by key and are counted before they meet generations, so a generation of very many reads is spread.
+    """
+    now = keys.select("generation", F.col("inputs").alias("now_inputs"), F.col("versions").alias("now_versions"))
+    stages = consumed.join(published.distinct(), "kind", "left_semi").select("stage").distinct().withColumn("reached", F.lit(True))
+    own, live = F.col("run") == F.lit(run), F.col("state").isin(*LIVE_GENERATIONS)
+    looked = generations.join(stages, "stage", "left").where((own & (live | (F.col("state") == "published"))) | (~own & (F.col("state") == "published") & F.col("reached")))
+    looked = looked.join(now, "generation", "left")
+    held = facts.select("kind", "key", F.col("digest").alias("now"))
+    moved = reads.join(held, ["kind", "key"], "left").where(~F.col("digest").eqNullSafe(F.col("now")))
+    how = F.when(F.col("digest").isNull(), "is no longer empty").when(F.col("now").isNull(), "is gone").otherwise("has moved")
+    first = moved.groupBy("generation").agg(F.min(F.struct("kind", "key", how.alias("how"))).alias("read"))
+    rows = looked.join(first, "generation", "left")
+    cause = (
+        F.when(~F.col("versions").eqNullSafe(F.col("now_versions")), "versions have moved").when(~F.col("inputs").eqNullSafe(F.col("now_inputs")), "inputs have moved")
+        .when((F.col("state") == "published") & F.col("read").isNotNull(), F.concat(F.lit("read "), F.concat_ws(" ", "read.kind", F.col("read.key").cast("string"), "read.how")))
+    )
+    return rows.select("generation", cause.isNull().alias("fresh"), cause.alias("cause"))
+
+
 def diff(current: DataFrame, wanted: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """(key, action): added, removed or changed; what is equal is left out."""
     c = current.select(key, F.struct(*values).alias("c"))

@@ -129,6 +129,34 @@ def staleness(t):
     return R.stale(R.membership_digest(now, "kind", ["file", "lines"]), R.membership_digest(was, "kind", ["file", "lines"]), consumed)
 
 
+GENERATIONS = """g AS (SELECT s_suppkey AS generation, 'stage' || CAST(s_suppkey % 5 AS {text}) AS stage, CASE WHEN s_suppkey % 4 = 0 THEN 'r1' ELSE 'r2' END AS run, CASE WHEN s_suppkey % 3 = 0 THEN 'running' ELSE 'published' END AS state,
+      'i' || CAST(s_suppkey % 7 AS {text}) AS inputs, 'v1' AS versions FROM {supplier})"""
+READS = """r AS (SELECT DISTINCT author AS generation, repository AS kind, CASE WHEN author % 11 = 5 THEN x.file + 10000000 WHEN author % 11 = 6 AND lines > 1900 THEN x.file + 10000000 ELSE x.file END AS key,
+      CASE WHEN author % 11 = 5 OR author % 11 = 7 AND lines > 1920 THEN NULL WHEN author % 2 = 0 AND path LIKE '%/red %' AND lines > 1900 THEN lines + 1 ELSE lines END AS digest FROM {change} x JOIN {file} f ON f.file = x.file)"""
+
+
+@query(
+    "stale_generations",
+    f"""WITH {GENERATIONS.format(text="VARCHAR", supplier="supplier")}, {READS.format(change="change", file="file")},
+    m AS (SELECT generation, kind, key, CASE WHEN digest IS NULL THEN 'is no longer empty' WHEN lines IS NULL THEN 'is gone' ELSE 'has moved' END AS how FROM r LEFT JOIN file f ON f.repository = r.kind AND f.file = r.key WHERE digest IS DISTINCT FROM lines),
+    f AS (SELECT generation, kind || ' ' || CAST(key AS VARCHAR) || ' ' || how AS read FROM (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY kind, key, how) AS n FROM m) x WHERE n = 1),
+    c AS (SELECT g.generation, CASE WHEN g.generation % 13 = 12 THEN 'versions have moved' WHEN g.generation % 17 = 16 THEN 'inputs have moved' WHEN state = 'published' AND read IS NOT NULL THEN 'read ' || read END AS cause
+      FROM g LEFT JOIN f ON f.generation = g.generation WHERE run = 'r1' OR state = 'published' AND stage IN ('stage1', 'stage2', 'stage4'))
+    SELECT generation, cause IS NULL AS fresh, cause FROM c""",
+)
+def stale_generations(t):
+    """Suppliers as generations that read the files they changed; three of five stages consume what was published, and some of
+    their generations stay fresh."""
+    g = t.spark.sql(GENERATIONS.format(text="STRING", supplier="{supplier}").join(("WITH ", " SELECT * FROM g")), supplier=t.supplier)
+    reads = t.spark.sql(READS.format(change="{change}", file="{file}").join(("WITH ", " SELECT * FROM r")), change=t.change, file=t.file)
+    n = F.col("generation")
+    now = g.select("generation", F.when(n % 17 == 16, "i9").otherwise(F.col("inputs")).alias("inputs"), F.when(n % 13 == 12, "v2").otherwise(F.col("versions")).alias("versions"))
+    facts = t.file.select(F.col("repository").alias("kind"), F.col("file").alias("key"), F.col("lines").alias("digest"))
+    kinds = facts.select("kind").distinct()
+    consumed = kinds.select("kind", F.explode(F.array(*[F.lit(f"stage{i}") for i in (1, 2, 4)])).alias("stage"))
+    return R.recheck(g, now, reads, facts, kinds, consumed, "r1")
+
+
 @query("refresh_decision", """WITH r AS (SELECT file, 'changed' AS reason FROM change WHERE flag = 'R' UNION SELECT file, 'large' FROM file WHERE lines > 1800 UNION SELECT file, 'language' FROM file WHERE path LIKE '%.md')
     SELECT file, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY file""")
 def refresh_decision(t):
