@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import identity as I
+from tessera.functions.lineage import stored
+from tessera.operators import extraction as E
 from tessera.operators import languages
 from tessera.operators import search as S
 from tessera.plans.registry import query
@@ -187,3 +189,43 @@ def json_fields(t):
 @query("type_names", "SELECT DISTINCT o_orderpriority AS name, array_to_string(list_transform(list_filter(regexp_split_to_array(o_orderpriority, '[^A-Za-z0-9]+'), lambda p: p <> ''), lambda p: upper(substr(p, 1, 1)) || lower(substr(p, 2))), '') AS pascal FROM orders")
 def type_names(t):
     return t.orders.select(F.col("o_orderpriority").alias("name")).distinct().withColumn("pascal", I.pascal(F.col("name")))
+
+
+#: What the page plugin declares; scripts, and the number of advertisements, it does not.
+PAGES = E.Contract(
+    {"page": {"lang": E.Field("text", True), "words": E.Field("integer")}, "path": {}},
+    {"links": (["page"], ["path"], {"place": E.Field("integer")}), "loads": (["page"], ["path"], {})},
+)
+
+
+def read_page(row):
+    """A page and its links; of pages with signs in their title also what breaks the contract."""
+    import re
+
+    title = re.search("<title>([^<]*)</title>", row.html)[1]
+    extra = {"ads": row.html.count('class="ad"')} if "*" in title else {}
+    lang = re.search('<html lang="([a-z]+)"', row.html)
+    page = ("page", str(row.page_id))
+    yield E.vertex(*page, lang=lang and lang[1] if "$" not in title else None, words="many" if "#" in title else title.count(" ") + 1, **extra)
+    for path in dict.fromkeys(re.findall('<a href="(/[^"]*)">', row.html)):
+        yield E.vertex("path", path)
+        yield E.edge("links", page, ("path", path))
+    if "track(" in row.html:
+        yield E.vertex("script", "track")
+        yield E.edge("loads", page, ("script", "track"))
+    yield E.edge("links", page, ("path", "nowhere"))
+
+
+@query(
+    "plugin_refusals",
+    """WITH p AS (SELECT page_id AS unit, CAST(page_id AS VARCHAR) AS id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+    l AS (SELECT DISTINCT unit, id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">', 1)) AS path FROM p), bad AS (SELECT unit, id FROM p WHERE title LIKE '%*%' OR title LIKE '%#%' OR title LIKE '%$%')
+    SELECT unit, 'vertex' AS what, 'page' AS kind, id, 'undeclared-field' AS rule, 'ads' AS name FROM p WHERE title LIKE '%*%' UNION ALL SELECT unit, 'vertex', 'page', id, 'wrong-type', 'words' FROM p WHERE title LIKE '%#%'
+    UNION ALL SELECT unit, 'vertex', 'page', id, 'missing-field', 'lang' FROM p WHERE title LIKE '%$%' UNION ALL SELECT unit, 'vertex', 'script', 'track', 'undeclared-kind', NULL FROM p WHERE html LIKE '%track(%'
+    UNION ALL SELECT unit, 'edge', 'loads', id || '>track', 'end-not-allowed', 'to' FROM p WHERE html LIKE '%track(%' UNION ALL SELECT unit, 'edge', 'loads', id || '>track', 'end-missing', 'from' FROM p WHERE html LIKE '%track(%' AND unit IN (SELECT unit FROM bad)
+    UNION ALL SELECT unit, 'edge', 'links', id || '>nowhere', 'end-missing', 'to' FROM p UNION ALL SELECT unit, 'edge', 'links', id || '>nowhere', 'end-missing', 'from' FROM bad UNION ALL SELECT b.unit, 'edge', 'links', b.id || '>' || path, 'end-missing', 'from' FROM bad b JOIN l ON l.unit = b.unit""",
+)
+def plugin_refusals(t):
+    """What the page plugin answers against its contract, for every page."""
+    found = stored(E.answers(t.pages.select("page_id", "html"), "page_id", read_page))
+    return E.judged(found, PAGES)[1]
