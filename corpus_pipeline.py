@@ -13,9 +13,9 @@ from tessera.llm.common import materialize
 from tessera.llm.registry import QUALITY_AT, table, vocabulary
 
 
-#: Differing bits of 256 up to which a text counts as a copy of the whole text that it repeats: what shingle sets of a similarity
-#: of 0.8 differ in (39), and twice the deviation (6).
-COPY_BITS = 51
+#: Similarity of five-word shingle sets from which a text is a copy of another, for the line stage and the near-duplicate stage
+#: alike: what the one leaves to the other, the other takes.
+COPY = 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +26,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines and sentences are cut out of the texts, but for their first occurrence by doc_id. Copies of whole
-    texts keep what they share: the next stage judges them, and couldn't by what the runs would leave. No row goes: a text may
+    texts (a similarity of 0.8 or more to the text they repeat) keep what they share with it: the next stage judges them by the
+    same similarity, and couldn't by what the runs would leave. No row goes: a text may
     become empty. Null texts and rows of a null id stay as they are; rows that repeat an id lose a run only where all
     of them hold it."""
-    return lines.dedup_runs(docs, copies=COPY_BITS)
+    return lines.dedup_runs(docs, copies=COPY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, that of the smallest id. Null and empty texts are copies of each other;
     rows of a null id stay, and all rows that repeat a kept id."""
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, least=COPY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

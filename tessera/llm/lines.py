@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import among, fresh, join_counted, materialize
-from .simhash import fingerprints
+from .simhash import fingerprints, similar
 
 M64 = (1 << 64) - 1
 
@@ -315,9 +315,10 @@ def _joined_windows(hits: DataFrame) -> DataFrame:
     return per.mapInArrow(run, f"id {kind}, at int, to int, first_id {kind}, first_at int")
 
 
-def _copies(texts: DataFrame, pairs: DataFrame, radius: int, k: int = 5) -> DataFrame:
-    """Those of ``pairs`` (id, first_id, a written table) whose 256-bit SimHash fingerprints of k-word shingles differ in at
-    most ``radius`` bits. A repeated id has the fingerprint of one of its rows, the smallest."""
+def _copies(texts: DataFrame, pairs: DataFrame, least: float, radius: int = 72, k: int = 5) -> DataFrame:
+    """Those of ``pairs`` (id, first_id, a written table) whose sets of k-word shingles have a similarity of ``least`` or more:
+    what the near-duplicate stage takes for copies, by the same test. Fingerprints that differ in more than ``radius`` of 256
+    bits, as those of sets of 0.8 never do (39 bits, deviation 6), spare the comparison."""
     ids = materialize(pairs.select("id").unionByName(pairs.select(F.col("first_id").alias("id"))).distinct())
     bits = ["f0", "f1", "f2", "f3"]
     prints = fingerprints(among(texts, "doc_id", ids), k, 4).groupBy("id").agg(F.min(F.struct(*bits)).alias("mine"))
@@ -326,14 +327,15 @@ def _copies(texts: DataFrame, pairs: DataFrame, radius: int, k: int = 5) -> Data
     theirs = materialize(prints.join(counts, "id").select(F.col("id").alias("first_id"), F.col("mine").alias("theirs"), "many"))
     both = join_counted(pairs.join(prints, "id"), theirs, "first_id")
     far = sum((F.bit_count(F.col(f"mine.{f}").bitwiseXOR(F.col(f"theirs.{f}"))) for f in bits), F.lit(0))
-    return both.where(far <= radius).select("id", "first_id")
+    close = materialize(both.where(far <= radius).select(F.col("id").alias("a"), F.col("first_id").alias("b")))
+    return similar(close, texts, k, least).select(F.col("a").alias("id"), F.col("b").alias("first_id"))
 
 
-def repeated_runs(docs: DataFrame, long: int = 50, copies: int | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, long: int = 50, copies: float | None = None) -> DataFrame:
     """(doc_id, at, to, first_id, first_at) of what occurred before, by (doc_id, position): byte spans, which may overlap.
 
-    With ``copies``, what a text repeats of a text whose fingerprint differs from its own in at most so many of 256 bits isn't
-    counted: it is a copy of the whole, not a passage.
+    With ``copies``, what a text repeats of a text to which it is at least so similar (the Jaccard similarity of five-word
+    shingles) isn't counted: it is a copy of the whole, not a passage.
 
     Spans stay where their bytes differ from the first ones (a hash collision). A line or sentence is never removed at its
     first occurrence in the corpus. Rows of a null doc_id take no part; rows that repeat an id lose a span only where all of
@@ -389,7 +391,7 @@ def cut_runs(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]
     return bytes(out), lines, len(runs)
 
 
-def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False, copies: int | None = None) -> DataFrame:
+def dedup_runs(docs: DataFrame, long: int = 50, report: bool = False, copies: float | None = None) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text``; with ``report``, doc_id, n_lines_removed (whole or in part),
     n_chunks_removed (separate spans), kept_text.
 

@@ -8,6 +8,7 @@ the comparisons that exceed the radius, and a block is abandoned once all of its
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -364,8 +365,15 @@ def simhash_classes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of doc ids whose sets of shingle hashes have a Jaccard similarity of ``least`` or more."""
+def similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b; a written table) of doc ids whose sets of k-word shingle hashes have a Jaccard similarity of
+    ``least`` or more.
+
+    Ids are first replaced by a digest of their set, so that copies are one: equal digests need no comparison, and each pair of
+    different sets is compared once, however many documents have them. An id or a set in very many pairs is joined by
+    broadcast (``join_counted``), so it fills no task. Sets, not texts, are compared; an id is one document, and of rows that
+    repeat it the one of the smallest digest stands for it.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,7 +381,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFra
                 part = b.slice(n, 500)
                 found = [np.unique(np.concatenate([*shingle_hashes(t or b"", k), np.zeros(0, np.uint64)])) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).view(np.int64)))], ["id", "hashes"])
+                digests = pa.array([hashlib.sha256(f.tobytes()).digest()[:16] for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).view(np.int64)))], ["id", "digest", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -385,14 +394,28 @@ def _similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFra
                 same.append(both >= least * whole)
             yield b.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
+    def counted(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+        many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
+        return join_counted(rows, materialize(values.join(many, key)), key)
+
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    # an id is one document; of rows that repeat it, any stands for it
-    hashes = texts.mapInArrow(sets, "id long, hashes array<long>").dropDuplicates(["id"])
-    hashes = materialize(hashes)
-    one = pairs.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    two = one.join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    found = materialize(texts.mapInArrow(sets, "id long, digest binary, hashes array<long>"))
+    named = materialize(found.groupBy("id").agg(F.min("digest").alias("digest")))
+    for end in ("a", "b"):
+        pairs = counted(pairs, end, named.select(F.col("id").alias(end), F.col("digest").alias(f"d{end}")))
+    pairs = materialize(pairs)
+    low, high = F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")
+    tried = materialize(pairs.where("da <> db").select(low, high).distinct())
+    held = found.join(named, ["id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "hashes")
+    one = counted(tried, "da", held.select(F.col("digest").alias("da"), F.col("hashes").alias("x")))
+    two = counted(materialize(one), "db", held.select(F.col("digest").alias("db"), F.col("hashes").alias("y")))
+    near = materialize(two.select("da", "db", "x", "y").mapInArrow(compare, "da binary, db binary"))
+    same = pairs.where("da = db").select("a", "b")
+    other = pairs.where("da <> db").select("a", "b", low, high).join(near, ["da", "db"], "left_semi").select("a", "b")
+    return same.unionByName(other)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20_000, least: float = 0.8, sure: int = 32) -> DataFrame:
@@ -418,13 +441,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20
     found = materialize(rows.groupBy(*whole).agg(*first).select(*whole, "m.*", "many"))
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     tried = materialize(_links(_in_blocks(found, 4, F.col("band"), hot), 4, sure, compared=True).select(*pair).distinct())
-    held = materialize(_similar(tried, docs, k, least))
+    held = materialize(similar(tried, docs, k, least))
     for nearest in (True, True, False):
         classed = found.join(components(held), F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
         others = _links(_in_blocks(classed, 4, F.col("band"), hot, "kind"), 4, radius, kind="kind", nearest=nearest).select(*pair).distinct()
         others = materialize(others.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(others)
-        held = held.unionByName(materialize(_similar(others, docs, k, least)))
+        held = held.unionByName(materialize(similar(others, docs, k, least)))
     classes = components(held)
     named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"), "many")
     out = join_counted(rows.select("id", *whole), materialize(named), whole)

@@ -502,7 +502,7 @@ def test_line_runs_of_copies(spark):
     near = [*own[:20], say(14), *own[21:]]
     whole, copy = "\n".join([*own[:5], passage, *own[5:]]), "\n".join([*near[:5], passage, *near[5:]])
     rows = [(1, passage + "\n" + say(30), None), (2, whole, None), (3, copy, None), (4, whole, None), (5, say(40) + "\n" + "\n".join(own[8:12]), None)]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_runs(spark.createDataFrame(rows, SCHEMA), copies=51).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_runs(spark.createDataFrame(rows, SCHEMA), copies=0.8).collect()}
     assert got == {1: rows[0][1], 2: "\n".join(own), 3: "\n".join(near), 4: "\n".join(own), 5: rows[4][1].split("\n")[0]}
 
 

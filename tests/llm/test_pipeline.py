@@ -42,3 +42,29 @@ def test_stages_on_odd_tables(spark, rows):
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns
         out.collect()
+
+
+def test_what_is_left_between_lines_and_near_duplicates(spark):
+    """Texts a little less similar than copies lose the lines that they repeat; copies are left to the next stage, which drops them."""
+    rng = np.random.default_rng(8)
+    words = ["".join(w) for w in rng.choice(list("abcdefghilmnorst"), size=(5_000, 5))]
+
+    def text(n):
+        return [" ".join(rng.choice(words, 15)) for _ in range(n)]
+
+    rows, far = [], []
+    for i in range(20):
+        one = text(60)
+        gap = text(10)  # 150 of 900 words: a similarity of about 0.7
+        far += [2 * i + 1]
+        rows += [(2 * i, "\n".join(one)), (2 * i + 1, "\n".join(one[:25] + gap + one[35:]))]
+    for i in range(10):
+        one = text(60)
+        rows += [(100 + 2 * i, "\n".join(one)), (101 + 2 * i, "\n".join([*one[:-1], " ".join(one[-1].split()[:-3])]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.materialize(corpus_pipeline.cut_repeated_lines(spark, docs, DATA))
+    left = {r["doc_id"]: r["text"] for r in cut.collect()}
+    before = dict(rows)
+    assert all(len(left[i].split()) < 160 for i in far) and all(left[i] == before[i] for i in left if i not in far)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, cut, DATA).collect()}
+    assert kept == set(range(40)) | {100 + 2 * i for i in range(10)}
