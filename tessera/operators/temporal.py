@@ -210,12 +210,19 @@ def shortest_prefixes(uids: DataFrame, uid: str, head: int = 4) -> DataFrame:
     return rows.withColumn("inside", inside).join(heads, "h").withColumn("prefix", F.expr(f"substring({uid}, 1, greatest(inside, outside) + 1)")).drop("h", "inside", "outside")
 
 
-def children_as_of(assertions: DataFrame, parents: DataFrame, parent: str, valid: int, known: int) -> DataFrame:
-    """(child) of the element ``parent`` at a time; ``parents``: (entity_id, parent). An element that didn't exist then is an error."""
+def children_as_of(assertions: DataFrame, parents: DataFrame, valid: int, known: int, parent: object = None) -> DataFrame:
+    """(parent, child) of the elements that existed at a time, as known at another; ``parents``: (entity_id, parent).
+
+    With ``parent``, the children of that element alone; asking for one that didn't exist then is an error. Parents that didn't
+    exist have no rows.
+    """
     held = as_of(assertions, valid, known).select("entity_id").distinct()
-    if held.where(F.col("entity_id") == parent).isEmpty():
-        raise ValueError(f"{parent} does not exist at {valid}")
-    return held.join(parents.where(F.col("parent") == parent), "entity_id", "left_semi").select(F.col("entity_id").alias("child"))
+    if parent is not None:
+        if held.where(F.col("entity_id") == parent).isEmpty():
+            raise ValueError(f"{parent} does not exist at {valid}")
+        parents = parents.where(F.col("parent") == parent)
+    pairs = parents.select("parent", "entity_id").join(held, "entity_id", "left_semi")
+    return pairs.join(held.select(F.col("entity_id").alias("parent")), "parent", "left_semi").select("parent", F.col("entity_id").alias("child"))
 
 
 COMMIT = "source string, commit_id string, committed_at long, digest string"

@@ -37,11 +37,11 @@ def node_check(t):
     return t.part.select(F.col("p_partkey").alias("id"), Q.first_failure(checks).alias("failure"))
 
 
-@query("edge_check", "SELECT e.rel, e.src, e.dst, CASE WHEN a.id IS NULL THEN 'from-missing' WHEN b.id IS NULL THEN 'to-missing' WHEN e.rel = 'touched' AND b.kind <> 'part' THEN 'to-kind' WHEN e.weight < 2 AND e.rel = 'touched' THEN 'weight' END AS failure FROM edge e LEFT JOIN node a ON a.id = e.src LEFT JOIN node b ON b.id = e.dst WHERE e.rel IN ('touched', 'in_nation')")
+@query("edge_check", "SELECT e.rel, e.src, e.dst, CASE WHEN a.id IS NULL THEN 'from-missing' WHEN b.id IS NULL THEN 'to-missing' WHEN e.rel = 'touched' AND b.kind <> 'part' THEN 'to-kind' WHEN e.weight < 2 AND e.rel = 'touched' THEN 'weight' END AS failure FROM edge e LEFT JOIN node a ON a.id = e.src LEFT JOIN node b ON b.id = e.dst")
 def edge_check(t):
     a = t.node.select(F.col("id").alias("src"), F.col("kind").alias("a"))
     b = t.node.select(F.col("id").alias("dst"), F.col("kind").alias("b"))
-    rows = t.edge.where("rel IN ('touched', 'in_nation')").join(a, "src", "left").join(b, "dst", "left")
+    rows = t.edge.join(a, "src", "left").join(b, "dst", "left")
     touched = F.col("rel") == "touched"
     checks = [("from-missing", F.col("a").isNull()), ("to-missing", F.col("b").isNull()), ("to-kind", touched & (F.col("b") != "part")), ("weight", touched & (F.col("weight") < 2))]
     return rows.select("rel", "src", "dst", Q.first_failure(checks).alias("failure"))

@@ -89,7 +89,7 @@ def slow_requests(t):
     "usage_from_spans",
     """SELECT event_type AS kind, '' AS field, 'm' || CAST(k % 3 AS VARCHAR) AS model, CAST(sum(k) AS BIGINT) AS input, CAST(sum(user_id % 7) AS BIGINT) AS output, CAST(sum(greatest(CASE WHEN k % 2 = 0 THEN k + 3 ELSE 0 END, k + user_id % 7)) AS BIGINT) AS total, count(*) AS turns,
     concat_ws(';', 'EUR=' || CAST(CAST(round(sum(k) FILTER (WHERE k % 2 = 0) * 0.25, 6) AS DOUBLE) AS VARCHAR), 'USD=' || CAST(CAST(round(sum(k) FILTER (WHERE k % 2 <> 0) * 0.5, 6) AS DOUBLE) AS VARCHAR)) AS cost
-    FROM event WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3""",
+    FROM event GROUP BY 1, 2, 3""",
 )
 def usage_from_spans(t):
     k, text = F.col("k"), lambda c: c.cast("string")
@@ -98,7 +98,7 @@ def usage_from_spans(t):
         F.lit("agent.kind"), F.col("event_type"), F.lit("agent.model"), F.concat(F.lit("m"), text(k % 3)), F.lit("agent.tokens.input"), text(k), F.lit("agent.tokens.output"), text(F.col("user_id") % 7),
         F.lit("agent.tokens.total"), F.when(even, text(k + 3)), F.when(even, "agent.cost.EUR").otherwise("agent.cost.USD"), text(F.when(even, k * 0.25).otherwise(k * 0.5)),
     )
-    return T.span_usage(t.event.where("event_type IN ('click', 'view')").select(F.lit("agent.usage").alias("name"), attributes.alias("attributes")))
+    return T.span_usage(t.event.select(F.lit("agent.usage").alias("name"), attributes.alias("attributes")))
 
 
 METER = "i AS (SELECT *, CASE WHEN prev IS NULL OR reading < prev THEN reading ELSE reading - prev END AS increment FROM (SELECT *, lag(reading) OVER (PARTITION BY session ORDER BY seq) AS prev FROM usage) x)"

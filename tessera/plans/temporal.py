@@ -146,9 +146,12 @@ def binding_discrepancies(t):
     return rows.where("contents > 1")
 
 
-@query("children_asof", f"SELECT content AS parent, entity_id AS child FROM assertion WHERE {HOLDS} AND content <> 'error'")
+@query("children_asof", f"WITH h AS (SELECT DISTINCT entity_id AS id FROM assertion WHERE {HOLDS} AND content <> 'error') SELECT DISTINCT p.id AS parent, c.id AS child FROM h c JOIN h p ON p.id = c.id - c.id % 10 WHERE c.id % 10 > 0")
 def children_asof(t):
-    return T.as_of(t.assertion, V, K).where("content <> 'error'").select(F.col("content").alias("parent"), F.col("entity_id").alias("child"))
+    """Users under the first of their ten, as far as both existed; one whose last event was an error did not."""
+    user = F.col("entity_id")
+    parents = t.assertion.select(user, (user - user % 10).alias("parent")).where(user % 10 > 0).distinct()
+    return T.children_as_of(t.assertion.where("content <> 'error'"), parents, V, K)
 
 
 DIGEST = "CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(sha256('event|' || CAST(event_id AS VARCHAR) || '|' || event_type), 1, 12)) AS BIGINT)) AS VARCHAR)"

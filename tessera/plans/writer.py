@@ -85,11 +85,11 @@ def unevidenced(t):
     return rows.select("id", F.expr("stack(3, 'grade', grade, 'title', title, 'amount', CAST(amount AS STRING)) AS (field, v)")).where("v IS NOT NULL").select("id", "field")
 
 
-@query("journal_entries", "SELECT row_number() OVER (ORDER BY min(event_id)) AS seq, user_id AS author, tick // 1000 AS second, count(*) AS changes, count(*) FILTER (WHERE event_type = 'signup') AS vertices, count(*) FILTER (WHERE event_type = 'error') AS withdrawals, min(event_id) AS first_event FROM event WHERE event_type <> 'view' GROUP BY user_id, tick // 1000")
+@query("journal_entries", "SELECT row_number() OVER (ORDER BY min(event_id)) AS seq, user_id AS author, tick // 1000 AS second, count(*) AS changes, count(*) FILTER (WHERE event_type = 'signup') AS vertices, count(*) FILTER (WHERE event_type = 'error') AS withdrawals, min(event_id) AS first_event FROM event GROUP BY user_id, tick // 1000")
 def journal_entries(t):
     """One entry for each publication, an author's changes of one second, numbered in the order they came in."""
     kind = F.col("event_type")
-    entries = t.event.where("event_type <> 'view'").groupBy(F.col("user_id").alias("author"), F.floor(F.col("tick") / 1_000).alias("second")).agg(
+    entries = t.event.groupBy(F.col("user_id").alias("author"), F.floor(F.col("tick") / 1_000).alias("second")).agg(
         F.count(F.lit(1)).alias("changes"), F.count(F.when(kind == "signup", 1)).alias("vertices"), F.count(F.when(kind == "error", 1)).alias("withdrawals"), F.min("event_id").alias("first_event")
     )
     numbered = positions(entries.withColumn("all", F.lit(0)), "all", [F.asc("first_event")], [], "seq")

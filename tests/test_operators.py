@@ -420,6 +420,6 @@ def test_children_need_their_parent(spark):
     rows = [("s", "system", "payments", "x", 0, None, 0, None), ("s", "system", "api", "x", 0, None, 0, None)]
     held = spark.createDataFrame(rows, "source string, kind string, entity_id string, content string, valid_from long, valid_to long, recorded_from long, recorded_to long")
     parents = spark.createDataFrame([("api", "payments")], "entity_id string, parent string")
-    assert [r["child"] for r in temporal.children_as_of(held, parents, "payments", 5, 5).collect()] == ["api"]
+    assert [r["child"] for r in temporal.children_as_of(held, parents, 5, 5, "payments").collect()] == ["api"]
     with pytest.raises(ValueError, match="orders does not exist at 5"):
-        temporal.children_as_of(held, parents, "orders", 5, 5)
+        temporal.children_as_of(held, parents, 5, 5, "orders")
