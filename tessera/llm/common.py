@@ -18,10 +18,12 @@ UTC = "UTC"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in local tests, a local folder is used.
+    Only where the setting is absent and the master local, as in tests, a local folder is used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         path = tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(path)
