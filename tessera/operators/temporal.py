@@ -85,6 +85,21 @@ def discrepancies(assertions: DataFrame) -> DataFrame:
     return rows.where("n > 1").drop("n")
 
 
+def binding_discrepancies(assertions: DataFrame) -> DataFrame:
+    """(entity_id, variable, primary, stated): variables that sources bind to different values for one entity.
+
+    ``assertions``: (entity_id, source, valid_from, opened_by, bindings: a map). Each source's last bindings count; a source that
+    doesn't bind a variable says nothing of it. The earliest source's value is primary, all are named beside it. Last rows
+    are maxima and values are joined per entity and variable, so many versions of an entity are no task of their own.
+    """
+    last = assertions.groupBy("entity_id", "source").agg(F.max_by("bindings", F.struct("valid_from", "opened_by")).alias("bindings"))
+    bound = last.select("entity_id", "source", F.explode("bindings").alias("variable", "value")).where("value IS NOT NULL")
+    rows = bound.groupBy("entity_id", "variable").agg(
+        F.min_by("value", "source").alias("primary"), F.count_distinct("value").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source", "value"))), ",").alias("stated")
+    )
+    return rows.where("n > 1").drop("n")
+
+
 def store_version(assertions: DataFrame, version: DataFrame, source: str, at: int, recorded: int, successor: int | None) -> DataFrame:
     """The rows a new version writes and closes, tagged by action.
 

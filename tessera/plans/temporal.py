@@ -140,10 +140,17 @@ def state_chain(t):
     return graph.chain_faults(t.event.select("user_id", F.col("event_id").alias("id"), prev.alias("prev")), "user_id")
 
 
-@query("binding_discrepancies", "SELECT user_id, k % 5 AS variable, count(DISTINCT event_type) AS contents, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stated FROM event GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1")
+@query(
+    "binding_discrepancies",
+    """WITH s AS (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN 'src2' WHEN event_id % 5 = 1 THEN 'src3' ELSE 'src1' END AS source, event_id, event_type, k, tick FROM event), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, source ORDER BY tick DESC, event_id DESC) AS n FROM s) x WHERE n = 1),
+    b AS (SELECT user_id, source, 'level' AS variable, 'l' || CAST(k % 3 AS VARCHAR) AS value FROM l UNION ALL SELECT user_id, source, 'mode', event_type FROM l WHERE k % 5 <> 0)
+    SELECT user_id AS entity_id, variable, first(value ORDER BY source) AS "primary", string_agg(source || '=' || value, ',' ORDER BY source || '=' || value) AS stated FROM b GROUP BY 1, 2 HAVING count(DISTINCT value) > 1""",
+)
 def binding_discrepancies(t):
-    rows = t.event.groupBy("user_id", (F.col("k") % 5).alias("variable")).agg(F.count_distinct("event_type").alias("contents"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stated"))
-    return rows.where("contents > 1")
+    """What the sources of a user's last events bind ``level`` and ``mode`` to; some leave the mode open."""
+    source = F.when(F.col("event_id") % 5 == 0, "src2").when(F.col("event_id") % 5 == 1, "src3").otherwise("src1")
+    bindings = F.create_map(F.lit("level"), F.concat(F.lit("l"), (F.col("k") % 3).cast("string")), F.lit("mode"), F.when(F.col("k") % 5 != 0, F.col("event_type")))
+    return T.binding_discrepancies(t.event.select(F.col("user_id").alias("entity_id"), source.alias("source"), F.col("tick").alias("valid_from"), F.col("event_id").alias("opened_by"), bindings.alias("bindings")))
 
 
 @query("children_asof", f"WITH h AS (SELECT DISTINCT entity_id AS id FROM assertion WHERE {HOLDS} AND content <> 'error') SELECT DISTINCT p.id AS parent, c.id AS child FROM h c JOIN h p ON p.id = c.id - c.id % 10 WHERE c.id % 10 > 0")
