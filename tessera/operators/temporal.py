@@ -204,6 +204,21 @@ def replay(journal: DataFrame, key: str, seq: str, opens: tuple[str, ...], close
     return rows.where("is_open").drop("is_open")
 
 
+def replay_graph(operations: DataFrame) -> DataFrame:
+    """(what, id, since, operations) of what stands after a journal: vertices, edges and opinions.
+
+    ``operations``: (seq, what, id, opens, ends): ``what`` is vertex, edge or opinion, ``opens`` whether it is stated or withdrawn,
+    ``ends`` the vertices it hangs on (none, two, the holder). What was stated last stands, and hangs on nothing that has gone:
+    with a vertex go its edges and opinions, and when it comes back, so do they. ``since`` is the last operation on it. Folds are
+    maxima by seq, so an id of very many operations is combined before the shuffle.
+    """
+    rows = operations.groupBy("what", "id").agg(F.max_by(F.struct("opens", "ends"), "seq").alias("last"), F.max("seq").alias("since"), F.count(F.lit(1)).alias("operations")).where("last.opens")
+    standing = cut(rows.select("what", "id", "last.ends", "since", "operations"))
+    vertices = standing.where("what = 'vertex'").select(F.col("id").alias("end"))
+    gone = standing.where("what <> 'vertex'").select("what", "id", F.explode("ends").alias("end")).join(vertices, "end", "left_anti").select("what", "id").distinct()
+    return standing.join(gone, ["what", "id"], "left_anti").drop("ends")
+
+
 def shortest_prefixes(uids: DataFrame, uid: str, head: int = 4) -> DataFrame:
     """Shortest unambiguous hex prefix of every uid.
 

@@ -104,11 +104,26 @@ def path_periods(t):
     return H.path_periods(changes, commits, t.parent, pins, tree).withColumnRenamed("path", "file")
 
 
-@query("journal_replay", """WITH j AS (SELECT user_id * 10 + k % 10 AS id, event_id AS seq, event_type FROM event), l AS (SELECT id, count(*) AS events, max(CASE WHEN event_type <> 'click' THEN seq END) AS since, max(CASE WHEN event_type = 'click' THEN seq END) AS evidence FROM j GROUP BY id)
-    SELECT l.id, l.since, l.evidence, l.events FROM l JOIN j ON j.seq = l.since WHERE j.event_type IN ('signup', 'view')""")
+@query(
+    "journal_replay",
+    """WITH o AS (SELECT event_id AS seq, 'vertex' AS what, CAST(user_id AS VARCHAR) AS id, event_type = 'signup' AS opens, NULL AS a, NULL AS b FROM event WHERE event_type = 'signup' OR event_type = 'error' AND k % 4 = 0
+      UNION ALL SELECT event_id, 'opinion', CAST(user_id AS VARCHAR) || '/' || CAST(k % 10 AS VARCHAR), event_type = 'view', CAST(user_id AS VARCHAR), NULL FROM event WHERE event_type IN ('view', 'purchase')
+      UNION ALL SELECT event_id, 'edge', CAST(user_id AS VARCHAR) || '>' || CAST(user_id + k % 7 AS VARCHAR), event_type = 'click', CAST(user_id AS VARCHAR), CAST(user_id + k % 7 AS VARCHAR) FROM event WHERE event_type = 'click' OR event_type = 'error' AND k % 4 = 1),
+    l AS (SELECT *, row_number() OVER (PARTITION BY what, id ORDER BY seq DESC) AS n, count(*) OVER (PARTITION BY what, id) AS operations FROM o), s AS (SELECT * FROM l WHERE n = 1 AND opens), v AS (SELECT id FROM s WHERE what = 'vertex')
+    SELECT what, id, seq AS since, operations FROM s WHERE what = 'vertex' OR a IN (SELECT id FROM v) AND (b IS NULL OR b IN (SELECT id FROM v))""",
+)
 def journal_replay(t):
-    j = t.event.select((F.col("user_id") * 10 + F.col("k") % 10).alias("id"), F.col("event_id").alias("seq"), "event_type")
-    return T.replay(j, "id", "seq", ("signup", "view"), ("purchase", "error"), ("click",))
+    """Users as vertices, their views as opinions and their clicks as edges to users close by, some of which are withdrawn."""
+    kind, text = F.col("event_type"), lambda c: c.cast("string")
+    user, near = text(F.col("user_id")), text(F.col("user_id") + F.col("k") % 7)
+    error = lambda r: (kind == "error") & (F.col("k") % 4 == r)
+    row = lambda what, id_, opens, *ends: F.struct(F.lit(what).alias("what"), id_.alias("id"), opens.alias("opens"), F.array(*ends).cast("array<string>").alias("ends"))
+    operation = (
+        F.when((kind == "signup") | error(0), row("vertex", user, kind == "signup"))
+        .when(kind.isin("view", "purchase"), row("opinion", F.concat(user, F.lit("/"), text(F.col("k") % 10)), kind == "view", user))
+        .when((kind == "click") | error(1), row("edge", F.concat(user, F.lit(">"), near), kind == "click", user, near))
+    )
+    return T.replay_graph(t.event.select(F.col("event_id").alias("seq"), operation.alias("o")).where("o IS NOT NULL").select("seq", "o.*"))
 
 
 @query("revision_conflicts", "SELECT b.id, b.holder, count(*) AS later FROM opinion b JOIN opinion l ON l.holder = b.holder AND l.producer = b.producer AND l.id > b.id AND l.grade IS DISTINCT FROM b.grade WHERE b.state = 'confirmed' GROUP BY 1, 2")

@@ -76,3 +76,21 @@ def test_dates_follow_the_walk(spark):
 def test_no_history(spark, n):
     got = run(spark, [("a", 1, False)], [], [], ["f"][:n])
     assert got == {"f": (0, None, None, None, None, None)} if n else got == {}
+
+
+def test_replay_of_vertices_edges_and_opinions(spark):
+    """Random journals against a plain replay: what hangs on a vertex goes and comes with it."""
+    from tessera.operators import temporal
+
+    rng = random.Random(11)
+    rows = []
+    for seq in range(400):
+        a, b = rng.choice("abcd"), rng.choice("abcd")
+        what, name, ends = rng.choice([("vertex", a, []), ("edge", f"{a}>{b}", [a, b]), ("opinion", f"{a}/x", [a])])
+        rows.append((seq, what, name, rng.random() < 0.5, ends))
+    for n in (0, 10, 50, 400):
+        last = {(w, i): (seq, opens, ends) for seq, w, i, opens, ends in rows[:n]}
+        up = {i for (w, i), x in last.items() if w == "vertex" and x[1]}
+        want = {(w, i, seq, sum(r[1] == w and r[2] == i for r in rows[:n])) for (w, i), (seq, opens, ends) in last.items() if opens and set(ends) <= up}
+        got = temporal.replay_graph(spark.createDataFrame(rows[:n], "seq long, what string, id string, opens boolean, ends array<string>"))
+        assert {tuple(r) for r in got.collect()} == want
