@@ -110,8 +110,8 @@ def follow(machine: Machine, events: DataFrame, subject: str, order: Sequence[st
 
     A subject's events are taken by ``order``, from the machine's initial state or from the one that its column ``begun`` holds
     (the same in all its rows; null: initial; a state that isn't declared refuses everything). Events of one subject may be any
-    number: they lie in several ranges, which work side by side. Two rows a range go to the driver, as many as there are shuffle
-    partitions. A null subject is a subject; rows that tie in everything ordered by are taken in any order.
+    number: they lie in several ranges, which work side by side. Two rows a range are composed by one task and broadcast, as many as
+    there are shuffle partitions. A null subject is a subject; rows that tie in everything ordered by are taken in any order.
     """
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in events.columns if c not in ("before", "after", "transition", "code", "guard")]
@@ -153,21 +153,30 @@ def follow(machine: Machine, events: DataFrame, subject: str, order: Sequence[st
         if now:
             ends.append(now)
             ks, ms, ss = zip(*ends)
-            yield pa.RecordBatch.from_arrays([pa.array([range_] * len(ends), pa.int32()), pa.array(ks, kind), pa.array(ms, pa.list_(pa.int32())), pa.array(ss)], names=["range", "key", "map", "start"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([range_] * len(ends), pa.int32()), pa.array(range(len(ends)), pa.int32()), pa.array(ks, kind), pa.array(ms, pa.list_(pa.int32())), pa.array(ss)], names=["range", "place", "key", "map", "start"]
+            )
 
     type_ = rows.schema[subject].dataType.simpleString()
-    ends = sorted(rows.mapInArrow(maps, f"range int, key {type_}, map array<int>, start string").collect(), key=lambda r: r["range"])
-    into: dict[int, str] = {}  # the state in which a range finds its first subject, where an earlier range has it too
-    last: tuple | None = None
-    by_range: dict[int, list] = {}
-    for r in ends:  # a range's first subject before its last
-        by_range.setdefault(r["range"], []).append(r)
-    for at, some in sorted(by_range.items()):
-        for i, r in enumerate(some):
-            state = last[1] if i == 0 and last and last[0] == r["key"] else r["start"]
-            if i == 0 and last and last[0] == r["key"]:
-                into[at] = state
-            last = (r["key"], states[r["map"][states.index(state)]] if state in states else state)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state in which a range finds its first subject, where an earlier range has it too."""
+        last: tuple | None = None
+        out, before = [], None
+        for b in batches:
+            for range_, k, map_, start in zip(*[c.to_pylist() for c in b.columns]):
+                on = range_ != before and last is not None and last[0] == k
+                state = last[1] if on else start
+                if on:
+                    out.append((range_, state))
+                last = (k, states[map_[states.index(state)]] if state in states else state)
+                before = range_
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([s for _, s in out], pa.string())], names=["__range", "__into"])
+
+    # two rows a range: one task composes them in order, and what comes of it is as small
+    ends = cut(rows.mapInArrow(maps, f"range int, place int, key {type_}, map array<int>, start string"))
+    into = ends.repartition(1).sortWithinPartitions("range", "place").drop("place").mapInArrow(starts, "__range int, __into string")
+    joined = rows.join(F.broadcast(into), "__range", "left").select(*rows.columns, "__into")
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, now, state = True, None, ""
@@ -176,7 +185,8 @@ def follow(machine: Machine, events: DataFrame, subject: str, order: Sequence[st
             out = []
             for k, e, h, s in fields(b):
                 if first or now != k:
-                    state = into.get(b.column(place)[0].as_py(), s) if first else s
+                    carried = b.column(place + 1)[0].as_py() if first else None
+                    state = s if carried is None else carried
                     first, now = False, k
                 after, *more = step(state, e, h)
                 out.append((state, after, *more))
@@ -185,4 +195,4 @@ def follow(machine: Machine, events: DataFrame, subject: str, order: Sequence[st
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [pa.array(c, pa.string()) for c in zip(*out)], names=[*names, "before", "after", "transition", "code", "guard"])
 
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names] + [f"{c} string" for c in ("before", "after", "transition", "code", "guard")])
-    return rows.mapInArrow(steps, schema)
+    return joined.mapInArrow(steps, schema)

@@ -50,6 +50,11 @@ def catalogue_ranked(kinds: DataFrame, text: str) -> DataFrame:
     return hits.select("name", "word", "rank", F.when(F.col("rank") == 3, F.col("definition")).otherwise(F.col("word")).alias("matched"))
 
 
+def _brought(rows: DataFrame) -> list:
+    """Rows on the driver whose number a parameter bounds: names of one automaton, queries of one batch."""
+    return rows.collect()
+
+
 #: Names of terms that one automaton holds; more are dealt over several, each of which goes over the texts.
 NAMES = 200_000
 
@@ -98,7 +103,7 @@ def term_mentions(texts: DataFrame, terms: DataFrame, definitions: DataFrame | N
     out = None
     for part in range(parts):
         held: dict[str, list] = {}
-        for r in dealt.where(F.col("part") == part).select("term", "name").collect():  # a bounded number of names
+        for r in _brought(dealt.where(F.col("part") == part).select("term", "name")):
             held.setdefault(folded(r["name"]), []).append(r["term"])
         held_ = texts.sparkSession.sparkContext.broadcast(held)
 
@@ -165,7 +170,7 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, metric: str, k: int
     slim = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     batches, out = max(1, -(-asked.count() // batch)), None
     for n in range(batches):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == n).collect()  # about ``batch`` rows
+        mine = _brought(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == n))  # about ``batch`` rows
         shared = spark.sparkContext.broadcast(([r[0] for r in mine], [np.array(r[1]) for r in mine]))
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

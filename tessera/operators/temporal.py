@@ -253,39 +253,3 @@ def children_as_of(assertions: DataFrame, parents: DataFrame, valid: int, known:
         parents = parents.where(F.col("parent") == parent)
     pairs = parents.select("parent", "entity_id").join(held, "entity_id", "left_semi")
     return pairs.join(held.select(F.col("entity_id").alias("parent")), "parent", "left_semi").select("parent", F.col("entity_id").alias("child"))
-
-
-COMMIT = "source string, commit_id string, committed_at long, digest string"
-ASSERTION = "source string, kind string, entity_id long, content string, valid_from long, valid_to long, opened_by string, closed_by string, recorded_from long, recorded_to long"
-
-
-def snapshot_after(assertions: DataFrame, written: DataFrame, source: str, commit: str) -> DataFrame:
-    """The assertions after ``store_version``: what it superseded gets its recorded end and the commit that closed it, what it
-    wrote is appended."""
-    closed = written.where("action = 'closed'").select("kind", "entity_id", "valid_from", F.col("recorded_to").alias("__end"))
-    mine = (F.col("source") == source) & F.col("recorded_to").isNull() & F.col("__end").isNotNull()
-    kept = assertions.join(closed, ["kind", "entity_id", "valid_from"], "left").withColumns({"closed_by": F.when(mine, commit).otherwise(F.col("closed_by")), "recorded_to": F.when(mine, F.col("__end")).otherwise(F.col("recorded_to"))})
-    new = written.where("action <> 'closed'").withColumns({"source": F.lit(source), "opened_by": F.lit(commit), "closed_by": F.lit(None).cast("string")})
-    return kept.select(*assertions.columns).unionByName(new.select(*assertions.columns))
-
-
-def store_commits(assertions: DataFrame, stored: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assertions, commits, outcomes) after the versions (source, commit_id, committed_at, recorded_at, kind, entity_id, content),
-    each the whole model of its source at a commit, in the order in which they were recorded.
-
-    A commit stored before is not stored again, and one that comes with another time or content is refused (``admit``). One that
-    comes late, before stored commits of its source, changes what lies between it and the next of them. Commits are few
-    against their rows: they are taken one by one, each as a set operation.
-    """
-    digests = cut(version_digests(versions).join(versions.groupBy("source", "commit_id").agg(F.min("recorded_at").alias("recorded_at")), ["source", "commit_id"]))
-    outcomes = cut(admit(stored, digests))
-    fresh = outcomes.where("outcome = 'stored'").select("source", "commit_id")
-    new = digests.join(fresh, ["source", "commit_id"], "left_semi")
-    known = {(r["source"], r["committed_at"]) for r in stored.select("source", "committed_at").collect()}
-    for c in sorted(new.collect(), key=lambda c: (c["recorded_at"], c["source"], c["committed_at"], c["commit_id"])):
-        later = [at for source, at in known if source == c["source"] and at > c["committed_at"]]
-        mine = versions.where((F.col("source") == c["source"]) & (F.col("commit_id") == c["commit_id"]))
-        written = cut(store_version(assertions, mine, c["source"], c["committed_at"], c["recorded_at"], min(later, default=None)))
-        assertions = cut(snapshot_after(assertions, written, c["source"], c["commit_id"]))
-        known.add((c["source"], c["committed_at"]))
-    return assertions, stored.unionByName(new.select(*stored.columns)), outcomes

@@ -4,7 +4,6 @@ import itertools
 
 import pytest
 
-from tessera.operators import temporal
 from tessera.streaming import live
 
 COMMITS = [  # (source, commit, committed, recorded, content by element)
@@ -72,6 +71,6 @@ def test_any_split_into_batches(spark, tmp_path, split):
 def test_as_a_stream(spark, tmp_path):
     spark.createDataFrame(rows(COMMITS[:2]), live.VERSION).coalesce(1).write.parquet(str(tmp_path / "in"))
     got = live.store_versions(spark.readStream.schema(live.VERSION).parquet(str(tmp_path / "in")))
-    after, known, _ = temporal.store_commits(*live._at(spark, "", -1), spark.createDataFrame(rows(COMMITS[:2]), live.VERSION))
+    after, known, _ = live.store_commits(*live._at(spark, "", -1), spark.createDataFrame(rows(COMMITS[:2]), live.VERSION))
     assert result(got) == result(after) and known.count() == 2
     assert {r["closed_by"] for r in got.where("recorded_to IS NOT NULL").collect()} == {"c3"}
