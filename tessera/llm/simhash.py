@@ -394,8 +394,12 @@ def similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFram
                 same.append(both >= least * whole)
             yield b.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    def counted(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
-        many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
+    def counted(rows: DataFrame, key: str, values: DataFrame, of: DataFrame) -> DataFrame:
+        """``rows`` with ``values`` by key, the keys counted in ``of``; a plain join where no key has many rows."""
+        many = of.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
+        total, most = many.agg(F.sum("many"), F.max("many")).first()
+        if not total or most <= 10_000 or most * 1000 <= total:
+            return rows.join(values, key)
         return join_counted(rows, materialize(values.join(many, key)), key)
 
     if pairs.isEmpty():
@@ -404,14 +408,15 @@ def similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFram
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     found = materialize(texts.mapInArrow(sets, "id long, digest binary, hashes array<long>"))
     named = materialize(found.groupBy("id").agg(F.min("digest").alias("digest")))
+    given = pairs
     for end in ("a", "b"):
-        pairs = counted(pairs, end, named.select(F.col("id").alias(end), F.col("digest").alias(f"d{end}")))
+        pairs = counted(pairs, end, named.select(F.col("id").alias(end), F.col("digest").alias(f"d{end}")), given)
     pairs = materialize(pairs)
     low, high = F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")
     tried = materialize(pairs.where("da <> db").select(low, high).distinct())
     held = found.join(named, ["id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "hashes")
-    one = counted(tried, "da", held.select(F.col("digest").alias("da"), F.col("hashes").alias("x")))
-    two = counted(materialize(one), "db", held.select(F.col("digest").alias("db"), F.col("hashes").alias("y")))
+    one = counted(tried, "da", held.select(F.col("digest").alias("da"), F.col("hashes").alias("x")), tried)
+    two = counted(one, "db", held.select(F.col("digest").alias("db"), F.col("hashes").alias("y")), tried)
     near = materialize(two.select("da", "db", "x", "y").mapInArrow(compare, "da binary, db binary"))
     same = pairs.where("da = db").select("a", "b")
     other = pairs.where("da <> db").select("a", "b", low, high).join(near, ["da", "db"], "left_semi").select("a", "b")
