@@ -396,6 +396,8 @@ def similar(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFram
 
     def counted(rows: DataFrame, key: str, values: DataFrame, of: DataFrame) -> DataFrame:
         """``rows`` with ``values`` by key, the keys counted in ``of``; a plain join where no key has many rows."""
+        if of.count() <= 10_000:
+            return rows.join(values, key)
         many = of.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
         total, most = many.agg(F.sum("many"), F.max("many")).first()
         if not total or most <= 10_000 or most * 1000 <= total:
@@ -447,13 +449,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 72, hot: int = 20
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     tried = materialize(_links(_in_blocks(found, 4, F.col("band"), hot), 4, sure, compared=True).select(*pair).distinct())
     held = materialize(similar(tried, docs, k, least))
+    classes, moved = components(held), True
     for nearest in (True, True, False):
-        classed = found.join(components(held), F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
+        if nearest and not moved:
+            continue  # the same classes have the same nearest candidates
+        classed = found.join(classes, F.col("id") == F.col("node"), "left").withColumn("kind", F.coalesce("component", "id"))
         others = _links(_in_blocks(classed, 4, F.col("band"), hot, "kind"), 4, radius, kind="kind", nearest=nearest).select(*pair).distinct()
         others = materialize(others.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(others)
-        held = held.unionByName(materialize(similar(others, docs, k, least)))
-    classes = components(held)
+        more = materialize(similar(others, docs, k, least))
+        moved = not more.isEmpty()
+        if moved:
+            held = held.unionByName(more)
+            classes = components(held)
     named = found.join(classes, F.col("id") == F.col("node"), "left").select(*whole, F.coalesce("component", "id").alias("component_id"), "many")
     out = join_counted(rows.select("id", *whole), materialize(named), whole)
     return out.select(F.col("id").alias("doc_id"), "component_id")
