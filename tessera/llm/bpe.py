@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from .common import pieces
 
 END = "</w>"
 _BREAK = re.compile(rb"[\t-\r ]")
+#: White space, or where a word ends whatever surrounds it: between an ASCII letter or digit and a digit, and between a full-width
+#: stop or comma and an ideograph or kana. None of these is changed by, or changes, a character beside it.
+_TURN = re.compile(rb"[\t-\r ]|(?<=[0-9A-Za-z])(?=[0-9])|(?<=\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9f])(?=\xe4[\xb8-\xbf]|[\xe5-\xe9]|\xe3\x81[\x82-\xbf])")
 SPACES = r"\t-\r\x85\p{Z}"
 
 
@@ -91,6 +95,8 @@ class Vocabulary:
         self.letters = byte_letters()
         self.lookahead = lookahead(pairs, self.symbols)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        # an added token that holds such an end of a word could be cut by it
+        self.turns = not any(_TURN.search(t.encode()) for t in self.added)
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
         self.known = _Known(self._piece, keep)
 
@@ -141,29 +147,31 @@ class Vocabulary:
 
     def transduce(self, symbols: Iterable[str], block: int = 4096) -> Iterator[str]:
         """Tokens of one word's symbols (any number, the last with its word end), emitted as soon as they are stable."""
-        held: list[str] = []
-        most = block + self.lookahead
-        for s in symbols:
-            held.append(s)
-            if len(held) > most:
-                at, limit = 0, len(held) - self.lookahead
-                for t in self.merge(list(held)):
-                    if at + self.symbols(t) > limit:
-                        break
-                    at += self.symbols(t)
-                    yield t
-                del held[:at]
+        symbols, most = iter(symbols), block + self.lookahead
+        held = list(islice(symbols, most + 1))
+        while len(held) > most:
+            at, limit = 0, len(held) - self.lookahead
+            for t in self.merge(list(held)):
+                if at + self.symbols(t) > limit:
+                    break
+                at += self.symbols(t)
+                yield t
+            del held[:at]
+            more = list(islice(symbols, max(block, most + 1 - len(held))))
+            if not more:
+                break
+            held += more
         yield from self.merge(held)
 
     def _word(self, word: str) -> bytes:
-        raw = word.encode()
-        letters, packed = self.letters, self.packed
+        raw, letters, packed = word.encode(), self.letters, self.packed
         if len(raw) <= 64:
             symbols = [letters[b] for b in raw]
             symbols[-1] += END
-            return b"".join([packed[t] for t in self.merge(symbols)])
-        last = len(raw) - 1
-        return b"".join([packed[t] for t in self.transduce(letters[b] + (END if i == last else "") for i, b in enumerate(raw))])
+        else:  # as they are needed
+            last = len(raw) - 1
+            symbols = (letters[b] + (END if i == last else "") for i, b in enumerate(raw))
+        return b"".join([packed[t] for t in self.transduce(symbols)])
 
     def _plain(self, text: str) -> bytes:
         plain = text.isascii()
@@ -191,11 +199,19 @@ class Vocabulary:
 
     def stream(self, text: bytes, block: int = 1 << 20) -> Iterator[bytes]:
         """Ids of a text, block by block. White space always ends a word, so pieces between it stand alone, and blocks are
-        cut there; a longer piece is a block of its own."""
+        cut there. Where a block has none, it is cut at another end of a word that no context can undo (``_TURN``); only a
+        longer run of letters, or of marks, is a block of its own, whose symbols the transducer takes one by one."""
         at = 0
         while at < len(text):
-            cut = _BREAK.search(text, min(at + block, len(text)))
-            end = cut.start() if cut else len(text)
+            upto = min(at + block, len(text))
+            cut = _BREAK.search(text, upto, upto + block)
+            if cut:
+                end = cut.start()
+            elif upto + block >= len(text):
+                end = len(text)
+            else:
+                turn = _TURN.search(text, upto) if self.turns else _BREAK.search(text, upto)
+                end = turn.start() if turn else len(text)
             yield b"".join(map(self.known.__getitem__, text[at:end].split()))
             at = end
 

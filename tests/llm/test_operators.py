@@ -424,6 +424,21 @@ def test_stream_in_blocks(library):
     assert len(parts) > 10 and np.frombuffer(b"".join(parts), "<u4").tolist() == want
 
 
+def test_stream_without_white_space(library):
+    """Texts without white space go through in blocks too, cut where a word ends in any surroundings."""
+    with open(registry.vocabulary(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    rng = random.Random(4)
+    odd = [*"aZ'sé0123456789<|>。、！，？漢字東京かがなカ", "\u3099", "e\u0301", "Σ", "ß", "<|endoftext|>", "<|startoftext|>", "'re", "ﬁ", "👍"]
+    for block in (1, 3, 17, 50):
+        text = "".join(rng.choice(odd) for _ in range(3_000))
+        parts = list(v.stream(text.encode(), block))
+        assert len(parts) > 20 and np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    text = "".join(rng.choice(["abc1", "東京へ行く。", "x", "2024", "-"]) for _ in range(400_000))
+    parts = list(v.stream(text.encode()))
+    assert len(text.encode()) > 2 << 20 and len(parts) > 1 and np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # -- 8
 
 
