@@ -28,22 +28,61 @@ FILTERS = {
 }
 
 
-def compile_filter(where: Mapping[str, Mapping[str, object]]) -> Column:
+
+def _either(column: Column, values: Sequence[object]) -> Column:
+    return reduce(lambda a, v: a | column.eqNullSafe(F.lit(v)), values, F.lit(False))
+
+
+def _like(pattern: str) -> str:
+    """``%`` any run and ``_`` one character, neither across a line's end; all else literally."""
+    return r"\A" + "".join({"%": r"[^\n\r\u2028\u2029]*", "_": r"[^\n\r\u2028\u2029]"}.get(c) or re.escape(c) for c in pattern) + r"\z"
+
+
+#: The filters of catalogue rows, which compare values where ``FILTERS`` compare in SQL: null is a value like any other in
+#: ``_in`` and ``_nin``, wildcards in ``_contains`` aren't live, texts are ordered by locale. Only comparisons fail for null.
+CATALOGUE = {
+    "_eq": lambda c, v: c.eqNullSafe(F.lit(v)),
+    "_neq": lambda c, v: ~c.eqNullSafe(F.lit(v)),
+    "_in": lambda c, v: _either(c, v),
+    "_nin": lambda c, v: ~_either(c, v),
+    "_contains": lambda c, v: F.coalesce(F.contains(F.lower(c), F.lit(v.lower())), F.lit(False)),
+    "_like": lambda c, v: F.coalesce(c.rlike(_like(v)), F.lit(False)),
+    "_lt": lambda c, v: _order(c, v, lambda a, b: a < b),
+    "_lte": lambda c, v: _order(c, v, lambda a, b: a <= b),
+    "_gt": lambda c, v: _order(c, v, lambda a, b: a > b),
+    "_gte": lambda c, v: _order(c, v, lambda a, b: a >= b),
+    "_is_null": lambda c, v: c.isNull() if v is True else c.isNotNull(),
+}
+
+#: The root locale's order of texts.
+LOCALE = "UNICODE"
+
+
+def _order(column: Column, value: object, holds) -> Column:
+    """A comparison that fails for null on either side; by locale unless the value is a number."""
+    if value is None:
+        return F.lit(False)
+    if isinstance(value, str):
+        return F.coalesce(holds(F.collate(column.cast("string"), LOCALE), F.collate(F.lit(value), LOCALE)), F.lit(False))
+    return F.coalesce(holds(column, F.lit(value)), F.lit(False))
+
+
+def compile_filter(where: Mapping[str, Mapping[str, object]], filters: Mapping = FILTERS) -> Column:
     """All clauses AND-ed. Unknown operators are refused."""
     clauses = []
     for field, tests in where.items():
         for op, value in tests.items():
-            if op not in FILTERS:
+            if op not in filters:
                 raise ValueError(f"unknown filter {op} on {field}")
-            clauses.append(FILTERS[op](F.col(field), value))
+            clauses.append(filters[op](F.col(field), value))
     return reduce(lambda a, b: a & b, clauses, F.lit(True))
 
 
-def where(rows: DataFrame, clauses: Mapping[str, Mapping[str, object]]) -> DataFrame:
+def where(rows: DataFrame, clauses: Mapping[str, Mapping[str, object]], filters: Mapping = FILTERS) -> DataFrame:
     unknown = set(clauses) - set(rows.columns)
     if unknown:
         raise ValueError(f"unknown fields {sorted(unknown)}")
-    return rows.where(compile_filter(clauses))
+    return rows.where(compile_filter(clauses, filters))
 
 
 Order = Sequence[tuple[str, str, str]]  # field, ASC or DESC, FIRST or LAST
@@ -54,6 +93,13 @@ def ordering(order: Order, key: str) -> list[Column]:
     return [kinds[d, n](f) for f, d, n in order] + [F.asc(key)]
 
 
+def catalogue_ordering(order: Sequence[tuple[str, str]], rows: DataFrame, key: str) -> list[Column]:
+    """Nulls last in either direction, texts by locale; then the key."""
+    kinds = dict(rows.dtypes)
+    by = [(F.collate(F.col(f), LOCALE) if kinds[f] == "string" else F.col(f), d) for f, d in order]
+    return [c.asc_nulls_last() if d == "ASC" else c.desc_nulls_last() for c, d in by] + [F.asc(key)]
+
+
 def encode_cursor(values: Sequence[object], key: object) -> str:
     return base64.urlsafe_b64encode(json.dumps({"o": list(values), "id": key}).encode()).decode().rstrip("=")
 

@@ -51,7 +51,7 @@ def catalogue_ranked(kinds: DataFrame, text: str) -> DataFrame:
 
 
 def _brought(rows: DataFrame) -> list:
-    """Rows on the driver whose number a parameter bounds: names of one automaton, queries of one batch."""
+    """Rows on the driver whose number a parameter bounds: names of one automaton."""
     return rows.collect()
 
 
@@ -158,40 +158,62 @@ def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     raise ValueError(metric)
 
 
-def exact_neighbours(vectors: DataFrame, queries: DataFrame, metric: str, k: int, batch: int = 4_096) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the k nearest of all vectors, the query itself excluded, ties by id.
+def _nearest(vectors: DataFrame, queries: DataFrame, metric: str, k: int, block: int, within: list[str], names: list[str], others: bool) -> DataFrame:
+    """(*within, query_id, rank, *names, distance): each query's k nearest of the vectors with the same ``within``.
 
-    Vectors stay where they are. Queries are broadcast in batches of about ``batch``; each task keeps its k best of a query,
-    and these meet per query. Distances count to 6 places.
+    A block join: about ``block`` vectors meet about ``block`` queries in one task, whatever the numbers of either and however
+    unequal the spaces; the best of each pair of blocks are ranked together. Nothing goes through the driver but two counts.
     """
     _distances(metric, np.ones((1, 1)), np.ones(1))  # refuses unknown metrics here
-    spark = vectors.sparkSession
-    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("q"))
-    slim = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    batches, out = max(1, -(-asked.count() // batch)), None
-    for n in range(batches):
-        mine = _brought(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == n))  # about ``batch`` rows
-        shared = spark.sparkContext.broadcast(([r[0] for r in mine], [np.array(r[1]) for r in mine]))
-
-        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for b in parts:
-                if not b.num_rows:
-                    continue
-                names, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                for i, mine in enumerate(ids):
-                    d, other = np.round(_distances(metric, x, q[i]), 6), names != mine
-                    d, at = np.r_[best[i][0], d[other]], np.r_[best[i][1], names[other]]
-                    first = np.lexsort((at, d))[:k]
-                    best[i] = d[first], at[first]
-            sizes = [len(d) for d, _ in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *(at for _, at in best)])), pa.array(np.concatenate([np.zeros(0), *(d for d, _ in best)]))],
-                ["query_id", "vec_id", "distance"],
-            )
-
-        part = slim.mapInArrow(run, "query_id long, vec_id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    v = vectors.where("embedding IS NOT NULL").select(*within, *names, F.col("embedding").cast("array<double>").alias("v"))
+    q = queries.where("embedding IS NOT NULL").select(*within, "query_id", F.col("embedding").cast("array<double>").alias("q"))
+    parts, batches = (max(1, -(-rows.count() // block)) for rows in (v, q))
+    v = v.select("*", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("asked"))
+    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("asked"))
+    keys = [*within, "part", "asked"]
+
+    def near(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        n, many, at, dist = left.num_rows, [], [], []
+        if n and right.num_rows:
+            x = left.column("v").combine_chunks().flatten().to_numpy().reshape(n, -1)
+            # places of the names in their order, for ties
+            order = [np.unique(np.array(left.column(c).to_pylist()), return_inverse=True)[1] for c in names]
+            own = left.column(names[0]).to_numpy() if others else None
+            ids = right.column("query_id").to_numpy()
+            asked = right.column("q").combine_chunks().flatten().to_numpy().reshape(right.num_rows, -1)
+            for i, y in enumerate(asked):
+                d = np.round(_distances(metric, x, y), 6)
+                some = np.flatnonzero(own != ids[i]) if others else np.arange(n)
+                if len(some) > k:
+                    some = some[d[some] <= np.partition(d[some], k - 1)[k - 1]]
+                some = some[np.lexsort((*(o[some] for o in reversed(order)), d[some]))[:k]]
+                many.append(len(some))
+                at.append(some)
+                dist.append(d[some])
+        rows = np.concatenate([np.zeros(0, np.int64), *at])
+        cols = [pa.array([key[i].as_py()] * len(rows), key[i].type) for i in range(len(within))]
+        cols.append(right.column("query_id").take(pa.array(np.repeat(np.arange(len(many)), many))))
+        cols += [left.column(c).take(pa.array(rows)) for c in names]
+        return pa.table([*cols, pa.array(np.concatenate([np.zeros(0), *dist]))], [*within, "query_id", *names, "distance"])
+
+    kinds = dict(v.dtypes) | dict(q.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*within, "query_id", *names)) + ", distance double"
+    out = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(near, schema)
+    rank = F.row_number().over(W.partitionBy(*within, "query_id").orderBy("distance", *names))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(*within, "query_id", "rank", *names, "distance")
+
+
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, metric: str, k: int, block: int = 4_096) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest of all vectors (vec_id, embedding), the query itself excluded, ties by
+    id. Distances count to 6 places; null vectors take no part."""
+    return _nearest(vectors, queries.select(F.col("vec_id").alias("query_id"), "embedding"), metric, k, block, [], ["vec_id"], True)
+
+
+def scoped_neighbours(vectors: DataFrame, queries: DataFrame, sources: Sequence[str], metric: str, k: int, block: int = 4_096) -> DataFrame:
+    """(space, query_id, rank, source, item, distance): the k nearest vectors (source, space, item, embedding) of a set of
+    sources to each query (space, query_id, embedding), in the query's space alone; ties by source, then item.
+
+    An item is known by its source and its name, so two sources may hold the same name. No sources give no rows; spaces may
+    differ in dimension.
+    """
+    return _nearest(vectors.where(F.col("source").isin(*sources)), queries, metric, k, block, ["space"], ["source", "item"], False)

@@ -140,3 +140,51 @@ def membership_digest(rows: DataFrame, group: str, columns: Sequence[str]) -> Da
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
     part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("digest"))
+
+
+#: A statement of a page, named by the page and a name after the first ``#``.
+STATEMENT = r"\A((?:product|domain):[a-z][a-z0-9-]*)#(?s:.+)\z"
+
+
+def placed(items: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(kind, slug, page): the pages that items (kind, slug, about: array of entries, asked_in) belong to.
+
+    An entry names a statement, and so its page alone; or a page; or something that pages link to (``links``: page, entry).
+    The page where an item was asked counts as well. Only pages of ``pages`` count; each is given once.
+    """
+    known = pages.select("page").distinct()
+    each = items.select("kind", "slug", F.explode("about").alias("entry")).withColumn("of", F.regexp_extract("entry", STATEMENT, 1))
+    each = each.withColumn("page", F.when(F.col("of") != "", F.col("of")).otherwise(F.col("entry")))
+    named = each.join(known, "page", "left_semi").select("kind", "slug", "page")
+    linked = each.where("of = ''").join(known, "page", "left_anti").drop("page").join(links.select("page", "entry").distinct(), "entry")
+    asked = items.select("kind", "slug", F.col("asked_in").alias("page"))
+    some = linked.select("kind", "slug", "page").unionByName(asked).join(known, "page", "left_semi")
+    return named.unionByName(some.select("kind", "slug", "page")).distinct()
+
+
+def waiting(items: DataFrame) -> DataFrame:
+    """Questions (kind, status, resolved) that have an answer no statement has taken up, and open corrections."""
+    question = (F.col("kind") == "question") & (F.col("status") == "answered") & ~F.coalesce("resolved", F.lit(False))
+    return items.where(question | ((F.col("kind") == "correction") & (F.col("status") == "open")))
+
+
+def refresh_reasons(pages: DataFrame, links: DataFrame, items: DataFrame, grounds: DataFrame, language_changed: bool = False) -> DataFrame:
+    """(page, reason, ref): why pages must be written again. Pages without a row are unchanged.
+
+    A change of language takes all pages; a ground (page, ground, status) that changed or is gone its page; an answer or a
+    correction that waits the pages it belongs to (``placed``).
+    """
+    known = pages.select("page").distinct()
+    moved = grounds.where("status IN ('changed', 'removed')").join(known, "page", "left_semi")
+    out = moved.select("page", F.concat(F.lit("ground-"), F.col("status")).alias("reason"), F.col("ground").alias("ref"))
+    said = placed(waiting(items), pages, links)
+    out = out.unionByName(said.select("page", F.when(F.col("kind") == "question", "answer").otherwise(F.col("kind")).alias("reason"), F.col("slug").alias("ref")))
+    if language_changed:
+        out = out.unionByName(known.select("page", F.lit("language").alias("reason"), F.lit(None).cast("string").alias("ref")))
+    return out.distinct()
+
+
+def unplaced(pages: DataFrame, links: DataFrame, items: DataFrame) -> DataFrame:
+    """The waiting items that belong to no page, whole."""
+    open_ = waiting(items)
+    return open_.join(placed(open_, pages, links), ["kind", "slug"], "left_anti").select(*items.columns)

@@ -39,6 +39,25 @@ _where("where_is_null", {"price": {"_is_null": True}, "status": {"_is_null": Fal
 _where("where_and", {"status": {"_neq": "P"}, "price": {"_lte": 200000}, "priority": {"_contains": "medium"}}, "status IS DISTINCT FROM 'P' AND price <= 200000 AND priority ILIKE '%medium%'")
 
 
+def _catalogue(name, clauses, sql):
+    @query(name, f"WITH r AS ({ORD}) SELECT * FROM r WHERE {sql}")
+    def run(t):
+        return P.where(_orders(t), clauses, P.CATALOGUE)
+
+    return run
+
+
+_catalogue("catalogue_nin", {"status": {"_nin": ["O", "F"]}, "price": {"_in": [None, 150000, 200000]}}, "(status IS NULL OR status NOT IN ('O', 'F')) AND (price IS NULL OR price IN (150000, 200000))")
+_catalogue("catalogue_like", {"priority": {"_like": "_-%E%M", "_contains": "-"}, "status": {"_neq": None}}, "priority LIKE '_-%E%M' AND priority LIKE '%-%' AND status IS NOT NULL")
+_catalogue("catalogue_compare", {"priority": {"_gt": "2-HIGH", "_lte": "4-NOT SPECIFIED"}, "status": {"_gte": "F"}, "price": {"_lt": 200000}}, "priority > '2-HIGH' AND priority <= '4-NOT SPECIFIED' AND status >= 'F' AND price < 200000")
+
+
+@query("catalogue_order", f"WITH r AS ({ORD}) SELECT * FROM r ORDER BY status DESC NULLS LAST, price ASC NULLS LAST, id LIMIT 500")
+def catalogue_order(t):
+    rows = _orders(t)
+    return rows.orderBy(*P.catalogue_ordering([("status", "DESC"), ("price", "ASC")], rows, "id")).limit(500)
+
+
 @query("order_nulls", f"WITH r AS ({ORD}) SELECT * FROM r ORDER BY status DESC NULLS FIRST, price ASC NULLS LAST, id LIMIT 500")
 def order_nulls(t):
     return _orders(t).orderBy(*P.ordering([("status", "DESC", "FIRST"), ("price", "ASC", "LAST")], "id")).limit(500)

@@ -142,6 +142,20 @@ _vector("cosine", "1 - list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q
 _vector("inner_product", "-list_inner_product(q.v, e.v)")
 
 
+@query(
+    "vector_scoped",
+    """WITH v AS (SELECT 's' || CAST(vec_id % 5 AS VARCHAR) AS source, CASE WHEN vec_id % 3 = 0 THEN 'wide' ELSE 'narrow' END AS space, vec_id // 5 AS item, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      d AS (SELECT q.space, q.vec_id AS query_id, e.source, e.item, round(list_distance(q.v, e.v), 6) AS distance FROM v q JOIN v e ON e.space = q.space WHERE q.vec_id % 20 = 0 AND e.source IN ('s1', 's2', 's4'))
+      SELECT space, query_id, CAST(rank AS INTEGER) AS rank, source, item, distance FROM (SELECT *, row_number() OVER (PARTITION BY space, query_id ORDER BY distance, source, item) AS rank FROM d) x WHERE rank <= 5""",
+)
+def vector_scoped(t):
+    """Every twentieth vector against the vectors of three of five sources, each in its own space."""
+    source, space = F.concat(F.lit("s"), (F.col("vec_id") % 5).cast("string")), F.when(F.col("vec_id") % 3 == 0, "wide").otherwise("narrow")
+    v = t.embeddings.select(source.alias("source"), space.alias("space"), F.expr("vec_id div 5").alias("item"), "vec_id", "embedding")
+    asked = v.where("vec_id % 20 = 0").select("space", F.col("vec_id").alias("query_id"), "embedding")
+    return S.scoped_neighbours(v, asked, ["s1", "s2", "s4"], "l2", 5)
+
+
 @query("canonical_key", "SELECT id, '{\"kind\":\"' || kind || '\",\"key\":' || CASE WHEN removed THEN 'null' ELSE '\"' || nkey || '\"' END || '}' AS key, sha256('{\"kind\":\"' || kind || '\",\"key\":' || CASE WHEN removed THEN 'null' ELSE '\"' || nkey || '\"' END || '}') AS digest FROM node")
 def canonical_key(t):
     key = I.canonical_key([("kind", F.col("kind")), ("key", F.when(~F.col("removed"), F.col("nkey")))])

@@ -165,6 +165,46 @@ def refresh_decision(t):
     return r.groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
+PLACES = """g AS (SELECT 'domain:p' || CAST(file AS VARCHAR) AS page, file, lines FROM file WHERE lines > 400),
+      l AS (SELECT DISTINCT g.page, 'order:' || CAST(commit_id AS VARCHAR) AS entry FROM change JOIN g ON g.file = change.file),
+      i AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'correction' ELSE 'question' END AS kind, 'i' || CAST(o_orderkey AS VARCHAR) AS slug, 'order:' || CAST(o_orderkey AS VARCHAR) AS first, 'domain:p' || CAST(o_custkey AS VARCHAR) AS second,
+        CASE WHEN o_orderkey % 50 = 0 THEN 'domain:p' || CAST(o_custkey % 90 AS VARCHAR) END AS asked_in FROM orders WHERE o_orderkey % 3 <> 0 AND (o_orderstatus = 'F' OR o_orderkey % 7 <> 0)),
+      e AS (SELECT kind, slug, first AS entry FROM i WHERE kind = 'question' UNION ALL SELECT kind, slug, second FROM i),
+      p AS (SELECT e.kind, slug, g.page FROM e JOIN g ON g.page = e.entry UNION SELECT e.kind, slug, l.page FROM e JOIN l ON l.entry = e.entry UNION SELECT i.kind, slug, asked_in FROM i JOIN g ON g.page = i.asked_in)"""
+
+
+def _places(t):
+    """Pages of the larger files, linked to the orders that changed them; answers and corrections about orders and pages."""
+    domain = lambda c: F.concat(F.lit("domain:p"), c.cast("string"))
+    key, whom = F.col("o_orderkey"), F.col("o_custkey")
+    pages = t.file.where("lines > 400").select(domain(F.col("file")).alias("page"), "file", "lines")
+    links = t.change.join(pages, "file").select("page", F.concat(F.lit("order:"), F.col("commit_id").cast("string")).alias("entry"))
+    wrong = F.col("o_orderstatus") == "F"
+    about = F.when(wrong, F.array(F.concat(domain(whom), F.lit("#claim")))).otherwise(F.array(F.concat(F.lit("order:"), key.cast("string")), domain(whom)))
+    status = F.when(key % 3 == 0, F.when(wrong, "closed").otherwise("open")).otherwise(F.when(wrong, "open").otherwise("answered"))
+    items = t.orders.select(
+        F.when(wrong, "correction").otherwise("question").alias("kind"), F.concat(F.lit("i"), key.cast("string")).alias("slug"), status.alias("status"), (key % 7 == 0).alias("resolved"),
+        about.alias("about"), F.when(key % 50 == 0, domain(whom % 90)).alias("asked_in"),
+    )
+    return pages, links, items
+
+
+@query(
+    "refresh_reasons",
+    f"""WITH {PLACES} SELECT page, CASE kind WHEN 'question' THEN 'answer' ELSE kind END AS reason, slug AS ref FROM p
+      UNION SELECT page, CASE WHEN lines > 1600 THEN 'ground-changed' ELSE 'ground-removed' END, 'file' FROM g WHERE lines > 1200""",
+)
+def refresh_reasons(t):
+    pages, links, items = _places(t)
+    status = F.when(F.col("lines") > 1600, "changed").when(F.col("lines") > 1200, "removed").otherwise("same")
+    return R.refresh_reasons(pages, links, items, pages.select("page", F.lit("file").alias("ground"), status.alias("status")))
+
+
+@query("refresh_unplaced", f"WITH {PLACES} SELECT kind, slug FROM i WHERE NOT EXISTS (SELECT * FROM p WHERE p.slug = i.slug AND p.kind = i.kind)")
+def refresh_unplaced(t):
+    return R.unplaced(*_places(t)).select("kind", "slug")
+
+
 JOB = "SELECT event_id AS id, user_id % 5 AS queue, k % 4 AS priority, tick AS due, k % 6 AS attempt, event_type FROM event"
 
 
