@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -161,16 +162,18 @@ def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _nearest(vectors: DataFrame, queries: DataFrame, metric: str, k: int, block: int, within: list[str], names: list[str], others: bool) -> DataFrame:
     """(*within, query_id, rank, *names, distance): each query's k nearest of the vectors with the same ``within``.
 
-    A block join: about ``block`` vectors meet about ``block`` queries in one task, whatever the numbers of either and however
-    unequal the spaces; the best of each pair of blocks are ranked together. Nothing goes through the driver but two counts.
+    Up to ``block`` queries are broadcast, and vectors stay where they are. More meet the vectors in a block join: about ``block``
+    of each in one task, whatever their numbers and however unequal the spaces; then nothing goes through the driver but two
+    counts. The best of each batch or pair of blocks are ranked together.
     """
     _distances(metric, np.ones((1, 1)), np.ones(1))  # refuses unknown metrics here
     v = vectors.where("embedding IS NOT NULL").select(*within, *names, F.col("embedding").cast("array<double>").alias("v"))
     q = queries.where("embedding IS NOT NULL").select(*within, "query_id", F.col("embedding").cast("array<double>").alias("q"))
-    parts, batches = (max(1, -(-rows.count() // block)) for rows in (v, q))
-    v = v.select("*", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("asked"))
-    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("asked"))
-    keys = [*within, "part", "asked"]
+    if within:
+        v, q = v.dropna(subset=within), q.dropna(subset=within)
+    batches = max(1, -(-q.count() // block))
+    kinds = dict(v.dtypes) | dict(q.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*within, "query_id", *names)) + ", distance double"
 
     def near(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         n, many, at, dist = left.num_rows, [], [], []
@@ -180,8 +183,8 @@ def _nearest(vectors: DataFrame, queries: DataFrame, metric: str, k: int, block:
             order = [np.unique(np.array(left.column(c).to_pylist()), return_inverse=True)[1] for c in names]
             own = left.column(names[0]).to_numpy() if others else None
             ids = right.column("query_id").to_numpy()
-            asked = right.column("q").combine_chunks().flatten().to_numpy().reshape(right.num_rows, -1)
-            for i, y in enumerate(asked):
+            mine = right.column("q").combine_chunks().flatten().to_numpy().reshape(right.num_rows, -1)
+            for i, y in enumerate(mine):
                 d = np.round(_distances(metric, x, y), 6)
                 some = np.flatnonzero(own != ids[i]) if others else np.arange(n)
                 if len(some) > k:
@@ -196,9 +199,27 @@ def _nearest(vectors: DataFrame, queries: DataFrame, metric: str, k: int, block:
         cols += [left.column(c).take(pa.array(rows)) for c in names]
         return pa.table([*cols, pa.array(np.concatenate([np.zeros(0), *dist]))], [*within, "query_id", *names, "distance"])
 
-    kinds = dict(v.dtypes) | dict(q.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*within, "query_id", *names)) + ", distance double"
-    out = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(near, schema)
+    if batches == 1:
+        few = v.sparkSession.sparkContext.broadcast(q.toArrow())  # ``block`` rows at most
+
+        def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                whole = pa.Table.from_batches([b])
+                for key in set(zip(*(whole.column(c).to_pylist() for c in within))) if within else [()]:
+                    mine, theirs = whole, few.value
+                    for c, x in zip(within, key):
+                        mine, theirs = mine.filter(pc.field(c) == x), theirs.filter(pc.field(c) == x)
+                    yield from near(tuple(map(pa.scalar, key)), mine, theirs).combine_chunks().to_batches()
+
+        out = v.mapInArrow(scan, schema)
+    else:
+        parts = max(1, -(-v.count() // block))
+        part, asked = (F.pmod(F.xxhash64(*c), F.lit(n)).cast("int") for c, n in ((names, parts), (["query_id"], batches)))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        keys = [*within, "part", "asked"]
+        v = v.select("*", part.alias("part"), every(batches).alias("asked"))
+        q = q.select("*", every(parts).alias("part"), asked.alias("asked"))
+        out = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(near, schema)
     rank = F.row_number().over(W.partitionBy(*within, "query_id").orderBy("distance", *names))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(*within, "query_id", "rank", *names, "distance")
 
@@ -213,7 +234,7 @@ def scoped_neighbours(vectors: DataFrame, queries: DataFrame, sources: Sequence[
     """(space, query_id, rank, source, item, distance): the k nearest vectors (source, space, item, embedding) of a set of
     sources to each query (space, query_id, embedding), in the query's space alone; ties by source, then item.
 
-    An item is known by its source and its name, so two sources may hold the same name. No sources give no rows; spaces may
-    differ in dimension.
+    An item is known by its source and its name, so two sources may hold the same name. No sources give no rows, vectors of no
+    space take no part; spaces may differ in dimension.
     """
     return _nearest(vectors.where(F.col("source").isin(*sources)), queries, metric, k, block, ["space"], ["source", "item"], False)
