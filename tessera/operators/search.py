@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators.connections import grouped_top
 
@@ -52,7 +53,7 @@ def catalogue_ranked(kinds: DataFrame, text: str) -> DataFrame:
 
 
 def _brought(rows: DataFrame) -> list:
-    """Rows on the driver whose number a parameter bounds: names of one automaton."""
+    """Rows on the driver whose number a parameter bounds: names of one automaton, one block of queries."""
     return rows.collect()
 
 
@@ -200,7 +201,7 @@ def _nearest(vectors: DataFrame, queries: DataFrame, metric: str, k: int, block:
         return pa.table([*cols, pa.array(np.concatenate([np.zeros(0), *dist]))], [*within, "query_id", *names, "distance"])
 
     if batches == 1:
-        few = v.sparkSession.sparkContext.broadcast(q.toArrow())  # ``block`` rows at most
+        few = v.sparkSession.sparkContext.broadcast(pa.Table.from_pylist([r.asDict() for r in _brought(q)], to_arrow_schema(q.schema)))
 
         def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
