@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,39 +12,46 @@ Condition = Mapping[str, object]
 
 
 def matching(nodes: DataFrame, edges: DataFrame, condition: Condition) -> DataFrame:
-    """Ids of the nodes a condition holds for.
+    """Ids of the nodes (one row an id) that a condition holds for.
 
     {"property": (column, filter, value)}, {"not": c}, {"all": [c, ..]}, {"any": [c, ..]}, or {"neighbours": {"rel", "side",
-    "atLeast", "where"}}. Conditions compile to semi and anti joins and counts; a large side is never collected.
+    "atLeast", "where"}}. Properties are filters of one scan; each neighbours condition is a count by id, joined to those nodes
+    that the properties leave open. What isn't known to hold (a null property) doesn't.
     """
+    asked: list[Mapping[str, object]] = []
+    holds = _compiled(condition, asked, None)
+    # nodes that may match, whatever their neighbours
+    rows = nodes.where(_compiled(condition, [], True))
+    for i, body in enumerate(asked):
+        near, far = ("src", "dst") if body["side"] == "out" else ("dst", "src")
+        e = edges.where(F.col("rel") == body["rel"]).select(F.col(near).alias("id"), F.col(far).alias("far"))
+        if body.get("where"):
+            e = e.join(matching(nodes, edges, body["where"]).withColumnRenamed("id", "far"), "far", "left_semi")
+        n = e.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= body.get("atLeast", 1))
+        rows = rows.join(n.select("id", F.lit(True).alias(f"__asked{i}")), "id", "left")
+    return rows.where(holds).select("id")
+
+
+def _compiled(condition: Condition, asked: list[Mapping[str, object]], known: bool | None) -> Column:
+    """A condition as a column that is never null. Neighbours become flags, and are listed in ``asked``; with ``known``, all of
+    them are taken to hold or not, whichever lets more nodes through."""
     from tessera.operators.predicates import FILTERS
 
     (kind, body), *more = condition.items()
     if more:
         raise ValueError("a condition has one kind")
-    ids = nodes.select("id")
     if kind == "property":
         column, op, value = body
-        return nodes.where(FILTERS[op](F.col(column), value)).select("id")
+        return F.coalesce(FILTERS[op](F.col(column), value), F.lit(False))
     if kind == "not":
-        return ids.join(matching(nodes, edges, body), "id", "left_anti")
+        return ~_compiled(body, asked, None if known is None else not known)
     if kind == "all":
-        for c in body:
-            ids = ids.join(matching(nodes, edges, c), "id", "left_semi")
-        return ids
+        return reduce(Column.__and__, [_compiled(c, asked, known) for c in body], F.lit(True))
     if kind == "any":
-        parts = [matching(nodes, edges, c) for c in body]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.distinct()
+        return reduce(Column.__or__, [_compiled(c, asked, known) for c in body])
     if kind == "neighbours":
-        near, far = ("src", "dst") if body["side"] == "out" else ("dst", "src")
-        e = edges.where(F.col("rel") == body["rel"]).select(F.col(near).alias("id"), F.col(far).alias("far"))
-        if body.get("where"):
-            e = e.join(matching(nodes, edges, body["where"]).withColumnRenamed("id", "far"), "far", "left_semi")
-        n = e.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= body.get("atLeast", 1)).select("id")
-        return ids.join(n, "id", "left_semi")
+        asked.append(body)
+        return F.lit(known) if known is not None else F.coalesce(F.col(f"__asked{len(asked) - 1}"), F.lit(False))
     raise ValueError(f"unknown condition {kind}")
 
 

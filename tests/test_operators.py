@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import aggregates, connections, graph, opinions, predicates, search, telemetry, temporal, writer
+from tessera.operators import aggregates, connections, graph, opinions, predicates, quality, search, telemetry, temporal, writer
 from tessera.sources import files, tails
 from tessera.streaming import live
 
@@ -394,6 +394,18 @@ def test_cochange_of_hubs(spark, block):
         assert got == want
 
 
+def test_conditions_on_properties_join_nothing(spark):
+    nodes = spark.createDataFrame([(1, "a", True), (2, "a", None), (3, "b", False), (4, None, True)], "id long, kind string, removed boolean")
+    edges = spark.createDataFrame([("r", 1, 3), ("r", 1, 4), ("r", 2, 3)], "rel string, src long, dst long")
+    kind, gone = {"property": ("kind", "_eq", "a")}, {"property": ("removed", "_eq", True)}
+    found = quality.matching(nodes, edges, {"any": [{"all": [kind, {"not": gone}]}, {"all": [{"not": kind}, gone]}]})
+    assert sorted(r["id"] for r in found.collect()) == [2, 4]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    two = {"neighbours": {"rel": "r", "side": "out", "atLeast": 2, "where": {"not": kind}}}
+    ids = lambda c: sorted(r["id"] for r in quality.matching(nodes, edges, c).collect())
+    assert ids(two) == [1] and ids({"not": two}) == [2, 3, 4] and ids({"any": [two, {"property": ("kind", "_eq", "b")}]}) == [1, 3]
+
+
 def test_connection_of_a_null_parent(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), (1, 2)], "p long, c long")
     assert sorted(tuple(r) for r in connections.connection(df, "p", [F.asc("c")], 0).collect() if r["p"] is None) == [(None, 1, 2, 1)]
