@@ -6,13 +6,16 @@ cut their lineage by reliable checkpoints.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import cut, stored
 from tessera.operators.connections import grouped_top
 from tessera.operators.cycles import components
 from tessera.operators.temporal import holds
@@ -144,17 +147,48 @@ def chains(edges: DataFrame) -> DataFrame:
     return now.join(edges.select(F.col("src").alias("root")), "root", "left_anti").select("id", "root", "steps")
 
 
-def chain_faults(states: DataFrame, subject: str) -> DataFrame:
+def chain_faults(states: DataFrame, subject: str, rows: int = 500_000) -> DataFrame:
     """(subject, roots, followers, states, unreached) of chains (subject, id, prev): states without a predecessor, the most
-    followers that one has, and those that no root leads to. A sound chain has one root, one follower each and all reached."""
-    prevs = states.where("prev IS NOT NULL").select(F.col("id").alias("src"), F.col("prev").alias("dst"))
-    rooted = chains(prevs).join(states.where("prev IS NULL").select(F.col("id").alias("root")), "root", "left_semi").select("id", F.lit(1).alias("led"))
-    followers = prevs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("dst", "id")
-    rows = states.join(rooted, "id", "left").join(followers, "id", "left")
-    return rows.groupBy(subject).agg(
-        F.count(F.when(F.col("prev").isNull(), 1)).alias("roots"), F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("followers"), F.count(F.lit(1)).alias("states"),
-        F.count(F.when(F.col("prev").isNotNull() & F.col("led").isNull(), 1)).alias("unreached"),
-    )
+    followers that one has, and those that no root leads to. A sound chain has one root, one follower each and all reached.
+
+    States are dealt by ranges of (subject, id), of about ``rows``; a task follows the chains within its range, and only
+    the states at which a chain enters another range are followed further, by pointer doubling.
+    """
+    spark, kind = states.sparkSession, states.schema["id"].dataType.simpleString()
+    states = stored(states.select(subject, "id", F.col("prev").cast(kind).alias("prev")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-states.count() // rows))
+    held = f"{subject} {states.schema[subject].dataType.simpleString()}, root boolean, led boolean, at {kind}, id {kind}"
+    near = stored(states.repartitionByRange(n, subject, "id").mapInArrow(_followed, held))
+    asked = near.where("at IS NOT NULL").select(F.col("at").alias("id")).distinct()
+    entered = cut(near.join(asked, "id", "left_semi").select("id", "led", "at"))
+    roots = entered.where("led").select(F.col("id").alias("root"))
+    led = chains(entered.where("at IS NOT NULL").select(F.col("id").alias("src"), F.col("at").alias("dst"))).join(roots, "root", "left_semi").select(F.col("id").alias("at"))
+    led = led.unionByName(roots.select(F.col("root").alias("at"))).distinct().withColumn("further", F.lit(True))
+    # as few rows as ways out of a range, for each subject
+    some = near.groupBy(subject, "at").agg(F.count_if("root").alias("roots"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("led")).alias("open")).join(led, "at", "left")
+    totals = some.groupBy(subject).agg(F.sum("roots").alias("roots"), F.sum("n").alias("states"), F.coalesce(F.sum(F.when(F.col("further").isNull(), F.col("open"))), F.lit(0).cast("long")).alias("unreached"))
+    followers = states.where("prev IS NOT NULL").groupBy(F.col("prev").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    most = states.select(subject, "id").join(followers, "id").groupBy(F.col(subject).alias("__of")).agg(F.max("n").alias("followers"))
+    return totals.join(most, F.col(subject).eqNullSafe(F.col("__of")), "left").select(subject, "roots", F.coalesce("followers", F.lit(0).cast("long")).alias("followers"), "states", "unreached")
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(subject, root, led, at, id) of the states of one range: whether a root in it leads to the state, else the state outside
+    at which its chain goes on; neither for circles."""
+    all_ = list(batches)
+    if not all_:
+        return
+    whole = pa.Table.from_batches(all_).combine_chunks()
+    of, ids, prev = whole.columns
+    inside = pc.index_in(prev, value_set=ids, skip_nulls=True)
+    end = np.asarray(pc.is_null(inside))
+    jump = np.where(end, np.arange(len(end)), np.asarray(pc.fill_null(inside, 0)))
+    for _ in range(len(end).bit_length()):
+        jump = jump[jump]
+    root = np.asarray(pc.is_null(prev))
+    at = pc.if_else(pa.array(end[jump]), prev.take(pa.array(jump)), pa.scalar(None, prev.type))
+    out = pa.table([of, pa.array(root), pa.array(end[jump] & root[jump]), at, ids], names=[whole.column_names[0], "root", "led", "at", "id"])
+    yield from out.to_batches(max_chunksize=10_000)
 
 
 def starved(consumes: DataFrame, produces: DataFrame) -> DataFrame:

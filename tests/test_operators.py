@@ -394,6 +394,25 @@ def test_cochange_of_hubs(spark, block):
         assert got == want
 
 
+@pytest.mark.parametrize("rows", [500_000, 2])
+def test_chain_faults_across_ranges(spark, rows):
+    """Chains that go back and forth between subjects and ranges, circles, and predecessors that don't exist."""
+    rng = random.Random(3)
+    prev = {i: rng.choice([None, i - 1 if i else None, i - 1 if i else None, rng.randrange(70), rng.randrange(60)]) for i in range(60)}
+    led = set()
+    while more := {i for i, p in prev.items() if i not in led and (p is None or p in led)}:
+        led |= more
+    want = {}
+    for u in range(4):
+        mine = [i for i in prev if i % 4 == u]
+        n = max(sum(p == i for p in prev.values()) for i in mine)
+        want[u] = (sum(prev[i] is None for i in mine), n, len(mine), sum(i not in led for i in mine))
+    df = spark.createDataFrame([(i % 4, i, p) for i, p in prev.items()], "u long, id long, prev long")
+    got = {r["u"]: (r["roots"], r["followers"], r["states"], r["unreached"]) for r in graph.chain_faults(df, "u", rows=rows).collect()}
+    assert got == want
+    assert graph.chain_faults(df.where("false"), "u").count() == 0
+
+
 def test_conditions_on_properties_join_nothing(spark):
     nodes = spark.createDataFrame([(1, "a", True), (2, "a", None), (3, "b", False), (4, None, True)], "id long, kind string, removed boolean")
     edges = spark.createDataFrame([("r", 1, 3), ("r", 1, 4), ("r", 2, 3)], "rel string, src long, dst long")
