@@ -394,6 +394,28 @@ def test_cochange_of_hubs(spark, block):
         assert got == want
 
 
+def test_cochange_of_few_neighbours_meets_only_who_shares_two(spark):
+    """A place that a hundred ids share, and of which only two share another, brings one pair together."""
+    df = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0), (2, 1)] + [(3 + i, i) for i in range(2, 100)], "near long, id long")
+    assert graph._met(df.withColumns({"few": F.lit(True), "crowd": F.lit(100)}), ["near"], 1_000).count() == 0
+    got = graph.cochange(df.select(F.col("near").alias("src"), F.col("id").alias("dst")), 5)
+    assert {(r["id"], r["other"], r["n"], r["total"]) for r in got.collect()} == {(0, 1, 2, 2), (1, 0, 2, 2)}
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_cochange_of_few_and_many_neighbours(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(8)
+    pairs = {(rng.randrange(12), 100 + min(rng.randrange(40), rng.randrange(40))) for _ in range(200)}
+    near = {}
+    for s, d in pairs:
+        near.setdefault(d, set()).add(s)
+    for least in (1, 2, 3):
+        want = {(a, b): len(near[a] & near[b]) for a in near for b in near if a != b and len(near[a] & near[b]) >= least}
+        got = {(r["id"], r["other"]): r["n"] for r in graph.cochange(spark.createDataFrame(sorted(pairs), "src long, dst long"), 50, least=least, block=4).collect()}
+        assert got == want
+
+
 @pytest.mark.parametrize("rows", [500_000, 2])
 def test_chain_faults_across_ranges(spark, rows):
     """Chains that go back and forth between subjects and ranges, circles, and predecessors that don't exist."""
