@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators.cycles import components
 
 DEFAULTS: Mapping[str, Mapping[str, object]] = {
     "dependency-cycle": {},
@@ -36,14 +36,13 @@ def _found(rule: str, rows: DataFrame, target: str, detail: Column | None = None
 def dependency_cycles(imports: DataFrame) -> DataFrame:
     """Each ring of files that import one another: its first member, and all of them in order. ``imports``: src, dst.
 
-    Members of one ring reach each other, so the closure between nodes on cycles tells the rings apart.
+    Rings are the strongly connected components of several files, and files that import themselves.
     """
-    nodes = graph.on_cycles(imports)
-    inner = imports.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    reach = graph.closure(inner)
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    rings = mutual.groupBy("src").agg(F.min("dst").alias("ring"))
-    members = rings.groupBy("ring").agg(F.array_join(F.transform(F.array_sort(F.collect_list("src")), lambda x: x.cast("string")), ",").alias("members"))
+    named = components(imports)
+    alone = imports.where("src = dst").select(F.col("src").alias("component")).distinct().withColumn("loop", F.lit(True))
+    members = named.groupBy(F.col("component").alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("id").alias("ids"))
+    members = members.join(alone.withColumnRenamed("component", "ring"), "ring", "left").where("n > 1 OR loop")
+    members = members.select("ring", F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",").alias("members"))
     return _found("dependency-cycle", members, "ring", F.col("members"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import aggregates, connections, graph, opinions, predicates, quality, search, telemetry, temporal, writer
+from tessera.operators import aggregates, connections, graph, opinions, predicates, quality, rules, search, telemetry, temporal, writer
 from tessera.sources import files, tails
 from tessera.streaming import live
 
@@ -435,6 +435,13 @@ def test_chain_faults_across_ranges(spark, rows):
     assert graph.chain_faults(df.where("false"), "u").count() == 0
 
 
+def test_dependency_rings_need_no_closure(spark, monkeypatch):
+    """A ring of n files has n * n paths; rings are told apart by their components."""
+    monkeypatch.setattr(graph, "closure", lambda edges: pytest.fail("the closure of a ring"))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, 7), (7, 6), (2, 6)], "src long, dst long")
+    assert {(r["target"], r["detail"]) for r in rules.dependency_cycles(edges).collect()} == {("1", "1,2,3"), ("5", "5"), ("6", "6,7")}
+
+
 def test_conditions_on_properties_join_nothing(spark):
     nodes = spark.createDataFrame([(1, "a", True), (2, "a", None), (3, "b", False), (4, None, True)], "id long, kind string, removed boolean")
     edges = spark.createDataFrame([("r", 1, 3), ("r", 1, 4), ("r", 2, 3)], "rel string, src long, dst long")
