@@ -61,6 +61,10 @@ def _brought(rows: DataFrame) -> list:
 NAMES = 200_000
 
 
+#: Mentions that a task holds as rows before it hands them on.
+MENTIONS = 20_000
+
+
 def folded(text: str) -> str:
     """Lower case character by character, so that places stay."""
     low = text.lower()
@@ -98,6 +102,10 @@ def term_mentions(texts: DataFrame, terms: DataFrame, definitions: DataFrame | N
     All names are looked for at once by an Aho-Corasick automaton, built in every task from at most ``names`` of them; larger term
     tables are dealt over several automata. The work is one pass over the texts for each and what it finds.
     """
+    def mentions(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, line_, term, many = zip(*rows)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(line_, pa.int32()), pa.array(term), pa.array(many, pa.int64())], names=["id", "line", "term", "n"])
+
     some = terms.where("name IS NOT NULL AND name <> ''").select("term", "name").distinct()
     parts = max(1, -(-some.count() // names))
     dealt = some.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
@@ -117,13 +125,15 @@ def term_mentions(texts: DataFrame, terms: DataFrame, definitions: DataFrame | N
                 automaton.add_word(name, (name, mine))
             automaton.make_automaton()
             for b in batches:
-                rows = []
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    for n, line in enumerate((text or "").split("\n") if held_.value else ()):
+                rows: list[tuple] = []
+                for i in range(b.num_rows):  # one text at a time: a batch of long texts holds very many mentions
+                    for n, line in enumerate((b.column(1)[i].as_py() or "").split("\n") if held_.value else ()):
                         rows += [(i, n + 1, term, many) for term, many in found_terms(automaton, line).items()]
+                        if len(rows) >= MENTIONS:
+                            yield mentions(b, rows)
+                            rows = []
                 if rows:
-                    at, line_, term, many = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(line_, pa.int32()), pa.array(term), pa.array(many, pa.int64())], names=["id", "line", "term", "n"])
+                    yield mentions(b, rows)
 
         found = texts.select("id", "text").mapInArrow(search, f"id {kind}, line int, term {of}, n long")
         out = found if out is None else out.unionByName(found)

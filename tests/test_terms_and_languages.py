@@ -55,3 +55,12 @@ def test_languages(spark):
         spark.createDataFrame(rows, "path string, content string, n string"), spark.createDataFrame(index, "kind string, key string, language string"), spark.createDataFrame([("over.h", "Zig")], "path string, language string")
     )
     assert {(r["path"], r["content"]): (r["language"], r["candidates"]) for r in got.collect()} == paths
+
+
+def test_mentions_are_handed_on_in_parts(spark, monkeypatch):
+    """A text of more mentions than a task may hold gives all of them, each under its own text."""
+    monkeypatch.setattr(search, "MENTIONS", 2)
+    texts = spark.createDataFrame([(i, "\n".join(["a b a"] * 3)) for i in range(4)], "id long, text string").coalesce(1)
+    terms = spark.createDataFrame([("a", "a"), ("b", "b")], "term string, name string")
+    got = sorted(tuple(r) for r in search.term_mentions(texts, terms).collect())
+    assert got == [(i, n, t, c) for i in range(4) for n in (1, 2, 3) for t, c in (("a", 2), ("b", 1))]
