@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import aggregates, connections, graph, opinions, predicates, quality, rules, search, telemetry, temporal, writer
+from tessera.operators import aggregates, connections, cycles, graph, opinions, predicates, quality, rules, search, telemetry, temporal, writer
 from tessera.sources import files, tails
 from tessera.streaming import live
 
@@ -483,3 +483,26 @@ def test_children_need_their_parent(spark):
     assert [r["child"] for r in temporal.children_as_of(held, parents, 5, 5, "payments").collect()] == ["api"]
     with pytest.raises(ValueError, match="orders does not exist at 5"):
         temporal.children_as_of(held, parents, 5, 5, "orders")
+
+
+def broadcasts(spark, run):
+    """What ``run`` gives, and the names of its plans' nodes that send a table through the driver."""
+    sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    sc.listenerBus().waitUntilEmpty()
+    before = store.executionsList().last().executionId() if store.executionsList().nonEmpty() else -1
+    out = run()
+    sc.listenerBus().waitUntilEmpty()
+    after, names = store.executionsList(), []
+    for i in range(after.size()):
+        if (at := after.apply(i).executionId()) > before:
+            nodes = store.planGraph(at).allNodes()
+            names += [nodes.apply(k).name() for k in range(nodes.size())]
+    assert any("Join" in n for n in names)
+    return out, [n for n in names if n == "BroadcastExchange"]
+
+
+def test_components_send_no_table_through_the_driver(spark):
+    edges = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(7, 8), (8, 7), (8, 9), (7, 9), (9, 10), (0, 7)], "src long, dst long")
+    found, sent = broadcasts(spark, lambda: as_set(cycles.components(edges)))
+    assert found == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (7, 7), (8, 7), (9, 9), (10, 10)}
+    assert not sent
