@@ -219,18 +219,19 @@ def starved(consumes: DataFrame, produces: DataFrame) -> DataFrame:
 
     ``consumes`` and ``produces``: (stage, capability). A capability whose producers all starve is missing as well; of several
     ways the smallest by name. ``path`` names capabilities from the stage's own to the missing one. As many rounds as the
-    longest of these ways: a round ends the search only when it finds no further stage.
+    longest of these ways: a round ends the search only when it finds no further stage. No round sends a table through the
+    driver, as joins by broadcast would.
     """
-    missing = cut(consumes.select("capability").distinct().join(produces, "capability", "left_anti").select("capability", F.col("capability").cast("string").alias("path")))
+    missing = cut(consumes.select("capability").distinct().hint("merge").join(produces, "capability", "left_anti").select("capability", F.col("capability").cast("string").alias("path")))
     found, gone, step = None, missing.select("capability"), 0
     while not missing.isEmpty():
         step += 1
-        waits = consumes.join(missing, "capability").groupBy("stage").agg(F.min("path").alias("path")).withColumn("steps", F.lit(step))
-        waits = cut(waits.join(found.select("stage"), "stage", "left_anti") if found is not None else waits)
+        waits = consumes.hint("merge").join(missing, "capability").groupBy("stage").agg(F.min("path").alias("path")).withColumn("steps", F.lit(step))
+        waits = cut(waits.hint("merge").join(found.select("stage"), "stage", "left_anti") if found is not None else waits)
         found = cut(waits if found is None else found.unionByName(waits))
         # capabilities all of whose producers starve by now
-        fed = produces.join(found.select("stage"), "stage", "left_anti").select("capability").distinct()
-        lost = produces.join(waits, "stage").join(fed, "capability", "left_anti").join(gone, "capability", "left_anti")
+        fed = produces.hint("merge").join(found.select("stage"), "stage", "left_anti").select("capability").distinct()
+        lost = produces.hint("merge").join(waits, "stage").hint("merge").join(fed, "capability", "left_anti").hint("merge").join(gone, "capability", "left_anti")
         missing = cut(lost.groupBy("capability").agg(F.min(F.concat_ws(">", F.col("capability").cast("string"), "path")).alias("path")))
         gone = cut(gone.unionByName(missing.select("capability")))
     return found if found is not None else consumes.select("stage", F.lit(0).alias("steps"), F.lit("").alias("path")).where("false")

@@ -506,3 +506,11 @@ def test_components_send_no_table_through_the_driver(spark):
     found, sent = broadcasts(spark, lambda: as_set(cycles.components(edges)))
     assert found == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (7, 7), (8, 7), (9, 9), (10, 10)}
     assert not sent
+
+
+def test_starved_stages_send_no_table_through_the_driver(spark):
+    needs = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "stage long, capability long")
+    gives = spark.createDataFrame([(1, 11), (2, 12), (4, 12)], "stage long, capability long")
+    found, sent = broadcasts(spark, lambda: as_set(graph.starved(needs, gives)))
+    assert found == {(1, "10", 1), (2, "11>10", 2)}
+    assert not sent
