@@ -1,4 +1,4 @@
-"""Cutting lineage between rounds of an iteration."""
+"""Cutting lineage between rounds of an iteration, and dealing rows over tasks of a size."""
 
 from __future__ import annotations
 
@@ -36,3 +36,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` dealt by the keys over ``tasks`` tasks, where these are more than a shuffle has anyway. Groupings by these keys and
+    others need no further shuffle."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.lineage import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 RELATIONS = {
@@ -78,6 +80,8 @@ RELATIONS = {
         UNION ALL SELECT o_orderkey, 1, o_orderkey - 1 FROM {orders} WHERE o_orderkey % 10 = 9""",
 }
 
+#: What a relation groups in groups as many as rows: the table, a key that all of its groupings hold, and the rows of a task.
+GROUPED = {"edge": ("lineitem", "l_orderkey", 500_000)}
 
 
 def spark_text(text: str) -> str:
@@ -93,9 +97,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived relation as a lazy DataFrame; Catalyst prunes and pushes through it."""
+    """A derived relation as a lazy DataFrame; Catalyst prunes and pushes through it.
+
+    A large table that it groups is dealt by the key over as many tasks as its rows ask for, so that the groups of one task, and
+    what is done with them there, stay of a size. The rows are counted from the files' footers.
+    """
     text = RELATIONS[name]
     inputs = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
+    if name in GROUPED:
+        grouped, key, rows = GROUPED[name]
+        inputs[grouped] = spread(inputs[grouped], -(-inputs[grouped].count() // rows), key)
     text = spark_text(text)
     for other in RELATIONS:
         if re.search(rf"\bFROM {other}\b", text):
