@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA, rows
+from tessera.plans import graph as plans
+from tessera.plans import registry
 from tessera.sources import graph
 
 
@@ -13,3 +15,10 @@ def test_grouped_edges_stay_of_a_size_in_a_task(spark, monkeypatch):
     edges = graph.relation(spark, DATA, "edge").where("rel IN ('touched', 'supplied_by')")
     assert rows(edges.toPandas()) == whole
     assert edges.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0] < 1_500
+
+
+def test_backlinks_are_the_same_when_dealt(spark, duck, monkeypatch):
+    monkeypatch.setattr(plans, "LINES", 500)
+    monkeypatch.setitem(graph.GROUPED, "edge", ("lineitem", "l_orderkey", 500))
+    for name in ("backlinks", "outgoing"):
+        assert rows(registry.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).fetch_df())
