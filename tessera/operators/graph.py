@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.lineage import cut, stored
-from tessera.operators.connections import grouped_top
+from tessera.functions.lineage import cut, spread, stored
+from tessera.operators.connections import combined_top, grouped_top
 from tessera.operators.cycles import components
 from tessera.operators.temporal import holds
 
@@ -113,16 +113,17 @@ def contributors(through: DataFrame, edge: DataFrame, first: int) -> DataFrame:
     return n.withColumn("rn", F.row_number().over(W.partitionBy("dst").orderBy(F.desc("n"), "far"))).where(F.col("rn") <= first)
 
 
-def both_sides(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, side, rel, other, kind): out and in edges of every node; a self-loop only as out."""
-    out = edges.select(F.col("src").alias("id"), F.lit("out").alias("side"), "rel", F.col("dst").alias("other"))
-    back = edges.where("src <> dst").select(F.col("dst").alias("id"), F.lit("in").alias("side"), "rel", F.col("src").alias("other"))
-    return out.unionByName(back).join(nodes.select(F.col("id").alias("other"), "kind"), "other")
+def both_sides(edges: DataFrame, nodes: DataFrame, tasks: int = 0) -> DataFrame:
+    """(id, side, rel, other, kind): out and in edges of every node; a self-loop only as out. Edges are read once, and meet the
+    nodes over ``tasks`` tasks if these are more than a shuffle has."""
+    side = lambda name, id_, other: F.struct(F.col(id_).alias("id"), F.lit(name).alias("side"), F.col("rel"), F.col(other).alias("other"))
+    sides = edges.select(F.inline(F.array(side("out", "src", "dst"), side("in", "dst", "src")))).where("side = 'out' OR id <> other")
+    return spread(sides, tasks, "other").join(nodes.select(F.col("id").alias("other"), "kind"), "other")
 
 
-def fold(groups: DataFrame, keys: Sequence[str], other: str, bound: int) -> DataFrame:
+def fold(groups: DataFrame, keys: Sequence[str], other: str, bound: int, tasks: int = 0) -> DataFrame:
     """Groups of more than ``bound`` become one row with their count; the others keep their members."""
-    top = grouped_top(groups, keys, [F.asc(other)], bound + 1)  # of a large group, one row more than it may show
+    top = combined_top(groups, keys, other, bound, tasks)
     rows = top.withColumn("member", F.when(F.col("total") <= bound, F.col(other)))
     return rows.groupBy(*keys, "member").agg(F.when(F.first("total") > bound, F.first("total")).alias("folded"))
 

@@ -14,6 +14,12 @@ from tessera.plans.registry import query
 #: Line items for one task, where the edges they give are dealt.
 LINES = 250_000
 
+
+def _tasks(t):
+    """Tasks that the edges of all line items ask for, two of each at most."""
+    return -(-t.lineitem.count() // LINES)
+
+
 #: Containment from the outside in.
 DOWN = "SELECT dst AS src, src AS dst FROM edge WHERE rel IN ('in_region', 'in_nation') UNION ALL SELECT src, dst FROM edge WHERE rel = 'placed'"
 
@@ -91,7 +97,7 @@ def backlinks(t):
     links = t.edge.where("rel <> 'placed'").select(F.col("dst").alias("target"), "rel", F.col("src").alias("holder")).unionByName(refs)
     # a line item gives two edges at most; a target lies in eight tasks, so that the ranks keep few rows of each
     links = links.withColumn("part", F.pmod(F.xxhash64("holder"), F.lit(8)))
-    links = spread(links, -(-t.lineitem.count() // LINES), "target", "part").distinct().drop("part")
+    links = spread(links, _tasks(t), "target", "part").distinct().drop("part")
     return C.grouped_top(links, ["target"], [F.asc("rel"), F.asc("holder")], 5)
 
 
@@ -112,7 +118,8 @@ def neighbourhood(t):
 
 @query("neighbourhood_fold", f"WITH {BOTH}, c AS (SELECT *, count(*) OVER (PARTITION BY id, side, rel, kind) AS total FROM b) SELECT id, side, rel, kind, CASE WHEN total <= 4 THEN other END AS member, max(CASE WHEN total > 4 THEN total END) AS folded FROM c GROUP BY 1, 2, 3, 4, 5")
 def neighbourhood_fold(t):
-    return G.fold(G.both_sides(t.edge, t.node), ["id", "side", "rel", "kind"], "other", 4)
+    tasks = _tasks(t)
+    return G.fold(G.both_sides(t.edge, t.node, tasks), ["id", "side", "rel", "kind"], "other", 4, tasks)
 
 
 @query("trail", "SELECT c.id, CAST(r.dst AS VARCHAR) || '/' || CAST(c.dst AS VARCHAR) AS trail FROM (SELECT src AS id, dst FROM edge WHERE rel = 'in_nation') c JOIN edge r ON r.rel = 'in_region' AND r.src = c.dst UNION ALL SELECT src, CAST(dst AS VARCHAR) FROM edge WHERE rel = 'in_region'")

@@ -1,8 +1,10 @@
 """Large groupings are dealt over tasks of a size."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA, rows
+from tessera.operators import connections
 from tessera.plans import graph as plans
 from tessera.plans import registry
 from tessera.sources import graph
@@ -22,3 +24,22 @@ def test_backlinks_are_the_same_when_dealt(spark, duck, monkeypatch):
     monkeypatch.setitem(graph.GROUPED, "edge", ("lineitem", "l_orderkey", 500))
     for name in ("backlinks", "outgoing"):
         assert rows(registry.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).fetch_df())
+
+
+@pytest.mark.parametrize("name", ["neighbourhood_fold"])
+def test_neighbourhoods_are_dealt_by_the_line_items(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(plans, "LINES", 500)
+    got = registry.queries()[name](spark, DATA)
+    assert got.rdd.getNumPartitions() >= 10
+    assert rows(got.toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).fetch_df())
+
+
+def test_combined_top_ranks_as_grouped_top_does(spark):
+    data = [(i % 7 if i % 11 else None, f"r{i * i % 3}", i * 37 % 500 if i % 13 else None) for i in range(5_000)]
+    df = spark.createDataFrame(data, "id long, rel string, other long").repartition(5).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        got = rows(connections.combined_top(df, ["id", "rel"], "other", 3, tasks=9).toPandas())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == rows(connections.grouped_top(df, ["id", "rel"], [F.asc("other")], 3).toPandas())
