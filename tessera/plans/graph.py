@@ -112,7 +112,8 @@ BOTH = """b AS (SELECT e.src AS id, 'out' AS side, e.rel, e.dst AS other, n.kind
 
 @query("neighbourhood", f"WITH {BOTH} SELECT id, side, rel, kind, other, total, CAST(rn AS INTEGER) AS rn, total > 4 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY id, side, rel, kind) AS total, row_number() OVER (PARTITION BY id, side, rel, kind ORDER BY other) AS rn FROM b) x WHERE rn <= 4")
 def neighbourhood(t):
-    rows = C.grouped_top(G.both_sides(t.edge, t.node), ["id", "side", "rel", "kind"], [F.asc("other")], 4)
+    tasks = _tasks(t)
+    rows = C.combined_top(G.both_sides(t.edge, t.node, tasks), ["id", "side", "rel", "kind"], "other", 4, tasks)
     return rows.withColumn("truncated", F.col("total") > 4)
 
 

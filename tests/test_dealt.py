@@ -26,7 +26,7 @@ def test_backlinks_are_the_same_when_dealt(spark, duck, monkeypatch):
         assert rows(registry.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).fetch_df())
 
 
-@pytest.mark.parametrize("name", ["neighbourhood_fold"])
+@pytest.mark.parametrize("name", ["neighbourhood", "neighbourhood_fold"])
 def test_neighbourhoods_are_dealt_by_the_line_items(spark, duck, monkeypatch, name):
     monkeypatch.setattr(plans, "LINES", 500)
     got = registry.queries()[name](spark, DATA)
