@@ -61,28 +61,35 @@ def related_page(
 #: Ids of more neighbours than this aren't taken apart into pairs of neighbours.
 FEW = 64
 
+#: Rows of co-change for one task.
+MEETING = 250_000
 
-def cochange(edges: DataFrame, first: int, least: int = 2, both: bool = False, block: int = 1_000) -> DataFrame:
+
+def cochange(edges: DataFrame, first: int, least: int = 2, both: bool = False, block: int = 1_000, tasks: int = 0) -> DataFrame:
     """For every dst: the dsts it shares most srcs with. n shared srcs (>= least), share of its own in percent.
 
     ``both`` reads the edges in either direction. Ids with few neighbours in crowded places meet under pairs of neighbours, of
     which ids that share n have n (n - 1) / 2 in common: under these, only ids that share two or more meet. Pairs with another id
     meet under each neighbour. Crowds are dealt over blocks of about ``block``; each pair of blocks is one join key, so no task
-    gets more than two blocks of one. A pair is counted once and mirrored after.
+    gets more than two blocks of one. A pair is counted once and mirrored after. ``tasks``: over how many tasks edges become
+    distinct, if these are more than a shuffle has; the others follow from the rows there are.
     """
     way = lambda near, id_: F.struct(F.col(near).alias("near"), F.col(id_).alias("id"))
     ways = [way("src", "dst"), way("dst", "src")] if both else [way("src", "dst")]
-    pairs = stored(edges.select(F.inline(F.array(*ways))).distinct())
+    pairs = stored(spread(edges.select(F.inline(F.array(*ways))), tasks, "near").distinct())
+    pairs = spread(pairs, -(-pairs.count() // MEETING), "near")
     pairs = pairs.join(pairs.groupBy("near").agg(F.count(F.lit(1)).alias("crowd")), "near")
     sizes = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.sum("crowd").alias("others"))
     few = (F.col("total") <= FEW) & (F.col("total") * (F.col("total") - 1) / 2 <= F.col("others") - F.col("total"))
     sizes = stored(sizes.select("id", "total", (few if least >= 2 else F.lit(False)).alias("few")))
     rows = stored(pairs.where("crowd > 1").join(sizes, "id").select("near", "id", "crowd", "few"))
-    n = _met(rows, ["near"], block).groupBy("id", "with").agg(F.count(F.lit(1)).alias("n"))
+    tasks = -(-rows.count() // MEETING)
+    n = _met(rows, ["near"], block, tasks).groupBy("id", "with").agg(F.count(F.lit(1)).alias("n"))
     if least >= 2:
         of = rows.where("few").groupBy("id").agg(F.array_sort(F.collect_list("near")).alias("of")).where(F.size("of") > 1)
         two = "flatten(transform(of, (x, i) -> transform(slice(of, i + 2, size(of)), y -> struct(x AS one, y AS two))))"
         keys = stored(of.select("id", F.inline(F.expr(two))))
+        keys = spread(keys, -(-keys.count() // MEETING), "one", "two")
         crowd = keys.groupBy("one", "two").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
         shared = _met(keys.join(crowd, ["one", "two"]).withColumn("few", F.lit(False)), ["one", "two"], block).groupBy("id", "with").agg(F.count(F.lit(1)).alias("n"))
         n = n.unionByName(shared.select("id", "with", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("n")))
@@ -94,16 +101,17 @@ def cochange(edges: DataFrame, first: int, least: int = 2, both: bool = False, b
     return top.join(sizes.select("id", "total"), "id").select("id", "other", "n", "total", F.round(F.col("n") / F.col("total") * 100, 6).alias("share"), "rn")
 
 
-def _met(rows: DataFrame, key: list[str], block: int) -> DataFrame:
+def _met(rows: DataFrame, key: list[str], block: int, tasks: int = 0) -> DataFrame:
     """(id, with), id < with, once for every key under which two ids meet, of which not both are ``few``. ``crowd``: rows of the
-    key."""
+    key. Keys meet over ``tasks`` tasks, and so do the pairs, if these are more than a shuffle has."""
     dealt = rows.withColumn("blocks", F.ceil(F.col("crowd") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select(*key, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "id", "mine", "few")
     right = keyed.select(*key, "low", "high", F.col("id").alias("with"), F.col("mine").alias("theirs"), F.col("few").alias("few_"))
-    met = keyed.where("NOT few").join(right, [*key, "low", "high"]).where((F.least("mine", "theirs") == F.col("low")) & (F.greatest("mine", "theirs") == F.col("high")))
+    met = spread(keyed.where("NOT few"), tasks, *key, "low", "high").join(right, [*key, "low", "high"]).where((F.least("mine", "theirs") == F.col("low")) & (F.greatest("mine", "theirs") == F.col("high")))
     # ids of few neighbours stand only on the right
-    return met.where("id < with OR few_ AND id <> with").select(F.least("id", "with").alias("id"), F.greatest("id", "with").alias("with"))
+    met = met.where("id < with OR few_ AND id <> with").select(F.least("id", "with").alias("id"), F.greatest("id", "with").alias("with"))
+    return spread(met, tasks, "id", "with")
 
 
 def contributors(through: DataFrame, edge: DataFrame, first: int) -> DataFrame:

@@ -52,7 +52,7 @@ for _d in (1, 2, 3):
     SELECT r.id, r.other, r.n, t.total, round(r.n / t.total * 100, 6) AS share, CAST(r.rn AS INTEGER) AS rn FROM r JOIN (SELECT id, count(*) AS total FROM p GROUP BY id) t ON t.id = r.id WHERE rn <= 10""",
 )
 def cochange(t):
-    return G.cochange(t.edge.where("rel = 'supplied_by'"), 10)
+    return G.cochange(t.edge.where("rel = 'supplied_by'"), 10, tasks=_tasks(t))
 
 
 @query(
@@ -62,7 +62,7 @@ def cochange(t):
     SELECT r.id, r.other, r.n, t.total, round(r.n / t.total * 100, 6) AS share, CAST(r.rn AS INTEGER) AS rn FROM r JOIN (SELECT id, count(*) AS total FROM p GROUP BY id) t ON t.id = r.id WHERE rn <= 10""",
 )
 def cochange_both(t):
-    return G.cochange(t.edge.where("rel = 'touched'"), 10, both=True)
+    return G.cochange(t.edge.where("rel = 'touched'"), 10, both=True, tasks=_tasks(t))
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA, rows
 from tessera.operators import connections
+from tessera.operators import graph as operators
 from tessera.plans import graph as plans
 from tessera.plans import registry
 from tessera.sources import graph
@@ -43,3 +44,16 @@ def test_combined_top_ranks_as_grouped_top_does(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == rows(connections.grouped_top(df, ["id", "rel"], [F.asc("other")], 3).toPandas())
+
+
+def test_cochange_meets_over_tasks_of_a_size(spark, duck, monkeypatch):
+    monkeypatch.setattr(operators, "MEETING", 500, raising=False)
+    tasks, met = [], operators._met
+
+    def seen(*args):
+        tasks.append(met(*args))
+        return tasks[-1]
+
+    monkeypatch.setattr(operators, "_met", seen)
+    assert rows(registry.queries()["cochange"](spark, DATA).toPandas()) == rows(duck.execute(registry.oracle_sql()["cochange"]).fetch_df())
+    assert tasks[0].rdd.getNumPartitions() >= 10
