@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import cut, spread
 
 OPENS, CLOSES = ("added", "renamed"), ("deleted",)
 
@@ -97,17 +98,20 @@ def _named(prefix: str, place: Column) -> list[Column]:
     return [F.col(f"{place}.commit_id").alias(f"{prefix}_in"), F.col(f"{place}.committed_at").alias(f"{prefix}_at"), F.col(f"{place}.author").alias(f"{prefix}_by")]
 
 
-def file_dates(changes: DataFrame, rooted: DataFrame) -> DataFrame:
+def file_dates(changes: DataFrame, rooted: DataFrame, tasks: int = 0) -> DataFrame:
     """(repository, root, commits, authors, created_in, created_at, created_by, modified_in, modified_at, modified_by) of files
     under all their names.
 
     ``changes``: (repository, file, commit_id, committed_at, author, walk); ``rooted``: (file, root), every name with the last of
     its chain. Created is the deepest commit of the walk, modified the shallowest, whatever their dates; of commits as deep the
-    smallest id. All are aggregates, which combine before the shuffle.
+    smallest id. Names meet over ``tasks`` tasks, and so do the changes of a file in a repository, if these are more than a
+    shuffle has. Commits and authors are counted at their first row, which multiplies no rows as several distinct counts do.
     """
     row = F.struct("commit_id", "committed_at", "author")
-    rows = changes.join(rooted, "file").groupBy("repository", "root").agg(
-        F.count_distinct("commit_id").alias("commits"), F.count_distinct("author").alias("authors"),
+    new = lambda c: F.col(c).isNotNull() & (F.row_number().over(W.partitionBy("repository", "root", c).orderBy("walk")) == 1)
+    named = spread(spread(changes, tasks, "file").join(rooted, "file"), tasks, "repository", "root")
+    rows = named.withColumn("new_commit", new("commit_id")).withColumn("new_author", new("author")).groupBy("repository", "root").agg(
+        F.count_if("new_commit").alias("commits"), F.count_if("new_author").alias("authors"),
         F.min_by(row, F.struct((-F.col("walk")).alias("w"), "commit_id", "author")).alias("first"), F.min_by(row, F.struct("walk", "commit_id", "author")).alias("last"),
     )
     return rows.select("repository", "root", "commits", "authors", *_named("created", "first"), *_named("modified", "last"))

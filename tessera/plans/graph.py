@@ -150,9 +150,10 @@ def file_history(t):
     names = t.part.select(F.col("p_partkey").alias("name"))
     rooted = names.join(G.chains(t.renamed).select(F.col("id").alias("name"), "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"))
     current = rooted.join(t.renamed.select(F.col("dst").alias("name")), "name", "left_anti").select("root", F.col("name").alias("file"))
-    changes = t.change.select("file", "commit_id").join(t.commit, "commit_id")
-    dates = H.file_dates(changes, rooted.withColumnRenamed("name", "file"))
-    return dates.join(current, "root").drop("root")
+    tasks = _tasks(t)
+    changes = spread(t.change.select("file", "commit_id"), tasks, "commit_id").join(t.commit, "commit_id")
+    dates = H.file_dates(changes, rooted.withColumnRenamed("name", "file"), tasks)
+    return spread(dates, tasks, "root").join(current, "root").drop("root")
 
 
 @query("dependency_lists", "SELECT id, max(df) AS derives_from, max(db) AS derived_by FROM (SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS df, NULL AS db FROM edge WHERE rel IN ('in_region', 'in_nation') GROUP BY src UNION ALL SELECT dst, NULL, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM edge WHERE rel IN ('in_region', 'in_nation') GROUP BY dst) x GROUP BY id")

@@ -57,3 +57,10 @@ def test_cochange_meets_over_tasks_of_a_size(spark, duck, monkeypatch):
     monkeypatch.setattr(operators, "_met", seen)
     assert rows(registry.queries()["cochange"](spark, DATA).toPandas()) == rows(duck.execute(registry.oracle_sql()["cochange"]).fetch_df())
     assert tasks[0].rdd.getNumPartitions() >= 10
+
+
+def test_file_history_is_dealt_by_the_line_items(spark, duck, monkeypatch):
+    monkeypatch.setattr(plans, "LINES", 500)
+    got = registry.queries()["file_history"](spark, DATA)
+    assert got.rdd.getNumPartitions() >= 10
+    assert rows(got.toPandas()) == rows(duck.execute(registry.oracle_sql()["file_history"]).fetch_df())
