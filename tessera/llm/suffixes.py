@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes, utf8
+from .common import partitions, spans, text_bytes, utf8
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -227,15 +227,6 @@ def _identity(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return h
 
 
-def _classes(x: np.ndarray, size: np.ndarray, off: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by key, and in that order the number of the class of equal contexts (verified byte by byte)."""
-    order = np.lexsort((_identity(x, size, off), key))
-    xs, ks, ss, os_ = x[order], key[order], size[order], off[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (ks[1:] != ks[:-1]) | (ss[1:] != ss[:-1]) | (os_[1:] != os_[:-1]) | (xs[1:] != xs[:-1]).any(1)
-    return order, np.cumsum(new) - 1
-
-
 def _padded(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int = 1 << 14) -> np.ndarray:
     """Strings of ``buf`` as rows of ``width`` bytes, zeros behind; ``step`` rows at a time, as the places take 8 times as much."""
     out, span = np.zeros((len(start), width), np.uint8), np.arange(width)
@@ -253,17 +244,24 @@ def _width(length: int, k: int) -> int:
 
 
 def _merged(x: np.ndarray, size: np.ndarray, off: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows whose equal lies in an earlier document of the part; of the others, one of each class of equals, which stands for
-    them elsewhere; and the rest (of the same document), with the row that stands for each."""
-    order, cls = _classes(x, size, off, key)
-    least = _least(doc[order], cls)
-    mine = np.flatnonzero(doc[order] == least[cls])
+    """Of rows in an order in which equal contexts are neighbours (they are compared byte by byte): those whose equal lies in an
+    earlier document of the part; of the others, one of each class of equals, which stands for them elsewhere; and the rest
+    (of the same document), with the row that stands for each."""
+    new = np.ones(len(x), bool)
+    new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (off[1:] != off[:-1]) | (x[1:] != x[:-1]).any(1)
+    cls = np.cumsum(new) - 1
+    least = _least(doc, cls)
+    mine = np.flatnonzero(doc == least[cls])
     lead = mine[np.r_[True, np.diff(cls[mine]) != 0]] if len(mine) else mine
     rest = np.setdiff1d(mine, lead, assume_unique=True)
-    return order[doc[order] > least[cls]], order[lead], order[rest], order[lead][cls[rest]]
+    return np.flatnonzero(doc > least[cls]), lead, rest, lead[cls[rest]]
+
+
+def _join(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts: int) -> list[tuple[int, int, int, bytes]]:
+def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts: int, block: int = 1 << 14) -> list[tuple[int, int, int, bytes]]:
     if not docs.num_rows or not answers.num_rows:
         return []
     me = docs["part"][0].as_py()
@@ -284,37 +282,49 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, length: int, k: int, parts
     row = np.searchsorted(offsets, pos, side="right") - 1
     key >>= U(16)
     often = hot[np.searchsorted(asked, key)]
-    off, width, out = pos - first, _width(length, k), []
-    dealt = []
-
-    def settle(kind: int, later: np.ndarray, rest: np.ndarray, like: np.ndarray) -> None:
-        if len(later):
-            out.append((me, me, GONE, _masks(row[later], first[later] - offsets[row[later]], _full(count[later]))))
-        if len(rest):
-            out.append((me, me, kind, _pack(at=first[rest], like=first[like], count=count[rest].astype(np.uint8))))
-
-    x = _padded(buf, first, count + length - 1, width)
-    later, lead, *rest = _merged(x, count + length - 1, off, key, ids[row])
-    settle(LIKE_CONTEXT, later, *rest)
-    cold = lead[~often[lead]]
-    dealt.append((key[cold], row[cold], first[cold], count[cold], off[cold], x[cold]))
-    r = lead[often[lead]]
+    off, width, span = pos - first, _width(length, k), np.arange(_width(length, k))
+    gone, alike, asks = [], {LIKE_CONTEXT: [], LIKE_WINDOW: []}, []
+
+    def strings(n: int, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for i in range(0, n, block):
+            yield _padded(buf, *(c[i: i + block] for c in columns[:2]), width), *(c[i: i + block] for c in columns[1:])
+
+    def settle(kind: int, key: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Notes what the part itself decides, and returns the rows that stand for the others elsewhere. Contexts go by blocks in
+        the order of their identities: equal ones that a block's end parts are only sent twice."""
+        size, leads = count + length - 1, []
+        order = np.argsort(np.concatenate([_identity(*x) for x in strings(len(key), first, size, off, key)]), kind="stable")
+        for i in range(0, len(order), block):
+            r = order[i: i + block]
+            later, lead, rest, like = (r[x] for x in _merged(_padded(buf, first[r], size[r], width), size[r], off[r], key[r], ids[row[r]]))
+            gone.append((row[later], first[later] - offsets[row[later]], _full(count[later])))
+            alike[kind].append((first[rest], first[like], count[rest].astype(np.uint8)))
+            leads.append(lead)
+        return np.concatenate(leads)
+
+    lead = settle(LIKE_CONTEXT, key, row, first, count, off)
+    cold, r = lead[~often[lead]], lead[often[lead]]
+    asks.append((key[cold], row[cold], first[cold], count[cold], off[cold]))
     if len(r):  # window by window, each with a key of its anchor and bytes
         t = np.arange(count[r].sum()) - np.repeat(np.cumsum(count[r]) - count[r], count[r])
         r = np.repeat(r, count[r])
         key, row, first, off, count = key[r], row[r], first[r] + t, off[r] - t, np.ones(len(r), np.int64)
-        x = _padded(buf, first, np.full(len(r), length), width)
-        key = _identity(x, key) >> U(16)
-        later, lead, *rest = _merged(x, np.full(len(r), length), off, key, ids[row])
-        settle(LIKE_WINDOW, later, *rest)
-        dealt.append((key[lead], row[lead], first[lead], count[lead], off[lead], x[lead]))
-    key, row, first, count, off, x = (np.concatenate(y) for y in zip(*dealt))
-    size = count + length - 1
+        key = np.concatenate([_identity(x, k) for x, _, k in strings(len(r), first, np.full(len(r), length), key)]) >> U(16)
+        lead = settle(LIKE_WINDOW, key, row, first, count, off)
+        asks.append((key[lead], row[lead], first[lead], count[lead], off[lead]))
+    key, row, first, count, off = _join(asks)
+    n = np.argsort(key, kind="stable")  # neighbours' keys have their high bytes in common, which shrinks them
+    key, row, first, count, off = key[n], row[n], first[n], count[n], off[n]
+    size, out = count + length - 1, []
     for p, r in _by((key % U(parts)).astype(np.int64)):
         a, b = _split(key[r])
-        body = x[r][np.arange(width) < size[r][:, None]]
+        body = np.concatenate([x[span < n[:, None]] for x, n in strings(len(r), first[r], size[r])])
         begin = (first[r] - offsets[row[r]]).astype(np.uint32)
         out.append((p, me, ASK, _pack(a=a, b=b, doc=ids[row[r]], row=row[r].astype(np.uint32), begin=begin, size=size[r].astype(np.uint16), off=off[r].astype(np.uint8), body=body)))
+    out.append((me, me, GONE, _masks(*_join(gone))))
+    for kind, found in alike.items():
+        if found and len((x := _join(found))[0]):
+            out.append((me, me, kind, _pack(at=x[0], like=x[1], count=x[2])))
     return out
 
 
@@ -492,36 +502,52 @@ def _finish(docs: pa.Table, answers: pa.Table | None, length: int, texts: bool)
         buf, offsets = utf8(docs["text"])
     else:
         docs, _, buf, offsets = _load(docs)
-    depth = np.zeros(len(buf) + 1, np.int32)
-    if answers is not None and answers.num_rows:
-        kinds, blobs = answers["kind"].to_numpy(), answers["blob"].to_pylist()
-        of = lambda kind: [x for x, y in zip(blobs, kinds) if y == kind]
-        hit = np.zeros(len(buf) + 64, bool)  # starts of windows that go
-        row, begin, mask = _gather(of(GONE), ("u4", "u4", "u8"))
+    n = len(offsets) - 1
+    removed, runs, shas, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
+    hit = _starts(answers, offsets) if answers is not None and answers.num_rows else None
+    for i, j in spans(offsets, BLOCK):
+        at = np.flatnonzero(hit[offsets[i]: offsets[j]]) + offsets[i] if hit is not None else np.zeros(0, np.int64)
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        # a run goes on with a window that starts within it or where it ends
+        first = np.flatnonzero(np.r_[True, (np.diff(at) > length) | (np.diff(doc) != 0)]) if len(at) else at
+        last = np.r_[first[1:], len(at)][: len(first)] - 1
+        start, end, doc = at[first], at[last] + length, doc[first]
+        removed[i:j] = np.bincount(doc - i, end - start, j - i).astype(np.int64)
+        runs[i:j] = np.bincount(doc - i, minlength=j - i)
+        ends = np.searchsorted(doc, np.arange(i, j), side="right").tolist()
+        start, end, r = start.tolist(), end.tolist(), 0
+        for d in range(i, j):
+            sha, left, a = hashlib.sha256(), [], int(offsets[d])
+            for r in range(r, ends[d - i]):
+                left.append(buf[a: start[r]])
+                a = end[r]
+            r = ends[d - i]
+            left.append(buf[a: offsets[d + 1]])
+            for x in left:
+                sha.update(x)
+            shas.append(sha.hexdigest())
+            if texts:
+                kept.append(b"".join(x.tobytes() for x in left).decode("utf-8", "replace"))
+    cols = [docs["doc_id"], pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs), pa.array(shas, pa.string())]
+    return cols + ([pa.array(kept, pa.string())] if texts else [])
+
+
+def _starts(answers: pa.Table, offsets: np.ndarray) -> np.ndarray:
+    """By byte of the part's texts: whether a window that goes starts there."""
+    kinds, blobs = answers["kind"].to_numpy(), answers["blob"].to_pylist()
+    of = lambda kind: [x for x, y in zip(blobs, kinds) if y == kind]
+    hit = np.zeros(int(offsets[-1]) + 64, bool)
+    for blob in of(GONE):
+        row, begin, mask = _unpack(blob)
         at = offsets[row] + begin
         for t in range(64):
             hit[at[(mask >> U(t) & U(1)).astype(bool)] + t] = True
-        for kind in (LIKE_WINDOW, LIKE_CONTEXT):  # a context's windows may themselves be like others
-            at, like, count = _gather(of(kind), ("i8", "i8", "u1"))
-            for t in range(int(count.max(initial=0))):
-                on = (count > t) & hit[like + t]
-                hit[at[on] + t] = True
-        at = np.flatnonzero(hit)
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + length, -1)
-    gone = np.cumsum(depth[:-1]) > 0
-    total = np.r_[0, np.cumsum(gone)]
-    rise = gone.copy()
-    rise[1:] &= ~gone[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(buf)]
-    rise[inner] = gone[inner]
-    rises = np.r_[0, np.cumsum(rise)]
-    start, end = offsets[:-1], offsets[1:]
-    left = buf[~gone].tobytes()
-    cut = (offsets - total[offsets]).tolist()
-    parts = [left[a:z] for a, z in zip(cut[:-1], cut[1:])]
-    cols = [docs["doc_id"], pa.array(end - start), pa.array(total[end] - total[start]), pa.array(rises[end] - rises[start]), pa.array([hashlib.sha256(p).hexdigest() for p in parts])]
-    return cols + ([pa.array([p.decode("utf-8", "replace") for p in parts])] if texts else [])
+    for kind in (LIKE_WINDOW, LIKE_CONTEXT):  # a context's windows may themselves be like others
+        at, like, count = _gather(of(kind), ("i8", "i8", "u1"))
+        for t in range(int(count.max(initial=0))):
+            on = (count > t) & hit[like + t]
+            hit[at[on] + t] = True
+    return hit
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, texts: bool = False, part_bytes: int = 16 << 20, hot: int = 1 << 14) -> DataFrame:

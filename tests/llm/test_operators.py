@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -101,6 +103,25 @@ def test_suffix_dedup_ids(spark, none):
     assert suffixes.remove_repeats(none, 50).count() == 0
 
 
+def test_suffix_dedup_memory():
+    """What is left of a part's texts is found in a few times their bytes, however much of them goes."""
+    rng = np.random.default_rng(5)
+    half = [rng.integers(97, 123, 2_000, np.uint8).tobytes().decode() for _ in range(1_000)]
+    docs = pa.table({"part": pa.array([0] * 2_000, pa.int32()), "doc_id": range(2_000), "text": half + half})
+    message = suffixes._table(suffixes._answer_anchors(suffixes._table(suffixes._send_anchors(docs, 50, 20, 1)), 1 << 14))
+    tracemalloc.start()
+    sent = suffixes._send_contexts(docs, message, 50, 20, 1)
+    asked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    message = suffixes._table(suffixes._answer_contexts(suffixes._table(sent), 50, 20))
+    tracemalloc.start()
+    removed = suffixes._finish(docs, message, 50, False)[2].to_pylist()
+    finished = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert removed == [0] * 1_000 + [2_000] * 1_000
+    assert asked < 20 * 4e6 and finished < 6 * 4e6
+
+
 def test_merge_sort_is_a_sort():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (300, 24)).astype(np.uint8)
