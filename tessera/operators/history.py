@@ -36,60 +36,74 @@ def first_parents(pins: DataFrame, parents: DataFrame) -> DataFrame:
         jump = cut(jump.join(jump.select(F.col("at").alias("parent"), F.col("parent").alias("far")), "parent").select("at", F.col("far").alias("parent")))
 
 
-def periods(changes: DataFrame) -> DataFrame:
-    """(repository, path, added_at, added_in, removed_at, removed_in): the latest period of every path of ``changes``
-    (repository, path, change, previous, commit_id, committed_at, position, place, boundary).
+def _began_and_ended(changes: DataFrame, *more: Column) -> Column:
+    """Sides (path, opened, ended, ``more``) of a change, as an array: that of its path and that of the path it renames, which has
+    none of ``more``. Ends are (position, place, committed_at, commit_id).
 
     What is added or renamed to begins a period and clears its end; what is deleted or renamed from ends it, also one that has
     no beginning. At a ``boundary``, a commit whose parents are cut off, everything looks added, so nothing begins there.
-    Changes of one commit are taken by ``place``. Both ends are maxima, so a path of very many changes is no task of its own.
+    Changes of one commit are taken by ``place``.
     """
-    order = ["position", "place"]
-    what = F.struct(*order, "committed_at", "commit_id")
+    what = F.struct("position", "place", "committed_at", "commit_id")
+    kind = "struct<" + ",".join(f"{c}:{changes.schema[c].dataType.simpleString()}" for c in ("position", "place", "committed_at", "commit_id")) + ">"
     opens = F.when(F.col("change").isin(*OPENS) & ~F.col("boundary"), what)
-    sides = F.array_compact(F.array(
-        F.struct("path", opens.alias("opened"), F.when(F.col("change").isin(*CLOSES), what).alias("ended")),
-        F.when((F.col("change") == "renamed") & F.col("previous").isNotNull(), F.struct(F.col("previous").alias("path"), F.lit(None).cast(_type(changes, order)).alias("opened"), what.alias("ended"))),
-    ))
-    rows = changes.select("repository", F.inline(sides)).groupBy("repository", "path").agg(F.max("opened").alias("o"), F.max("ended").alias("e"))
-    later = F.col("o").isNull() | (F.struct("e.position", "e.place") >= F.struct("o.position", "o.place"))
-    end = lambda c: F.when(later, F.col(f"e.{c}"))
-    rows = rows.where("o IS NOT NULL OR e IS NOT NULL")
-    return rows.select("repository", "path", F.col("o.committed_at").alias("added_at"), F.col("o.commit_id").alias("added_in"), end("committed_at").alias("removed_at"), end("commit_id").alias("removed_in"))
+    names = changes.select(*more).schema
+    own = F.struct("path", opens.alias("opened"), F.when(F.col("change").isin(*CLOSES), what).alias("ended"), *more)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in names]
+    before = F.struct(F.col("previous").alias("path"), F.lit(None).cast(kind).alias("opened"), what.alias("ended"), *none)
+    return F.array_compact(F.array(own, F.when((F.col("change") == "renamed") & F.col("previous").isNotNull(), before)))
 
 
-def _type(changes: DataFrame, order: list[str]) -> str:
-    return "struct<" + ",".join(f"{c}:{changes.schema[c].dataType.simpleString()}" for c in (*order, "committed_at", "commit_id")) + ">"
+def _period(opened: str, ended: str) -> Column:
+    """The latest period between two such ends, null without both."""
+    o, e = (lambda c: F.col(f"{opened}.{c}")), (lambda c: F.col(f"{ended}.{c}"))
+    later = F.col(opened).isNull() | (F.struct(e("position"), e("place")) >= F.struct(o("position"), o("place")))
+    end = lambda c: F.when(later, e(c))
+    period = F.struct(o("committed_at").alias("added_at"), o("commit_id").alias("added_in"), end("committed_at").alias("removed_at"), end("commit_id").alias("removed_in"))
+    return F.when(F.col(opened).isNotNull() | F.col(ended).isNotNull(), period)
 
 
-def path_periods(changes: DataFrame, commits: DataFrame, parents: DataFrame, pins: DataFrame, tree: DataFrame) -> DataFrame:
+def path_periods(changes: DataFrame, commits: DataFrame, parents: DataFrame, pins: DataFrame, tree: DataFrame | None = None, tasks: int = 0) -> DataFrame:
     """(repository, path, commit_count, last_change, added_at, added_in, removed_at, removed_in) of every path that the history or
     the tree names.
 
-    ``changes``: (repository, commit_id, path, change, previous, place); ``tree``: (repository, path) at the pin. A period follows
-    the commits of the pin's first-parent chain, merges included: what a merge discards is no change. A path that the tree
-    lacks and the chain leaves without an end takes its period from all commits; if those state no end either, it ends at the
-    pin. Counts and the last date are those of all commits that changed the path itself.
+    ``changes``: (repository, commit_id, path, change, previous, place), without repository where a commit id has only one;
+    ``tree``: (repository, path) at the pin; without it, changes tell in ``here`` whether the tree has their path. A period
+    follows the commits of the pin's first-parent chain, merges included: what a merge discards is no change. A path that the
+    tree lacks and the chain leaves without an end takes its period from all commits; if those state no end either, it ends at
+    the pin. Counts and the last date are those of all commits that changed the path itself.
+
+    Changes meet their commits, and then once the others of their path, for all these facts together: over ``tasks`` tasks,
+    if these are more than a shuffle has. The changes of one path in one repository then meet in one task, which keeps maxima only.
     """
-    dated = commits.select("repository", "commit_id", "committed_at", "position", "boundary" if "boundary" in commits.columns else F.lit(False).alias("boundary"))
-    all_ = cut(changes.join(dated, ["repository", "commit_id"]))
-    chain = first_parents(pins, parents).select("repository", "commit_id")
-    key = ["repository", "path"]
-    ends = ("added_at", "added_in", "removed_at", "removed_in")
-    straight = periods(all_.join(chain, ["repository", "commit_id"], "left_semi")).select(*key, F.struct(*ends).alias("straight"))
-    full = periods(all_).select(*key, F.struct(*ends).alias("full"))
-    facts = all_.groupBy(*key).agg(F.count_distinct("commit_id").alias("commit_count"), F.max("committed_at").alias("last_change"))
-    here = tree.select(*key).distinct().withColumn("here", F.lit(True))
-    pinned = pins.join(dated, ["repository", "commit_id"]).select("repository", F.col("commit_id").alias("pin"), F.col("committed_at").alias("pinned_at"))
-    rows = facts.join(full, key, "full").join(straight, key, "left").join(here, key, "full").join(F.broadcast(pinned) if pins.count() <= 100_000 else pinned, "repository", "left")
-    gone = F.col("here").isNull()
+    key, commit = ["repository", "path"], ["repository", "commit_id"]
+    dated = commits.select(*commit, "committed_at", "position", "boundary" if "boundary" in commits.columns else F.lit(False).alias("boundary"))
+    chain = first_parents(pins, parents).select(*commit).distinct().withColumn("straight", F.lit(True))
+    marked = dated.join(chain, commit, "left")
+    on = [c for c in commit if c in changes.columns]
+    met = spread(changes, tasks, *on).join(marked, on)
+    # a commit's path counts at its first row, where its rows lie together anyway
+    new = F.row_number().over(W.partitionBy(*commit, "path").orderBy("place")) == 1
+    own = [F.col("new"), F.col("committed_at").alias("changed_at"), F.lit(None).cast("boolean").alias("here") if tree is not None else F.col("here")]
+    met = met.withColumn("new", new)
+    sides = met.select("repository", "straight", F.inline(_began_and_ended(met, *own)))
+    if tree is not None:
+        sides = sides.unionByName(tree.select(*key, F.lit(True).alias("here")), allowMissingColumns=True)
+    on_chain = lambda c: F.max(F.when(F.col("straight"), F.col(c)))
+    rows = spread(sides, tasks, *key).groupBy(*key).agg(
+        F.count_if("new").alias("commit_count"), F.max("changed_at").alias("last_change"), F.max("here").alias("here"),
+        F.max("opened").alias("o"), F.max("ended").alias("e"), on_chain("opened").alias("so"), on_chain("ended").alias("se"),
+    )
+    pinned = pins.join(dated, commit).select("repository", F.col("commit_id").alias("pin"), F.col("committed_at").alias("pinned_at"))
+    rows = rows.join(F.broadcast(pinned) if pins.count() <= 100_000 else pinned, "repository", "left")
+    gone = ~F.coalesce("here", F.lit(False))
+    rows = rows.withColumn("straight", _period("so", "se"))
     open_ = F.col("straight").isNull() | F.col("straight.removed_at").isNull()
-    held = F.when(gone & open_, F.col("full")).otherwise(F.col("straight"))
-    rows = rows.withColumn("held", held)
+    rows = rows.withColumn("held", F.when(gone & open_, _period("o", "e")).otherwise(F.col("straight")))
     # a path without any beginning or end has no period to close
     lost = gone & F.col("held").isNotNull() & F.col("held.removed_at").isNull()
     return rows.select(
-        *key, F.coalesce("commit_count", F.lit(0).cast("long")).alias("commit_count"), "last_change", "held.added_at", "held.added_in",
+        *key, "commit_count", "last_change", "held.added_at", "held.added_in",
         F.when(lost, F.col("pinned_at")).otherwise(F.col("held.removed_at")).alias("removed_at"), F.when(lost, F.col("pin")).otherwise(F.col("held.removed_in")).alias("removed_in"),
     )
 

@@ -1,5 +1,7 @@
 """Large groupings are dealt over tasks of a size."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from tests.conftest import DATA, rows
 from tessera.operators import connections
 from tessera.operators import graph as operators
 from tessera.plans import graph as plans
-from tessera.plans import registry
+from tessera.plans import registry, temporal
 from tessera.sources import graph
 
 
@@ -64,3 +66,11 @@ def test_file_history_is_dealt_by_the_line_items(spark, duck, monkeypatch):
     got = registry.queries()["file_history"](spark, DATA)
     assert got.rdd.getNumPartitions() >= 10
     assert rows(got.toPandas()) == rows(duck.execute(registry.oracle_sql()["file_history"]).fetch_df())
+
+
+def test_path_periods_group_changes_once(spark, duck, monkeypatch):
+    """Counts, periods along the chain, periods of all commits and the tree come from one grouping, dealt by the line items."""
+    monkeypatch.setattr(temporal, "LINES", 500, raising=False)
+    got = registry.queries()["path_periods"](spark, DATA)
+    assert len(re.findall(r"Aggregate \[repository#\d+L?, path#\d+L?", got._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert rows(got.toPandas()) == rows(duck.execute(registry.oracle_sql()["path_periods"]).fetch_df())
