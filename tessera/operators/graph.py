@@ -45,16 +45,21 @@ def related(origins: DataFrame, edges: DataFrame, depth: int, live: DataFrame |
 
 def related_page(
     origins: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int, order: Sequence[Column], first: int, inverse: bool = False,
-    kinds: Sequence[str] = (), condition: Column | None = None,
+    kinds: Sequence[str] = (), condition: Column | None = None, tasks: int = 0,
 ) -> DataFrame:
     """Each origin's first related nodes of the kinds asked, under a condition on their fields and in their order, with the
-    total before paging. Nodes that the kinds or the condition leave out are still passed on the way."""
+    total before paging. Nodes that the kinds or the condition leave out are still passed on the way.
+
+    Edges meet live nodes once, for all steps, over ``tasks`` tasks if these are more than a shuffle has."""
     if condition is not None and len(kinds) != 1:
         raise ValueError("a condition needs one declared kind")
     live = nodes.where(~F.col("removed"))
     wanted = live.where(F.col("kind").isin(*kinds)) if kinds else live
     wanted = wanted.where(condition) if condition is not None else wanted
-    rows = related(origins, edges, depth, live.select("id"), inverse).join(wanted.withColumnRenamed("id", "node"), "node")
+    end = "src" if inverse else "dst"
+    ids = spread(live.select(F.col("id").alias(end)), tasks, end)
+    alive = stored(spread(edges.select("src", "dst"), tasks, end).join(ids, end, "left_semi"))
+    rows = stored(related(origins, alive, depth, inverse=inverse).join(wanted.withColumnRenamed("id", "node"), "node"))
     return grouped_top(rows, ["origin"], [*order, F.asc("node")], first + 1)
 
 

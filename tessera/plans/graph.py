@@ -14,6 +14,9 @@ from tessera.plans.registry import query
 #: Line items for one task, where the edges they give are dealt.
 LINES = 250_000
 
+#: Nodes for one task, where they meet edges.
+NODES = 250_000
+
 
 def _tasks(t):
     """Tasks that the edges of all line items ask for, two of each at most."""
@@ -74,7 +77,8 @@ def cochange_both(t):
 )
 def related_page(t):
     e = t.edge.where("rel IN ('in_region', 'in_nation')")
-    rows = G.related_page(t.node.where("kind = 'region'"), e, t.node, 2, [F.desc("label")], 5, inverse=True, kinds=["customer"], condition=F.col("label").like("%7"))
+    tasks = -(-t.node.count() // NODES)
+    rows = G.related_page(t.node.where("kind = 'region'"), e, t.node, 2, [F.desc("label")], 5, inverse=True, kinds=["customer"], condition=F.col("label").like("%7"), tasks=tasks)
     return rows.select("origin", "node", "hops", "label", "total", "rn")
 
 

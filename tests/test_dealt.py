@@ -68,6 +68,14 @@ def test_file_history_is_dealt_by_the_line_items(spark, duck, monkeypatch):
     assert rows(got.toPandas()) == rows(duck.execute(registry.oracle_sql()["file_history"]).fetch_df())
 
 
+def test_related_page_meets_nodes_over_tasks_of_a_size(spark, duck, monkeypatch):
+    monkeypatch.setattr(plans, "NODES", 200, raising=False)
+    tasks, stored = [], operators.stored
+    monkeypatch.setattr(operators, "stored", lambda df: (tasks.append(df.rdd.getNumPartitions()), stored(df))[1])
+    assert rows(registry.queries()["related_page"](spark, DATA).toPandas()) == rows(duck.execute(registry.oracle_sql()["related_page"]).fetch_df())
+    assert tasks and tasks[0] >= 10
+
+
 def test_path_periods_group_changes_once(spark, duck, monkeypatch):
     """Counts, periods along the chain, periods of all commits and the tree come from one grouping, dealt by the line items."""
     monkeypatch.setattr(temporal, "LINES", 500, raising=False)
