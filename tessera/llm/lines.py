@@ -276,9 +276,10 @@ def fewest(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _joined_windows(hits: DataFrame) -> DataFrame:
+def _joined_windows(per: DataFrame) -> DataFrame:
     """(id, at, to, first_id, first_at): windows of a text that overlap and have the same first text, at the same
-    distance, as one span; of these, the fewest that cover the same bytes."""
+    distance, as one span; of these, the fewest that cover the same bytes. ``per``: id and, in ``all``, the windows
+    (at, to, first_at, first_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,8 +311,7 @@ def _joined_windows(hits: DataFrame) -> DataFrame:
                 ["id", "at", "to", "first_id", "first_at"],
             )
 
-    kind = hits.schema["id"].dataType.simpleString()
-    per = hits.groupBy("id").agg(F.collect_list(F.struct("at", "to", F.col("first.at").alias("first_at"), F.col("first.id").alias("first_id"))).alias("all"))
+    kind = per.schema["id"].dataType.simpleString()
     return per.mapInArrow(run, f"id {kind}, at int, to int, first_id {kind}, first_at int")
 
 
@@ -349,12 +349,16 @@ def repeated_runs(docs: DataFrame, long: int = 50, copies: float | None = None)
     hits = materialize(join_counted(found, materialize(counts), "h"))
     first = hits.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("many"))
     later = join_counted(hits, materialize(first), "h").where(~F.struct("id", "at").eqNullSafe(F.col("first")))
-    if copies is not None:
-        later = materialize(later)
-        pairs = materialize(later.select("id", F.col("first.id").alias("first_id")).where("id <> first_id").distinct())
-        whole = _copies(texts, pairs, copies).withColumnRenamed("id", "__id")
-        later = later.join(whole, (F.col("id") == F.col("__id")) & (F.col("first.id") == F.col("first_id")), "left_anti")
-    spans = materialize(_joined_windows(later))
+    window = F.struct("at", "to", F.col("first.at").alias("first_at"), F.col("first.id").alias("first_id"))
+    if copies is None:
+        per = later.groupBy("id").agg(F.collect_list(window).alias("all"))
+    else:
+        # a row for each text and earlier text, however many windows they share
+        shared = materialize(later.groupBy("id", F.col("first.id").alias("first_id")).agg(F.collect_list(window).alias("all")))
+        pairs = materialize(shared.select("id", "first_id").where("id <> first_id"))
+        whole = _copies(texts, pairs, copies)
+        per = shared.join(whole, ["id", "first_id"], "left_anti").groupBy("id").agg(F.flatten(F.collect_list("all")).alias("all"))
+    spans = materialize(_joined_windows(per))
     return _verified(texts, spans).select(F.col("id").alias("doc_id"), "at", "to", "first_id", "first_at")
 
 

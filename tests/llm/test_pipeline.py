@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from tessera.llm import registry
+from tessera.llm import lines, registry
 from tests.conftest import DATA
 
 
@@ -68,3 +68,22 @@ def test_what_is_left_between_lines_and_near_duplicates(spark):
     assert all(len(left[i].split()) < 160 for i in far) and all(left[i] == before[i] for i in left if i not in far)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, cut, DATA).collect()}
     assert kept == set(range(40)) | {100 + 2 * i for i in range(10)}
+
+
+def test_line_stage_compares_texts_by_spans(spark, monkeypatch):
+    """A passage of many lines that texts share is one row where copies of whole texts are told from passages."""
+    passage = "\n".join(f"line {i} of a passage that many texts share" for i in range(60))
+    own = lambda d: "\n".join(f"text {d} has a line {i} of its own, number {d * 1000 + i}" for i in range(40))
+    docs = spark.createDataFrame([(d, f"{passage}\n{own(d)}") for d in range(20)], "doc_id long, text string")
+    most, materialize = [], lines.materialize
+
+    def seen(df):
+        out = materialize(df)
+        if {"first", "first_id"} & set(df.columns):
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", seen)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_runs(docs, copies=0.8).collect()}
+    assert got == {d: f"{passage}\n{own(0)}" if d == 0 else own(d) for d in range(20)}
+    assert max(most) < 100
